@@ -1,0 +1,23 @@
+"""Size checks in front of broadcasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if the frame is proven small.  Reads at most ``max_rows + 1`` rows."""
+    probe = df.limit(max_rows + 1).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    )
+    row = probe.first()
+    return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
+    """Broadcast hint only behind the check; otherwise Spark chooses a shuffle join and splits skewed keys at run time."""
+    return F.broadcast(df) if fits_broadcast(df, **limits) else df
