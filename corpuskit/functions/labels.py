@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import WS, col, strip, text_or_empty
+from corpuskit.functions.text import WS, col, let, strip, text_or_empty
 
 # The label shapes of the three extraction sources and the panel markers of captions.
 FIGURE_ANYWHERE = rf"(?i)(?:fig(?:ure)?\.?){WS}*(\d+[A-Za-z]?)"
@@ -120,13 +120,15 @@ def expand_panel_labels(c: Column | str) -> Column:
 
 def compact_panel_range(labels: Column | str) -> Column:
     """[A, B, C] -> ``A-C``; labels with gaps stay a comma list; anything but single capitals is ignored."""
-    kept = F.filter(col(labels), lambda x: x.rlike("^[A-Z]$"))
-    codes = F.transform(kept, lambda x: F.ascii(x))
-    first, last = F.try_element_at(codes, F.lit(1)), F.try_element_at(codes, F.lit(-1))
-    run = (F.size(kept) >= 2) & (first <= last) & (codes == F.sequence(first, last))
-    return F.when(F.coalesce(run, F.lit(False)), F.concat(F.char(first), F.lit("-"), F.char(last))).otherwise(
-        F.array_join(kept, ",")
-    )
+
+    def text(kept: Column) -> Column:
+        codes = F.transform(kept, F.ascii)
+        first, last = F.try_element_at(codes, F.lit(1)), F.try_element_at(codes, F.lit(-1))
+        run = (F.size(kept) >= 2) & (first <= last) & (codes == F.sequence(first, last))
+        short = F.concat(F.char(first), F.lit("-"), F.char(last))
+        return F.when(F.coalesce(run, F.lit(False)), short).otherwise(F.array_join(kept, ","))
+
+    return let(F.filter(col(labels), lambda x: x.rlike("^[A-Z]$")), text)
 
 
 def label_preview(labels: Column | str, lang: str = "en") -> Column:

@@ -48,7 +48,11 @@ def col(c: Column | str) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind an expensive value once and use it several times in ``body``."""
+    """Bind an expensive value once and use it several times in ``body``.
+
+    Also needed for values used inside a lambda: Spark merges projections, and a column inlined into a lambda would be computed
+    again for every element.
+    """
     return F.transform(F.array(value), body)[0]
 
 
@@ -62,9 +66,12 @@ def fold(c: Column | str) -> Column:
     return F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
-def ascii_lower(c: Column | str) -> Column:
-    """Lower-case A-Z only, so positions and word edges never move."""
-    return F.translate(text_or_empty(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def lower_keeping_edges(c: Column | str) -> Column:
+    """Lower case in which no other letter turns into an ASCII one, so ASCII word edges never move.
+
+    The only two letters that would, the dotted capital I and the Kelvin sign, are mapped to neighbours first.
+    """
+    return F.lower(F.translate(text_or_empty(c), "\u0130\u212a", "\u0131\u0138"))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -196,10 +203,9 @@ def _reference_offset(text: Column) -> Column:
 
     A heading owns the blank lines in front of it, so it starts at the first of them.
     """
-    late = F.length(text) * F.lit(REFERENCE_MIN_POSITION)
     start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("blank"), F.lit(-1).alias("hit"))
 
-    def step(state: Column, line: Column) -> Column:
+    def step(state: Column, line: Column, late: Column) -> Column:
         begin = F.when(state["blank"] >= 0, state["blank"]).otherwise(state["at"])
         found = (state["hit"] < 0) & (begin > late) & line.rlike(REFERENCE_HEADING)
         return F.struct(
@@ -208,7 +214,10 @@ def _reference_offset(text: Column) -> Column:
             F.when(found, begin).otherwise(state["hit"]).alias("hit"),
         )
 
-    return F.aggregate(F.split(text, "\n"), start, step, lambda state: state["hit"])
+    return let(
+        F.length(text) * F.lit(REFERENCE_MIN_POSITION),
+        lambda late: F.aggregate(F.split(text, "\n"), start, lambda s, line: step(s, line, late), lambda s: s["hit"]),
+    )
 
 
 def cut_reference_list(c: Column | str) -> Column:

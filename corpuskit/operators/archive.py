@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import clean_concept, normalize_concept
+from corpuskit.functions.text import clean_concept, let, normalize_concept
 from corpuskit.operators.keyed import append_new, dedupe_first
 
 
@@ -25,10 +25,13 @@ def parse_terms(requests: DataFrame, raw: str, request_id: str, unicode: bool =
         return dedupe_first(rows, [request_id, "normalized"], ["pos"]).select(request_id, "pos", "term", "normalized")
     terms = F.transform(parts, lambda p: clean_concept(p))
     pairs = F.transform(terms, lambda p: F.struct(p.alias("term"), normalize_concept(p).alias("normalized")))
-    rows = requests.select(request_id, F.filter(pairs, lambda p: p["normalized"] != "").alias("__p"))
-    keys = F.col("__p.normalized")
-    first = F.filter("__p", lambda p, i: F.array_position(keys, p["normalized"]) == i + 1)
-    return rows.select(request_id, F.posexplode(first).alias("pos", "__t")).select(request_id, "pos", "__t.*")
+
+    def firsts(kept: Column) -> Column:
+        keys = F.transform(kept, lambda p: p["normalized"])
+        return let(keys, lambda ks: F.filter(kept, lambda p, i: F.array_position(ks, p["normalized"]) == i + 1))
+
+    first = let(F.filter(pairs, lambda p: p["normalized"] != ""), firsts)
+    return requests.select(request_id, F.posexplode(first).alias("pos", "__t")).select(request_id, "pos", "__t.*")
 
 
 def wanted_terms(requests: DataFrame, normalized: str, original: str, position: list[str]) -> DataFrame:

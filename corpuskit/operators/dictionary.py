@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import ascii_lower, fold
+from corpuskit.functions.text import fold, let, lower_keeping_edges
 from corpuskit.operators.ordered import top_k
 from corpuskit.operators.sizing import fits_broadcast
 
@@ -67,7 +67,7 @@ def _quoted(c: Column) -> Column:
 
 def prepare_terms(terms: DataFrame) -> DataFrame:
     """(alias, canonical) -> blocking token and whole-word pattern per row.  Repeated rows stay and count repeatedly."""
-    folded = ascii_lower("alias")
+    folded = lower_keeping_edges("alias")
     runs = F.array_sort(
         F.filter(F.split(folded, TOKEN_SPLIT), lambda r: r != ""),
         lambda a, b: F.length(b) - F.length(a),
@@ -76,29 +76,32 @@ def prepare_terms(terms: DataFrame) -> DataFrame:
         "canonical",
         F.coalesce(F.try_element_at(runs, F.lit(1)), F.left(folded, F.lit(1))).alias("__block"),
         F.concat(F.lit("(?<![a-z0-9])"), _quoted(folded), F.lit("(?![a-z0-9])")).alias("__pattern"),
-        (F.size(runs) == 0).alias("__symbol"),
     )
 
 
+def _known_blocks(terms: DataFrame) -> Column:
+    """All blocking keys of a small dictionary as one array: a scalar subquery, evaluated once per query."""
+    return terms.agg(F.collect_set("__block")).scalar()
+
+
 def term_counts(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole-word, case-insensitive hits per document and canonical term, summed over aliases.
 
     Word edges are ASCII letters and digits.  Hits of one alias never overlap, hits of different aliases may and all count.
     """
     prepared = prepare_terms(terms)
-    low = docs.select(doc_id, ascii_lower(text).alias("__text"))
+    low = docs.select(doc_id, lower_keeping_edges(text).alias("__text"))
     blocks = F.split("__text", TOKEN_SPLIT)
-    if prepared.where("__symbol").limit(1).count():
+    if prepared.where(~F.col("__block").rlike("^[a-z0-9]")).limit(1).count():
         blocks = F.concat(blocks, F.regexp_extract_all("__text", F.lit(SYMBOLS), F.lit(0)))
-    blocks = F.explode(F.array_distinct(blocks)).alias("__block")
-    keyed = prepared.drop("__symbol")
-    if fits_broadcast(keyed):
-        # one pass: explode, hash lookup and count are fused, the text is never shuffled
-        found = low.select(doc_id, "__text", blocks).join(F.broadcast(keyed), "__block")
+    if fits_broadcast(prepared):
+        # one pass, no shuffle of text: each document keeps the few blocks the dictionary knows and looks them up
+        known = F.explode(F.array_intersect(blocks, _known_blocks(prepared)))
+        found = low.select(doc_id, "__text", known.alias("__block")).join(F.broadcast(prepared), "__block")
     else:
         # the text stays out of the token shuffle and is joined back to the surviving pairs
-        pairs = low.select(doc_id, blocks).join(keyed, "__block").drop("__block")
-        found = pairs.join(low, doc_id)
+        tokens = low.select(doc_id, F.explode(F.array_distinct(blocks)).alias("__block"))
+        found = tokens.join(prepared, "__block").drop("__block").join(low, doc_id)
     counted = found.select(doc_id, "canonical", F.regexp_count("__text", F.col("__pattern")).alias("n"))
     return counted.where("n > 0").groupBy(doc_id, "canonical").agg(F.sum("n").alias("hits"))
 
@@ -124,51 +127,49 @@ def top_terms(counts: DataFrame, k: int = 25, doc_id: str = "doc_id") -> DataFra
 
 def mentions_of(text: Column, terms: Sequence[str]) -> Column:
     """Literal term list (bounded by the caller's code): those that are substrings of ``text``, in list order."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    listed = F.array(*[F.lit(t) for t in terms])
+    return let(text, lambda x: F.filter(listed, lambda t: F.contains(x, t)))
 
 
 def grams(text: Column, n: int = GRAM) -> Column:
-    """Distinct character n-grams; the text itself where it is shorter."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(
-        F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
-    ).otherwise(F.filter(F.array(text), lambda t: t != ""))
-
-
-def _blocks_of_text(text: Column) -> Column:
-    """All grams a needle may be filed under: needles shorter than three characters use their own length."""
-    return F.array_distinct(F.concat(*[grams(text, n) for n in range(1, GRAM + 1)]))
-
+    """Distinct character n-grams; the text itself where it is shorter.  One linear pass by an overlapping match."""
+    overlapping = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return F.when(F.length(text) >= n, overlapping).otherwise(F.filter(F.array(text), lambda t: t != ""))
 
-def _blocks_for(text: Column, short: bool) -> Column:
-    return _blocks_of_text(text) if short else grams(text)
 
-
-def mention_pairs(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term: str) -> DataFrame:
+def mention_pairs(
+    texts: DataFrame, terms: DataFrame, text_id: str, text: str, term: str, long_texts: bool = True
+) -> DataFrame:
     """(text id, term row) wherever the term is a substring of the text.  Both sides already normalised.
 
-    ``terms`` is any size: grams are joined by equality and candidates verified, so no text meets every term.
+    ``terms`` is any size: candidates share the first characters of the term and are verified, so no text meets every term.
+    ``long_texts=False`` carries the text through the join, which is right for names and other short strings.
     """
     needles = terms.where(F.col(term) != "").withColumn("__block", F.left(F.col(term), F.lit(GRAM)))
-    short = bool(needles.where(F.length(term) < GRAM).limit(1).count())
     hay = texts.select(text_id, F.col(text).alias("__text"))
-    exploded = F.explode(_blocks_for(F.col("__text"), short)).alias("__block")
-    if fits_broadcast(needles):
-        found = hay.select(text_id, "__text", exploded).join(F.broadcast(needles), "__block")
+    body = F.col("__text")
+    # terms shorter than a gram are filed under themselves
+    blocks = F.array_distinct(F.concat(*[grams(body, n) for n in range(1, GRAM + 1)]))
+    if not long_texts:
+        found = hay.select(text_id, "__text", F.explode(blocks).alias("__block")).join(needles, "__block")
+    elif fits_broadcast(needles):
+        if not needles.where(F.length(term) < GRAM).limit(1).count():
+            blocks = grams(body)
+        known = F.explode(F.array_intersect(blocks, _known_blocks(needles)))
+        found = hay.select(text_id, "__text", known.alias("__block")).join(F.broadcast(needles), "__block")
     else:
-        pairs = hay.select(text_id, exploded).join(needles, "__block")
-        found = pairs.join(hay, text_id)
+        found = hay.select(text_id, F.explode(blocks).alias("__block")).join(needles, "__block").join(hay, text_id)
     return found.where(F.contains(F.col("__text"), F.col(term))).drop("__text", "__block")
 
 
 def first_mentions(texts: DataFrame, terms: Sequence[str], text_id: str, text: str) -> DataFrame:
     """0-based position of the first mention of each listed term per text, ignoring case."""
-    low = F.lower(text)
-    hits = F.transform(
-        F.array(*[F.lit(t) for t in terms]),
-        lambda t: F.struct(t.alias("term"), (F.position(F.lower(t), F.col("__low")) - 1).alias("pos")),
-    )
-    rows = texts.select(text_id, low.alias("__low")).select(text_id, F.explode(hits).alias("h")).select(text_id, "h.*")
+    listed = F.array(*[F.lit(t) for t in terms])
+
+    def positions(low: Column) -> Column:
+        return F.transform(listed, lambda t: F.struct(t.alias("term"), (F.position(F.lower(t), low) - 1).alias("pos")))
+
+    rows = texts.select(text_id, F.explode(let(F.lower(text), positions)).alias("h")).select(text_id, "h.*")
     return rows.where("pos >= 0")
 
 
@@ -181,10 +182,8 @@ def seed_glossary(texts: DataFrame, text: str, glossary: Sequence[tuple[str, str
             for en, ko in ordered
         ]
     )
-    low = texts.withColumn("__low", fold(text))
-    return low.withColumn("glossary", F.filter(entries, lambda g: F.contains(F.col("__low"), F.lower(g["english"])))).drop(
-        "__low"
-    )
+    found = let(fold(text), lambda low: F.filter(entries, lambda g: F.contains(low, F.lower(g["english"]))))
+    return texts.withColumn("glossary", found)
 
 
 def grounded_terms(items: DataFrame, text: str, basic: Sequence[str] = BASIC_TERMS) -> DataFrame:

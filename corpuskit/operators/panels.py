@@ -12,7 +12,7 @@ from corpuskit.functions.labels import (
     figure_label_prefix,
     label_preview,
 )
-from corpuskit.functions.text import concise_text, normalize_match_text, strip
+from corpuskit.functions.text import concise_text, let, normalize_match_text, strip
 
 PANEL_EDGE_CHARS = " .;:-"
 
@@ -58,8 +58,8 @@ def _mentions(text: Column, terms: Column, mode: str) -> Column:
     normal = normalize_match_text(text)
     if mode == "word":
         padded = F.concat(F.lit(" "), normal, F.lit(" "))
-        return F.exists(terms, lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" "))))
-    return F.exists(terms, lambda t: F.contains(normal, t))
+        return let(padded, lambda n: F.exists(terms, lambda t: F.contains(n, F.concat(F.lit(" "), t, F.lit(" ")))))
+    return let(normal, lambda n: F.exists(terms, lambda t: F.contains(n, t)))
 
 
 def panel_usage(figures: DataFrame, caption: str = "caption", terms: str = "terms", mode: str = "substring") -> DataFrame:
@@ -71,10 +71,9 @@ def panel_usage(figures: DataFrame, caption: str = "caption", terms: str = "term
     ``mode='substring'`` has no word edges, ``mode='word'`` asks for whole words.
     """
     rows = figures.withColumns({"__panels": caption_panels(caption), "__pre": preamble(caption)})
-    rows = rows.withColumn("__pre_hit", _mentions(F.col("__pre"), F.col(terms), mode))
 
-    def usage(p: Column) -> Column:
-        status = F.when(_mentions(p["text"], F.col(terms), mode), "explicit").when(F.col("__pre_hit"), "figure_context")
+    def usage(p: Column, words: Column, in_preamble: Column) -> Column:
+        status = F.when(_mentions(p["text"], words, mode), "explicit").when(in_preamble, "figure_context")
         return F.struct(
             p["labels"].alias("labels"),
             p["raw_label"].alias("raw_label"),
@@ -82,14 +81,19 @@ def panel_usage(figures: DataFrame, caption: str = "caption", terms: str = "term
             concise_text(p["text"]).alias("text"),
         )
 
-    rows = rows.withColumn("usages", F.filter(F.transform("__panels", usage), lambda u: u["status"].isNotNull()))
+    def usages(words: Column) -> Column:
+        return let(
+            _mentions(F.col("__pre"), words, mode), lambda hit: F.transform("__panels", lambda p: usage(p, words, hit))
+        )
+
+    rows = rows.withColumn("usages", F.filter(let(F.col(terms), usages), lambda u: u["status"].isNotNull()))
     return rows.withColumns(
         {
             "mode": F.when(F.size("usages") > 0, "panel_map").otherwise("linked_only"),
             "preamble": concise_text("__pre"),
             "all_panels": F.flatten(F.col("__panels.labels")),
         }
-    ).drop("__panels", "__pre", "__pre_hit")
+    ).drop("__panels", "__pre")
 
 
 def used_labels(usages: str = "usages") -> Column:
@@ -107,8 +111,8 @@ def paper_panel_index(usage: DataFrame, keys: list[str], position: str, lang: st
 
     Headers are reduced to distinct ones before the list is built; a paper has no more of them than figures.
     """
-    texts = usage.select(*keys, position, figure_panel_text().alias("__text")).where("__text != ''")
+    texts = usage.select(*keys, position, figure_panel_text().alias("__text"))
     first = texts.groupBy(*keys, "__text").agg(F.min(position).alias("__pos"))
     listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__text"))).alias("__l"))
-    labels = F.col("__l.__text")
+    labels = F.filter(F.col("__l.__text"), lambda t: t != "")
     return listed.select(*keys, F.size(labels).alias("n_labels"), label_preview(labels, lang).alias("panel_index"))

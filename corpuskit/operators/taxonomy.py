@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import contains_any, fold, let
+from corpuskit.functions.text import fold, let
 
 TAXONOMY_VERSION = 2
 
@@ -92,6 +92,21 @@ FACET_VALUES = {
 }
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _any_of(text: str, markers: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_quoted(m)})" for m in markers) + ")"
+
+
+def _list_of(values: Sequence[str]) -> str:
+    return f"array({', '.join(map(_quoted, values))})"
+
+
+NO_VALUES = "cast(array() AS array<string>)"
+
+
 @dataclass(frozen=True)
 class Rule:
     """Adds facet values where any marker occurs in the folded text.
@@ -104,11 +119,14 @@ class Rule:
     also: Sequence[str] = ()
     unless: Sequence[str] = ()
 
-    def applies(self, text: Column) -> Column:
-        hit = contains_any(text, self.markers)
+    def condition(self, text: str) -> str:
+        """SQL condition over the column ``text``."""
+        parts = [_any_of(text, self.markers)]
         if self.also:
-            hit = hit & contains_any(text, self.also)
-        return hit & ~contains_any(text, self.unless) if self.unless else hit
+            parts.append(_any_of(text, self.also))
+        if self.unless:
+            parts.append(f"NOT {_any_of(text, self.unless)}")
+        return " AND ".join(parts)
 
 
 @dataclass(frozen=True)
@@ -312,30 +330,29 @@ def method_haystack(name: str, category: str, parent: str, aliases: str, submeth
     return fold(F.concat_ws(" ", *plain, joined(aliases), joined(submethods)))
 
 
-def _facet(text: Column, facet: str, rules: RuleSet) -> Column:
+def _facet(facet: str, rules: RuleSet) -> Column:
+    """Values of one facet from the rule tests ``__rule<i>``, as one SQL expression (it has hundreds of nodes)."""
     picks = [
-        F.when(rule.applies(text), F.array(*[F.lit(v) for v in rule.adds[facet]])).otherwise(
-            F.array().cast("array<string>")
-        )
-        for rule in rules.rules
+        f"if(__rule{i}, {_list_of(rule.adds[facet])}, {NO_VALUES})"
+        for i, rule in enumerate(rules.rules)
         if facet in rule.adds
     ]
-    values = F.array_sort(F.array_distinct(F.concat(*picks))) if picks else F.array().cast("array<string>")
+    values = F.expr(f"array_sort(array_distinct(concat({', '.join(picks)})))" if picks else NO_VALUES)
     steps = rules.fallbacks.get(facet, ())
     if not steps:
         return values
-    fallback = F.array().cast("array<string>")
-    for marker, value in reversed(steps):
-        hit = F.lit(True) if marker == "" else text.contains(marker)
-        fallback = F.when(hit, F.array(F.lit(value))).otherwise(fallback)
+    cases = [f"WHEN {_any_of('__hay', [marker]) if marker else 'true'} THEN {_list_of([value])}" for marker, value in steps]
+    fallback = F.expr(f"CASE {' '.join(cases)} ELSE {NO_VALUES} END")
     return let(values, lambda v: F.when(F.size(v) == 0, fallback).otherwise(v))
 
 
 def tag_facets(methods: DataFrame, haystack: Column, rules: RuleSet = ASSAY_RULES) -> DataFrame:
-    """Adds one sorted value list per facet.  One projection: the rules compile to substring tests."""
+    """Adds one sorted value list per facet.  Two projections: every rule is tested once, then the facets pick from the tests."""
     folded = methods.withColumn("__hay", haystack)
-    columns = {facet: _facet(F.col("__hay"), facet, rules) for facet in rules.facets}
-    return folded.withColumns({**columns, "taxonomy_version": F.lit(TAXONOMY_VERSION)}).drop("__hay")
+    tests = {f"__rule{i}": F.expr(rule.condition("__hay")) for i, rule in enumerate(rules.rules)}
+    columns = {facet: _facet(facet, rules) for facet in rules.facets}
+    tagged = folded.withColumns(tests).withColumns({**columns, "taxonomy_version": F.lit(TAXONOMY_VERSION)})
+    return tagged.drop("__hay", *tests)
 
 
 def overlay_facets(inferred: DataFrame, stored: DataFrame, key: str, facets: Sequence[str] = FACETS) -> DataFrame:

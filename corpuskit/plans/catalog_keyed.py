@@ -423,7 +423,7 @@ def _ingested(spark, folder):
         F.concat(F.lit("old-"), F.min("p_partkey")).alias("id"), F.lit("kept").alias("definition_en"), F.lit("CURATED").alias("quality_status")
     )
     concepts = stored.select("id", "normalized_name", "definition_en", "quality_status")
-    aliases = parts.limit(1).select(F.lit("x").alias("concept_id"), F.lit("Reserved").alias("alias_display"), F.lit("reserved").alias("alias_normalized"))
+    aliases = parts.agg(*[F.max(F.lit(v)).alias(c) for c, v in zip(("concept_id", "alias_display", "alias_normalized"), ("x", "Reserved", "reserved"))])
     explanations = parts.select(
         F.col("p_brand").alias("requested_term"), F.col("p_name").alias("canonical_name"), F.array("p_type", "p_name").alias("aliases"),
         F.col("p_type").alias("definition_en"), F.lit(None).cast("string").alias("difficulty"), "p_partkey",

@@ -30,8 +30,19 @@ METHOD_ENTRIES = (
     "facets map<string, array<string>>, taxonomy_version int, quality_status string, source_model string, hit_count bigint"
 )
 
+# Text tables: work per row is heavy, so a file with too few splits is spread over the cores first.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows if the input has fewer splits than the cluster has cores; at scale it has more and nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Table at ``path`` with an explicit schema; a missing path is an empty table."""
