@@ -278,7 +278,7 @@ def punctuation_count(c: Column) -> Column:
 
 # Fixed value: a caption block starts with its figure number; references inside prose never match.
 CAPTION_START = rf"(?i)^{WS}*(?:fig(?:ure)?\.?{WS}*)(\d+)\b"
-CAPTION_START_LETTER = rf"(?i)^{WS}*(?:fig(?:ure)?\.?{WS}*(\d+[A-Za-z]?)){WS}*[.:]?{WS}+"
+CAPTION_START_LETTER = rf"(?i)^{WS}*((?:fig(?:ure)?\.?{WS}*)\d+[A-Za-z]?){WS}*[.:]?{WS}+"
 
 
 def is_prose(c: Column | str) -> Column:

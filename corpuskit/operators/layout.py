@@ -21,6 +21,7 @@ from corpuskit.functions.text import (
     word_count,
 )
 from corpuskit.operators.ordered import best_per_key, pair_in_order
+from corpuskit.session import staged
 
 # Page geometry (points), score weights and acceptance thresholds.
 MARGIN, CAPTION_GAP, PROSE_GAP, PROSE_GAP_PREVIOUS, CLEARANCE = 12.0, 5.0, 6.0, 8.0, 8.0
@@ -119,11 +120,36 @@ def pages_of(blocks: DataFrame) -> DataFrame:
 # --- captions ------------------------------------------------------------------------------------------------------
 
 
+def block_features(blocks: DataFrame) -> DataFrame:
+    """Blocks with everything the later steps ask of their text, so that the text itself is read once.
+
+    ``figure_no`` and ``caption`` are set only for text blocks that start with a figure number (references inside prose never
+    match), ``label_no`` only for short ones.
+    """
+    is_text = F.col("kind") == "text"
+    body = blocks.withColumn("__body", F.when(is_text, strip("text")).otherwise(""))
+    text = F.col("__body")
+    figure_no = F.regexp_extract(text, CAPTION_START, 1).try_cast("int")
+    short = (F.length(text) <= 90) & (word_count(text) <= 16)
+    marked = body.withColumns({"n_chars": F.length(text), "prose": is_text & is_prose(text), "figure_no": figure_no})
+    return marked.select(
+        *PAGE, "block_id", "kind", *BOX, "page_w", "page_h", "n_chars", "prose", "figure_no",
+        F.when(F.col("figure_no").isNotNull(), text).alias("caption"),
+        F.when(short, F.col("figure_no")).alias("label_no"),
+        ((F.col("n_chars") <= 100) & text.rlike(TABLE_LABEL)).alias("table_label"),
+    )
+
+
+def _features(blocks: DataFrame) -> DataFrame:
+    return blocks if "prose" in blocks.columns else block_features(blocks)
+
+
 def caption_blocks(blocks: DataFrame) -> DataFrame:
-    """Text blocks that start with a figure number; references inside prose never match."""
-    texts = blocks.where(F.col("kind") == "text").withColumn("caption", strip("text"))
-    found = texts.withColumn("figure_no", F.regexp_extract("caption", CAPTION_START, 1).try_cast("int"))
-    return found.where("figure_no IS NOT NULL").withColumn("figure_key", figure_integer_key(F.col("figure_no"))).drop("text")
+    """Text blocks that start with a figure number."""
+    found = _features(blocks).where("figure_no IS NOT NULL")
+    return found.select(
+        *PAGE, "block_id", *BOX, "page_w", "page_h", "figure_no", "caption", figure_integer_key(F.col("figure_no")).alias("figure_key")
+    )
 
 
 def best_captions(blocks: DataFrame, panel_bonus: int = 300) -> DataFrame:
@@ -184,71 +210,79 @@ def with_caption_column(
     )
 
 
-def _lowest_prose(captions: DataFrame, prose: DataFrame, limit: Column | None, overlap: float) -> DataFrame:
-    """Adds ``prose_bottom``: lower edge of the last prose block of the caption's column (above ``limit``, if given)."""
-    c, b = captions.alias("c"), prose.alias("b")
-    near = horizontal_overlap(F.col("b.x0"), F.col("b.x1"), F.col("c.col_x0"), F.col("c.col_x1")) >= overlap
-    cond = (F.col("c.doc_id") == F.col("b.doc_id")) & (F.col("c.page_idx") == F.col("b.page_idx")) & near
-    if limit is not None:
-        cond = cond & (F.col("b.y1") < limit)
-    lows = (
-        c.join(b, cond)
-        .groupBy(F.col("c.doc_id").alias("doc_id"), F.col("c.figure_key").alias("figure_key"))
-        .agg(F.max("b.y1").alias("prose_bottom"))
-    )
-    return captions.join(lows, ["doc_id", "figure_key"], "left")
-
-
 REGION = ["doc_id", "figure_key", "mode", "page_idx", *BOX, "page_w", "page_h"]
 
 
-def same_page_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Region between the last prose block above the caption and the caption itself."""
-    prose = blocks.where((F.col("kind") == "text") & is_prose("text")).select(*PAGE, *BOX)
-    placed = with_caption_column(_clipped(captions)).withColumn("bottom", F.col("y0") - CAPTION_GAP)
-    low = _lowest_prose(placed, prose, F.col("c.bottom") - CLEARANCE, 0.50)
-    top = F.col("prose_bottom") + PROSE_GAP
-    top = F.when(top.isNull() | (F.col("bottom") - top < MIN_SAME_HEIGHT), MARGIN).otherwise(top)
-    region = low.withColumns(
-        {"x0": F.col("col_x0"), "y0": top, "x1": F.col("col_x1"), "y1": F.col("bottom"), "mode": F.lit("same_page")}
+def _lowest(targets: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``prose_bottom``: lower edge of the last block in the target's column above its ``limit``."""
+    t, b = targets.alias("t"), blocks.alias("b")
+    near = horizontal_overlap(F.col("b.x0"), F.col("b.x1"), F.col("t.col_x0"), F.col("t.col_x1")) >= F.col("t.min_overlap")
+    on_page = (F.col("t.doc_id") == F.col("b.doc_id")) & (F.col("t.page_idx") == F.col("b.page_idx"))
+    lows = (
+        t.join(b, on_page & near & (F.col("b.y1") < F.col("t.limit")))
+        .groupBy(*[F.col(f"t.{k}").alias(k) for k in keys])
+        .agg(F.max("b.y1").alias("prose_bottom"))
     )
-    kept = _clipped(region).where((F.col("x1") - F.col("x0") >= MIN_REGION_WIDTH) & (F.col("y1") - F.col("y0") >= MIN_SAME_HEIGHT))
-    return kept.select(*REGION)
+    return targets.join(lows, keys, "left")
 
 
-def previous_page_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Region below the last prose block of the page before the caption, in the caption's column scaled to that page."""
-    prose = blocks.where((F.col("kind") == "text") & is_prose("text")).select(*PAGE, *BOX)
+def _crop_targets(captions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Where to look for the figure of a caption: above it in its column, and in the same column of the page before."""
     before = pages_of(blocks).select(
         "doc_id", (F.col("page_idx") + 1).alias("page_idx"), F.col("page_w").alias("prev_w"), F.col("page_h").alias("prev_h")
     )
-    placed = with_caption_column(_clipped(captions)).join(before, PAGE)
+    placed = with_caption_column(_clipped(captions)).join(before, PAGE, "left")
     scale = F.col("prev_w") / F.greatest(F.lit(1.0), F.col("page_w"))
-    moved = placed.withColumns(
-        {
-            "col_x0": F.greatest(F.lit(MARGIN), F.col("col_x0") * scale),
-            "col_x1": F.least(F.col("prev_w") - MARGIN, F.col("col_x1") * scale),
-            "page_idx": F.col("page_idx") - 1,
-            "page_w": F.col("prev_w"),
-            "page_h": F.col("prev_h"),
-            "bottom": F.col("prev_h") - MARGIN,
-        }
-    ).drop("prev_w", "prev_h")
-    low = _lowest_prose(moved, prose, None, 0.45)
-    top = F.col("prose_bottom") + PROSE_GAP_PREVIOUS
-    region = low.where(top.isNull() | (F.col("bottom") - top >= MIN_PREVIOUS_HEIGHT)).withColumns(
+    same = F.struct(
+        F.lit("same_page").alias("mode"),
+        F.col("page_idx"),
+        F.col("page_w"),
+        F.col("page_h"),
+        F.col("col_x0"),
+        F.col("col_x1"),
+        (F.col("y0") - CAPTION_GAP).alias("bottom"),
+        (F.col("y0") - CAPTION_GAP - CLEARANCE).alias("limit"),
+        F.lit(0.50).alias("min_overlap"),
+    )
+    previous = F.struct(
+        F.lit("previous_page").alias("mode"),
+        (F.col("page_idx") - 1).alias("page_idx"),
+        F.col("prev_w").alias("page_w"),
+        F.col("prev_h").alias("page_h"),
+        F.greatest(F.lit(MARGIN), F.col("col_x0") * scale).alias("col_x0"),
+        F.least(F.col("prev_w") - MARGIN, F.col("col_x1") * scale).alias("col_x1"),
+        (F.col("prev_h") - MARGIN).alias("bottom"),
+        F.lit(float("inf")).alias("limit"),
+        F.lit(0.45).alias("min_overlap"),
+    )
+    both = F.array_compact(F.array(same, F.when(F.col("prev_w").isNotNull(), previous)))
+    return placed.select("doc_id", "figure_key", F.explode(both).alias("__t")).select("doc_id", "figure_key", "__t.*")
+
+
+def crop_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Crop regions of the captions, one per mode, from one join with the prose blocks.
+
+    ``same_page``: from the last prose block above the caption (or the margin, if less than 70 points are left) to the caption.
+    ``previous_page``: from the last prose block of the page before to its bottom; dropped if less than 90 points are left.
+    """
+    features = _features(blocks)
+    prose = features.where("prose").select(*PAGE, *BOX)
+    low = _lowest(_crop_targets(captions, features), prose, ["doc_id", "figure_key", "mode", "page_idx"])
+    same = F.col("mode") == "same_page"
+    least_height = F.when(same, MIN_SAME_HEIGHT).otherwise(MIN_PREVIOUS_HEIGHT)
+    top = F.col("prose_bottom") + F.when(same, PROSE_GAP).otherwise(PROSE_GAP_PREVIOUS)
+    enough = F.col("bottom") - top >= least_height
+    kept = low.where(same | F.col("prose_bottom").isNull() | enough)
+    region = kept.withColumns(
         {
             "x0": F.col("col_x0"),
-            "y0": F.coalesce(top, F.lit(MARGIN)),
+            "y0": F.when(enough, top).otherwise(MARGIN),
             "x1": F.col("col_x1"),
             "y1": F.col("bottom"),
-            "mode": F.lit("previous_page"),
         }
     )
-    kept = _clipped(region).where(
-        (F.col("x1") - F.col("x0") >= MIN_REGION_WIDTH) & (F.col("y1") - F.col("y0") >= MIN_PREVIOUS_HEIGHT)
-    )
-    return kept.select(*REGION)
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return _clipped(region).where((wide >= MIN_REGION_WIDTH) & (high >= least_height)).select(*REGION)
 
 
 def image_guided_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -258,8 +292,10 @@ def image_guided_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     prose = blocks.where((F.col("kind") == "text") & is_body_prose("text")).select(*PAGE, *BOX)
     images = blocks.where(F.col("kind") == "image").select(*PAGE, *BOX)
-    placed = with_caption_column(captions, wide=0.70, pad=0.05, margin=14.0).withColumn("cap_y0", F.col("y0"))
-    low = _lowest_prose(placed, prose, F.col("c.cap_y0") - CLEARANCE, 0.45)
+    placed = with_caption_column(captions, wide=0.70, pad=0.05, margin=14.0).withColumns(
+        {"cap_y0": F.col("y0"), "limit": F.col("y0") - CLEARANCE, "min_overlap": F.lit(0.45)}
+    )
+    low = _lowest(placed, prose, ["doc_id", "figure_key"])
     c, b = placed.alias("c"), images.alias("b")
     near = horizontal_overlap(F.col("b.x0"), F.col("b.x1"), F.col("c.col_x0"), F.col("c.col_x1")) >= 0.25
     on_page = (F.col("c.doc_id") == F.col("b.doc_id")) & (F.col("c.page_idx") == F.col("b.page_idx"))
@@ -289,7 +325,7 @@ def image_guided_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def evidence_score(
     raster_area: Column, raster: Column, drawings: Column, short: Column, prose: Column, prose_chars: Column,
-    area: Column, height: Column, page_h: Column,
+    area: Column, height: Column, page_h: Column, digits: int = 4,
 ) -> Column:
     """How figure-like a region is; every term is clamped."""
     raster_share = F.least(F.lit(1.0), raster_area / F.greatest(F.lit(1.0), area))
@@ -302,15 +338,13 @@ def evidence_score(
         + F.least(F.lit(1.2), height_share * 1.6)
         - F.least(F.lit(4.5), prose * 1.15)
         - F.least(F.lit(2.0), prose_chars / 900.0),
-        4,
+        digits,
     )
 
 
 def visual_evidence(regions: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Regions with counts of what lies in them and the evidence score.  ``keys`` identify a region."""
-    body = blocks.select(
-        *PAGE, *BOX, "kind", F.length(strip("text")).alias("n_chars"), (is_prose("text") & (F.col("kind") == "text")).alias("prose")
-    )
+    body = _features(blocks).select(*PAGE, *BOX, "kind", "n_chars", "prose")
     kind, prose, chars = F.col("b.kind"), F.col("b.prose"), F.col("b.n_chars")
 
     def count(cond: Column, name: str) -> Column:
@@ -345,26 +379,21 @@ def visual_evidence(regions: DataFrame, blocks: DataFrame, keys: list[str]) -> D
 def detached_pages(blocks: DataFrame, captions: DataFrame) -> DataFrame:
     """Visual pages after the last caption of a document: figures appended at the end of a manuscript."""
     last = captions.groupBy("doc_id").agg(F.max("page_idx").alias("__last"))
-    tail = blocks.join(last, "doc_id").where("page_idx > __last").drop("__last")
-    text = strip("text")
-    is_text = (F.col("kind") == "text") & (text != "")
-    label_no = F.when(
-        is_text & (F.length(text) <= 90) & (word_count(text) <= 16),
-        F.nullif(F.regexp_extract(text, CAPTION_START, 1), F.lit("")).try_cast("int"),
-    )
+    tail = _features(blocks).join(last, "doc_id").where("page_idx > __last").drop("__last")
+    has_text = (F.col("kind") == "text") & (F.col("n_chars") > 0)
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     visual = ((F.col("kind") == "image") & (area >= 900)) | ((F.col("kind") == "drawing") & (area >= 80))
-    marked = tail.withColumns({"__no": label_no, "__visual": visual})
+    marked = tail.withColumn("__visual", visual)
     pages = marked.groupBy(*PAGE).agg(
         F.max("page_w").alias("page_w"),
         F.max("page_h").alias("page_h"),
-        F.min_by("__no", F.when(F.col("__no").isNotNull(), F.col("block_id"))).alias("explicit_number"),
-        F.bool_or(is_text & (F.length(text) <= 100) & text.rlike(TABLE_LABEL)).alias("__table"),
+        F.min_by("label_no", F.when(F.col("label_no").isNotNull(), F.col("block_id"))).alias("explicit_number"),
+        F.bool_or("table_label").alias("__table"),
         *[F.min(F.when(F.col("__visual"), F.col(c))).alias(c) for c in ("x0", "y0")],
         *[F.max(F.when(F.col("__visual"), F.col(c))).alias(c) for c in ("x1", "y1")],
     )
     pages = pages.where("x0 IS NOT NULL AND (explicit_number IS NOT NULL OR NOT __table)").drop("__table")
-    return _with_nearby_text(pages, marked.where(is_text & ~is_prose("text") & (F.length(text) <= 180)))
+    return _with_nearby_text(pages, marked.where(has_text & ~F.col("prose") & (F.col("n_chars") <= 180)))
 
 
 def _grown(df: DataFrame, dx: float, dy: float) -> DataFrame:
@@ -392,9 +421,8 @@ def _with_nearby_text(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return bounds.where((F.col("x1") - F.col("x0") >= 80) & (F.col("y1") - F.col("y0") >= 80))
 
 
-def detached_candidates(blocks: DataFrame, captions: DataFrame) -> DataFrame:
+def accept_detached(scored: DataFrame) -> DataFrame:
     """Detached pages with enough visual evidence."""
-    scored = visual_evidence(detached_pages(blocks, captions), blocks, PAGE)
     share = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / F.greatest(
         F.lit(1.0), F.col("page_w") * F.col("page_h")
     )
@@ -428,17 +456,15 @@ def detached_map(candidates: DataFrame, captions: DataFrame) -> DataFrame:
 # --- selection -----------------------------------------------------------------------------------------------------
 
 
-def _packed(df: DataFrame, name: str, extra: list[str]) -> DataFrame:
-    return df.select("doc_id", "figure_key", F.struct("page_idx", *BOX, "score", *extra).alias(name))
-
-
 def choose_regions(captions: DataFrame, local: DataFrame, detached: DataFrame) -> DataFrame:
     """One region per caption: same page or previous page by the caption's height and the scores, then against a detached page."""
     on = ["doc_id", "figure_key"]
-    same = _packed(local.where("mode = 'same_page'"), "same", ["mode"])
-    prev = _packed(local.where("mode = 'previous_page'"), "prev", ["mode"])
-    away = _packed(detached, "away", ["match_confidence"])
-    rows = captions.join(same, on, "left").join(prev, on, "left").join(away, on, "left")
+    region = F.struct("mode", "page_idx", *BOX, "score")
+    near = local.groupBy(*on).agg(
+        *[F.max(F.when(F.col("mode") == mode, region)).alias(name) for mode, name in (("same_page", "same"), ("previous_page", "prev"))]
+    )
+    away = detached.select(*on, F.struct("match_confidence", "page_idx", *BOX, "score").alias("away"))
+    rows = captions.join(near, on, "left").join(away, on, "left")
     s, p = F.col("same.score"), F.col("prev.score")
     height = F.col("y0") / F.greatest(F.lit(1.0), F.col("page_h"))
     take_prev = (
@@ -474,12 +500,19 @@ ASSET_MODES = {
 
 
 def figure_table(blocks: DataFrame) -> DataFrame:
-    """Figures of every document: caption, chosen region, how it was chosen and both page numbers."""
-    captions = best_captions(blocks)
-    local = same_page_regions(captions, blocks).unionByName(previous_page_regions(captions, blocks))
-    scored = visual_evidence(local, blocks, ["doc_id", "figure_key", "mode", "page_idx"])
-    detached = detached_map(detached_candidates(blocks, captions), captions)
-    chosen = choose_regions(captions.drop("score"), scored, detached)
+    """Figures of every document: caption, chosen region, how it was chosen and both page numbers.
+
+    Features, captions and scored regions are staged: each is used several times, and the text is scanned only once.
+    """
+    features = staged(block_features(blocks), "layout-features")
+    captions = staged(best_captions(features), "layout-captions")
+    local = crop_regions(captions, features).withColumn("explicit_number", F.lit(None).cast("int"))
+    pages = detached_pages(features, captions).withColumns({"figure_key": F.lit(""), "mode": F.lit("detached")})
+    regions = local.unionByName(pages)
+    scored = staged(visual_evidence(regions, features, ["doc_id", "figure_key", "mode", "page_idx"]), "layout-regions")
+    tail = scored.where("mode = 'detached'").drop("figure_key", "mode")
+    detached = detached_map(accept_detached(tail), captions)
+    chosen = choose_regions(captions.drop("score"), scored.where("mode != 'detached'"), detached)
     modes = F.create_map(*[F.lit(x) for pair in ASSET_MODES.items() for x in pair])
     return chosen.select(
         "doc_id",
