@@ -28,21 +28,15 @@ TRANSIENT_MARKERS = (
 )
 
 
-def build_requests(
-    papers: DataFrame,
-    stage: str,
-    key: str,
+def prompt(
     instruction: str,
-    text_chars: int | None = None,
+    text_chars: int,
     text: str = "text",
     core: str | None = None,
     hints: str | None = None,
     experiments: str | None = None,
-) -> DataFrame:
-    """One request row per paper: instruction, hints, core analysis and text, each part within its budget.
-
-    The request id is a digest of stage, key and prompt, so a repeated run yields the same ids.
-    """
+) -> Column:
+    """Prompt of one stage: instruction, hints, core analysis, experiments and text, each part within its budget."""
     parts = [F.lit(instruction)]
     if hints:
         shown = F.array_join(F.slice(F.col(hints), 1, HINTS_SHOWN), ", ")
@@ -52,29 +46,42 @@ def build_requests(
         parts.append(F.concat(F.lit("CORE ANALYSIS\n"), F.left(value, F.lit(CORE_CHARS))))
     if experiments:
         parts.append(F.concat(F.lit("EXPERIMENTS\n"), F.left(text_or_empty(experiments), F.lit(EXPERIMENT_CHARS))))
-    body = compact_text(text, text_chars or TEXT_CHARS[stage])
-    parts.append(F.concat(F.lit("PAPER TEXT\n"), body))
-    rows = papers.select(F.col(key), F.concat_ws("\n\n", *parts).alias("prompt"))
-    return rows.select(
-        F.sha2(F.concat_ws("|", F.lit(stage), F.col(key).cast("string"), "prompt"), 256).alias("request_id"),
-        key,
-        F.lit(stage).alias("stage"),
-        "prompt",
-        F.length("prompt").alias("n_chars"),
-    )
+    parts.append(F.concat(F.lit("PAPER TEXT\n"), compact_text(text, text_chars)))
+    return F.concat_ws("\n\n", *parts)
+
+
+def _request_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, stage, prompt) with their length and a digest as id, so that a repeated run yields the same ids."""
+    digest = F.sha2(F.concat_ws("|", "stage", F.col(key).cast("string"), "prompt"), 256)
+    return rows.select(digest.alias("request_id"), key, "stage", "prompt", F.length("prompt").alias("n_chars"))
+
+
+def build_requests(papers: DataFrame, stage: str, key: str, instruction: str, text_chars: int | None = None, **columns: str) -> DataFrame:
+    """One request row per paper for one stage; ``columns`` name the text, core, hints and experiments columns."""
+    body = prompt(instruction, text_chars or TEXT_CHARS[stage], **columns)
+    return _request_rows(papers.select(F.col(key), F.lit(stage).alias("stage"), body.alias("prompt")), key)
+
+
+def build_stage_requests(work: DataFrame, key: str, instructions: Mapping[str, str], **columns: str) -> DataFrame:
+    """Request rows of several stages in one pass: ``work`` holds a ``stage`` column, each row builds the prompt of its stage."""
+    body = F.lit(None).cast("string")
+    for stage, instruction in instructions.items():
+        body = F.when(F.col("stage") == stage, prompt(instruction, TEXT_CHARS[stage], **columns)).otherwise(body)
+    rows = work.where(F.col("stage").isin(*instructions)).select(F.col(key), "stage", body.alias("prompt"))
+    return _request_rows(rows, key)
 
 
 def figure_requests(figures: DataFrame, key: str, instruction: str, core: str) -> DataFrame:
     """One request row per figure: label, legend and the core analysis of its paper."""
     legend = F.left(F.trim(text_or_empty("caption")), F.lit(LEGEND_CHARS))
-    prompt = F.concat_ws(
+    body = F.concat_ws(
         "\n\n",
         F.lit(instruction),
         F.concat(F.lit("CORE ANALYSIS\n"), F.left(F.coalesce(F.nullif(text_or_empty(core), F.lit("")), F.lit("{}")), F.lit(CORE_CHARS))),
         F.concat(F.lit("TARGET FIGURE\n"), F.trim(text_or_empty("figure_label"))),
         F.concat(F.lit("ORIGINAL LEGEND\n"), F.coalesce(F.nullif(legend, F.lit("")), F.lit("No legend was extracted."))),
     )
-    rows = figures.select(key, "figure_label", prompt.alias("prompt"))
+    rows = figures.select(key, "figure_label", body.alias("prompt"))
     digest = F.sha2(F.concat_ws("|", F.lit("single_figure"), F.col(key).cast("string"), "figure_label", "prompt"), 256)
     return rows.select(digest.alias("request_id"), key, F.lit("single_figure").alias("stage"), "prompt", F.length("prompt").alias("n_chars"))
 
@@ -117,6 +124,3 @@ def error_class(message: Column | str) -> Column:
     gone = text.contains("404") | text.contains("not_found") | (text.contains("model") & text.contains("not available"))
     return F.when(contains_any(text, TRANSIENT_MARKERS), "transient").when(gone, "model_unavailable").otherwise("other")
 
-
-def stage_text_limits() -> Mapping[str, int]:
-    return dict(TEXT_CHARS)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.functions.text import join_hyphenated
 from corpuskit.operators.dictionary import term_counts, top_terms
 from corpuskit.operators.identity import entity_rollup, resolve_identity
-from corpuskit.operators.keyed import dedupe_last, plan_missing, upsert
-from corpuskit.operators.requests import HINTS_SHOWN, build_requests, parse_responses
+from corpuskit.operators.keyed import dedupe_first, dedupe_last, plan_missing, upsert
+from corpuskit.operators.requests import HINTS_SHOWN, build_stage_requests, parse_responses
 
 
 def register_files(files: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
@@ -28,26 +27,21 @@ def register_files(files: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFr
 
 
 def missing_requests(
-    files: DataFrame, aliases: DataFrame, cache: DataFrame, terms: DataFrame, stages: Sequence[str], version: str, instruction: str
+    files: DataFrame, aliases: DataFrame, cache: DataFrame, terms: DataFrame, instructions: Mapping[str, str], version: str
 ) -> DataFrame:
-    """Request rows of all (paper, stage) pairs without a current result.
+    """Request rows of all (paper, stage) pairs without a current result; ``instructions`` maps stages to their instruction.
 
-    The anti join comes first, so texts are cleaned and searched only where work is left; one text stands for each paper.
+    The anti join comes first, so texts are searched only where work is left; one text stands for each paper.
     """
     owned = aliases.select("file_hash", "canonical_key")
-    todo = plan_missing(owned.select("canonical_key").distinct(), "canonical_key", stages, cache, version)
-    chosen = owned.groupBy("canonical_key").agg(F.min("file_hash").alias("file_hash"))
-    needed = chosen.join(todo.select("canonical_key").distinct(), "canonical_key", "left_semi")
-    texts = files.select("file_hash", "text").dropDuplicates(["file_hash"]).join(needed, "file_hash")
+    papers = owned.groupBy("canonical_key").agg(F.min("file_hash").alias("file_hash"))
+    todo = plan_missing(papers, "canonical_key", list(instructions), cache, version)
+    needed = papers.join(todo, "canonical_key", "left_semi")
+    texts = dedupe_first(files.select("file_hash", "text"), ["file_hash"], ["text"]).join(needed, "file_hash")
     hints = top_terms(term_counts(texts, terms, "canonical_key"), HINTS_SHOWN, "canonical_key")
     listed = hints.groupBy("canonical_key").agg(F.array_sort(F.collect_list(F.struct("rank", "canonical"))).alias("h"))
-    papers = texts.join(listed.select("canonical_key", F.col("h.canonical").alias("hints")), "canonical_key", "left")
-    out = None
-    for stage in stages:
-        wanted = todo.where(F.col("stage") == stage).select("canonical_key")
-        rows = build_requests(papers.join(wanted, "canonical_key", "left_semi"), stage, "canonical_key", instruction, hints="hints")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    described = texts.join(listed.select("canonical_key", F.col("h.canonical").alias("hints")), "canonical_key", "left")
+    return build_stage_requests(described.join(todo, "canonical_key"), "canonical_key", instructions, hints="hints")
 
 
 def store_responses(
@@ -62,7 +56,3 @@ def store_responses(
     latest = dedupe_last(rows, keys, ["updated_at", "model"])
     return upsert(cache, latest, keys, defaults={"hit_count": F.lit(0)}), bad
 
-
-def clean_files(files: DataFrame, text: str = "text") -> DataFrame:
-    """Running text for term counting; the line structure is gone afterwards, so reference lists must be cut before."""
-    return files.withColumn(text, join_hyphenated(text))
