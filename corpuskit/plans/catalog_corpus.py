@@ -11,7 +11,7 @@ from corpuskit.operators.ordered import best_per_key as best_rows
 from corpuskit.operators.ordered import top_k
 from corpuskit.plans.registry import query
 from corpuskit.sources import profiles
-from corpuskit.sources.tables import table
+from corpuskit.sources.tables import spread, table
 
 # (alias, canonical): words and lines that occur in the documents; one alias is listed twice, some overlap
 TERMS = [
@@ -472,7 +472,7 @@ def _captions(spark, folder):
         F.lit(" "), "p_type", F.lit(" overview of "), "p_name", F.lit(". (A) the "), "p_name", F.lit(" x. (B"), sep, F.lit("C) "), "p_brand",
         F.lit("; (C-A) lost (D, F) none (a) of it."),
     )
-    return table(spark, folder, "part").withColumn("caption", caption)
+    return spread(table(spark, folder, "part")).withColumn("caption", caption)
 
 
 @query(

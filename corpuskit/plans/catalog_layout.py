@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators import layout
 from corpuskit.operators.ordered import last_known, pair_in_order
 from corpuskit.plans.registry import query
+from corpuskit.session import staged
 from corpuskit.sources import layout as layout_source
 from corpuskit.sources.tables import table
 
@@ -230,7 +231,7 @@ _REGION_SQL = (
 @query(_REGION_SQL + "SELECT doc_id, figure_key, mode, page_idx, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM r")
 def caption_regions(spark, folder):
     """Same-page and previous-page crop regions of every caption."""
-    blocks = layout.block_features(_layout(spark, folder))
+    blocks = staged(layout.block_features(_layout(spark, folder)), "layout-features")
     captions = _body_captions(blocks)
     both = layout.crop_regions(captions, blocks)
     return both.select("doc_id", "figure_key", "mode", "page_idx", *layout.BOX)
@@ -257,7 +258,7 @@ def caption_regions(spark, folder):
 )
 def region_evidence(spark, folder):
     """Evidence counts and score of every crop region."""
-    blocks = layout.block_features(_layout(spark, folder))
+    blocks = staged(layout.block_features(_layout(spark, folder)), "layout-features")
     captions = _body_captions(blocks)
     both = layout.crop_regions(captions, blocks)
     scored = layout.visual_evidence(both, blocks, ["doc_id", "figure_key", "mode", "page_idx"])
@@ -274,7 +275,7 @@ def figure_table(spark, folder):
 @query()
 def image_guided_regions(spark, folder):
     """Variant regions that start at the images above a caption."""
-    blocks = _layout(spark, folder)
+    blocks = staged(_layout(spark, folder), "layout-blocks")
     return layout.image_guided_regions(layout.best_captions_heuristic(blocks), blocks)
 
 
