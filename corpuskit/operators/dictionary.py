@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import fold, let, lower_keeping_edges
 from corpuskit.operators.ordered import top_k
-from corpuskit.operators.sizing import fits_broadcast
+from corpuskit.operators.sizing import probe
 
 TOKEN_SPLIT = "[^a-z0-9]+"
 SYMBOLS = r"[^a-z0-9\s]"
@@ -92,9 +92,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     prepared = prepare_terms(terms)
     low = docs.select(doc_id, lower_keeping_edges(text).alias("__text"))
     blocks = F.split("__text", TOKEN_SPLIT)
-    if prepared.where(~F.col("__block").rlike("^[a-z0-9]")).limit(1).count():
+    small, needs = probe(prepared, symbols=~F.col("__block").rlike("^[a-z0-9]"))
+    if needs["symbols"]:
         blocks = F.concat(blocks, F.regexp_extract_all("__text", F.lit(SYMBOLS), F.lit(0)))
-    if fits_broadcast(prepared):
+    if small:
         # one pass, no shuffle of text: each document keeps the few blocks the dictionary knows and looks them up
         known = F.explode(F.array_intersect(blocks, _known_blocks(prepared)))
         found = low.select(doc_id, "__text", known.alias("__block")).join(F.broadcast(prepared), "__block")
@@ -150,10 +151,11 @@ def mention_pairs(
     body = F.col("__text")
     # terms shorter than a gram are filed under themselves
     blocks = F.array_distinct(F.concat(*[grams(body, n) for n in range(1, GRAM + 1)]))
+    small, needs = probe(needles, short=F.length(term) < GRAM) if long_texts else (False, {})
     if not long_texts:
         found = hay.select(text_id, "__text", F.explode(blocks).alias("__block")).join(needles, "__block")
-    elif fits_broadcast(needles):
-        if not needles.where(F.length(term) < GRAM).limit(1).count():
+    elif small:
+        if not needs["short"]:
             blocks = grams(body)
         known = F.explode(F.array_intersect(blocks, _known_blocks(needles)))
         found = hay.select(text_id, "__text", known.alias("__block")).join(F.broadcast(needles), "__block")

@@ -213,17 +213,16 @@ def with_caption_column(
 REGION = ["doc_id", "figure_key", "mode", "page_idx", *BOX, "page_w", "page_h"]
 
 
-def _lowest(targets: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``prose_bottom``: lower edge of the last block in the target's column above its ``limit``."""
+def _lowest(targets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Adds ``prose_bottom``: lower edge of the last block in the target's column above its ``limit``.
+
+    The grouping keys include the join keys, so the aggregation reuses the partitioning of the join.
+    """
     t, b = targets.alias("t"), blocks.alias("b")
     near = horizontal_overlap(F.col("b.x0"), F.col("b.x1"), F.col("t.col_x0"), F.col("t.col_x1")) >= F.col("t.min_overlap")
     on_page = (F.col("t.doc_id") == F.col("b.doc_id")) & (F.col("t.page_idx") == F.col("b.page_idx"))
-    lows = (
-        t.join(b, on_page & near & (F.col("b.y1") < F.col("t.limit")))
-        .groupBy(*[F.col(f"t.{k}").alias(k) for k in keys])
-        .agg(F.max("b.y1").alias("prose_bottom"))
-    )
-    return targets.join(lows, keys, "left")
+    joined = t.join(b, on_page & near & (F.col("b.y1") < F.col("t.limit")), "left")
+    return joined.groupBy(*[F.col(f"t.{c}") for c in targets.columns]).agg(F.max("b.y1").alias("prose_bottom"))
 
 
 def _crop_targets(captions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -267,7 +266,7 @@ def crop_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     features = _features(blocks)
     prose = features.where("prose").select(*PAGE, *BOX)
-    low = _lowest(_crop_targets(captions, features), prose, ["doc_id", "figure_key", "mode", "page_idx"])
+    low = _lowest(_crop_targets(captions, features), prose)
     same = F.col("mode") == "same_page"
     least_height = F.when(same, MIN_SAME_HEIGHT).otherwise(MIN_PREVIOUS_HEIGHT)
     top = F.col("prose_bottom") + F.when(same, PROSE_GAP).otherwise(PROSE_GAP_PREVIOUS)
@@ -295,7 +294,7 @@ def image_guided_regions(captions: DataFrame, blocks: DataFrame) -> DataFrame:
     placed = with_caption_column(captions, wide=0.70, pad=0.05, margin=14.0).withColumns(
         {"cap_y0": F.col("y0"), "limit": F.col("y0") - CLEARANCE, "min_overlap": F.lit(0.45)}
     )
-    low = _lowest(placed, prose, ["doc_id", "figure_key"])
+    low = _lowest(placed, prose)
     c, b = placed.alias("c"), images.alias("b")
     near = horizontal_overlap(F.col("b.x0"), F.col("b.x1"), F.col("c.col_x0"), F.col("c.col_x1")) >= 0.25
     on_page = (F.col("c.doc_id") == F.col("b.doc_id")) & (F.col("c.page_idx") == F.col("b.page_idx"))
@@ -342,35 +341,39 @@ def evidence_score(
     )
 
 
-def visual_evidence(regions: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Regions with counts of what lies in them and the evidence score.  ``keys`` identify a region."""
+def visual_evidence(regions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Regions with counts of what lies in them and the evidence score.
+
+    One join by page; the grouping keys include the join keys, so the counts need no further shuffle.
+    """
     body = _features(blocks).select(*PAGE, *BOX, "kind", "n_chars", "prose")
+    r, b = regions.alias("r"), body.alias("b")
+    area = intersection_area("r", "b")
+    on_page = (F.col("r.doc_id") == F.col("b.doc_id")) & (F.col("r.page_idx") == F.col("b.page_idx"))
     kind, prose, chars = F.col("b.kind"), F.col("b.prose"), F.col("b.n_chars")
+    text = (kind == "text") & (chars > 0)
 
     def count(cond: Column, name: str) -> Column:
         return F.count(F.when(cond, 1)).alias(name)
 
-    text = (kind == "text") & (chars > 0)
     counted = (
-        overlap_pairs(regions, body, PAGE)
-        .groupBy(*[F.col(f"r.{k}").alias(k) for k in keys])
+        r.join(b, on_page & (area > 0), "left")
+        .groupBy(*[F.col(f"r.{c}") for c in regions.columns])
         .agg(
             count(kind == "image", "raster_count"),
-            F.sum(F.when(kind == "image", F.col("overlap_area")).otherwise(0.0)).alias("raster_area"),
+            F.sum(F.when(kind == "image", area).otherwise(0.0)).alias("raster_area"),
             count(kind == "drawing", "drawing_count"),
             count(text & prose, "prose_count"),
             F.sum(F.when(text & prose, chars).otherwise(0)).alias("prose_chars"),
             count(text & ~prose & (chars <= 160), "short_label_count"),
         )
     )
-    names = ["raster_count", "raster_area", "drawing_count", "prose_count", "prose_chars", "short_label_count"]
-    joined = regions.join(counted, keys, "left").fillna(0, names)
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     score = evidence_score(
         F.col("raster_area"), F.col("raster_count"), F.col("drawing_count"), F.col("short_label_count"),
         F.col("prose_count"), F.col("prose_chars"), width * height, height, F.col("page_h"),
     )
-    return joined.withColumn("score", score)
+    return counted.withColumn("score", score)
 
 
 # --- detached pages ------------------------------------------------------------------------------------------------
@@ -509,7 +512,7 @@ def figure_table(blocks: DataFrame) -> DataFrame:
     local = crop_regions(captions, features).withColumn("explicit_number", F.lit(None).cast("int"))
     pages = detached_pages(features, captions).withColumns({"figure_key": F.lit(""), "mode": F.lit("detached")})
     regions = local.unionByName(pages)
-    scored = staged(visual_evidence(regions, features, ["doc_id", "figure_key", "mode", "page_idx"]), "layout-regions")
+    scored = staged(visual_evidence(regions, features), "layout-regions")
     tail = scored.where("mode = 'detached'").drop("figure_key", "mode")
     detached = detached_map(accept_detached(tail), captions)
     chosen = choose_regions(captions.drop("score"), scored.where("mode != 'detached'"), detached)

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True if the frame is proven small.  Reads at most ``max_rows + 1`` rows."""
-    probe = df.limit(max_rows + 1).agg(
-        F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+def probe(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, **flags: Column
+) -> tuple[bool, dict[str, bool]]:
+    """(is the frame proven small, does any row meet each flag) from one job over at most ``max_rows + 1`` rows.
+
+    Where the frame is not small the flags have not seen every row and are reported as true.
+    """
+    row = (
+        df.limit(max_rows + 1)
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
+            *[F.bool_or(cond).alias(name) for name, cond in flags.items()],
+        )
+        .first()
     )
-    row = probe.first()
-    return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
+    small = row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
+    return small, {name: bool(row[name]) or not small for name in flags}
+
+
+def fits_broadcast(df: DataFrame, **limits: int) -> bool:
+    return probe(df, **limits)[0]
 
 
 def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:

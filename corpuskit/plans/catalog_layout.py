@@ -261,7 +261,7 @@ def region_evidence(spark, folder):
     blocks = staged(layout.block_features(_layout(spark, folder)), "layout-features")
     captions = _body_captions(blocks)
     both = layout.crop_regions(captions, blocks)
-    scored = layout.visual_evidence(both, blocks, ["doc_id", "figure_key", "mode", "page_idx"])
+    scored = layout.visual_evidence(both, blocks)
     counts = ["raster_count", "drawing_count", "prose_count", "short_label_count"]
     return scored.select("doc_id", "figure_key", "mode", *counts, "score")
 

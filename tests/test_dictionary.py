@@ -30,7 +30,7 @@ def expected():
 
 @pytest.mark.parametrize("small", [True, False])
 def test_term_counts(spark, monkeypatch, small):
-    monkeypatch.setattr(dictionary, "fits_broadcast", lambda *a, **k: small)
+    monkeypatch.setattr(dictionary, "probe", lambda df, **flags: (small, dict.fromkeys(flags, True)))
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
     counts = dictionary.term_counts(docs, spark.createDataFrame(TERMS, "alias string, canonical string"))
     assert {(r["doc_id"], r["canonical"]): r["hits"] for r in counts.collect()} == expected()
@@ -39,7 +39,7 @@ def test_term_counts(spark, monkeypatch, small):
 @pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("long_texts", [True, False])
 def test_mention_pairs(spark, monkeypatch, small, long_texts):
-    monkeypatch.setattr(dictionary, "fits_broadcast", lambda *a, **k: small)
+    monkeypatch.setattr(dictionary, "probe", lambda df, **flags: (small, dict.fromkeys(flags, True)))
     texts, terms = ["flow cytometry of cells", "if", "stiff", "x", "", "가나다 x\nif"], ["if", "flow", "x", "가나", "cells", "flow cytometry of cells", "q"]
     pairs = dictionary.mention_pairs(
         spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(t,) for t in terms], "term string"), "id", "t", "term", long_texts
