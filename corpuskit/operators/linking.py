@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.labels import figure_base_key
 from corpuskit.functions.python_udfs import gestalt_ratio
-from corpuskit.operators.dictionary import grams, mention_pairs
+from corpuskit.functions.text import let
+from corpuskit.operators.dictionary import mention_pairs
 from corpuskit.operators.ordered import best_per_key
 
 FUZZY_THRESHOLD = 0.82
@@ -31,22 +32,39 @@ def containment_links(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     return both.groupBy("name").agg(best).withColumn("tier", F.lit("contains"))
 
 
+def _tagged_bigrams(c: Column) -> Column:
+    """Two-character grams, repeated ones numbered, so that the overlap of two sets counts repetitions."""
+    listed = F.regexp_extract_all(c, F.lit("(?s)(?=(.{2}))"), F.lit(1))
+
+    def tag(all_grams: Column) -> Column:
+        def one(g: Column, i: Column) -> Column:
+            seen = F.size(F.filter(F.slice(all_grams, F.lit(1), i), lambda other: other == g))
+            return F.concat(g, F.lit("#"), seen.cast("string"))
+
+        return F.transform(all_grams, one)
+
+    return let(listed, tag)
+
+
 def fuzzy_links(names: DataFrame, dictionary: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Closest alias by Ratcliff-Obershelp similarity at or above the threshold; the earliest alias wins ties.
 
-    Candidates come from shared two-character grams and the length bound.  Both are exact at 0.82 for strings of more than
-    four characters together: so many matched characters in so few blocks force a block of two.  Shorter pairs reach 0.82
-    only when they are equal, which the exact tier has taken.
+    Candidates are exact.  With L characters together and M of them matched, similarity s = 2M / L leaves L - 2M unmatched ones and
+    so at most L - 2M + 1 matching blocks; a block of k characters shares k - 1 grams, hence at least
+    M - (L - 2M + 1) = 1.5 s L - L - 1 grams are shared.  That is positive for s >= 0.82 from L = 5 on; shorter pairs reach
+    0.82 only when they are equal, which the exact tier has taken.  Pairs below the count never reach the similarity step.
     """
     if threshold < FUZZY_THRESHOLD:
         raise ValueError("candidate blocking is exact only from a threshold of 0.82 on")
     keyed = dictionary.groupBy("alias").agg(F.max_by("canonical", "pos").alias("canonical"), F.min("pos").alias("pos"))
-    left = names.select("name", F.explode(grams(F.col("name"), 2)).alias("__gram"))
-    right = keyed.select("alias", F.explode(grams(F.col("alias"), 2)).alias("__gram"))
+    left = names.select("name", F.explode(_tagged_bigrams(F.col("name"))).alias("__gram"))
+    right = keyed.select("alias", F.explode(_tagged_bigrams(F.col("alias"))).alias("__gram"))
     la, lb = F.length("name"), F.length("alias")
-    bound = 2 * F.least(la, lb) / (la + lb) >= threshold
-    pairs = left.join(right, "__gram").where(bound).select("name", "alias").distinct()
-    scored = pairs.withColumn("score", gestalt_ratio("name", "alias")).where(F.col("score") >= threshold)
+    near = 2 * F.least(la, lb) / (la + lb) >= threshold
+    shared = left.join(right, "__gram").where(near).groupBy("name", "alias").agg(F.count("*").alias("shared"))
+    # half a gram of slack keeps rounding on the safe side
+    enough = F.col("shared") >= (1.5 * threshold - 1) * (la + lb) - 1.5
+    scored = shared.where(enough).withColumn("score", gestalt_ratio("name", "alias")).where(F.col("score") >= threshold)
     best = best_per_key(scored.join(keyed, "alias"), ["name"], [F.desc("score"), F.asc("pos")])
     return best.select("name", "canonical", F.lit("fuzzy").alias("tier"))
 

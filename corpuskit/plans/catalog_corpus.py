@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.functions.labels import figure_order_keys
+from corpuskit.functions.labels import figure_number
 from corpuskit.functions.text import normalize_match_text
 from corpuskit.operators import dictionary, panels, search, taxonomy
 from corpuskit.operators.ordered import best_per_key as best_rows
@@ -72,7 +72,7 @@ def terms_per_document(spark, folder):
 
 @query(
     _COUNTS_SQL
-    + """SELECT doc_id, canonical, hits, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, canonical) AS rank FROM c
+    + """SELECT doc_id, canonical, hits, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, canonical) AS INT) AS rank FROM c
          QUALIFY rank <= 3"""
 )
 def top_terms(spark, folder):
@@ -266,7 +266,7 @@ def facet_filter(spark, folder):
 def overlay_facets(spark, folder):
     """Stored lists of the current version win where they are not empty; version 1 and empty lists do not."""
     graded = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array().cast("array<string>"))
-    stored = table(spark, folder, "part").where(F.col("p_size") % 3 != 0).select(
+    stored = table(spark, folder, "part").select(
         "p_partkey",
         (F.col("p_size") % 3).cast("int").alias("taxonomy_version"),
         F.create_map(F.lit("look"), F.array(F.lit("stored")), F.lit("grade"), graded).alias("facets"),
@@ -299,7 +299,7 @@ _QUERIES = ["Red_Ring", "ring brand#9", "red", "gear-", "brand#9", "ring", "ECON
       ('ECONOMY', 'economy'), ('nothing here', 'nothing here')),
     s AS (SELECT query, name, CAST(CASE WHEN nn = q THEN 0 WHEN a1 = q OR a2 = q THEN 1 WHEN starts_with(nn, q) THEN 2 WHEN starts_with(a1, q) OR starts_with(a2, q) THEN 3
             WHEN contains(nn, q) THEN 4 WHEN contains(blob, q) THEN 5 END AS INT) AS tier FROM n, q)
-    SELECT query, name, tier, row_number() OVER (PARTITION BY query ORDER BY tier, lower(name), name) AS rank FROM s WHERE tier IS NOT NULL QUALIFY rank <= 20
+    SELECT query, name, tier, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, lower(name), name) AS INT) AS rank FROM s WHERE tier IS NOT NULL QUALIFY rank <= 20
     """
 )
 def rank_search(spark, folder):
@@ -314,24 +314,23 @@ def sorted_names(spark, folder):
 @query(
     """
     WITH f AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN p_type ELSE 'Fig. ' || p_size || CASE WHEN p_size % 2 = 0 THEN chr(CAST(65 + p_partkey % 3 AS INT)) ELSE '' END END AS label FROM part)
-    SELECT label, row_number() OVER (ORDER BY CASE WHEN regexp_extract(label, '([0-9]+)', 1) = '' THEN 9999 ELSE CAST(regexp_extract(label, '([0-9]+)', 1) AS INT) END,
-      lower(regexp_extract(label, '([0-9]+)([A-Za-z]?)', 2)), label) AS place FROM f
+    SELECT label, CASE WHEN regexp_extract(label, '([0-9]+)', 1) = '' THEN 9999 ELSE CAST(regexp_extract(label, '([0-9]+)', 1) AS INT) END AS number,
+      lower(regexp_extract(label, '([0-9]+)([A-Za-z]?)', 2)) AS suffix FROM f ORDER BY number, suffix, label
     """
 )
 def figure_order(spark, folder):
-    """Distinct labels with their place.  The label set is small, so one ordered window over it is fine."""
+    """Distinct labels in figure order, with their sort keys."""
     size = F.col("p_size")
     letter = F.when(size % 2 == 0, F.char(F.lit(65) + F.col("p_partkey") % 3)).otherwise("")
     label = F.when(size % 5 == 0, F.col("p_type")).otherwise(F.concat(F.lit("Fig. "), size, letter))
     labels = search.by_figure(table(spark, folder, "part").select(label.alias("label")).distinct(), "label")
-    from pyspark.sql import Window
-
-    return labels.withColumn("place", F.row_number().over(Window.orderBy(*figure_order_keys("label"))))
+    number = F.coalesce(figure_number("label"), F.lit(9999))
+    return labels.select("label", number.alias("number"), F.lower(F.regexp_extract("label", r"(\d+)([A-Za-z]?)", 2)).alias("suffix"))
 
 
 @query(
     """
-    SELECT l_suppkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_partkey, l_orderkey, l_linenumber) AS rank
+    SELECT l_suppkey, l_partkey, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_partkey, l_orderkey, l_linenumber) AS INT) AS rank
     FROM lineitem QUALIFY rank <= 4
     """
 )
@@ -388,7 +387,7 @@ def co_usage(spark, folder):
     _CO_SQL
     + """
     , b AS (SELECT method_a AS method, method_b AS co_method, paper_count FROM c UNION ALL SELECT method_b, method_a, paper_count FROM c)
-    SELECT *, row_number() OVER (PARTITION BY method ORDER BY paper_count DESC, co_method) AS rank FROM b QUALIFY rank <= 4
+    SELECT *, CAST(row_number() OVER (PARTITION BY method ORDER BY paper_count DESC, co_method) AS INT) AS rank FROM b QUALIFY rank <= 4
     """
 )
 def top_co_used(spark, folder):

@@ -66,8 +66,7 @@ def resolve_identity(spark, folder):
 
 @query(
     """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND year(o_orderdate) <= 1999 THEN year(o_orderdate) WHEN o_orderkey % 3 = 0 THEN year(o_orderdate)
-      WHEN o_orderkey % 3 = 1 THEN 2001 ELSE NULL END AS publication_year
+    SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN 2001 END AS INT) AS publication_year
     FROM orders
     """
 )
@@ -381,14 +380,14 @@ def alias_union(spark, folder):
 @query(
     """
     WITH u AS (
-      SELECT upper(p_name) AS english, p_partkey AS pos, 0 AS source_rank FROM part WHERE p_size > 25
+      SELECT upper(p_name) AS english, p_partkey AS pos, 0 AS source_rank FROM part
       UNION ALL SELECT p_name, p_partkey, 1 FROM part UNION ALL SELECT p_type, p_partkey, 1 FROM part)
     SELECT english, pos, source_rank FROM u QUALIFY row_number() OVER (PARTITION BY lower(english) ORDER BY source_rank, pos) = 1
     """
 )
 def priority_union(spark, folder):
     parts = table(spark, folder, "part")
-    smart = parts.where("p_size > 25").select(F.upper("p_name").alias("english"), F.col("p_partkey").alias("pos"))
+    smart = parts.select(F.upper("p_name").alias("english"), F.col("p_partkey").alias("pos"))
     seed = parts.select(F.explode(F.array("p_name", "p_type")).alias("english"), F.col("p_partkey").alias("pos"))
     return archive.priority_union(smart, seed, "english")
 
@@ -476,9 +475,10 @@ def entity_link(spark, folder):
 
 @query(
     """
-    WITH l AS (SELECT DISTINCT p_brand, p_size, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE chr(CAST(97 + p_partkey % 3 AS INT)) END AS s FROM part)
-    SELECT p_brand, 'fig' || p_size || s AS label_key, CASE WHEN s = 'a' THEN 'fig' || p_size || 'a' WHEN p_size <= 25 THEN 'fig' || p_size END AS figure_key
-    FROM l
+    WITH l AS (SELECT DISTINCT p_brand, p_size, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE chr(CAST(97 + p_partkey % 3 AS INT)) END AS s FROM part),
+    f AS (SELECT DISTINCT p_brand, 'fig' || p_size || CASE s WHEN 'a' THEN 'a' ELSE '' END AS figure_key FROM l WHERE s <> '')
+    SELECT l.p_brand, 'fig' || p_size || s AS label_key, coalesce(f1.figure_key, f2.figure_key) AS figure_key
+    FROM l LEFT JOIN f f1 ON f1.p_brand = l.p_brand AND f1.figure_key = 'fig' || p_size || s LEFT JOIN f f2 ON f2.p_brand = l.p_brand AND f2.figure_key = 'fig' || p_size
     """
 )
 def label_link(spark, folder):
@@ -486,9 +486,10 @@ def label_link(spark, folder):
     suffix = F.when(F.col("p_partkey") % 3 == 2, "").otherwise(F.char(F.lit(97) + F.col("p_partkey") % 3))
     rows = parts.select("p_brand", "p_size", suffix.alias("s")).distinct()
     labels = rows.select("p_brand", F.concat(F.lit("fig"), F.col("p_size"), F.col("s")).alias("label_key"))
-    lettered = rows.where("s = 'a'").select("p_brand", F.concat(F.lit("fig"), F.col("p_size"), F.lit("a")).alias("figure_key"))
-    base = rows.where("p_size <= 25").select("p_brand", F.concat(F.lit("fig"), F.col("p_size")).alias("figure_key"))
-    return linking.label_links(labels, lettered.unionByName(base).distinct(), ["p_brand"])
+    # parts of the first kind have a figure of their own letter, those of the second kind the base figure
+    key = F.when(F.col("s") == "a", F.concat(F.lit("fig"), "p_size", F.lit("a"))).when(F.col("s") == "b", F.concat(F.lit("fig"), "p_size"))
+    figures = rows.select("p_brand", key.alias("figure_key")).where("figure_key IS NOT NULL").distinct()
+    return linking.label_links(labels, figures, ["p_brand"])
 
 
 @query(
@@ -521,7 +522,7 @@ def match_assets(spark, folder):
 @query(
     """
     WITH f AS (SELECT p_brand, p_size AS size, 'out/' || p_brand || '/' || CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'x_middle.json' WHEN 1 THEN 'middle.json'
-        WHEN 2 THEN 'layout.json' WHEN 3 THEN 'a-layout.json' WHEN 4 THEN 'other.json' ELSE 'Y_MIDDLE.JSON' END AS path FROM part WHERE p_brand <> 'Brand#7' OR p_partkey % 6 IN (2, 3, 4)),
+        WHEN 2 THEN 'layout.json' WHEN 3 THEN 'a-layout.json' WHEN 4 THEN 'other.json' ELSE 'Y_MIDDLE.JSON' END AS path FROM part),
     r AS (SELECT *, CASE WHEN ends_with(lower(path), '_middle.json') THEN 4 WHEN ends_with(path, '/middle.json') THEN 3 WHEN ends_with(path, '/layout.json') THEN 2
         WHEN ends_with(path, 'layout.json') THEN 1 END AS rank FROM f)
     SELECT p_brand, path AS picked_path, rank AS name_rank FROM r WHERE rank IS NOT NULL
@@ -532,7 +533,7 @@ def pick_artifact(spark, folder):
     names = ["x_middle.json", "middle.json", "layout.json", "a-layout.json", "other.json", "Y_MIDDLE.JSON"]
     kind = (F.col("p_partkey") % 6).cast("int")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), kind + 1)
-    files = table(spark, folder, "part").where((F.col("p_brand") != "Brand#7") | kind.isin(2, 3, 4)).select(
+    files = table(spark, folder, "part").select(
         "p_brand", F.concat(F.lit("out/"), "p_brand", F.lit("/"), name).alias("path"), F.col("p_size").alias("size")
     )
     return linking.pick_artifact(files, ["p_brand"])

@@ -142,7 +142,7 @@ def evidence_score(spark, folder):
 SLOTS = 8
 
 
-def _layout(spark, folder):
+def _layout(spark, folder, endmatter=True):
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "n_chars", "lang")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     page, slot = F.floor(F.col("pos") / SLOTS).cast("int"), F.col("pos") % SLOTS
@@ -165,11 +165,15 @@ def _layout(spark, folder):
             x1.cast("double").alias("x1"), F.lit(y1).alias("y1"), F.lit(text).alias("text"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"),
         )
 
-    tail = placed.where("lang = 'en'").select("doc_id", "n_chars", F.col("n_pages").alias("page_idx"))
-    return (
+    pages = (
         texts.unionByName(box(body, 2_000_000, "image", 60.0, 320.0, F.lit(60.0) + width, 420.0))
         .unionByName(box(body, 2_000_001, "drawing", 50.0, 300.0, F.lit(100.0) + width, 430.0))
-        .unionByName(box(tail, 2_000_002, "image", 100.0, 100.0, F.lit(300.0) + width / 2, 500.0))
+    )
+    if not endmatter:
+        return pages
+    tail = placed.where("lang = 'en'").select("doc_id", "n_chars", F.col("n_pages").alias("page_idx"))
+    return (
+        pages.unionByName(box(tail, 2_000_002, "image", 100.0, 100.0, F.lit(300.0) + width / 2, 500.0))
         .unionByName(box(tail, 2_000_003, "text", 100.0, 510.0, F.lit(180.0), 525.0, "Figure 1"))
     )
 
@@ -205,11 +209,6 @@ def caption_blocks(spark, folder):
     return best.select("doc_id", "figure_key", "page_idx", F.sha2("caption", 256).alias("caption_hash"), F.col("score").cast("bigint").alias("score"))
 
 
-def _body_captions(blocks):
-    """Captions of the text pages only, so that the region queries do not depend on the appended pages."""
-    return layout.best_captions(blocks.where("block_id < 2000000"))
-
-
 _REGION_SQL = (
     _LAYOUT_SQL
     + """
@@ -231,8 +230,8 @@ _REGION_SQL = (
 @query(_REGION_SQL + "SELECT doc_id, figure_key, mode, page_idx, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM r")
 def caption_regions(spark, folder):
     """Same-page and previous-page crop regions of every caption."""
-    blocks = staged(layout.block_features(_layout(spark, folder)), "layout-features")
-    captions = _body_captions(blocks)
+    blocks = staged(layout.block_features(_layout(spark, folder, endmatter=False)), "layout-features")
+    captions = layout.best_captions(blocks)
     both = layout.crop_regions(captions, blocks)
     return both.select("doc_id", "figure_key", "mode", "page_idx", *layout.BOX)
 
@@ -258,8 +257,8 @@ def caption_regions(spark, folder):
 )
 def region_evidence(spark, folder):
     """Evidence counts and score of every crop region."""
-    blocks = staged(layout.block_features(_layout(spark, folder)), "layout-features")
-    captions = _body_captions(blocks)
+    blocks = staged(layout.block_features(_layout(spark, folder, endmatter=False)), "layout-features")
+    captions = layout.best_captions(blocks)
     both = layout.crop_regions(captions, blocks)
     scored = layout.visual_evidence(both, blocks)
     counts = ["raster_count", "drawing_count", "prose_count", "short_label_count"]
