@@ -10,14 +10,15 @@ from corpuskit.functions.python_udfs import gestalt_ratio
 from corpuskit.functions.text import let
 from corpuskit.operators.dictionary import mention_pairs
 from corpuskit.operators.ordered import best_per_key
+from corpuskit.session import staged
 
 FUZZY_THRESHOLD = 0.82
 
 
 def exact_links(names: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Names equal to an alias (later dictionary rows win a repeated alias)."""
-    unique = dictionary.groupBy("alias").agg(F.max_by("canonical", "pos").alias("canonical"))
-    return names.join(unique, names["name"] == unique["alias"]).select("name", "canonical", F.lit("exact").alias("tier"))
+    """All names, with the canonical name of an equal alias if there is one (later dictionary rows win a repeated alias)."""
+    unique = dictionary.groupBy(F.col("alias").alias("name")).agg(F.max_by("canonical", "pos").alias("canonical"))
+    return names.join(unique, "name", "left").withColumn("tier", F.lit("exact"))
 
 
 def containment_links(names: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -72,14 +73,15 @@ def fuzzy_links(names: DataFrame, dictionary: DataFrame, threshold: float = FUZZ
 def entity_links(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Canonical target of each distinct name, with the tier that found it.
 
-    ``names(name)`` and ``dictionary(alias, canonical, pos)`` are lower-cased and trimmed.
+    ``names(name)`` and ``dictionary(alias, canonical, pos)`` are lower-cased and trimmed.  Each tier is staged: it is used for the
+    result and for the remainder that the next, dearer tier works on.
     """
     distinct = names.select("name").where("name != ''").distinct()
-    exact = exact_links(distinct, dictionary)
-    rest = distinct.join(exact, "name", "left_anti")
-    contained = containment_links(rest, dictionary)
-    rest = rest.join(contained, "name", "left_anti")
-    return exact.unionByName(contained).unionByName(fuzzy_links(rest, dictionary))
+    first = staged(exact_links(distinct, dictionary), "links-exact")
+    rest = first.where("canonical IS NULL").select("name")
+    contained = staged(containment_links(rest, dictionary), "links-contained")
+    last = fuzzy_links(rest.join(contained, "name", "left_anti"), dictionary)
+    return first.where("canonical IS NOT NULL").unionByName(contained).unionByName(last)
 
 
 def label_links(labels: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:
