@@ -27,12 +27,3 @@ def probe(
     )
     small = row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
     return small, {name: bool(row[name]) or not small for name in flags}
-
-
-def fits_broadcast(df: DataFrame, **limits: int) -> bool:
-    return probe(df, **limits)[0]
-
-
-def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
-    """Broadcast hint only behind the check; otherwise Spark chooses a shuffle join and splits skewed keys at run time."""
-    return F.broadcast(df) if fits_broadcast(df, **limits) else df

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import normalize_concept
 from corpuskit.operators import archive, identity, keyed, linking
 from corpuskit.plans.registry import query
 from corpuskit.sources.tables import table

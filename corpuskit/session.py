@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -24,15 +25,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+@functools.cache
+def _scratch_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-corpuskit-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
     The cluster names the shared file system in that setting.  Only where it is unset (local tests) is a scratch folder made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-corpuskit-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _scratch_root()
     return f"{root.rstrip('/')}/corpuskit/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -105,3 +105,7 @@ def test_link_tiers(spark):
     assert links == {
         "pcr": ("PCR2", "exact"), "flow": ("FC", "contains"), "the flow cytometry kit": ("FC", "contains"), "flwo cytometrie": ("FC", "fuzzy"),
     }
+
+
+def test_literal_mentions(one):
+    assert one(lambda c: dictionary.mentions_of(c, ["if", "pcr", "x"]), "stiff pcr") == ["if", "pcr"]

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from corpuskit.operators import records, search
 from corpuskit.operators.taxonomy import facet_label, facet_title
 from corpuskit.plans import browsing, reading
-from corpuskit.session import staged
+from corpuskit.session import shared_folder, staged
 from corpuskit.sources import profiles as source
 from corpuskit.sources import tables
 
@@ -114,3 +114,13 @@ def test_quarantine(spark):
     concepts = spark.createDataFrame([("a", "basic", "CURATED", ["x"], 0), ("", "hard", "CURATED", None, -1)], "canonical_name string, difficulty string, quality_status string, prerequisites array<string>, hit_count int")
     good, bad = records.quarantine(records.validate(concepts, records.concept_rules()))
     assert good.count() == 1 and bad.first()["errors"] == ["name", "difficulty", "prerequisites", "hit_count"]
+
+
+def test_shared_folder_follows_the_cluster_setting():
+    class Session:
+        def __init__(self, **settings):
+            self.conf = settings
+
+    assert shared_folder(Session(**{"spark.checkpoint.dir": "hdfs:/x/"}), "a").startswith("hdfs:/x/corpuskit/a-")
+    first, second = (shared_folder(Session(), "a") for _ in range(2))
+    assert first != second and first.rsplit("/", 2)[0] == second.rsplit("/", 2)[0]
