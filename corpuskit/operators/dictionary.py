@@ -18,6 +18,7 @@ from corpuskit.operators.sizing import probe
 TOKEN_SPLIT = "[^a-z0-9]+"
 SYMBOLS = r"[^a-z0-9\s]"
 GRAM = 3
+FEW_TERMS = 256
 
 # Assay names of the seed glossary with their Korean form, and basic terms that get no note.
 METHOD_GLOSSARY = (
@@ -143,12 +144,18 @@ def mention_pairs(
 ) -> DataFrame:
     """(text id, term row) wherever the term is a substring of the text.  Both sides already normalised.
 
-    ``terms`` is any size: candidates share the first characters of the term and are verified, so no text meets every term.
+    A proven short list is searched term by term inside each row, which is cheapest.  Any other size is blocked: candidates
+    share the first characters of the term and are verified, so no text meets every term.
     ``long_texts=False`` carries the text through the join, which is right for names and other short strings.
     """
     needles = terms.where(F.col(term) != "").withColumn("__block", F.left(F.col(term), F.lit(GRAM)))
     hay = texts.select(text_id, F.col(text).alias("__text"))
     body = F.col("__text")
+    # never more than FEW_TERMS + 1 rows reach the driver
+    few = needles.select(term).distinct().limit(FEW_TERMS + 1).collect() if long_texts else []
+    if long_texts and len(few) <= FEW_TERMS:
+        inside = mentions_of(body, [row[0] for row in few]) if few else F.array().cast("array<string>")
+        return hay.select(text_id, F.explode(inside).alias(term)).join(needles.drop("__block"), term)
     # terms shorter than a gram are filed under themselves
     blocks = F.array_distinct(F.concat(*[grams(body, n) for n in range(1, GRAM + 1)]))
     small, needs = probe(needles, short=F.length(term) < GRAM) if long_texts else (False, {})

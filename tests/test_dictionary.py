@@ -36,10 +36,11 @@ def test_term_counts(spark, monkeypatch, small):
     assert {(r["doc_id"], r["canonical"]): r["hits"] for r in counts.collect()} == expected()
 
 
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("size", ["few", "small", "large"])
 @pytest.mark.parametrize("long_texts", [True, False])
-def test_mention_pairs(spark, monkeypatch, small, long_texts):
-    monkeypatch.setattr(dictionary, "probe", lambda df, **flags: (small, dict.fromkeys(flags, True)))
+def test_mention_pairs(spark, monkeypatch, size, long_texts):
+    monkeypatch.setattr(dictionary, "FEW_TERMS", 256 if size == "few" else 0)
+    monkeypatch.setattr(dictionary, "probe", lambda df, **flags: (size == "small", dict.fromkeys(flags, True)))
     texts, terms = ["flow cytometry of cells", "if", "stiff", "x", "", "가나다 x\nif"], ["if", "flow", "x", "가나", "cells", "flow cytometry of cells", "q"]
     pairs = dictionary.mention_pairs(
         spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(t,) for t in terms], "term string"), "id", "t", "term", long_texts
