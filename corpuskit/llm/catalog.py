@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import mixing, packing, quality_rules, simhash_dedup, toxicity, url_filter
+from corpuskit.llm import ann_forest, mixing, packing, quality_rules, simhash_dedup, token_files, toxicity, url_filter
 from corpuskit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,19 @@ WITH sized AS (
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target, copies, copies * size AS taken FROM taken
 """
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    written = token_files.write_tokens(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+    return token_files.read_tokens(spark, written)
+
+
+@query
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, folder, "embeddings"))
