@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import ann_forest, mixing, packing, quality_rules, simhash_dedup, token_files, toxicity, url_filter
+from corpuskit.llm import ann_forest, brown_lm, html_extract, labelled_pages, mixing, packing, quality_rules, simhash_dedup, token_files, toxicity, url_filter
 from corpuskit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,14 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann_forest.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_brown_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return brown_lm.score_documents(table(spark, folder, "documents"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = spark.createDataFrame([(p,) for p in labelled_pages.PAGES], "html string")
+    return html_extract.extract_pages(table(spark, folder, "pages"), html_extract.fit(labelled))
