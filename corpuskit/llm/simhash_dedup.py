@@ -26,6 +26,7 @@ from corpuskit.session import staged
 
 TILE = 16_384
 BLOCK = 1024
+BANDS = 2
 SEED = 42
 
 
@@ -111,14 +112,8 @@ def _offsets(bands: int, radius: int) -> list[tuple[int, ...]]:
     return [d for d in steps if d > (0,) * bands]
 
 
-def bands_for(n: int) -> int:
-    """Parts of a fingerprint to count: more cells pay off as the number of fingerprints grows.  Only the cost depends on it, never a link."""
-    return 1 if n < 50_000 else 2 if n < 2_000_000 else 3
-
-
-def near_links(distinct: DataFrame, n: int, radius: int = 4, bands: int | None = None, tile: int = TILE) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, bands: int = BANDS, tile: int = TILE) -> DataFrame:
     """(a, b): a spanning set of the links between distinct fingerprints (column fp) that differ in at most ``radius`` bits."""
-    bands = bands or bands_for(n)
     cuts = [64 * i // bands for i in range(bands + 1)]
     widths = [high - low for low, high in itertools.pairwise(cuts)]
     base = max(widths) + 1
@@ -168,14 +163,14 @@ def near_links(distinct: DataFrame, n: int, radius: int = 4, bands: int | None =
     return tiles.groupBy("anchor", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_components(prints: DataFrame, radius: int = 4, bands: int | None = None, tile: int = TILE) -> DataFrame:
+def near_components(prints: DataFrame, radius: int = 4, bands: int = BANDS, tile: int = TILE) -> DataFrame:
     """(fp, root): every fingerprint of ``prints`` (column fp) with the one that names its component."""
     distinct = staged(prints.select("fp").distinct(), "fingerprints")
-    linked = components(near_links(distinct, distinct.count(), radius, bands, tile))
+    linked = components(near_links(distinct, radius, bands, tile))
     return distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def group_documents(docs: DataFrame, text: str = "text", width: int = 4, radius: int = 4, bands: int | None = None, tile: int = TILE) -> DataFrame:
+def group_documents(docs: DataFrame, text: str = "text", width: int = 4, radius: int = 4, bands: int = BANDS, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id is the least doc_id of the component.
 
     Null and empty texts share fingerprint 0, which links like any other.  Rows with a null doc_id are linked as others are and take the
