@@ -100,16 +100,22 @@ WITH sized AS (
 ), levels AS (
   SELECT *, max(CASE WHEN most / weight >= remaining / weights THEN remaining / weights END) OVER () AS level FROM shares
 ), targets AS (
-  SELECT source, source_size, CASE WHEN most <= weight * level THEN most ELSE weight * level END AS target,
-    ('0x' || substr(md5('mix' || coalesce(source, '')), 1, 3))::INT::DOUBLE / 4096 AS offs
-  FROM levels
+  SELECT source, source_size, CASE WHEN most <= weight * level THEN most ELSE weight * level END AS target FROM levels
 ), placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.offs,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0 END AS rate,
     row_number() OVER (PARTITION BY d.source ORDER BY d.class, ('0x' || substr(d.h, 1, 2))::INT, d.h, d.size) AS place
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), draws AS (
+  SELECT source, k, (('0x' || substr(md5('mix' || coalesce(source, '')), 1, 3))::INT::DOUBLE / 4096 + k::DOUBLE / 32) % 1.0::DOUBLE AS offs FROM targets, range(32) r(k)
+), tried AS (
+  SELECT p.source, d.k, d.offs, abs(sum((floor(p.place * p.rate + d.offs) - floor((p.place - 1) * p.rate + d.offs))::BIGINT * p.size)::DOUBLE - first(p.target)) AS off
+  FROM placed p JOIN draws d ON p.source IS NOT DISTINCT FROM d.source GROUP BY p.source, d.k, d.offs
+), chosen AS (
+  SELECT source, offs FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM tried) WHERE n = 1
 ), taken AS (
-  SELECT *, (floor(place * rate + offs) - floor((place - 1) * rate + offs))::BIGINT AS copies FROM placed
+  SELECT p.*, (floor(place * rate + offs) - floor((place - 1) * rate + offs))::BIGINT AS copies
+  FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target, copies, copies * size AS taken FROM taken
 """

@@ -6,7 +6,8 @@ two running sums over the table of sources.
 
 Within a source every document is expected ``target / words`` times.  Documents stand in the order of their size (and, for equal sizes, of a hash
 of their id), their expected copies are summed up along that order from one random offset per source, and a document is emitted once per integer crossed.
-Ordering by size makes each size class give its share, so that the words taken stay near the target.  The running sum is the row number times
+Ordering by size makes each size class give its share, so that the words taken stay near the target; of ``DRAWS`` random offsets, the one that comes
+nearest is used.  The running sum is the row number times
 the expectation: rows are numbered in buckets of (source, size class, hash), whose counts are summed up per source first.  A source has at most
 256 times about 1,500 buckets, whatever its number of documents.
 """
@@ -20,6 +21,7 @@ from corpuskit.llm.common import n_words, prefix
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+DRAWS = 32
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -50,15 +52,24 @@ def size_class(size: Column) -> Column:
     return F.when(size < 256, size).otherwise(bits * 128 + F.call_function("shiftright", size, bits - 7))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: str = "mix", tie: Column | None = None) -> tuple[DataFrame, str]:
-    """All rows and columns of ``docs`` plus, under the returned prefix, size, source_size, target, copies and taken (copies times size).
+def _copies(place: Column, rate: Column, offset: Column) -> Column:
+    """Integers crossed by the running sum of expected copies at this place."""
+    return F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
 
-    Null texts have size 0.  A null source is a source of its own.  Null ids share one place in the order of hashes; repeated rows are separate
-    documents.  Reruns agree; rows equal in id, source and size may swap places unless ``tie`` orders them.
-    """
-    p = prefix(docs, "m")
-    size, place, group, part = f"{p}size", f"{p}place", f"{p}class", f"{p}part"
-    hashed, origin, order = f"{p}hash", f"{p}source", f"{p}tie"
+
+def _first_offset(seed: str, source: Column) -> Column:
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(source, F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("double") / 4096
+
+
+def _draw(first: Column, k: int) -> Column:
+    """The k-th of ``DRAWS`` offsets, evenly spaced from a random first one."""
+    return (first + k / DRAWS) % 1.0
+
+
+def _placed(docs: DataFrame, p: str, text: str, source: str, tie: Column | None) -> DataFrame:
+    """``docs`` plus size, source, source_size, target, rate and place in the order of the source, under the prefix ``p``."""
+    size, group, part, hashed, origin, order = (f"{p}{c}" for c in ("size", "class", "part", "hash", "source", "tie"))
     id_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.withColumns({size: n_words(F.col(text)).cast("bigint"), hashed: id_hash, origin: F.col(source), order: F.lit(0) if tie is None else tie})
     rows = rows.withColumns({group: size_class(F.col(size)), part: F.conv(F.substring(hashed, 1, 2), 16, 10).cast("int")})
@@ -66,19 +77,41 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: str =
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum(size).alias("words"))
     totals = counts.groupBy(F.col(origin).alias("source")).agg(F.sum("words").alias("source_size"))
     before = Window.partitionBy(origin).orderBy(group, part).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit(""))).cast("binary")), 1, 3), 16, 10).cast("double") / 4096
     places = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    known = places.join(source_targets(totals).withColumn("offset", offset), F.col(origin).eqNullSafe(F.col("source"))).select(
-        *[F.col(c).alias(f"{c}_b") for c in bucket], *[F.col(c).alias(f"{p}{c}") for c in ("before", "source_size", "target", "offset")]
+    known = places.join(source_targets(totals), F.col(origin).eqNullSafe(F.col("source"))).select(
+        *[F.col(c).alias(f"{c}_b") for c in bucket], *[F.col(c).alias(f"{p}{c}") for c in ("before", "source_size", "target")]
     )
     match = F.lit(True)
     for c in bucket:
         match = match & F.col(c).eqNullSafe(F.col(f"{c}_b"))
-    rate = F.when(F.col(f"{p}source_size") > 0, F.col(f"{p}target") / F.col(f"{p}source_size")).otherwise(F.lit(1.0))
     number = F.row_number().over(Window.partitionBy(*bucket).orderBy(hashed, size, order))
-    crossed = F.floor(F.col(place) * rate + F.col(f"{p}offset")) - F.floor((F.col(place) - 1) * rate + F.col(f"{p}offset"))
-    out = rows.join(known, match).withColumn(place, F.col(f"{p}before") + number).withColumn(f"{p}copies", crossed.cast("bigint"))
-    out = out.withColumn(f"{p}taken", F.col(f"{p}copies") * F.col(size))
+    rate = F.when(F.col(f"{p}source_size") > 0, F.col(f"{p}target") / F.col(f"{p}source_size")).otherwise(F.lit(1.0))
+    return rows.join(known, match).withColumns({f"{p}place": F.col(f"{p}before") + number, f"{p}rate": rate})
+
+
+def _offsets(placed: DataFrame, p: str, seed: str) -> DataFrame:
+    """(source, offset): of each source's draws, the one whose words come nearest to the target, the first of equals."""
+    size, origin, target, place, rate = (F.col(f"{p}{c}") for c in ("size", "source", "target", "place", "rate"))
+    first = F.col("first")
+    rows = placed.select(origin.alias("source"), size.alias("size"), target.alias("target"), place.alias("place"), rate.alias("rate"), _first_offset(seed, origin).alias("first"))
+    sums = [F.sum(_copies(F.col("place"), F.col("rate"), _draw(first, k)) * F.col("size")).alias(f"t{k}") for k in range(DRAWS)]
+    taken = rows.groupBy("source", "first").agg(F.first("target").alias("target"), *sums)
+    tried = [F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), _draw(first, k).alias("offset")) for k in range(DRAWS)]
+    return taken.select(F.col("source").alias(f"{p}drawn"), F.array_min(F.array(*tried))["offset"].alias(f"{p}offset"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: str = "mix", tie: Column | None = None) -> tuple[DataFrame, str]:
+    """All rows and columns of ``docs`` plus, under the returned prefix, size, source_size, target, copies and taken (copies times size).
+
+    Null texts have size 0.  A null source is a source of its own.  Null ids share one place in the order of hashes; repeated rows are separate
+    documents.  Reruns agree; rows equal in id, source and size may swap places unless ``tie`` orders them.
+    """
+    p = prefix(docs, "m")
+    drawn = _offsets(_placed(docs.select("doc_id", text, source), p, text, source, None), p, seed)
+    placed = _placed(docs, p, text, source, tie)
+    out = placed.join(drawn, F.col(f"{p}source").eqNullSafe(F.col(f"{p}drawn")))
+    crossed = _copies(F.col(f"{p}place"), F.col(f"{p}rate"), F.col(f"{p}offset")).cast("bigint")
+    out = out.withColumn(f"{p}copies", crossed).withColumn(f"{p}taken", F.col(f"{p}copies") * F.col(f"{p}size"))
     return out.select(*docs.columns, *[f"{p}{c}" for c in ("size", "source_size", "target", "copies", "taken")]), p
 
 
