@@ -31,7 +31,7 @@ def figure_label_prefix(c: Column | str) -> Column:
     low = F.lower(value)
 
     def rewritten(prefix: str) -> Column:
-        rest = F.btrim(F.substring(value, len(prefix) + 1, 1_000_000), F.lit(" ."))
+        rest = F.btrim(F.substring(value, F.lit(len(prefix) + 1), F.length(value)), F.lit(" ."))
         return F.when(rest == "", value).otherwise(F.concat(F.lit("Fig. "), rest))
 
     return (

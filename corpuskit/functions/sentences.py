@@ -14,26 +14,26 @@ CLAUSE_SPLIT = rf",{WS}+(?=[A-Za-z가-힣])"
 SENTENCE_SPLIT = r"(?<=[.!?]) +"
 BULLET_CHARS = " •-\t"
 CHUNK_CHARS, FALLBACK_CHUNK_CHARS = 4200, 450
-COLLECT_CHARS = 18_000
 
 
 def _non_empty(parts: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def _points(c: Column | str, pattern: str, clean, long_text: int, max_points: int) -> Column:
+def _points(c: Column | str, pattern: str, clean, long_text: int, max_points: int | None) -> Column:
     text = strip(c)
     points = _non_empty(F.transform(F.split(text, pattern), clean))
     clauses = _non_empty(F.transform(F.split(text, CLAUSE_SPLIT), strip))
-    return F.slice(F.when((F.size(points) <= 1) & (F.length(text) > long_text), clauses).otherwise(points), 1, max_points)
+    chosen = F.when((F.size(points) <= 1) & (F.length(text) > long_text), clauses).otherwise(points)
+    return chosen if max_points is None else F.slice(chosen, 1, max_points)
 
 
-def sentence_points(c: Column | str, max_points: int = 4) -> Column:
-    """First sentences of a paragraph; one long unbroken sentence is split at its clauses instead."""
+def sentence_points(c: Column | str, max_points: int | None = None) -> Column:
+    """Sentences of a paragraph (the first ``max_points``, if given); one long unbroken sentence is split at its clauses instead."""
     return _points(c, POINT_SPLIT, strip, 90, max_points)
 
 
-def split_points(c: Column | str, max_points: int = 4) -> Column:
+def split_points(c: Column | str, max_points: int | None = None) -> Column:
     """As ``sentence_points``, but lines split too and bullets are stripped."""
     return _points(c, POINT_OR_LINE_SPLIT, lambda p: F.btrim(p, F.lit(BULLET_CHARS)), 100, max_points)
 
@@ -70,8 +70,8 @@ def chunk_text(c: Column | str, max_chars: int = CHUNK_CHARS) -> Column:
     )
 
 
-def collect_text(parts: Column | str, max_chars: int | None = COLLECT_CHARS) -> Column:
-    """Visible text of a bundle: URLs and one-letter strings skipped, joined by newlines up to the budget."""
+def collect_text(parts: Column | str, max_chars: int | None = None) -> Column:
+    """Visible text of a bundle: URLs and one-letter strings skipped, joined by newlines; up to ``max_chars``, if given."""
     texts = F.filter(
         F.transform(col(parts), strip),
         lambda t: (F.length(t) >= 2) & ~t.startswith("http://") & ~t.startswith("https://"),

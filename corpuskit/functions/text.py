@@ -14,7 +14,6 @@ WS_CHARS = "".join(
 )
 
 # Limits and character sets of the data products.
-MAX_CONCEPT_CHARS = 160
 CONCEPT_EDGE_CHARS = " \t\r\n.,;:!?()[]{}\"'`"
 PANEL_TEXT_CHARS = 360
 SNIPPET_BEFORE, SNIPPET_AFTER = 250, 450
@@ -111,6 +110,29 @@ def contains_any(c: Column, markers: Sequence[str]) -> Column:
     return out
 
 
+SEPARATOR = "\x01"
+
+
+def mapped(strings: Column, udf: Callable[[Column], Column]) -> Column:
+    """An Arrow UDF over each string of an array: UDFs can't run in a lambda, so the strings go through it joined.  Nulls vanish."""
+    joined = udf(F.array_join(F.transform(strings, lambda s: F.translate(s, SEPARATOR, " ")), SEPARATOR))
+    return F.when(F.size(F.array_compact(strings)) == 0, F.array().cast("array<string>")).otherwise(F.split(joined, SEPARATOR))
+
+
+def compatible(strings: Column) -> Column:
+    """NFKC over an array of strings."""
+    from corpuskit.functions.python_udfs import nfkc
+
+    return mapped(strings, nfkc)
+
+
+def concept_keys(strings: Column) -> Column:
+    """``normalize_concept`` over an array of strings that are already compatible."""
+    from corpuskit.functions.python_udfs import casefold
+
+    return mapped(F.transform(strings, lambda s: F.btrim(squeeze(s), F.lit(CONCEPT_EDGE_CHARS))), casefold)
+
+
 # --- normalisers ---------------------------------------------------------------------------------------------------
 
 
@@ -126,19 +148,22 @@ def _folded(c: Column, unicode: bool) -> Column:
     return casefold(c) if unicode else fold(c)
 
 
-def normalize_concept(c: Column | str, unicode: bool = False) -> Column:
-    """Matching key of a concept.  ``unicode=True`` adds NFKC and full case folding (Arrow UDF)."""
+def normalize_concept(c: Column | str, unicode: bool = True) -> Column:
+    """Matching key of a concept, from the whole string, under NFKC and full case folding (Arrow UDF).
+
+    ``unicode=False`` is for use inside lambdas, where UDFs can't run: the caller maps the strings first (``compatible``).
+    """
     return _folded(F.btrim(squeeze(_compat(c, unicode)), F.lit(CONCEPT_EDGE_CHARS)), unicode)
 
 
-def clean_concept(c: Column | str, unicode: bool = False) -> Column:
-    """Display form of a concept, at most 160 characters."""
-    return F.substring(squeeze(_compat(c, unicode)), 1, MAX_CONCEPT_CHARS)
+def clean_concept(c: Column | str, unicode: bool = True) -> Column:
+    """Display form of a concept."""
+    return squeeze(_compat(c, unicode))
 
 
 def single_term(c: Column | str) -> Column:
     """The whole input is one term: no splitting, no compatibility mapping."""
-    return F.substring(squeeze(c), 1, MAX_CONCEPT_CHARS)
+    return squeeze(c)
 
 
 def normalize_method_name(c: Column | str, unicode: bool = False) -> Column:
@@ -152,7 +177,7 @@ def normalize_match_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(fold(c), "[^a-z0-9가-힣]+", " "))
 
 
-def normalize_title(c: Column | str, unicode: bool = False) -> Column:
+def normalize_title(c: Column | str, unicode: bool = True) -> Column:
     return F.trim(F.regexp_replace(_folded(_compat(c, unicode), unicode), "[^a-z0-9]+", " "))
 
 
@@ -244,8 +269,10 @@ def cut_reference_list(c: Column | str) -> Column:
     return let(strip(c), cut)
 
 
-def compact_text(c: Column | str, max_chars: int = 150_000) -> Column:
-    """Text that fits a request: reference list removed, then head and tail around a marker if still too long."""
+def compact_text(c: Column | str, max_chars: int | None = None) -> Column:
+    """Text without its reference list.  With a limit, head and tail around a marker; ``omitted_chars`` tells how much the marker stands for."""
+    if max_chars is None:
+        return cut_reference_list(c)
     head = int(max_chars * COMPACT_HEAD_SHARE)
     tail = max_chars - head
     return let(
@@ -256,6 +283,21 @@ def compact_text(c: Column | str, max_chars: int = 150_000) -> Column:
     )
 
 
+def omitted_chars(c: Column | str, max_chars: int) -> Column:
+    """Characters that ``compact_text`` leaves out for the limit, besides the reference list."""
+    return let(cut_reference_list(c), lambda text: F.greatest(F.length(text) - max_chars, F.lit(0)))
+
+
+def text_slices(c: Column | str, max_chars: int) -> Column:
+    """The text in consecutive slices of at most ``max_chars`` characters; an empty text is one empty slice."""
+
+    def slices(text: Column) -> Column:
+        last = F.greatest(F.ceil(F.length(text) / max_chars).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * max_chars + 1, F.lit(max_chars)))
+
+    return let(text_or_empty(c), slices)
+
+
 # --- predicates ----------------------------------------------------------------------------------------------------
 
 
@@ -328,8 +370,8 @@ def inside_parentheses(text: Column, pos: Column) -> Column:
 
 
 def followed_by_hangul_note(text: Column, end: Column) -> Column:
-    """True where a parenthesis holding Hangul follows 0-based ``end`` within 80 characters."""
-    return F.substring(text, end + 1, F.lit(80)).rlike(rf"^{WS}*\([^)]*[가-힣][^)]*\)")
+    """True where a parenthesis holding Hangul follows 0-based ``end``, however long it is."""
+    return F.substring(text, end + 1, F.length(text)).rlike(rf"^{WS}*\([^)]*[가-힣][^)]*\)")
 
 
 # --- numbers and digests -------------------------------------------------------------------------------------------
@@ -350,7 +392,7 @@ def content_hash(c: Column | str) -> Column:
     return F.sha2(col(c), 256)
 
 
-def title_digest(title: Column | str, unicode: bool = False) -> Column:
+def title_digest(title: Column | str, unicode: bool = True) -> Column:
     return F.left(F.sha2(normalize_title(title, unicode), 256), F.lit(24))
 
 

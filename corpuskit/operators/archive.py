@@ -5,33 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import clean_concept, let, normalize_concept
+from corpuskit.functions.text import clean_concept, compatible, concept_keys, let, normalize_concept
 from corpuskit.operators.keyed import append_new, dedupe_first
 
 
 TERM_SPLIT = r"[\n,;]+"
 
 
-def parse_terms(requests: DataFrame, raw: str, request_id: str, unicode: bool = False) -> DataFrame:
-    """Split a raw list at newline, comma or semicolon; cleaned, distinct by normal form, order kept, per request row.
-
-    The plain form works inside the row.  ``unicode`` needs Python UDFs, which cannot run in a lambda, so it explodes first.
-    """
-    parts = F.split(F.coalesce(raw, F.lit("")), TERM_SPLIT)
-    if unicode:
-        rows = requests.select(request_id, F.posexplode(parts).alias("pos", "__part"))
-        rows = rows.select(request_id, "pos", clean_concept("__part", True).alias("term"))
-        rows = rows.withColumn("normalized", normalize_concept("term", True)).where("term != '' AND normalized != ''")
-        return dedupe_first(rows, [request_id, "normalized"], ["pos"]).select(request_id, "pos", "term", "normalized")
-    terms = F.transform(parts, lambda p: clean_concept(p))
-    pairs = F.transform(terms, lambda p: F.struct(p.alias("term"), normalize_concept(p).alias("normalized")))
+def parse_terms(requests: DataFrame, raw: str, request_id: str) -> DataFrame:
+    """Split a raw list at newline, comma or semicolon; cleaned, distinct by normal form, order kept, per request row."""
+    parts = requests.select(request_id, compatible(F.split(F.coalesce(raw, F.lit("")), TERM_SPLIT)).alias("__parts"))
+    terms = parts.withColumn("__terms", F.transform("__parts", lambda p: clean_concept(p, unicode=False)))
+    pairs = terms.withColumn("__pairs", F.arrays_zip(F.col("__terms").alias("term"), concept_keys(F.col("__terms")).alias("normalized")))
 
     def firsts(kept: Column) -> Column:
         keys = F.transform(kept, lambda p: p["normalized"])
         return let(keys, lambda ks: F.filter(kept, lambda p, i: F.array_position(ks, p["normalized"]) == i + 1))
 
-    first = let(F.filter(pairs, lambda p: p["normalized"] != ""), firsts)
-    return requests.select(request_id, F.posexplode(first).alias("pos", "__t")).select(request_id, "pos", "__t.*")
+    first = let(F.filter("__pairs", lambda p: p["normalized"] != ""), firsts)
+    return pairs.select(request_id, F.posexplode(first).alias("pos", "__t")).select(request_id, "pos", "__t.*")
 
 
 def wanted_terms(requests: DataFrame, normalized: str, original: str, position: list[str]) -> DataFrame:
@@ -73,7 +65,7 @@ def term_misses(resolved: DataFrame) -> DataFrame:
 def alias_union(requested: Column, canonical: Column, aliases: Column) -> Column:
     """Normal forms that should lead to a concept: request, canonical name and aliases without the canonical form."""
     names = F.concat(F.array(requested, canonical), F.coalesce(aliases, F.array().cast("array<string>")))
-    normal = F.filter(F.transform(names, lambda n: normalize_concept(clean_concept(n))), lambda n: n != "")
+    normal = F.filter(concept_keys(compatible(names)), lambda n: n != "")
     return F.array_except(F.array_distinct(normal), F.array(normalize_concept(canonical)))
 
 

@@ -1,7 +1,9 @@
 """Dictionary terms in full text: whole-word counts, substring mentions, first mentions, seed glossary.
 
 Texts never meet the whole dictionary.  A term and a text are compared only if they share a block: for whole-word terms the
-longest run of letters and digits (it must occur as a whole token), for substring terms the first three characters.
+longest run of letters and digits (it must occur as a whole token), for substring terms their rarest gram of three characters.
+There is one plan for every size: blocks of the texts, without the texts, are joined with the dictionary (Spark broadcasts it where it is
+small), candidates are gathered per text, and each text is joined once.
 """
 
 from __future__ import annotations
@@ -13,12 +15,10 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import fold, let, lower_keeping_edges
 from corpuskit.operators.ordered import top_k
-from corpuskit.operators.sizing import probe
 
 TOKEN_SPLIT = "[^a-z0-9]+"
-SYMBOLS = r"[^a-z0-9\s]"
+NO_SYMBOL = r"[a-z0-9\s]+"
 GRAM = 3
-FEW_TERMS = 256
 
 # Assay names of the seed glossary with their Korean form, and basic terms that get no note.
 METHOD_GLOSSARY = (
@@ -56,56 +56,59 @@ METHOD_GLOSSARY = (
     ("cytotoxicity assay", "세포독성 분석"),
 )
 BASIC_TERMS = (
-    "cell cells gene genes protein proteins DNA RNA mRNA experiment analysis sample control result figure panel expression "
-    "activation receptor ligand antibody antigen mutation wild-type pathway"
-).split()
-GLOSSARY_MIN_CHARS = 220
+    "cell", "cells", "gene", "genes", "protein", "proteins", "DNA", "RNA", "mRNA", "experiment", "analysis", "sample", "control",
+    "result", "figure", "panel", "expression", "activation", "receptor", "ligand", "antibody", "antigen", "mutation", "wild-type", "pathway",
+)
 
 
 def _quoted(c: Column) -> Column:
     return F.regexp_replace(c, "([^A-Za-z0-9])", r"\\$1")
 
 
+def _edged(text: Column) -> Column:
+    """Every run of letters and digits between two marks, so that whole words can be searched without a regex."""
+    return F.regexp_replace(text, "([a-z0-9]+)", "\x01$1\x02")
+
+
 def prepare_terms(terms: DataFrame) -> DataFrame:
-    """(alias, canonical) -> blocking token and whole-word pattern per row.  Repeated rows stay and count repeatedly."""
+    """(alias, canonical) -> blocking token, needle for texts with edges, and whole-word pattern.  Repeated rows stay and count repeatedly.
+
+    An alias without letters and digits is filed under its first character that is no blank.  Blank aliases are left out.
+    """
     folded = lower_keeping_edges("alias")
     runs = F.array_sort(
         F.filter(F.split(folded, TOKEN_SPLIT), lambda r: r != ""),
         lambda a, b: F.length(b) - F.length(a),
     )
-    return terms.where("alias != ''").select(
+    symbol = F.left(F.regexp_replace(folded, r"^\s+", ""), F.lit(1))
+    return terms.where(F.col("alias").rlike(r"\S")).select(
         "canonical",
-        F.coalesce(F.try_element_at(runs, F.lit(1)), F.left(folded, F.lit(1))).alias("__block"),
-        F.concat(F.lit("(?<![a-z0-9])"), _quoted(folded), F.lit("(?![a-z0-9])")).alias("__pattern"),
+        F.coalesce(F.try_element_at(runs, F.lit(1)), symbol).alias("__block"),
+        F.when(folded.rlike(r"(?s)^[a-z0-9](.*[a-z0-9])?\z"), _edged(folded)).alias("needle"),
+        F.concat(F.lit("(?<![a-z0-9])"), _quoted(folded), F.lit("(?![a-z0-9])")).alias("pattern"),
     )
 
 
-def _known_blocks(terms: DataFrame) -> Column:
-    """All blocking keys of a small dictionary as one array: a scalar subquery, evaluated once per query."""
-    return terms.agg(F.collect_set("__block")).scalar()
-
-
 def term_counts(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole-word, case-insensitive hits per document and canonical term, summed over aliases.
 
-    Word edges are ASCII letters and digits.  Hits of one alias never overlap, hits of different aliases may and all count.
+    Word edges are ASCII letters and digits.  Hits of one alias never overlap, hits of different aliases may and all count.  Aliases that begin and end
+    with a letter or digit are counted by plain search in a text whose words carry edges; only the others need a regex.
     """
-    prepared = prepare_terms(terms)
     low = docs.select(doc_id, lower_keeping_edges(text).alias("__text"))
-    blocks = F.split("__text", TOKEN_SPLIT)
-    small, needs = probe(prepared, symbols=~F.col("__block").rlike("^[a-z0-9]"))
-    if needs["symbols"]:
-        blocks = F.concat(blocks, F.regexp_extract_all("__text", F.lit(SYMBOLS), F.lit(0)))
-    if small:
-        # one pass, no shuffle of text: each document keeps the few blocks the dictionary knows and looks them up
-        known = F.explode(F.array_intersect(blocks, _known_blocks(prepared)))
-        found = low.select(doc_id, "__text", known.alias("__block")).join(F.broadcast(prepared), "__block")
-    else:
-        # the text stays out of the token shuffle and is joined back to the surviving pairs
-        tokens = low.select(doc_id, F.explode(F.array_distinct(blocks)).alias("__block"))
-        found = tokens.join(prepared, "__block").drop("__block").join(low, doc_id)
-    counted = found.select(doc_id, "canonical", F.regexp_count("__text", F.col("__pattern")).alias("n"))
-    return counted.where("n > 0").groupBy(doc_id, "canonical").agg(F.sum("n").alias("hits"))
+    symbols = F.regexp_extract_all(F.regexp_replace("__text", NO_SYMBOL, ""), F.lit("(?s)."), F.lit(0))
+    blocks = low.select(doc_id, F.explode(F.array_distinct(F.concat(F.split("__text", TOKEN_SPLIT), symbols))).alias("__block"))
+    found = blocks.join(prepare_terms(terms), "__block")
+    listed = found.groupBy(doc_id).agg(F.collect_list(F.struct("canonical", "needle", "pattern")).alias("__terms"))
+
+    def hits(edged: Column, term: Column) -> Column:
+        plain = (F.length(edged) - F.length(F.replace(edged, term["needle"], F.lit("")))) / F.length(term["needle"])
+        n = F.when(term["needle"].isNotNull(), plain.cast("bigint")).otherwise(F.regexp_count(F.col("__text"), term["pattern"]))
+        return F.struct(term["canonical"].alias("canonical"), n.alias("n"))
+
+    counted = let(_edged(F.col("__text")), lambda edged: F.transform("__terms", lambda term: hits(edged, term)))
+    rows = listed.join(low, doc_id).select(doc_id, F.inline(counted))
+    return rows.where("n > 0").groupBy(doc_id, "canonical").agg(F.sum("n").alias("hits"))
 
 
 def term_totals(counts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -139,36 +142,29 @@ def grams(text: Column, n: int = GRAM) -> Column:
     return F.when(F.length(text) >= n, overlapping).otherwise(F.filter(F.array(text), lambda t: t != ""))
 
 
-def mention_pairs(
-    texts: DataFrame, terms: DataFrame, text_id: str, text: str, term: str, long_texts: bool = True
-) -> DataFrame:
+def _all_grams(text: Column) -> Column:
+    """Distinct grams of one to GRAM characters."""
+    return F.array_distinct(F.concat(*[grams(text, n) for n in range(1, GRAM + 1)]))
+
+
+def mention_pairs(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term: str) -> DataFrame:
     """(text id, term row) wherever the term is a substring of the text.  Both sides already normalised.
 
-    A proven short list is searched term by term inside each row, which is cheapest.  Any other size is blocked: candidates
-    share the first characters of the term and are verified, so no text meets every term.
-    ``long_texts=False`` carries the text through the join, which is right for names and other short strings.
+    A term is filed under its rarest gram: of its grams of three characters (a shorter term is its own gram) the one that the fewest texts hold.
+    A term with a gram that no text holds matches nothing.  Candidates are verified in the text itself.
     """
-    needles = terms.where(F.col(term) != "").withColumn("__block", F.left(F.col(term), F.lit(GRAM)))
+    needles = terms.where(F.col(term) != "")
+    words = needles.select(F.col(term).alias("__term")).distinct()
     hay = texts.select(text_id, F.col(text).alias("__text"))
-    body = F.col("__text")
-    # never more than FEW_TERMS + 1 rows reach the driver
-    few = needles.select(term).distinct().limit(FEW_TERMS + 1).collect() if long_texts else []
-    if long_texts and len(few) <= FEW_TERMS:
-        inside = mentions_of(body, [row[0] for row in few]) if few else F.array().cast("array<string>")
-        return hay.select(text_id, F.explode(inside).alias(term)).join(needles.drop("__block"), term)
-    # terms shorter than a gram are filed under themselves
-    blocks = F.array_distinct(F.concat(*[grams(body, n) for n in range(1, GRAM + 1)]))
-    small, needs = probe(needles, short=F.length(term) < GRAM) if long_texts else (False, {})
-    if not long_texts:
-        found = hay.select(text_id, "__text", F.explode(blocks).alias("__block")).join(needles, "__block")
-    elif small:
-        if not needs["short"]:
-            blocks = grams(body)
-        known = F.explode(F.array_intersect(blocks, _known_blocks(needles)))
-        found = hay.select(text_id, "__text", known.alias("__block")).join(F.broadcast(needles), "__block")
-    else:
-        found = hay.select(text_id, F.explode(blocks).alias("__block")).join(needles, "__block").join(hay, text_id)
-    return found.where(F.contains(F.col("__text"), F.col(term))).drop("__text", "__block")
+    blocks = hay.select(text_id, F.explode(_all_grams(F.col("__text"))).alias("__gram"))
+    parts = words.select("__term", F.explode(grams(F.col("__term"))).alias("__gram"))
+    spread = blocks.join(parts.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    rated = parts.join(spread, "__gram", "left").groupBy("__term").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("gram"))).alias("__r"))
+    filed = rated.where("__r.n > 0").select(F.col("__r.gram").alias("__gram"), "__term")
+    listed = blocks.join(filed, "__gram").groupBy(text_id).agg(F.collect_list("__term").alias("__terms"))
+    held = let(F.col("__text"), lambda x: F.filter("__terms", lambda t: F.contains(x, t)))
+    found = listed.join(hay, text_id).select(text_id, F.explode(held).alias("__term")).distinct()
+    return found.join(needles, F.col("__term") == F.col(term)).drop("__term")
 
 
 def first_mentions(texts: DataFrame, terms: Sequence[str], text_id: str, text: str) -> DataFrame:
@@ -195,23 +191,22 @@ def seed_glossary(texts: DataFrame, text: str, glossary: Sequence[tuple[str, str
     return texts.withColumn("glossary", found)
 
 
-def grounded_terms(items: DataFrame, text: str, basic: Sequence[str] = BASIC_TERMS) -> DataFrame:
-    """Drop glossary items with an empty part, not present in their text, or on the basic-term list."""
-    surface, english, local = (F.trim(F.coalesce(c, F.lit(""))) for c in ("surface", "english", "local_form"))
-    return items.where(
-        (surface != "")
-        & (english != "")
-        & (local != "")
-        & F.contains(F.lower(text), F.lower(surface))
-        & ~F.lower(surface).isin([b.lower() for b in basic])
-    )
+def grounded_items(items: Column, text: str, basic: Sequence[str] = BASIC_TERMS) -> Column:
+    """The glossary items (array of surface, english, local_form) without those that have an empty part, don't occur in the text, or are basic terms."""
+
+    def kept(low: Column, item: Column) -> Column:
+        surface, english, local = (F.trim(F.coalesce(item[c], F.lit(""))) for c in ("surface", "english", "local_form"))
+        filled = (surface != "") & (english != "") & (local != "")
+        return filled & F.contains(low, F.lower(surface)) & ~F.lower(surface).isin([b.lower() for b in basic])
+
+    return let(F.lower(text), lambda low: F.filter(items, lambda item: kept(low, item)))
 
 
-def glossary_worklist(texts: DataFrame, text: str, cache: DataFrame) -> DataFrame:
-    """Texts that still need a glossary step: not cached under their digest and long enough to be worth one."""
+def glossary_worklist(texts: DataFrame, text: str, cache: DataFrame, min_chars: int = 0) -> DataFrame:
+    """Texts that still need a glossary step: not cached under their digest, and not shorter than ``min_chars``."""
     body = F.trim(F.coalesce(text, F.lit("")))
     keyed = texts.where(body != "").select(F.sha2(body, 256).alias("digest"), F.length(body).alias("n_chars"))
-    fresh = keyed.where(F.col("n_chars") >= GLOSSARY_MIN_CHARS).groupBy("digest").agg(
+    fresh = keyed.where(F.col("n_chars") >= min_chars).groupBy("digest").agg(
         F.max("n_chars").alias("n_chars"), F.count("*").alias("n_texts")
     )
     return fresh.join(cache.select("digest"), "digest", "left_anti")

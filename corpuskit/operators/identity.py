@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +22,12 @@ PMID = r"(?i)\bPMID\s*[:#]?\s*(\d{5,10})\b"
 YEAR = r"\b(19\d{2}|20\d{2})\b"
 MIN_TITLE_CHARS, MIN_TITLE_WORDS = 35, 5
 IDENTITY_FIELDS = (
-    "canonical_key identity_type identity_value confidence document_kind doi pmcid pmid title normalized_title "
-    "publication_year"
-).split()
-
-
-@dataclass(frozen=True)
-class FrontMatter:
-    """How many leading characters each rule may see; None means the whole text."""
-
-    doi: int | None = None
-    pmid: int | None = None
-    year: int | None = None
-    kind: int | None = None
-
-
-WHOLE_TEXT = FrontMatter()
-FIRST_PAGES = FrontMatter(doi=50_000, pmid=30_000, year=12_000, kind=2_500)
-
-
-def _front(text: Column, limit: int | None) -> Column:
-    return text if limit is None else F.left(text, F.lit(limit))
+    "canonical_key", "identity_type", "identity_value", "confidence", "document_kind", "doi", "pmcid", "pmid", "title", "normalized_title",
+    "publication_year",
+)
+# What names a supplement opens the text or stands alone on its line, perhaps numbered or with a colon.
+SUPPLEMENT_LINE = rf"(?i)\A\s*(?:{'|'.join(SUPPLEMENT_MARKERS)})\b|"
+SUPPLEMENT_LINE += rf"(?m)^[^\S\n]*(?:s?\d+[.:]?[^\S\n]+)?(?:{'|'.join(SUPPLEMENT_MARKERS)})[^\S\n]*[.:]?[^\S\n]*$"
 
 
 def publication_year(text: Column, title: Column, filename: Column, as_of_year: int) -> Column:
@@ -55,8 +38,9 @@ def publication_year(text: Column, title: Column, filename: Column, as_of_year:
 
 
 def document_kind(title: Column, filename: Column, text: Column) -> Column:
-    blob = fold(F.concat_ws(" ", title, filename, text))
-    return F.when(contains_any(blob, SUPPLEMENT_MARKERS), "supplement").otherwise("main")
+    """Supplement if title or file name say so, the text opens with it, or a line is nothing but such a heading.  Mentions inside prose don't count."""
+    named = contains_any(F.translate(fold(F.concat_ws(" ", title, filename)), "_-", "  "), SUPPLEMENT_MARKERS)
+    return F.when(named | text.rlike(SUPPLEMENT_LINE), "supplement").otherwise("main")
 
 
 def is_credible_title(normalized: Column) -> Column:
@@ -64,26 +48,23 @@ def is_credible_title(normalized: Column) -> Column:
 
 
 def resolve_identity(
-    files: DataFrame, as_of_year: int, front: FrontMatter = WHOLE_TEXT, unicode: bool = False
+    files: DataFrame, as_of_year: int, unicode: bool = True
 ) -> DataFrame:
     """Identity of each file: DOI, else PMCID, else PMID, else credible title and year, else the file hash.
 
     Input columns ``text, title, filename, file_hash``; they are kept except for ``text`` and ``title`` is normalised to
-    non-null.  Supplements get their own key.  One projection chain: no shuffle, no UDF (unless ``unicode``).
+    non-null.  Supplements get their own key.  One projection chain without a shuffle; whole texts
+    are searched, only where a cheap literal says that a search can succeed, and only titles go through an Arrow UDF (unless not ``unicode``).
     """
     text = text_or_empty("text")
     found = files.withColumns(
         {
             "title": strip("title"),
-            "__doi": F.regexp_extract(_front(text, front.doi), DOI, 0),
-            "__pmcid": F.upper(F.regexp_extract(_front(text, front.pmid), PMCID, 0)),
-            "__pmid": F.regexp_extract(_front(text, front.pmid), PMID, 1),
-            "publication_year": publication_year(
-                _front(text, front.year), text_or_empty("title"), text_or_empty("filename"), as_of_year
-            ),
-            "document_kind": document_kind(
-                text_or_empty("title"), text_or_empty("filename"), _front(text, front.kind)
-            ),
+            "__doi": F.when(text.contains("10."), F.regexp_extract(text, DOI, 0)).otherwise(""),
+            "__pmcid": F.when(text.rlike("(?i)pmc"), F.upper(F.regexp_extract(text, PMCID, 0))).otherwise(""),
+            "__pmid": F.when(text.rlike("(?i)pmid"), F.regexp_extract(text, PMID, 1)).otherwise(""),
+            "publication_year": publication_year(text, text_or_empty("title"), text_or_empty("filename"), as_of_year),
+            "document_kind": document_kind(text_or_empty("title"), text_or_empty("filename"), text),
         }
     ).drop("text")
     found = found.withColumns({"__doi": clean_doi("__doi"), "normalized_title": normalize_title("title", unicode)})

@@ -24,10 +24,8 @@ def exact_links(names: DataFrame, dictionary: DataFrame) -> DataFrame:
 def containment_links(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Names inside an alias or holding one: the longest alias wins, then the greatest canonical name."""
     aliases = dictionary.select("alias", "canonical").distinct()
-    holds = mention_pairs(names.select("name"), aliases, "name", "name", "alias", long_texts=False)
-    inside = mention_pairs(
-        aliases.select("alias").distinct(), names.select("name"), "alias", "alias", "name", long_texts=False
-    ).join(aliases, "alias")
+    holds = mention_pairs(names.select("name"), aliases, "name", "name", "alias")
+    inside = mention_pairs(aliases.select("alias").distinct(), names.select("name"), "alias", "alias", "name").join(aliases, "alias")
     both = holds.select("name", "alias", "canonical").unionByName(inside.select("name", "alias", "canonical"))
     best = F.max_by("canonical", F.struct(F.length("alias"), "canonical")).alias("canonical")
     return both.groupBy("name").agg(best).withColumn("tier", F.lit("contains"))

@@ -70,19 +70,22 @@ def last_known(
     )
 
 
-def cut_running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, text: str, budget: int
+def bundle_by_length(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, text: str, budget: int, out: str = "bundle"
 ) -> DataFrame:
-    """Keep text in order until a character budget per key is used up; the piece that crosses it is cut.
+    """Cut the texts of a key, in order, into bundles of ``budget`` characters, numbered from 0 in ``out``.
 
-    Every piece costs its length plus one (the separator).
+    Every text costs its length plus one (the separator).  A text that crosses a bundle's end is cut there and goes on in the next bundle, so that nothing
+    is lost; the first bundle is what fits into one budget.
     """
-    cost = (F.length(text) + 1).cast("bigint")
-    rows = prefix_sum(df, keys, order, bucket, cost, "__used")
-    room = F.lit(budget) - (F.col("__used") - cost)
-    return rows.withColumn("__room", room).where("__room > 0").withColumn(
-        text, F.left(F.col(text), F.col("__room").cast("int"))
-    ).drop("__room", "__used")
+    size = F.length(F.coalesce(text, F.lit(""))).cast("bigint")
+    rows = prefix_sum(df, keys, order, bucket, size + 1, "__used")
+    start, end = F.col("__used") - size - 1, F.col("__used") - 1
+    first, last = F.floor(start / budget), F.floor(F.greatest(end - 1, start) / budget)
+    cut = rows.withColumns({"__start": start, "__end": end}).withColumn(out, F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col(out) * budget - F.col("__start"), F.lit(0))
+    high = F.least((F.col(out) + 1) * budget, F.col("__end")) - F.col("__start")
+    return cut.withColumn(text, F.substring(F.col(text), (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))).drop("__start", "__end", "__used")
 
 
 def pair_in_order(

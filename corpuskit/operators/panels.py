@@ -30,7 +30,7 @@ def caption_panels(caption: Column | str) -> Column:
     """
     text = strip(caption)
     markers = F.regexp_extract_all(text, F.lit(PANEL_MARKER), F.lit(0))
-    bodies = F.slice(F.split(text, PANEL_MARKER), 2, 1_000_000)
+    bodies = let(F.split(text, PANEL_MARKER), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
     panels = F.transform(
         F.arrays_zip(markers.alias("marker"), bodies.alias("body")),
         lambda p: F.struct(

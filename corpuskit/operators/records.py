@@ -33,7 +33,6 @@ LIMITATION_DEFAULT = {
     "ko": "측정값과 생물학적 인과관계를 동일시하지 않는다.",
     "en": "Do not equate a measured association with biological causality.",
 }
-POINTS_KEPT, ARTICLE_POINTS = 4, 5
 
 
 def validate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -87,13 +86,13 @@ def repair_method_entries(entries: DataFrame, name: str = "canonical_name", lang
                 f"key_question_{lang}": filled(c("key_question"), F.concat(F.lit(before), title, F.lit(after))),
                 f"one_liner_{lang}": filled(c("one_liner"), summary),
                 f"principle_steps_{lang}": _list_or(
-                    c("principle_steps"), split_points(principle, POINTS_KEPT), filled(principle, summary, title)
+                    c("principle_steps"), split_points(principle), filled(principle, summary, title)
                 ),
                 f"best_for_points_{lang}": _list_or(
-                    c("best_for_points"), split_points(c("best_for"), POINTS_KEPT), filled(c("best_for"), F.lit(BEST_FOR_DEFAULT[lang]))
+                    c("best_for_points"), split_points(c("best_for")), filled(c("best_for"), F.lit(BEST_FOR_DEFAULT[lang]))
                 ),
                 f"limitation_points_{lang}": _list_or(
-                    c("limitation_points"), split_points(c("limitations"), POINTS_KEPT), filled(c("limitations"), F.lit(LIMITATION_DEFAULT[lang]))
+                    c("limitation_points"), split_points(c("limitations")), filled(c("limitations"), F.lit(LIMITATION_DEFAULT[lang]))
                 ),
                 f"interpretation_tip_{lang}": filled(c("interpretation_tip"), F.lit(INTERPRETATION_TIP[lang])),
             }
@@ -119,7 +118,7 @@ def method_article(
     title = strip(name)
 
     def points(field: str) -> Column:
-        return sentence_points(F.regexp_replace(F.coalesce(f"{field}_{tail}", F.lit("")), r"\n+", "; "), ARTICLE_POINTS)
+        return sentence_points(F.regexp_replace(F.coalesce(f"{field}_{tail}", F.lit("")), r"\n+", "; "))
 
     return entries.select(
         *carried,

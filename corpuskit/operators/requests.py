@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.functions.text import clean_concept, compact_text, contains_any, text_or_empty
+from corpuskit.functions.text import clean_concept, compact_text, contains_any, let, text_or_empty
 from corpuskit.operators.keyed import dedupe_first
 from corpuskit.operators.ordered import number_rows
 
-# How many characters of each part a request of a stage may carry.
+# How many characters of text a request of a stage carries; a longer text becomes several requests.
 TEXT_CHARS = {
     "core": 135_000,
     "prerequisites": 100_000,
@@ -20,66 +20,71 @@ TEXT_CHARS = {
     "figures": 125_000,
     "critical_learning": 105_000,
 }
-CORE_CHARS, EXPERIMENT_CHARS, LEGEND_CHARS, CONTEXT_CHARS = 30_000, 25_000, 18_000, 8_000
-HINTS_SHOWN = 25
 CONCEPTS_PER_REQUEST = 8
 TRANSIENT_MARKERS = (
     "429", "rate limit", "500", "502", "503", "504", "temporarily", "timeout", "internal", "unavailable",
 )
 
 
-def prompt(
-    instruction: str,
-    text_chars: int,
-    text: str = "text",
-    core: str | None = None,
-    hints: str | None = None,
-    experiments: str | None = None,
-) -> Column:
-    """Prompt of one stage: instruction, hints, core analysis, experiments and text, each part within its budget."""
-    parts = [F.lit(instruction)]
+def text_parts(text: str, max_chars: Column | int) -> Column:
+    """(part, n_parts, body) of a paper's text without its reference list: consecutive slices of at most ``max_chars`` characters."""
+    limit = F.lit(max_chars) if isinstance(max_chars, int) else max_chars
+
+    def cut(body: Column) -> Column:
+        n = F.greatest(F.ceil(F.length(body) / limit).cast("int"), F.lit(1))
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.struct(i.alias("part"), n.alias("n_parts"), F.substring(body, i * limit + 1, limit).alias("body")),
+        )
+
+    return let(compact_text(text), cut)
+
+
+def prompt(instruction: Column, body: Column, core: str | None = None, hints: str | None = None, experiments: str | None = None) -> Column:
+    """Prompt of one stage: instruction, hints, core analysis, experiments and one part of the text.  Nothing is cut."""
+    parts = [instruction]
     if hints:
-        shown = F.array_join(F.slice(F.col(hints), 1, HINTS_SHOWN), ", ")
-        parts.append(F.concat(F.lit("POSSIBLE METHODS\n"), F.coalesce(F.nullif(shown, F.lit("")), F.lit("none"))))
+        parts.append(F.concat(F.lit("POSSIBLE METHODS\n"), F.coalesce(F.nullif(F.array_join(F.col(hints), ", "), F.lit("")), F.lit("none"))))
     if core:
-        value = F.coalesce(F.nullif(text_or_empty(core), F.lit("")), F.lit("{}"))
-        parts.append(F.concat(F.lit("CORE ANALYSIS\n"), F.left(value, F.lit(CORE_CHARS))))
+        parts.append(F.concat(F.lit("CORE ANALYSIS\n"), F.coalesce(F.nullif(text_or_empty(core), F.lit("")), F.lit("{}"))))
     if experiments:
-        parts.append(F.concat(F.lit("EXPERIMENTS\n"), F.left(text_or_empty(experiments), F.lit(EXPERIMENT_CHARS))))
-    parts.append(F.concat(F.lit("PAPER TEXT\n"), compact_text(text, text_chars)))
+        parts.append(F.concat(F.lit("EXPERIMENTS\n"), text_or_empty(experiments)))
+    parts.append(F.concat(F.lit("PAPER TEXT\n"), body))
     return F.concat_ws("\n\n", *parts)
 
 
-def _request_rows(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (key, stage, prompt) with their length and a digest as id, so that a repeated run yields the same ids."""
-    digest = F.sha2(F.concat_ws("|", "stage", F.col(key).cast("string"), "prompt"), 256)
-    return rows.select(digest.alias("request_id"), key, "stage", "prompt", F.length("prompt").alias("n_chars"))
+def build_stage_requests(work: DataFrame, key: str, instructions: Mapping[str, str], text_chars: Mapping[str, int] = TEXT_CHARS, text: str = "text", **columns: str) -> DataFrame:
+    """Request rows of several stages in one pass: ``work`` holds a ``stage`` column, each row builds the prompts of its stage.
 
-
-def build_requests(papers: DataFrame, stage: str, key: str, instruction: str, text_chars: int | None = None, **columns: str) -> DataFrame:
-    """One request row per paper for one stage; ``columns`` name the text, core, hints and experiments columns."""
-    body = prompt(instruction, text_chars or TEXT_CHARS[stage], **columns)
-    return _request_rows(papers.select(F.col(key), F.lit(stage).alias("stage"), body.alias("prompt")), key)
+    A text longer than its stage allows becomes several requests, numbered from 0 in ``part`` of ``n_parts``; together they hold the whole text.
+    ``columns`` name the core, hints and experiments columns.  The digest that is the id makes a repeated run yield the same ids.
+    """
+    wanted = work.where(F.col("stage").isin(*instructions))
+    instruction, limit = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for stage, said in instructions.items():
+        instruction = F.when(F.col("stage") == stage, F.lit(said)).otherwise(instruction)
+        limit = F.when(F.col("stage") == stage, F.lit(text_chars[stage])).otherwise(limit)
+    kept = [c for c in (*columns.values(),) if c]
+    rows = wanted.select(key, "stage", *kept, instruction.alias("__said"), F.explode(text_parts(text, limit)).alias("__p"))
+    built = rows.select(F.col(key), "stage", F.col("__p.part").alias("part"), F.col("__p.n_parts").alias("n_parts"), prompt(F.col("__said"), F.col("__p.body"), **columns).alias("prompt"))
+    digest = F.sha2(F.concat_ws("|", "stage", F.col(key).cast("string"), F.col("part").cast("string"), "prompt"), 256)
+    return built.select(digest.alias("request_id"), key, "stage", "part", "n_parts", "prompt", F.length("prompt").alias("n_chars"))
 
 
-def build_stage_requests(work: DataFrame, key: str, instructions: Mapping[str, str], **columns: str) -> DataFrame:
-    """Request rows of several stages in one pass: ``work`` holds a ``stage`` column, each row builds the prompt of its stage."""
-    body = F.lit(None).cast("string")
-    for stage, instruction in instructions.items():
-        body = F.when(F.col("stage") == stage, prompt(instruction, TEXT_CHARS[stage], **columns)).otherwise(body)
-    rows = work.where(F.col("stage").isin(*instructions)).select(F.col(key), "stage", body.alias("prompt"))
-    return _request_rows(rows, key)
+def build_requests(papers: DataFrame, stage: str, key: str, instruction: str, text_chars: int | None = None, **columns: str) -> DataFrame:
+    """Request rows of one stage; see ``build_stage_requests``."""
+    work = papers.withColumn("stage", F.lit(stage))
+    return build_stage_requests(work, key, {stage: instruction}, {stage: text_chars or TEXT_CHARS[stage]}, **columns)
 
 
 def figure_requests(figures: DataFrame, key: str, instruction: str, core: str) -> DataFrame:
-    """One request row per figure: label, legend and the core analysis of its paper."""
-    legend = F.left(F.trim(text_or_empty("caption")), F.lit(LEGEND_CHARS))
+    """One request row per figure: label, whole legend and the whole core analysis of its paper."""
     body = F.concat_ws(
         "\n\n",
         F.lit(instruction),
-        F.concat(F.lit("CORE ANALYSIS\n"), F.left(F.coalesce(F.nullif(text_or_empty(core), F.lit("")), F.lit("{}")), F.lit(CORE_CHARS))),
+        F.concat(F.lit("CORE ANALYSIS\n"), F.coalesce(F.nullif(text_or_empty(core), F.lit("")), F.lit("{}"))),
         F.concat(F.lit("TARGET FIGURE\n"), F.trim(text_or_empty("figure_label"))),
-        F.concat(F.lit("ORIGINAL LEGEND\n"), F.coalesce(F.nullif(legend, F.lit("")), F.lit("No legend was extracted."))),
+        F.concat(F.lit("ORIGINAL LEGEND\n"), F.coalesce(F.nullif(F.trim(text_or_empty("caption")), F.lit("")), F.lit("No legend was extracted."))),
     )
     rows = figures.select(key, "figure_label", body.alias("prompt"))
     digest = F.sha2(F.concat_ws("|", F.lit("single_figure"), F.col(key).cast("string"), "figure_label", "prompt"), 256)

@@ -79,6 +79,42 @@ def top_terms(spark, folder):
     return dictionary.top_terms(term_counts(spark, folder), 3)
 
 
+def _word_terms(docs):
+    """Terms from the data: every word of eight letters or more."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))
+    return docs.select(F.explode(words).alias("alias")).distinct().withColumn("canonical", F.left("alias", F.lit(9)))
+
+
+_LARGE_SQL = r"""
+    WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS alias FROM documents),
+    tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS alias FROM documents)
+"""
+
+
+@query(_LARGE_SQL + "SELECT doc_id, left(alias, 9) AS canonical, count(*) AS hits FROM tok JOIN w USING (alias) GROUP BY 1, 2")
+def term_counts_large(spark, folder):
+    """Counts against thousands of terms that come from the documents themselves."""
+    docs = table(spark, folder, "documents")
+    return dictionary.term_counts(docs, _word_terms(docs))
+
+
+@query(
+    r"""
+    WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{12,}')) AS term FROM documents),
+    d AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9가-힣]+', ' ', 'g')) AS norm FROM documents),
+    tok AS (SELECT DISTINCT doc_id, unnest(string_split(norm, ' ')) AS t FROM d),
+    u AS (SELECT t, term FROM (SELECT DISTINCT t FROM tok WHERE length(t) >= 12) JOIN w ON contains(t, term))
+    SELECT DISTINCT doc_id, term FROM tok JOIN u USING (t)
+    """
+)
+def mention_join_large(spark, folder):
+    """Substring mentions of thousands of terms that come from the documents themselves."""
+    docs = table(spark, folder, "documents")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{12,}"), F.lit(0))
+    terms = docs.select(F.explode(words).alias("term")).distinct()
+    return dictionary.mention_pairs(docs.select("doc_id", normalize_match_text("text").alias("norm")), terms, "doc_id", "norm", "term")
+
+
 _GLOSSARY = [("der Die", "가"), ("MIT License", "나"), ("the", "다"), ("tion", "라"), ("License", "마"), ("onenerth edonre", "바")]
 
 
@@ -130,15 +166,15 @@ def first_mentions(spark, folder):
 def grounded_terms(spark, folder):
     items = [("the", "The", "x"), (" MIT License", "MIT", "y"), ("cell", "cell", "z"), ("tion", "", "w"), ("und", "and", " "), ("that", "That", "v")]
     offered = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("surface", "english", "local_form"), i)]) for i in items])
-    rows = table(spark, folder, "documents").select("doc_id", "text", F.inline(offered))
-    return dictionary.grounded_terms(rows, "text").select("doc_id", "surface")
+    kept = dictionary.grounded_items(offered, "text")
+    return table(spark, folder, "documents").select("doc_id", F.explode(kept).alias("g")).select("doc_id", "g.surface")
 
 
 @query(
     """
     WITH c AS (SELECT DISTINCT sha256(trim(text)) AS digest FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
     SELECT sha256(trim(text)) AS digest, max(length(trim(text))) AS n_chars, count(*) AS n_texts FROM documents
-    WHERE length(trim(text)) >= 220 AND sha256(trim(text)) NOT IN (SELECT digest FROM c) GROUP BY 1
+    WHERE length(trim(text)) > 0 AND sha256(trim(text)) NOT IN (SELECT digest FROM c) GROUP BY 1
     """
 )
 def glossary_worklist(spark, folder):

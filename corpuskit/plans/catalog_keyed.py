@@ -17,14 +17,14 @@ AS_OF_YEAR = 2025
       SELECT doc_id, sha256(text) AS file_hash, source || '_' || doc_id || '.pdf' AS filename,
         'A Study of ' || source || ' with Many More Words in ' || lang || ' Corpora' AS title,
         text || chr(10) || CASE CAST(doc_id % 6 AS INT)
-          WHEN 0 THEN 'see doi:10.1234/' || upper(source) || '(' || doc_id || ')). Supporting  Information'
+          WHEN 0 THEN 'see doi:10.1234/' || upper(source) || '(' || doc_id || ')).' || chr(10) || ' S2. Supporting Information:  ' || chr(10) || 'Table'
           WHEN 1 THEN 'as pmc' || (1000000 + doc_id) || ' and PMID: ' || (2000000 + doc_id)
           WHEN 2 THEN 'with PMID# ' || (2000000 + doc_id) || ', Supporting Information, 2031 and 1998'
-          WHEN 3 THEN 'published 2150, 2019' WHEN 4 THEN 'nothing' ELSE 'doi 10.99999/x.' || doc_id || '. Supplementary material 2026' END AS body
+          WHEN 3 THEN 'published 2150, 2019' WHEN 4 THEN 'see Supplementary Information for details' ELSE 'doi 10.99999/x.' || doc_id || '. The Supplementary material 2026' END AS body
       FROM documents),
     x AS (
       SELECT *, doc_id % 6 AS k, CASE CAST(doc_id % 6 AS INT) WHEN 2 THEN 1998 WHEN 3 THEN 2019 WHEN 5 THEN 2026 END AS y,
-        CASE WHEN contains(lower(body), 'supporting information') OR contains(lower(body), 'supplementary material') THEN 'supplement' ELSE 'main' END AS kind,
+        CASE WHEN doc_id % 6 = 0 THEN 'supplement' ELSE 'main' END AS kind,
         trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS nt
       FROM f),
     v AS (
@@ -46,12 +46,12 @@ AS_OF_YEAR = 2025
 def resolve_identity(spark, folder):
     doc, kind = F.col("doc_id"), F.col("doc_id") % 6
     tail = (
-        F.when(kind == 0, F.concat(F.lit("see doi:10.1234/"), F.upper("source"), F.lit("("), doc, F.lit(")). Supporting  Information")))
+        F.when(kind == 0, F.concat(F.lit("see doi:10.1234/"), F.upper("source"), F.lit("("), doc, F.lit(")).\n S2. Supporting Information:  \nTable")))
         .when(kind == 1, F.concat(F.lit("as pmc"), doc + 1_000_000, F.lit(" and PMID: "), doc + 2_000_000))
         .when(kind == 2, F.concat(F.lit("with PMID# "), doc + 2_000_000, F.lit(", Supporting Information, 2031 and 1998")))
         .when(kind == 3, F.lit("published 2150, 2019"))
-        .when(kind == 4, F.lit("nothing"))
-        .otherwise(F.concat(F.lit("doi 10.99999/x."), doc, F.lit(". Supplementary material 2026")))
+        .when(kind == 4, F.lit("see Supplementary Information for details"))
+        .otherwise(F.concat(F.lit("doi 10.99999/x."), doc, F.lit(". The Supplementary material 2026")))
     )
     files = table(spark, folder, "documents").select(
         "doc_id",
@@ -466,9 +466,15 @@ def entity_link_exact_contains(spark, folder):
     return links.where(F.col("tier") != "fuzzy")
 
 
-@query()
+@query(
+    _NAMES_SQL
+    + """, f AS (
+      SELECT DISTINCT replace(p_name, ' ', '') AS name, 'M:' || p_name AS canonical, 'fuzzy' AS tier FROM part
+      WHERE p_size % 5 = 3 AND 2.0 * (length(p_name) - 1) / (2 * length(p_name) - 1) >= 0.82 AND length(p_name) - length(replace(p_name, ' ', '')) = 1)
+    SELECT * FROM e UNION ALL SELECT * FROM c UNION ALL SELECT * FROM f WHERE name NOT IN (SELECT name FROM e) AND name NOT IN (SELECT name FROM c)"""
+)
 def entity_link(spark, folder):
-    """All three tiers; the fuzzy one is checked against a brute-force comparison in the tests."""
+    """All three tiers.  Names for the fuzzy one lack the blank of their alias, so their similarity is 2(n - 1) / (2n - 1)."""
     return linking.entity_links(_noisy_names(spark, folder), _dictionary(spark, folder))
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from corpuskit.functions import labels as L
 from corpuskit.functions import sentences as S
 from corpuskit.functions import text as X
-from corpuskit.functions.python_udfs import annotate_bundle, protect_terms_udf, restore_terms
+from corpuskit.functions.python_udfs import annotate_bundle, casefold, protect_terms_udf, restore_terms
 from corpuskit.operators import keyed, records, search
 from corpuskit.operators.dictionary import seed_glossary
-from corpuskit.operators.ordered import cut_running_total
+from corpuskit.operators.ordered import bundle_by_length
 from corpuskit.operators.taxonomy import FACET_VALUES, facet_label
 from corpuskit.plans.registry import query
 from corpuskit.sources.tables import table
@@ -25,7 +25,7 @@ DOC_STRIPPED = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
       SELECT p_partkey, ' "' || upper(p_name) || chr(9) || ' ' || repeat(p_type || ' ', p_size) || chr(10) || '(' || p_brand || ').; ' AS raw
       FROM part),
     s AS (SELECT p_partkey, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS s FROM raw)
-    SELECT p_partkey, lower(trim(s, ' .,;:!?()[]{}"''`')) AS norm, substr(s, 1, 160) AS clean, substr(s, 1, 160) AS term
+    SELECT p_partkey, 'identification of dna ' || lower(trim(s, ' .,;:!?()[]{}"''`')) AS norm, 'Identification of DNA ' || s AS clean, s AS term
     FROM s
     """
 )
@@ -36,8 +36,8 @@ def norm_concept(spark, folder):
     )
     return table(spark, folder, "part").select(
         "p_partkey",
-        X.normalize_concept(raw).alias("norm"),
-        X.clean_concept(raw).alias("clean"),
+        X.normalize_concept(F.concat(F.lit(" Identi\ufb01cation of \uff24\uff2e\uff21 "), F.btrim(raw, F.lit(X.CONCEPT_EDGE_CHARS)))).alias("norm"),
+        X.clean_concept(F.concat(F.lit(" Identi\ufb01cation of \uff24\uff2e\uff21 "), raw)).alias("clean"),
         X.single_term(raw).alias("term"),
     )
 
@@ -70,7 +70,7 @@ def norm_match(spark, folder):
     """
     WITH t AS (
       SELECT doc_id, list_transform(string_split(text, chr(10)),
-               lambda l: trim(regexp_replace(replace(lower(l), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))) AS titles
+               lambda l: trim(regexp_replace(replace(lower('Identification of DNA ' || l), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))) AS titles
       FROM documents)
     SELECT doc_id, sha256(array_to_string(titles, '|')) AS norm_hash,
            CAST(len(list_filter(titles, lambda x: length(x) >= 35 AND len(string_split(x, ' ')) >= 5)) AS BIGINT) AS n_credible
@@ -80,7 +80,8 @@ def norm_match(spark, folder):
 def norm_title(spark, folder):
     from corpuskit.operators.identity import is_credible_title
 
-    titles = F.transform(F.split("text", "\n"), lambda t: X.normalize_title(t))
+    lines = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("Identi\ufb01cation of \uff24\uff2e\uff21 "), t))
+    titles = F.transform(X.mapped(X.compatible(lines), casefold), lambda t: X.normalize_title(t, unicode=False))
     docs = table(spark, folder, "documents").select("doc_id", titles.alias("titles"))
     return docs.select(
         "doc_id",
@@ -221,7 +222,7 @@ def keyword_snippet(spark, folder):
     WITH d AS (SELECT doc_id, {DOC_STRIPPED} AS body, source FROM documents),
     t AS (SELECT doc_id, body, body || chr(10) || chr(10) || ' References ' || chr(10) || source AS full_text FROM d),
     c AS (SELECT doc_id, CASE WHEN length(body) + 1 > length(full_text) * 0.55 THEN left(full_text, length(body) + 1) ELSE full_text END AS cut FROM t)
-    SELECT doc_id, CASE WHEN length(cut) <= 2000 THEN sha256(cut)
+    SELECT doc_id, sha256(cut) AS whole_hash, greatest(length(cut) - 2000, 0) AS omitted, CASE WHEN length(cut) <= 2000 THEN sha256(cut)
       ELSE sha256(left(cut, 1360) || chr(10) || chr(10) || '[... middle of paper omitted for request size ...]' || chr(10) || chr(10) || right(cut, 640)) END AS compact_hash
     FROM c
     """
@@ -229,7 +230,12 @@ def keyword_snippet(spark, folder):
 def compact_docs(spark, folder):
     full = F.concat(X.strip("text"), F.lit("\n\n References \n"), "source")
     docs = table(spark, folder, "documents").withColumn("full_text", full)
-    return docs.select("doc_id", F.sha2(X.compact_text("full_text", 2000), 256).alias("compact_hash"))
+    return docs.select(
+        "doc_id",
+        F.sha2(X.compact_text("full_text"), 256).alias("whole_hash"),
+        X.omitted_chars("full_text", 2000).cast("bigint").alias("omitted"),
+        F.sha2(X.compact_text("full_text", 2000), 256).alias("compact_hash"),
+    )
 
 
 @query(
@@ -239,7 +245,7 @@ def compact_docs(spark, folder):
             lambda x: trim(x)), lambda x: x <> '') AS points,
           list_filter(list_transform(string_split(regexp_replace(t, ',\s+([A-Za-z가-힣])', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS clauses
           FROM d)
-    SELECT doc_id, array_to_string(CASE WHEN len(points) <= 1 AND length(t) > 90 THEN clauses[1:4] ELSE points[1:4] END, '|') AS points
+    SELECT doc_id, array_to_string(CASE WHEN len(points) <= 1 AND length(t) > 90 THEN clauses ELSE points END, '|') AS points
     FROM a
     """
 )
@@ -255,7 +261,7 @@ def sentence_points(spark, folder):
             lambda x: trim(x, ' •-' || chr(9))), lambda x: x <> '') AS points,
           list_filter(list_transform(string_split(regexp_replace(t, ',\s+([A-Za-z가-힣])', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS clauses
           FROM d)
-    SELECT conv_id, turn, array_to_string(CASE WHEN len(points) <= 1 AND length(t) > 100 THEN clauses[1:4] ELSE points[1:4] END, '|') AS points
+    SELECT conv_id, turn, array_to_string(CASE WHEN len(points) <= 1 AND length(t) > 100 THEN clauses ELSE points END, '|') AS points
     FROM a
     """
 )
@@ -305,12 +311,24 @@ def chunk_docs_fallback(spark, folder):
     return _chunked(spark, folder, S.FALLBACK_CHUNK_CHARS)
 
 
-@query("SELECT doc_id, TRUE AS same_text FROM documents")
+@query(
+    """
+    WITH p AS (
+      SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'mit license', chr(1), 'g'), 'de la', chr(1), 'g'), 'tion', chr(1), 'g'), 'the', chr(1), 'g') AS t
+      FROM documents)
+    SELECT doc_id, TRUE AS same_text, sha256(t) AS protected_hash, length(t) - length(replace(t, chr(1), '')) AS n_terms FROM p
+    """
+)
 def protect_roundtrip(spark, folder):
-    """Protected and restored text equals the original."""
+    """Protected and restored text equals the original; the protected lower-case text, which holds no symbols of its own, as SQL states it."""
     protect = protect_terms_udf(["the", "MIT License", "tion", "de la"])
-    docs = table(spark, folder, "documents").select("doc_id", "text", protect("text").alias("p"))
-    return docs.select("doc_id", (restore_terms("p.text", "p.terms") == F.col("text")).alias("same_text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", protect("text").alias("p"), protect(F.lower("text")).alias("q"))
+    return docs.select(
+        "doc_id",
+        (restore_terms("p.text", "p.terms") == F.col("text")).alias("same_text"),
+        F.sha2(F.regexp_replace("q.text", "\ue000[\ue010-\ue019]+\ue001", "\x01"), 256).alias("protected_hash"),
+        F.size("q.terms").cast("bigint").alias("n_terms"),
+    )
 
 
 @query(
@@ -507,8 +525,7 @@ def safe_int(spark, folder):
              generate_subscripts(string_split(text, chr(10)), 1) AS pos
       FROM documents),
     k AS (SELECT * FROM l WHERE length(line) >= 2 AND NOT starts_with(line, 'http://') AND NOT starts_with(line, 'https://')),
-    u AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k),
-    c AS (SELECT doc_id, string_agg(left(line, CAST(18000 - used AS BIGINT)), chr(10) ORDER BY pos) AS body FROM u WHERE used < 18000 GROUP BY doc_id)
+    c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM k GROUP BY doc_id)
     SELECT doc_id, sha256(coalesce(body, '')) AS text_hash FROM documents LEFT JOIN c USING (doc_id)
     """
 )
@@ -522,12 +539,14 @@ def collect_text(spark, folder):
     WITH u AS (
       SELECT conv_id, turn, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
       FROM conversations)
-    SELECT conv_id, turn, left(text, CAST(1000 - used AS BIGINT)) AS text FROM u WHERE used < 1000
+    SELECT conv_id, turn, CAST(b AS BIGINT) AS bundle,
+      substr(text, CAST(greatest(b * 1000 - used, 0) AS BIGINT) + 1, CAST(least((b + 1) * 1000 - used, length(text)) - greatest(b * 1000 - used, 0) AS BIGINT)) AS text
+    FROM u, LATERAL (SELECT unnest(range(CAST(used AS BIGINT) // 1000, CAST(greatest(used + length(text) - 1, used) AS BIGINT) // 1000 + 1)) AS b)
     """
 )
 def running_cut(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    return cut_running_total(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / 4), "text", 1000)
+    return bundle_by_length(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / 4), "text", 1000)
 
 
 @query("SELECT doc_id AS paper_key, source AS provider, lang AS language, n_chars AS size_chars FROM documents")

@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 from corpuskit.operators.dictionary import term_counts, top_terms
 from corpuskit.operators.identity import entity_rollup, resolve_identity
 from corpuskit.operators.keyed import dedupe_first, dedupe_last, plan_missing, upsert
-from corpuskit.operators.requests import HINTS_SHOWN, build_stage_requests, parse_responses
+from corpuskit.operators.requests import build_stage_requests, parse_responses
+
+
+# Fixed value: how many methods a request names as hints, the most frequent first.
+HINTS = 25
 
 
 def register_files(files: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
@@ -37,8 +41,10 @@ def missing_requests(
     papers = owned.groupBy("canonical_key").agg(F.min("file_hash").alias("file_hash"))
     todo = plan_missing(papers, "canonical_key", list(instructions), cache, version)
     needed = papers.join(todo, "canonical_key", "left_semi")
-    texts = dedupe_first(files.select("file_hash", "text"), ["file_hash"], ["text"]).join(needed, "file_hash")
-    hints = top_terms(term_counts(texts, terms, "canonical_key"), HINTS_SHOWN, "canonical_key")
+    # papers are matched first, so only their texts move; one file may be listed several times
+    named = files.select("file_hash", "text").join(needed, "file_hash")
+    texts = dedupe_first(named, ["file_hash"], ["text"])
+    hints = top_terms(term_counts(texts, terms, "canonical_key"), HINTS, "canonical_key")
     listed = hints.groupBy("canonical_key").agg(F.array_sort(F.collect_list(F.struct("rank", "canonical"))).alias("h"))
     described = texts.join(listed.select("canonical_key", F.col("h.canonical").alias("hints")), "canonical_key", "left")
     return build_stage_requests(described.join(todo, "canonical_key"), "canonical_key", instructions, hints="hints")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,15 +30,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 @functools.cache
 def _scratch_root() -> str:
-    return tempfile.mkdtemp(prefix="spark-corpuskit-")
+    root = tempfile.mkdtemp(prefix="spark-corpuskit-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The cluster names the shared file system in that setting.  Only where it is unset (local tests) is a scratch folder made.
+    The cluster names the shared file system in that setting.  Only a local master, where driver and executors are one process, may do
+    without it; anywhere else each executor would write to its own disk and a later read would miss the rest.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _scratch_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]-]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master!r})")
+        root = _scratch_root()
     return f"{root.rstrip('/')}/corpuskit/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -30,7 +30,7 @@ METHOD_ENTRIES = (
     "facets map<string, array<string>>, taxonomy_version int, quality_status string, source_model string, hit_count bigint"
 )
 
-# Text tables: work per row is heavy, so a file with too few splits is spread over the cores first.
+# Text tables: work per row is heavy.  Where such a table is one split, it is dealt to the cores; that moves one split at most.
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
@@ -40,9 +40,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows if the input has fewer splits than the cluster has cores; at scale it has more and nothing moves."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of a table that is a single split to the cores.  Anything of two splits or more stays where it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Table at ``path`` with an explicit schema; a missing path is an empty table."""

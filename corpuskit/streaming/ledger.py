@@ -1,6 +1,6 @@
 """Daily usage ledger as a stream.
 
-State is one row per (day, key): it grows with days and models, not with calls, so no watermark is set by default and no late
+State is one row per (day, key): it grows with days and models, not with calls, so no watermark is set and no late
 call is ever dropped.  Each micro-batch writes its changed rows to its own folder; a replayed batch overwrites the same folder, and
 the reader keeps the latest version of each row.
 """
@@ -15,34 +15,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpuskit.operators.keyed import dedupe_last
 from corpuskit.operators.usage import daily_ledger
+from corpuskit.sources.tables import read_or_empty
 
 
-def start_ledger(
-    calls: DataFrame, keys: Sequence[str], state_path: str, checkpoint: str, watermark: str | None = None, ts: str = "ts"
-) -> StreamingQuery:
-    """Update-mode ledger over a stream of calls (``ts, input_tokens, output_tokens, total_tokens`` and the keys).
-
-    With a ``watermark`` old days leave the state; calls later than it are dropped by Spark and counted in
-    ``dropped_late_rows``.
-    """
-    if watermark:
-        calls = calls.withWatermark(ts, watermark)
-        calls = calls.withColumn("__window", F.window(ts, "1 day"))
-        ledger = calls.groupBy("__window", *keys).agg(
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("total_tokens").alias("total_tokens"),
-            F.count("*").alias("calls"),
-        )
-        ledger = ledger.withColumn("day", F.col("__window.start").cast("date")).drop("__window")
-    else:
-        ledger = daily_ledger(calls, ts, keys)
+def start_ledger(calls: DataFrame, keys: Sequence[str], state_path: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
+    """Update-mode ledger over a stream of calls (``ts, input_tokens, output_tokens, total_tokens`` and the keys)."""
 
     def store(changed: DataFrame, batch_id: int) -> None:
         changed.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
 
     return (
-        ledger.writeStream.outputMode("update")
+        daily_ledger(calls, ts, keys)
+        .writeStream.outputMode("update")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -50,12 +34,41 @@ def start_ledger(
     )
 
 
+def start_late_ledger(
+    calls: DataFrame, keys: Sequence[str], state_path: str, checkpoint: str, delay: str, ts: str = "ts"
+) -> StreamingQuery:
+    """Ledger that keeps calls apart which come more than ``delay`` behind the latest call of earlier batches.
+
+    Every batch writes three folders of its own, which a replay overwrites: the ledger of its calls in time, its late calls as they
+    are, and the latest time it saw.  No streaming state is held, and each call is in exactly one of the first two.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = read_or_empty(spark, f"{state_path}/seen", "latest timestamp, batch bigint").where(F.col("batch") < batch_id)
+        latest = seen.agg(F.max("latest")).first()[0]
+        late = F.lit(False)
+        if latest is not None:
+            late = F.coalesce(F.col(ts) < F.lit(latest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        daily_ledger(batch.where(~late), ts, keys).write.mode("overwrite").parquet(f"{state_path}/ledger/batch={batch_id}")
+        batch.where(late).write.mode("overwrite").parquet(f"{state_path}/late/batch={batch_id}")
+        batch.agg(F.max(ts).alias("latest")).write.mode("overwrite").parquet(f"{state_path}/seen/batch={batch_id}")
+
+    return calls.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_late_ledger(spark: SparkSession, state_path: str, keys: Sequence[str]) -> DataFrame:
+    """The ledger of all batches of ``start_late_ledger``."""
+    sums = ("input_tokens", "output_tokens", "total_tokens", "calls")
+    return spark.read.parquet(f"{state_path}/ledger").groupBy("day", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def read_late_calls(spark: SparkSession, state_path: str) -> DataFrame:
+    """The late calls themselves, with the batch that brought them."""
+    return spark.read.parquet(f"{state_path}/late")
+
+
 def read_ledger(spark: SparkSession, state_path: str, keys: Sequence[str]) -> DataFrame:
     """Latest version of each ledger row."""
     versions = spark.read.parquet(state_path).drop("batch")
     return dedupe_last(versions, ["day", *keys], ["version"]).drop("version")
-
-
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Calls the watermark dropped so far."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])

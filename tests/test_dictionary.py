@@ -9,11 +9,11 @@ from corpuskit.operators import dictionary, linking
 
 TERMS = [
     ("PCR", "PCR"), ("qPCR", "qPCR"), ("RT-PCR", "PCR"), ("pcr", "PCR"), ("flow cytometry", "FC"), ("C++", "CPP"), ("-seq", "SEQ"),
-    ("für", "DE"), ("가나", "KO"), ("(a)", "A"), ("IL-6", "IL"), ("++", "PLUS"),
+    ("für", "DE"), ("가나", "KO"), ("(a)", "A"), ("IL-6", "IL"), ("++", "PLUS"), (" α", "ALPHA"), (" +", "BLANK"), ("a a", "AA"), (" x", "X"),
 ]
 TEXTS = [
     "PCR pcr qPCR RT-PCR xPCR PCR2 PCR-PCR", "flow cytometry Flow  cytometry, FLOW CYTOMETRY.", "C++ c++x C++; ++ +++", "RNA-seq ATAC-seq -seq x-seqs",
-    "für FÜR dafür fürür", "가나 가나다 x가나", "(a) (A) b(a)c", "IL-6IL-6 IL-6, IL-60", "", "nothing",
+    "für FÜR dafür fürür", "가나 가나다 x가나", "(a) (A) b(a)c", "IL-6IL-6 IL-6, IL-60", "", "nothing", "TGF-β, α and γ", "x, + y +", "a a a a b", "an x and x",
 ]
 
 
@@ -28,22 +28,19 @@ def expected():
     return out
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_term_counts(spark, monkeypatch, small):
-    monkeypatch.setattr(dictionary, "probe", lambda df, **flags: (small, dict.fromkeys(flags, True)))
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_term_counts(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
     counts = dictionary.term_counts(docs, spark.createDataFrame(TERMS, "alias string, canonical string"))
     assert {(r["doc_id"], r["canonical"]): r["hits"] for r in counts.collect()} == expected()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("size", ["few", "small", "large"])
-@pytest.mark.parametrize("long_texts", [True, False])
-def test_mention_pairs(spark, monkeypatch, size, long_texts):
-    monkeypatch.setattr(dictionary, "FEW_TERMS", 256 if size == "few" else 0)
-    monkeypatch.setattr(dictionary, "probe", lambda df, **flags: (size == "small", dict.fromkeys(flags, True)))
+def test_mention_pairs(spark):
     texts, terms = ["flow cytometry of cells", "if", "stiff", "x", "", "가나다 x\nif"], ["if", "flow", "x", "가나", "cells", "flow cytometry of cells", "q"]
     pairs = dictionary.mention_pairs(
-        spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(t,) for t in terms], "term string"), "id", "t", "term", long_texts
+        spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(t,) for t in terms], "term string"), "id", "t", "term"
     )
     want = {(i, t) for i, x in enumerate(texts) for t in terms if t in x}
     got = [tuple(r) for r in pairs.select("id", "term").collect()]
@@ -62,7 +59,7 @@ def test_protect_and_restore(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", protect("t").alias("p")).select("t", "p.*", restore_terms("p.text", "p.terms").alias("back")).collect()
     assert [r["back"] for r in rows] == texts
     assert {t["original"] for t in rows[0]["terms"]} == {"STAT3", "IL-6", "pSTAT5", "flow cytometry", "12", "cells"}
-    assert len(rows[2]["terms"]) == 251
+    assert len(rows[2]["terms"]) == 300
     spaced = spark.createDataFrame([("\ue000 \ue010 \ue001 x", [("\ue000\ue010\ue001", "PCR")])], "t string, m array<struct<token: string, original: string>>")
     assert spaced.select(restore_terms("t", "m").alias("r")).first()["r"] == "PCR x"
 

@@ -53,10 +53,17 @@ def test_identity_cascade(spark):
     assert got["h"]["canonical_key"] == "sha256:h" and got["h"]["document_kind"] == "supplement"
 
 
-def test_front_matter_windows(spark):
-    df = spark.createDataFrame([("a", "x" * 60000 + " 10.1000/late", "", "")], "file_hash string, text string, title string, filename string")
-    assert identity.resolve_identity(df, 2025).first()["identity_type"] == "doi"
-    assert identity.resolve_identity(df, 2025, identity.FIRST_PAGES).first()["identity_type"] == "sha256"
+def test_supplements_are_named_or_headed(spark):
+    rows = [
+        ("a", "x" * 60000 + " 10.1000/late", "", ""),
+        ("b", "10.1000/own text that ends: see Supplementary Information for details", "", ""),
+        ("c", "10.1000/own\n  S1. Supplementary Information:  \nTable", "", ""),
+        ("d", "10.1000/own", "", "x_Supplementary_Material.pdf"),
+        ("e", "10.1000/own", "Supporting information to a study", ""),
+    ]
+    df = spark.createDataFrame(rows, "file_hash string, text string, title string, filename string")
+    got = {r["file_hash"]: (r["identity_type"], r["document_kind"]) for r in identity.resolve_identity(df, 2025).collect()}
+    assert got == {"a": ("doi", "main"), "b": ("doi", "main"), "c": ("doi", "supplement"), "d": ("doi", "supplement"), "e": ("doi", "supplement")}
 
 
 def test_rollup_reports_conflicts(spark):
@@ -76,12 +83,11 @@ def _archive(spark):
     return concepts, aliases
 
 
-def test_parse_terms_both_ways(spark):
-    raw = spark.createDataFrame([(1, " PCR, pcr.;\nElisa\n,, ;Straße"), (2, None)], "request_id int, raw string")
-    want = [(1, "PCR", "pcr"), (1, "Elisa", "elisa"), (1, "Straße", "strasse")]
-    for unicode in (False, True):
-        got = archive.parse_terms(raw, "raw", "request_id", unicode).orderBy("request_id", "pos").collect()
-        assert [(r["request_id"], r["term"], r["normalized"]) for r in got] == want
+def test_parse_terms(spark):
+    raw = spark.createDataFrame([(1, " PCR, pcr.;\nElisa\n,, ;Straße, \uff30CR"), (2, None), (3, "x" * 400 + "1," + "x" * 400 + "2")], "request_id int, raw string")
+    want = [(1, "PCR", "pcr"), (1, "Elisa", "elisa"), (1, "Straße", "strasse"), (3, "x" * 400 + "1", "x" * 400 + "1"), (3, "x" * 400 + "2", "x" * 400 + "2")]
+    got = archive.parse_terms(raw, "raw", "request_id").orderBy("request_id", "pos").collect()
+    assert [(r["request_id"], r["term"], r["normalized"]) for r in got] == want
 
 
 def test_lookup_splits_hits_and_misses(spark):

@@ -33,10 +33,11 @@ def test_last_known(spark):
     assert got == want
 
 
-def test_cut_running_total(spark):
+def test_first_bundle_is_what_fits_the_budget(spark):
     df = spark.createDataFrame([("a", 0, "xxxx"), ("a", 1, "yyyy"), ("a", 2, "zzzz"), ("b", 0, "q" * 20)], "k string, i int, t string")
-    got = {(r["k"], r["i"]): r["t"] for r in ordered.cut_running_total(df, ["k"], ["i"], F.col("i"), "t", 8).collect()}
-    assert got == {("a", 0): "xxxx", ("a", 1): "yyy", ("b", 0): "q" * 8}
+    rows = ordered.bundle_by_length(df, ["k"], ["i"], F.col("i"), "t", 8).collect()
+    assert {(r["k"], r["i"]): r["t"] for r in rows if r["bundle"] == 0} == {("a", 0): "xxxx", ("a", 1): "yyy", ("b", 0): "q" * 8}
+    assert {(r["k"], r["i"], r["bundle"]): r["t"] for r in rows if r["bundle"]} == {("a", 1, 1): "y", ("a", 2, 1): "zzzz", ("b", 0, 1): "q" * 8, ("b", 0, 2): "q" * 4}
 
 
 def test_pair_in_order_is_guarded(spark):

@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.operators import records, search
+from corpuskit.operators.ordered import bundle_by_length
+from corpuskit.operators.requests import build_requests
 from corpuskit.operators.taxonomy import facet_label, facet_title
 from corpuskit.plans import browsing, reading
 from corpuskit.session import shared_folder, staged
@@ -121,6 +124,34 @@ def test_shared_folder_follows_the_cluster_setting():
         def __init__(self, **settings):
             self.conf = settings
 
-    assert shared_folder(Session(**{"spark.checkpoint.dir": "hdfs:/x/"}), "a").startswith("hdfs:/x/corpuskit/a-")
-    first, second = (shared_folder(Session(), "a") for _ in range(2))
+    cluster = {"spark.master": "spark://host:7077"}
+    assert shared_folder(Session(**cluster, **{"spark.checkpoint.dir": "hdfs:/x/"}), "a").startswith("hdfs:/x/corpuskit/a-")
+    local = {"spark.master": "local[8]"}
+    first, second = (shared_folder(Session(**local), "a") for _ in range(2))
     assert first != second and first.rsplit("/", 2)[0] == second.rsplit("/", 2)[0]
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", ""):
+        with pytest.raises(ValueError):
+            shared_folder(Session(**{"spark.master": master}), "a")
+
+
+def test_long_texts_become_several_requests(spark):
+    text = "0123456789" * 30
+    papers = spark.createDataFrame([("k", text, "core " * 20_000, ["m"] * 40)], "key string, text string, core string, hints array<string>")
+    rows = build_requests(papers, "core", "key", "Read.", text_chars=128, core="core", hints="hints").orderBy("part").collect()
+    assert [(r["part"], r["n_parts"]) for r in rows] == [(0, 3), (1, 3), (2, 3)]
+    assert "".join(r["prompt"].split("PAPER TEXT\n")[1] for r in rows) == text
+    assert all(r["prompt"].count("core ") == 20_000 and r["prompt"].count("m, ") == 39 for r in rows)
+
+
+def test_bundles_keep_the_text(spark):
+    texts = ["a" * 25, "", "b" * 3, "c" * 9, "d" * 40]
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)], "k string, i int, t string")
+    rows = bundle_by_length(df, ["k"], ["i"], F.col("i"), "t", 10).orderBy("i", "bundle").collect()
+    back = {}
+    for r in rows:
+        back[r["i"]] = back.get(r["i"], "") + r["t"]
+    assert [back[i] for i in range(5)] == texts
+    sizes = {}
+    for r in rows:
+        sizes[r["bundle"]] = sizes.get(r["bundle"], 0) + len(r["t"])
+    assert max(sizes.values()) <= 10

@@ -36,16 +36,28 @@ def test_ledger_over_unordered_files_equals_batch(spark, tmp_path):
     assert _cells(ledger.read_ledger(spark, state, ["model"])) == _cells(daily_ledger(spark.read.parquet(source), "ts", ["model"]))
 
 
-def test_watermark_reports_what_it_drops(spark, tmp_path):
+def test_late_calls_are_kept_apart(spark, tmp_path):
     source, state, check = (str(tmp_path / n) for n in ("calls", "state", "check"))
-    for i, days in enumerate(([10], [11], [0])):
-        _calls(spark, days).coalesce(1).write.parquet(f"{source}/part{i}")
-    stream = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    query = ledger.start_ledger(stream, ["model"], state, check, watermark="1 hour")
-    query.awaitTermination()
-    kept = sum(r["calls"] for r in ledger.read_ledger(spark, state, ["model"]).collect())
-    # late rows are merged per group before they are counted, so the report is a lower bound of what is missing
-    assert kept == 15 or ledger.dropped_late_rows(query) > 0
+    _calls(spark, [10, 11]).coalesce(1).write.parquet(f"{source}/part0")
+    for days in ([11, 0], [3]):
+        stream = spark.readStream.schema(CALLS).parquet(f"{source}/*")
+        ledger.start_late_ledger(stream, ["model"], state, check, "1 hour").awaitTermination()
+        _calls(spark, days).coalesce(1).write.parquet(f"{source}/part{days[0]}")
+    stream = spark.readStream.schema(CALLS).parquet(f"{source}/*")
+    ledger.start_late_ledger(stream, ["model"], state, check, "1 hour").awaitTermination()
+    kept, late = ledger.read_late_ledger(spark, state, ["model"]), ledger.read_late_calls(spark, state)
+    assert sum(r["calls"] for r in kept.collect()) == 15 and late.count() == 10
+    in_time = _calls(spark, [10, 11]).union(_calls(spark, [11]))
+    assert _cells(kept) == _cells(daily_ledger(in_time, "ts", ["model"]))
+
+
+def test_late_ledger_falls_back_to_both_token_counts(spark, tmp_path):
+    source, state, check = (str(tmp_path / n) for n in ("calls", "state", "check"))
+    calls = _calls(spark, [1]).withColumn("total_tokens", F.lit(None).cast("bigint"))
+    calls.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(CALLS).parquet(source)
+    ledger.start_late_ledger(stream, ["model"], state, check, "1 hour").awaitTermination()
+    assert _cells(ledger.read_late_ledger(spark, state, ["model"])) == _cells(daily_ledger(calls, "ts", ["model"]))
 
 
 def test_ingest_replay_changes_nothing(spark, tmp_path):

@@ -11,8 +11,9 @@ from corpuskit.functions import text as X
 def test_concepts(one):
     assert one(X.normalize_concept, ' "Flow  Cytometry". ') == "flow cytometry"
     assert one(X.normalize_concept, None) == ""
-    assert one(lambda c: X.normalize_concept(c, True), "ＦＩＣ Straße") == "fic strasse"
-    assert len(one(X.clean_concept, "x " * 200)) == 160
+    assert one(X.normalize_concept, "ＦＩＣ Straße") == "fic strasse"
+    assert one(lambda c: X.normalize_concept(c), "Identi\ufb01cation of \uff24\uff2e\uff21") == "identification of dna"
+    assert len(one(X.clean_concept, "x " * 200)) == 399
     assert one(X.single_term, " a,  b;\nc ") == "a, b; c"
 
 
@@ -48,6 +49,9 @@ def test_cutters(one):
     assert one(X.compact_text, body + "\n  References \nfoo") == body
     assert one(X.compact_text, "References\n" + body).startswith("References")
     assert one(lambda c: X.compact_text(c, 100), "a" * 70 + "b" * 100) == "a" * 68 + X.COMPACT_MARKER + "b" * 32
+    assert one(lambda c: X.omitted_chars(c, 100), "a" * 170) == 70
+    assert one(X.compact_text, "a" * 400_000) == "a" * 400_000
+    assert one(lambda c: X.text_slices(c, 4), "abcdefghij") == ["abcd", "efgh", "ij"] and one(lambda c: X.text_slices(c, 4), None) == [""]
 
 
 def test_predicates(one):
@@ -62,6 +66,7 @@ def test_predicates(one):
     assert one(lambda c: X.inside_parentheses(c, F.lit(6)), "a (b) (c)") is False
     assert one(lambda c: X.inside_parentheses(c, F.lit(7)), "a (b) (c)") is True
     assert one(lambda c: X.followed_by_hangul_note(c, F.lit(3)), "PCR (가)") is True
+    assert one(lambda c: X.followed_by_hangul_note(c, F.lit(3)), "PCR (" + "x" * 500 + "가)") is True
 
 
 def test_numbers(one):
@@ -96,7 +101,8 @@ def test_label_preview(one):
 
 
 def test_points(one):
-    assert one(S.sentence_points, "One. Two! Three? Four. Five.") == ["One.", "Two!", "Three?", "Four."]
+    assert one(S.sentence_points, "One. Two! Three? Four. Five.") == ["One.", "Two!", "Three?", "Four.", "Five."]
+    assert one(lambda c: S.sentence_points(c, 2), "One. Two! Three?") == ["One.", "Two!"]
     long_clause = "first part of a very long sentence without any stop, then a second part, and finally the third"
     assert len(one(S.sentence_points, long_clause)) == 3
     assert one(S.split_points, "- one\n• two\n\n- three") == ["one", "two", "three"]
@@ -115,3 +121,4 @@ def test_collect_text(one):
     make = lambda c: S.collect_text(F.split(c, ","), 9)
     assert one(make, "abcd,x,https://e.org,efgh,ij") == "abcd\nefgh"
     assert one(make, "abcdefghijkl,mn") == "abcdefghi"
+    assert one(lambda c: S.collect_text(F.split(c, ",")), "ab," + "x" * 30_000) == "ab\n" + "x" * 30_000
