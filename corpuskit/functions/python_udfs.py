@@ -1,4 +1,4 @@
-"""The few Arrow UDFs: what Spark's function library lacks, or rewriting whose order matters."""
+"""The few Arrow UDFs: what Spark's function library lacks."""
 
 from __future__ import annotations
 
@@ -102,36 +102,3 @@ def restore_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
         return re.sub(f"{OPEN}\\s*([\ue010-\ue019]+)\\s*{CLOSE}", back, value)
 
     return pd.Series([one(v, t) for v, t in zip(text, terms)], dtype="object")
-
-
-def _annotate_bundle(texts: list[str], glossary: list[dict]) -> list[str]:
-    """Annotate the first eligible occurrence of each term in a bundle of texts, longest surface first."""
-    entries = sorted(
-        (g for g in glossary if g["surface"] and (g["english"] or "").strip()), key=lambda g: -len(g["surface"])
-    )
-    compiled = [(re.compile(re.escape(g["surface"]), re.IGNORECASE), g) for g in entries]
-    done: set[str] = set()
-    out = []
-    for text in texts:
-        if text and not text.startswith(("http://", "https://")):
-            for pattern, g in compiled:
-                key = g["english"].strip().casefold()
-                if key in done:
-                    continue
-                for m in pattern.finditer(text):
-                    if text.rfind("(", 0, m.start()) > text.rfind(")", 0, m.start()):
-                        continue
-                    if not re.match(r"\s*\([^)]*[가-힣][^)]*\)", text[m.end() :]):
-                        shown = g["english"] if re.search("[가-힣]", m.group(0)) else m.group(0)
-                        text = f"{text[: m.start()]}{shown} ({g['local_form']}){text[m.end() :]}"
-                    done.add(key)
-                    break
-        out.append(text)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def annotate_bundle(texts: pd.Series, glossary: pd.Series) -> pd.Series:
-    return pd.Series(
-        [_annotate_bundle(list(t), list(g)) if t is not None and g is not None else t for t, g in zip(texts, glossary)]
-    )

@@ -406,13 +406,14 @@ def ingest_concepts(spark, folder):
 
 @query(
     """
-    WITH n AS (SELECT lower(p_name) AS normalized_name, CASE WHEN starts_with(p_name, 'red') THEN 'old' ELSE sha256(lower(p_name)) END AS cid FROM part),
-    a AS (SELECT DISTINCT lower(p_brand) AS alias_normalized FROM part UNION SELECT DISTINCT lower(p_type) FROM part)
-    SELECT alias_normalized FROM a UNION ALL SELECT 'reserved'
+    WITH o AS (SELECT lower(p_name) AS n, 'old-' || min(p_partkey) AS id FROM part WHERE starts_with(p_name, 'red') GROUP BY 1),
+    a AS (SELECT lower(p_brand) AS alias_normalized, p_partkey, lower(p_name) AS n FROM part UNION ALL SELECT lower(p_type), p_partkey, lower(p_name) FROM part),
+    f AS (SELECT alias_normalized, arg_min(n, p_partkey) AS n FROM a GROUP BY 1)
+    SELECT alias_normalized, coalesce(o.id, sha256(f.n)) AS concept_id FROM f LEFT JOIN o USING (n) UNION ALL SELECT 'reserved', 'x'
     """
 )
 def ingest_aliases(spark, folder):
-    return _ingested(spark, folder)[1].select("alias_normalized")
+    return _ingested(spark, folder)[1].select("alias_normalized", "concept_id")
 
 
 def _ingested(spark, folder):

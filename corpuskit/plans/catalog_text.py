@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corpuskit.functions import labels as L
 from corpuskit.functions import sentences as S
 from corpuskit.functions import text as X
-from corpuskit.functions.python_udfs import annotate_bundle, casefold, protect_terms_udf, restore_terms
+from corpuskit.functions.notes import annotate_texts
+from corpuskit.functions.python_udfs import casefold, protect_terms_udf, restore_terms
 from corpuskit.operators import keyed, records, search
 from corpuskit.operators.dictionary import seed_glossary
 from corpuskit.operators.ordered import bundle_by_length
@@ -674,7 +675,7 @@ def annotate_docs(spark, folder):
     """First mention of each glossary term per document annotated; the lines of a document are one bundle."""
     glossary = [("the", "참조"), ("MIT License", "MIT 라이선스"), ("License", "라이선스"), ("der", "정관사")]
     docs = seed_glossary(table(spark, folder, "documents").select("doc_id", "text"), "text", glossary)
-    lines = annotate_bundle(F.split("text", "\n"), F.col("glossary"))
+    lines = annotate_texts(F.split("text", "\n"), F.col("glossary"))
     return docs.select(
         "doc_id", F.size("glossary").alias("n_terms"), F.sha2(F.array_join(lines, "\n"), 256).alias("annotated_hash")
     )

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpuskit.functions.python_udfs import annotate_bundle, protect_terms_udf, restore_terms
+from corpuskit.functions.notes import annotate_texts
+from corpuskit.functions.python_udfs import protect_terms_udf, restore_terms
 from corpuskit.operators import dictionary, linking
 
 TERMS = [
@@ -69,7 +71,38 @@ def test_annotation(spark):
     texts = ["use qPCR now", "(PCR) then PCR", "https://PCR.org", "ELISA (다) and ELISA", "PCR again"]
     df = spark.createDataFrame([(texts, glossary)], "t array<string>, g array<struct<surface: string, english: string, local_form: string>>")
     # the text behind a longer term counts as annotated for the shorter one
-    assert df.select(annotate_bundle("t", "g").alias("a")).first()["a"] == ["use qPCR (나) now", "(PCR) then PCR", "https://PCR.org", "ELISA (다) and ELISA", "PCR again"]
+    assert df.select(annotate_texts(F.col("t"), F.col("g")).alias("a")).first()["a"] == ["use qPCR (나) now", "(PCR) then PCR", "https://PCR.org", "ELISA (다) and ELISA", "PCR again"]
+
+
+def slow_notes(texts, glossary):
+    """What annotating means, spelled out character by character."""
+    done, out = set(), []
+    for text in texts:
+        for surface, english, local in sorted(glossary, key=lambda g: -len(g[0])):
+            if text.startswith("http") or english.lower() in done:
+                continue
+            depth = [False] * (len(text) + 1)
+            for i, c in enumerate(text):
+                depth[i + 1] = c == "(" or (depth[i] and c != ")")
+            hits = [i for i in range(len(text)) if text[i : i + len(surface)].lower() == surface.lower() and not depth[i]]
+            if hits:
+                i, j = hits[0], hits[0] + len(surface)
+                if not re.match(r"\s*\([^)]*[가-힣][^)]*\)", text[j:]):
+                    text = f"{text[:j]} ({local}){text[j:]}"
+                done.add(english.lower())
+        out.append(text)
+    return out
+
+
+def test_annotation_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    glossary = [("pcr", "PCR", "가"), ("qPCR", "qPCR", "나"), ("b", "B", "다"), ("xb", "b", "라")]
+    cases = [["".join(rng.choice(["pcr", "qPCR", "PCR", " ", "(", ")", "b", "x", "가", "https://b"]) for _ in range(rng.randint(0, 9))) for _ in range(3)] for _ in range(200)]
+    df = spark.createDataFrame([(t, glossary) for t in cases], "t array<string>, g array<struct<surface: string, english: string, local_form: string>>")
+    for row in df.select("t", annotate_texts(F.col("t"), F.col("g")).alias("a")).collect():
+        assert row["a"] == slow_notes(row["t"], glossary), row["t"]
 
 
 def test_fuzzy_links_equal_brute_force(spark):
