@@ -45,25 +45,47 @@ def _tagged_bigrams(c: Column) -> Column:
     return let(listed, tag)
 
 
+def _rare_grams(side: DataFrame, string: str, spread: DataFrame, threshold: float) -> DataFrame:
+    """The grams of each string by which it can be found: its rarest ones, as many as leave too few others for a match.
+
+    A match shares at least t grams with a string of n grams, so one of its rarest n - t + 1 grams is among them; t is least for the shortest partner
+    the threshold allows.
+    """
+    n = F.length(string) - 1
+    partner = F.length(string) * threshold / (2 - threshold)
+    least = F.greatest(F.ceil((1.5 * threshold - 1) * (F.length(string) + partner) - 1.5), F.lit(1))
+    ranked = side.join(spread, "__gram").groupBy(string).agg(F.array_sort(F.collect_list(F.struct("__n", "__gram"))).alias("__g"))
+    return ranked.select(string, F.explode(F.slice("__g", F.lit(1), F.greatest(n - least + 1, F.lit(1)).cast("int"))["__gram"]).alias("__gram"))
+
+
+def fuzzy_candidates(names: DataFrame, aliases: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(name, alias) pairs that share one of the rarest grams of both and whose lengths allow the threshold."""
+    left = names.select("name", F.explode(_tagged_bigrams(F.col("name"))).alias("__gram"))
+    right = aliases.select("alias", F.explode(_tagged_bigrams(F.col("alias"))).alias("__gram"))
+    spread = left.select("__gram").unionAll(right.select("__gram")).groupBy("__gram").agg(F.count("*").alias("__n"))
+    la, lb = F.length("name"), F.length("alias")
+    near = 2 * F.least(la, lb) / (la + lb) >= threshold
+    met = _rare_grams(left, "name", spread, threshold).join(_rare_grams(right, "alias", spread, threshold), "__gram")
+    return met.where(near).select("name", "alias").distinct()
+
+
 def fuzzy_links(names: DataFrame, dictionary: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Closest alias by Ratcliff-Obershelp similarity at or above the threshold; the earliest alias wins ties.
 
     Candidates are exact.  With L characters together and M of them matched, similarity s = 2M / L leaves L - 2M unmatched ones and
     so at most L - 2M + 1 matching blocks; a block of k characters shares k - 1 grams, hence at least
     M - (L - 2M + 1) = 1.5 s L - L - 1 grams are shared.  That is positive for s >= 0.82 from L = 5 on; shorter pairs reach
-    0.82 only when they are equal, which the exact tier has taken.  Pairs below the count never reach the similarity step.
+    0.82 only when they are equal, which the exact tier has taken.  The bound picks the grams that find a pair, and pairs below it never
+    reach the similarity step.
     """
     if threshold < FUZZY_THRESHOLD:
         raise ValueError("candidate blocking is exact only from a threshold of 0.82 on")
     keyed = dictionary.groupBy("alias").agg(F.max_by("canonical", "pos").alias("canonical"), F.min("pos").alias("pos"))
-    left = names.select("name", F.explode(_tagged_bigrams(F.col("name"))).alias("__gram"))
-    right = keyed.select("alias", F.explode(_tagged_bigrams(F.col("alias"))).alias("__gram"))
-    la, lb = F.length("name"), F.length("alias")
-    near = 2 * F.least(la, lb) / (la + lb) >= threshold
-    shared = left.join(right, "__gram").where(near).groupBy("name", "alias").agg(F.count("*").alias("shared"))
+    pairs = fuzzy_candidates(names, keyed.select("alias"), threshold)
+    shared = F.size(F.array_intersect(_tagged_bigrams(F.col("name")), _tagged_bigrams(F.col("alias"))))
     # half a gram of slack keeps rounding on the safe side
-    enough = F.col("shared") >= (1.5 * threshold - 1) * (la + lb) - 1.5
-    scored = shared.where(enough).withColumn("score", gestalt_ratio("name", "alias")).where(F.col("score") >= threshold)
+    enough = shared >= (1.5 * threshold - 1) * (F.length("name") + F.length("alias")) - 1.5
+    scored = pairs.where(enough).withColumn("score", gestalt_ratio("name", "alias")).where(F.col("score") >= threshold)
     best = best_per_key(scored.join(keyed, "alias"), ["name"], [F.desc("score"), F.asc("pos")])
     return best.select("name", "canonical", F.lit("fuzzy").alias("tier"))
 
