@@ -176,7 +176,7 @@ def features(tree: Tree) -> list[tuple[str, ...]]:
         size = "0" if chars == 0 else "short" if chars < 25 else "line" if chars < 100 else "long"
         links = "-" if chars == 0 else "none" if linked == 0 else "some" if 2 * linked < chars else "most"
         up = tree.tag[parent] if parent >= 0 else "#none"
-        out.append((f"tag {tag}", f"up {up}", f"hint {hint}", f"text {size} {links}"))
+        out.append((f"tag {tag}", f"up {tag}<{up}", f"hint {hint}", f"text {size} {links}"))
     return out
 
 
@@ -210,7 +210,7 @@ class Model:
 
     def __init__(self, counts: list[tuple[str, str, int, int]]) -> None:
         n = {(kind, key, y): float(c) for kind, key, y, c in counts}
-        vocabulary = {"tag": len(KNOWN) + 2, "up": len(KNOWN) + 3, "hint": len(HINTS) + 1, "text": 10}
+        vocabulary = {"tag": len(KNOWN) + 2, "up": 120, "hint": len(HINTS) + 1, "text": 10}
         totals = {(g, y): 0.5 * size for g, size in vocabulary.items() for y in LABELS}
         for (kind, key, y), c in n.items():
             if kind == "feature":

@@ -8,6 +8,54 @@ _MORE = "By noon the line was clear. Passengers who had waited since dawn were g
 _LAST = "Whether the new signals will help remains to be seen; the ministry expects a report before winter."
 _SHORT = "Delays are common."
 
+# Boxes that stand around or inside the main text without belonging to it.
+_BOXES = (
+    f'<div class="ad">{_MORE}</div>',
+    f'<div class="advert"><p>{_LAST}</p></div>',
+    f'<aside><h3>{_SHORT}</h3><p>{_LONG}</p></aside>',
+    f'<div class="related"><a href="/r">{_LAST}</a></div>',
+    f'<section class="comments"><h2>{_SHORT}</h2><div class="comment"><p>{_LONG}</p></div><p>{_SHORT}</p></section>',
+    f'<div id="comments"><p>{_LAST}</p></div>',
+    f'<ol class="comment-list"><li><p>{_MORE}</p></li></ol>',
+    f'<form action="/go"><label>{_SHORT}</label><p>{_SHORT}</p><button>Go</button></form>',
+    f'<div class="cookie-notice"><p>{_LONG}</p></div>',
+    f'<div class="popup"><h3>{_SHORT}</h3><p>{_LAST}</p></div>',
+    f'<div role="dialog"><p>{_MORE}</p></div>',
+    f'<div role="alert">{_LONG}</div>',
+    f'<div class="newsletter-signup"><h3>{_SHORT}</h3><p>{_MORE}</p></div>',
+    f'<div class="banner">{_SHORT}</div>',
+    f'<div class="share"><a href="/s">{_SHORT}</a></div>',
+    f'<div class="sidebar"><ul><li>{_MORE}</li></ul></div>',
+    f'<nav><ul><li><a href="/n">{_SHORT}</a></li></ul></nav>',
+    f'<footer><p>{_LAST}</p></footer>',
+)
+_WRAPS = (
+    ('<article data-content="1">', "</article>"),
+    ('<main data-content="1">', "</main>"),
+    ('<div class="content" data-content="1">', "</div>"),
+    ('<section data-content="1">', "</section>"),
+    ('<div data-content="1">', "</div>"),
+    ('<main><article data-content="1">', "</article></main>"),
+    ('<div role="main" data-content="1">', "</div>"),
+    ('<div class="container"><div class="entry-content" data-content="1">', "</div></div>"),
+)
+
+
+def _boxed(k: int, box: str) -> str:
+    """A page with one box in front of, inside and behind the main text."""
+    start, end = _WRAPS[k % len(_WRAPS)]
+    inside = box.replace(">", ' data-content="0">', 1)
+    return f"<html><body>{box}{start}<h1>{_SHORT}</h1><p>{_LONG}</p>{inside}<h2>{_SHORT}</h2><p>{_SHORT}</p><ul><li>{_LAST}</li></ul><blockquote>{_MORE}</blockquote><table><tr><td>{_SHORT}</td></tr></table>{end}{box}</body></html>"
+
+
+def _bare(k: int, box: str) -> str:
+    """A page whose main text has no element of its own, with boxes around it."""
+    start, end = (("", ""), ("<div>", "</div>"), ('<div class="wrapper">', "</div>"))[k % 3]
+    tags = (("h1", _SHORT), ("p", _LONG), ("h2", _SHORT), ("p", _SHORT), ("p", _MORE), ("blockquote", _LAST), ("p", _LAST))
+    text = "".join(f'<{t} data-content="1">{body}</{t}>' for t, body in tags)
+    return f'<html><body>{box}{start}{text}<ul data-content="1"><li>{_SHORT}</li><li>{_LAST}</li></ul><table data-content="1"><tr><td>{_SHORT}</td></tr></table>{end}{box}</body></html>'
+
+
 PAGES = (
     f"""<html><head><title>Trains</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul></nav>
     <div class="ad">Buy cheap tickets now, today only.</div><article data-content="1"><h1>Late trains</h1><p><b>{_LONG}</b></p><p>{_MORE}</p><p>{_SHORT}</p></article>
@@ -45,4 +93,6 @@ PAGES = (
     f"""<body><aside class="ad"><p>{_LONG}</p></aside><nav>{_MORE}</nav><article data-content="1"><h1>Tea</h1>{_LONG}<p>{_MORE}</p></article><div class="comments"><p>{_LONG}</p><p>{_SHORT}</p></div><form>{_LAST}</form><footer>{_MORE}</footer></body>""",
     f"""<body><header><p>{_LAST}</p><h2>Weekly Rail</h2></header><p data-content="1">{_MORE}</p><p data-content="1">{_LONG}</p><h2 data-content="1">Then</h2><p data-content="1">{_SHORT}</p><p data-content="1">{_LAST}</p><footer>{_LONG}</footer></body>""",
     f"""<body><h1 data-content="1">Notes</h1><p data-content="1">{_SHORT}</p><p data-content="1">{_LONG}</p><ul data-content="1"><li>{_SHORT}</li><li>{_LAST}</li></ul><p data-content="1">{_MORE}</p><p data-content="1">{_SHORT}</p></body>""",
+    *(_boxed(k, box) for k, box in enumerate(_BOXES)),
+    *(_bare(k, box) for k, box in enumerate(_BOXES[::2])),
 )
