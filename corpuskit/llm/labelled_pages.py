@@ -56,6 +56,13 @@ def _bare(k: int, box: str) -> str:
     return f'<html><body>{box}{start}{text}<ul data-content="1"><li>{_SHORT}</li><li>{_LAST}</li></ul><table data-content="1"><tr><td>{_SHORT}</td></tr></table>{end}{box}</body></html>'
 
 
+def _nested(k: int, box: str) -> str:
+    """A boxed page whose body lies in several layers of plain elements, as many sites are built."""
+    layers = 2 + k % 9
+    opened = "".join(f'<div class="layer{i}">' if i % 2 else "<div>" for i in range(layers))
+    return _boxed(k, box).replace("<body>", f"<body>{opened}", 1).replace("</body>", "</div>" * layers + "</body>")
+
+
 PAGES = (
     f"""<html><head><title>Trains</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul></nav>
     <div class="ad">Buy cheap tickets now, today only.</div><article data-content="1"><h1>Late trains</h1><p><b>{_LONG}</b></p><p>{_MORE}</p><p>{_SHORT}</p></article>
@@ -95,4 +102,5 @@ PAGES = (
     f"""<body><h1 data-content="1">Notes</h1><p data-content="1">{_SHORT}</p><p data-content="1">{_LONG}</p><ul data-content="1"><li>{_SHORT}</li><li>{_LAST}</li></ul><p data-content="1">{_MORE}</p><p data-content="1">{_SHORT}</p></body>""",
     *(_boxed(k, box) for k, box in enumerate(_BOXES)),
     *(_bare(k, box) for k, box in enumerate(_BOXES[::2])),
+    *(_nested(k, box) for k, box in enumerate(_BOXES)),
 )
