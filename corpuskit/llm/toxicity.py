@@ -25,7 +25,7 @@ from corpuskit.llm.common import fresh, id_fold
 
 BITS = 20
 SAMPLE = 8_000
-CACHE = 500_000
+CACHE = 200_000
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&"
 SCHEMA = "feature int, weight double"
 STEMS = (4, 5)
