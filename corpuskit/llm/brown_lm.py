@@ -62,6 +62,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, suffix int, n bigint").groupBy("word", "suffix").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame) -> DataFrame:
+    """(word, n) of at most ``FREQUENT`` words, the most frequent ones down to a bin of counts that would exceed the limit.
+
+    Bins hold counts that agree in their leading six bits, so there are a few hundred of them whatever the corpus, and no task has to rank all words.
+    """
+    bits = F.greatest(F.length(F.bin("n")).cast("int") - 6, F.lit(0))
+    binned = counts.withColumn("low", F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), bits), bits))
+    total, least = 0, 1 << 62
+    for row in sorted(binned.groupBy("low").count().collect(), key=lambda r: -r["low"]):
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        least = row["low"]
+    return counts.where(F.col("n") >= least).select("word", "n")
+
+
 class Model:
     """What tasks need: ids of frequent words, the unit of each id and the class of each unit.
 
@@ -175,8 +191,8 @@ def score_documents(docs: DataFrame, text: str = "text", classes: int = CLASSES,
     ends = training.count()
     facts = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     total, distinct = facts["n"] + ends, facts["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").collect()
-    model = Model([bytes(r["word"]) for r in top], [r["n"] for r in top], classes)
+    top = sorted(((bytes(r["word"]), r["n"]) for r in frequent_words(counts).collect()), key=lambda x: (-x[1], x[0]))
+    model = Model([w for w, _ in top], [n for _, n in top], classes)
     ids = stage_ids(docs, model, text)
     for _ in range(rounds):
         model.of_unit = exchange(*neighbours(ids, model), model.of_unit, classes)
