@@ -27,8 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group of near duplicates stays: Jaccard 0.8 or more over five-word shingles."""
+    return simhash_dedup.keep_one(docs, width=5, similar=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -61,7 +61,7 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    groups = simhash_dedup.group_documents(table(spark, folder, "documents"))
+    groups = simhash_dedup.group_documents(table(spark, folder, "documents"), width=4, radius=4, similar=None)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
