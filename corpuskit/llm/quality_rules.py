@@ -1,14 +1,16 @@
 """Quality rules whose cutoffs are chosen under a controlled risk.
 
-Measures of a text grow with junk.  For each stratum (language) and measure, cutoffs of a fixed grid are tested on labelled good documents:
-a cutoff is valid if the exact binomial test rejects "it would drop more than ``risk`` of the good documents" (the Clopper-Pearson upper bound
-of the share that it drops lies below ``risk``).  Tests of one measure run from the laxest cutoff to stricter ones and stop at the first failure
-(fixed-sequence testing), so a measure costs one test level; the levels of all strata and measures share ``error`` by Bonferroni.  The risk
-of a stratum is shared by its measures.  With probability at least ``1 - error``, therefore, no stratum loses more than ``risk`` of its good documents,
-whichever valid cutoffs are used.  Used is the one that separates bad from good best (share of bad dropped minus share of good dropped; the laxest
-of equals), and none where that gain is below ``LEAST_GAIN``.  Strata whose holdout is too small for any valid cutoff keep everything.
-
-Counts come from all labelled rows: measures are aggregated to a histogram per stratum and measure, and only the histogram reaches a task.
+Measures of a text grow with junk.  Each stratum (language) has one nested family of rules; a rule is a cutoff for every measure, and each rule drops all
+that the laxer ones drop.  A value's odds are the share of labelled bad documents at or above it by the share of unlabelled documents there (a uniform
+pseudo-document is added, so that odds exist without any); a rule drops what reaches its odds in some measure, and rules run from high odds to low.
+The family doesn't depend on the labelled good documents.  On them, rules are tested from the laxest to stricter ones up to the first failure
+(fixed-sequence testing): a rule is valid if the exact binomial test rejects "it drops more than ``risk`` of the good documents" (the Clopper-Pearson
+upper bound of the share that it drops lies below ``risk``).  A stratum costs one test level; strata share ``error`` by Bonferroni.  With probability at least
+``1 - error``, therefore, no stratum loses more than ``risk`` of its good documents, whichever valid rules are used.  Used is the one that separates
+bad from good best (share of bad dropped minus share of good dropped; the laxest of equals), and none without gain.  Strata whose holdout is too
+small for any valid rule (four strata at the defaults: below 217 good documents) keep everything.
+
+Counts come from all rows: measures are aggregated to histograms, then labelled rows to counts per rule; only these reach a task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from corpuskit.session import staged
 MEASURES = ("symbols", "repeats", "dup_lines", "capitals", "bangs", "pipes")
 GRID = 200  # measures lie in 0..1 and are cut to multiples of 1 / GRID
 MAX_STRATA = 1000
-LEAST_GAIN = 0.05
 
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 _FIELDS = BASE + ", " + ", ".join(f"{m} int" for m in MEASURES)
@@ -120,47 +121,78 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 
 
 def valid_cutoffs(dropped: list[int], n: int, risk: float, level: float) -> list[int]:
-    """The valid cutoffs, laxest first.  ``dropped[c]``: how many of n good documents have a measure above c, for c from 0 to GRID - 1."""
+    """The valid cutoffs, laxest first.  ``dropped[c]``: how many of n good documents cutoff c drops; the last is the laxest."""
     valid = []
-    for cutoff in range(GRID - 1, -1, -1):
+    for cutoff in range(len(dropped) - 1, -1, -1):
         if n == 0 or binomial_cdf(dropped[cutoff], n, risk) > level:
             break
         valid.append(cutoff)
     return valid
 
 
+def rule_family(bad: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, int]:
+    """(first rule that drops each value, number of rules) from histograms (measures, GRID + 1) of bad and of unlabelled documents.
+
+    Rules are numbered from the laxest; a value that none drops has the number of rules.
+    """
+    above = lambda h: np.cumsum(h[:, ::-1], axis=1)[:, ::-1]
+    even = 1 - np.arange(GRID + 1) / (GRID + 1)
+    odds = above(bad) / np.maximum(1, bad.sum(axis=1, keepdims=True)) * (other.sum(axis=1, keepdims=True) + 1) / (above(other) + even)
+    odds[:, 0] = 0  # no rule drops the least value
+    odds = np.maximum.accumulate(odds, axis=1)
+    steps = np.unique(odds[odds > 0])[::-1]
+    return np.where(odds > 0, np.searchsorted(-steps, -odds), len(steps)).astype(np.int32), len(steps)
+
+
 def fit_cutoffs(labelled: DataFrame, stratum: str, good: str, measured: str, risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """(stratum, measure, cutoff, n_good, dropped): one row per stratum and measure that has a valid cutoff.
+    """(stratum, measure, cutoff, n_good, dropped): one row per stratum with a valid useful rule and measure that the rule cuts.
 
-    ``labelled`` holds the stratum, a boolean ``good`` and the struct ``measured``.  Rows with a null label are left out; a null stratum is one of its own.
+    ``labelled`` holds the stratum, a boolean ``good`` and the struct ``measured``; ``dropped`` counts good rows that the whole rule drops.  Rows with a
+    null label only shape the family of rules; a null stratum is one of its own.
     """
-    stats = labelled.where(F.col(good).isNotNull()).select(
-        F.col(stratum).cast("string").alias("stratum"),
-        F.col(good).alias("good"),
-        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{measured}.{m}").alias("value")) for m in MEASURES])).alias("m"),
-    )
-    counts = stats.groupBy("stratum", F.col("m.measure").alias("measure"), F.col("m.value").alias("value")).agg(
-        F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad")
-    )
-    strata = counts.select("stratum").distinct().count()
-    if strata > MAX_STRATA:
-        raise ValueError(f"{strata} labelled strata; at most {MAX_STRATA} are allowed")
-    level, share = error / max(1, strata * len(MEASURES)), risk / len(MEASURES)
+    values = [F.col(f"{measured}.{m}").alias(m) for m in MEASURES]
+    rows = staged(labelled.select(F.col(stratum).cast("string").alias("stratum"), F.col(good).alias("good"), *values), "measures")
+    marked = rows.where("good IS NOT NULL")
+    strata = marked.select("stratum").distinct()
+    number = strata.count()
+    if number > MAX_STRATA:
+        raise ValueError(f"{number} labelled strata; at most {MAX_STRATA} are allowed")
+    level = error / max(1, number)
+
+    cells = rows.where("good IS NULL OR NOT good").select("stratum", "good", F.posexplode(F.array(*MEASURES)).alias("m", "value"))
+    counts = cells.groupBy("stratum", "m", "value").agg(F.count("good").alias("n_bad"), F.count_if(F.col("good").isNull()).alias("n_other"))
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((2, len(MEASURES), GRID + 1))
+        for k, kind in enumerate(("n_bad", "n_other")):
+            np.add.at(held[k], (pdf["m"].to_numpy(), pdf["value"].to_numpy()), pdf[kind].to_numpy())
+        firsts, rules = rule_family(*held)
+        return pd.DataFrame({"of": [pdf["stratum"].iloc[0]], "firsts": [firsts.ravel().tolist()], "rules": [rules]})
+
+    families = staged(counts.groupBy("stratum").applyInPandas(make, "of string, firsts array<int>, rules int").where("rules > 0"), "rules")
+    first = F.least(*[F.get("firsts", F.lit(k * (GRID + 1)) + F.col(m)) for k, m in enumerate(MEASURES)])
+    known = marked.join(families, F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", "good", first.alias("rule"))
+    dropped = known.groupBy("stratum", "rule").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        above = {}
+        firsts, rules = np.array(pdf["firsts"].iloc[0]).reshape(len(MEASURES), GRID + 1), int(pdf["rules"].iloc[0])
+        held = {}
         for kind in ("n_good", "n_bad"):
-            held = np.zeros(GRID + 1, dtype=np.int64)
-            np.add.at(held, pdf["value"].to_numpy(), pdf[kind].to_numpy())
-            above[kind] = (held.sum() - np.cumsum(held)).tolist(), int(held.sum())
-        (good_above, n), (bad_above, bad) = above["n_good"], above["n_bad"]
-        gain = lambda c: bad_above[c] / max(1, bad) - good_above[c] / max(1, n)
-        cutoff = max(valid_cutoffs(good_above, n, share, level), key=lambda c: (gain(c), c), default=None)
-        useful = cutoff is not None and gain(cutoff) >= LEAST_GAIN
-        rows = [(pdf["stratum"].iloc[0], pdf["measure"].iloc[0], cutoff, n, good_above[cutoff])] if useful else []
-        return pd.DataFrame(rows, columns=["stratum", "measure", "cutoff", "n_good", "dropped"])
-
-    return counts.groupBy("stratum", "measure").applyInPandas(choose, "stratum string, measure string, cutoff int, n_good bigint, dropped bigint")
+            held[kind] = np.zeros(rules + 1, dtype=np.int64)
+            np.add.at(held[kind], pdf["rule"].to_numpy(), pdf[kind].to_numpy())
+        n, bad = int(held["n_good"].sum()), int(held["n_bad"].sum())
+        good_out, bad_out = (np.cumsum(held[kind])[:rules].tolist() for kind in ("n_good", "n_bad"))
+        gain = lambda r: bad_out[r] / max(1, bad) - good_out[r] / max(1, n)
+        valid = [rules - 1 - c for c in valid_cutoffs(good_out[::-1], n, risk, level)]
+        rule = max(valid, key=lambda r: (gain(r), -r), default=None)
+        out = []
+        if rule is not None and gain(rule) > 0:
+            kept = (firsts > rule).sum(axis=1) - 1  # firsts never rise along a measure, so this is its largest kept value
+            out = [(pdf["stratum"].iloc[0], m, int(c), n, good_out[rule]) for m, c in zip(MEASURES, kept, strict=True) if c < GRID]
+        return pd.DataFrame(out, columns=["stratum", "measure", "cutoff", "n_good", "dropped"])
+
+    tested = dropped.join(families, F.col("stratum").eqNullSafe(F.col("of"))).drop("of")
+    return tested.groupBy("stratum").applyInPandas(choose, "stratum string, measure string, cutoff int, n_good bigint, dropped bigint")
 
 
 def base_failed(measured: str) -> Column:
@@ -183,12 +215,13 @@ def passes(cutoffs: DataFrame, stratum: Column, measured: str) -> Column:
 
 
 def fit_on_labels(measured: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """Cutoffs from (doc_id, stratum, measured) rows and ``labels`` (doc_id, quality); only documents that pass the base count.
+    """Cutoffs from (doc_id, stratum, measured) rows and ``labels`` (doc_id, quality); only documents that pass the base count.  Unlabelled documents count only for
+    the family of rules.
 
-    A document with several labels is good only if all are 1; null labels and ids are left out.  An empty ``labels`` gives no cutoffs.
+    A document with several labels is good only if all are 1; null labels and ids count as none.  An empty ``labels`` gives no cutoffs.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    return fit_cutoffs(measured.where(~base_failed("measured")).join(marks, "doc_id"), "stratum", "good", "measured", risk, error)
+    return fit_cutoffs(measured.where(~base_failed("measured")).join(marks, "doc_id", "left"), "stratum", "good", "measured", risk, error)
 
 
 RESULTS = [f.split()[0] for f in BASE.split(", ")] + ["base_failed", "kept"]

@@ -102,6 +102,27 @@ def test_quality_learns_a_cutoff_and_keeps_good(spark):
     assert quality_rules.keep_good(docs, labels).count() == 3000
 
 
+def test_quality_filters_strata_with_few_labels(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), ("de", "es", "fr", "en")[i % 4]) for i in range(4 * 250)]
+    rows += [(10_000 + i, " ".join(f"w{i}x{k}##" for k in range(60)), ("de", "es", "fr", "en")[i % 4]) for i in range(40)]
+    rows += [(20_000 + i, " ".join(f"v{i}x{k}" for k in range(60)), "it") for i in range(150)]
+    rows += [(30_000 + i, " ".join(f"v{i}x{k}##" for k in range(60)), "it") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = docs.select("doc_id", ((F.col("doc_id") < 10_000) | F.col("doc_id").between(20_000, 29_999)).cast("int").alias("quality"))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_table(docs, labels).collect()}
+    assert all(got[i] == (i < 10_000 or i >= 20_000) for i in got)  # 150 good documents of "it" allow no rule
+
+
+def test_rule_family_is_nested_and_lax_rules_come_first():
+    bad, other = np.zeros((2, 6, quality_rules.GRID + 1))
+    bad[:, 0], other[:, 0] = 10, 1000
+    bad[0, :], other[0, 0] = 0, 990
+    bad[0, 50], other[0, 50], bad[1, 0], bad[1, 3], other[1, 0], other[1, 3] = 10, 10, 5, 5, 500, 500
+    firsts, rules = quality_rules.rule_family(bad, other)
+    assert (np.diff(firsts, axis=1) <= 0).all() and (firsts[:, 0] == rules).all() and (firsts[2:] == rules).all()
+    assert firsts[0, 50] == 0 and 0 < firsts[1, 3] < rules
+
+
 def test_quality_edges(documents, nothing, marks):
     out = quality_rules.judge_quality(documents, marks)
     assert out.count() == documents.count() and set(documents.columns) <= set(out.columns)
