@@ -18,6 +18,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -345,10 +346,30 @@ def group_documents(docs: DataFrame, text: str = "text", width: int = 5, radius:
     return rows.join(names, "root").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: the one with the least doc_id (one of them if the id repeats).  Rows with a null doc_id all stay."""
-    grouped = group_documents(docs, text, **options)
-    key = fresh(docs, "s_keep")
-    winners = grouped.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(winners, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_one(
+    docs: DataFrame, text: str = "text", width: int = 5, radius: int = RADIUS, bands: int = BANDS, tile: int = TILE, similar: float | None = SIMILAR
+) -> DataFrame:
+    """``docs`` with exactly one row of each component of ``group_documents``: the one with the least doc_id, null last, then the least key.
+
+    Only ids that repeat or are null leave open which row is meant; keys are made again from the texts of just those rows.
+    """
+    grouped = staged(_grouped(docs, text, width, radius, bands, tile, similar), "grouped")
+    known, held, won = fresh(docs, "s_keep"), fresh(docs, "s_key"), fresh(docs, "s_won")
+    uses = grouped.groupBy(F.col("doc_id").alias("id")).agg((F.col("id").isNull() | (F.count("*") > 1)).alias("open"))
+    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("w"))
+    winners = least.select(F.col("w.doc_id").alias(known), F.col("w.key").alias(won)).join(uses, F.col(known).eqNullSafe(F.col("id")))
+    winners = staged(winners.select(known, won, "open"), "winners")
+    plain = docs.join(winners.where("not open").select(known), F.col("doc_id") == F.col(known), "left_semi")
+
+    def key(raw: bytes | None) -> int:
+        return fingerprint(raw, width) if similar is None else set_key(shingles(raw, width))
+
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([key(t) for t in texts], dtype=np.uint64).view(np.int64))
+
+    keys.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    unclear = winners.where("open").select(known, won)
+    rows = docs.join(unclear.select(known).distinct(), F.col("doc_id").eqNullSafe(F.col(known)), "left_semi")
+    rows = rows.withColumn(held, F.pandas_udf(keys, "bigint").asNondeterministic()(F.col(text).cast("binary")))
+    rows = rows.join(unclear, F.col("doc_id").eqNullSafe(F.col(known)) & (F.col(held) == F.col(won)), "left_semi")
+    return plain.unionByName(rows.dropDuplicates(["doc_id", held]).drop(held))

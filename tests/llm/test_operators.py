@@ -206,6 +206,15 @@ def test_groups_and_survivors(documents, nothing):
     assert simhash_dedup.group_documents(nothing).count() == 0 and simhash_dedup.keep_one(nothing).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"width": 4, "radius": 4, "similar": None}])
+def test_one_row_of_each_component_with_odd_ids(spark, options):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, c), (None, a), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"] or "") for r in simhash_dedup.keep_one(docs, **options).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (None, c), (9, "")], key=str)
+
+
 # packing
 
 
