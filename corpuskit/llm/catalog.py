@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import ann_forest, brown_lm, html_extract, labelled_pages, mixing, packing, quality_rules, simhash_dedup, token_files, toxicity, url_filter
+from corpuskit.llm import (
+    ann_forest,
+    block_search,
+    brown_lm,
+    collocations,
+    html_extract,
+    labelled_pages,
+    mixing,
+    packing,
+    quality_rules,
+    simhash_dedup,
+    spelling_groups,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from corpuskit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +161,62 @@ def op10_brown_language_model(spark: SparkSession, folder: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     labelled = spark.createDataFrame([(p,) for p in labelled_pages.PAGES], "html string")
     return html_extract.extract_pages(table(spark, folder, "pages"), html_extract.fit(labelled))
+
+
+@query
+def op11_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups.group_spellings(table(spark, folder, "documents"))
+
+
+@query
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return block_search.top_scores(table(spark, folder, "embeddings"))
+
+
+ORACLES["op12_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), placed AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM placed, range(1, 4) r(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), n AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), held AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN held h ON c.k = 2 AND c.lang = h.lang AND c.phrase = h.phrase WHERE h.longer IS NULL OR 100 * h.longer < 50 * c.a
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, s.cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM kept c JOIN range(1, 3) s(cut) ON s.cut < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:s.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[s.cut + 1:], ' ')
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM worst JOIN n USING (lang) QUALIFY rank <= 2000
+"""
