@@ -1,9 +1,10 @@
 """Dictionary terms in full text: whole-word counts, substring mentions, first mentions, seed glossary.
 
 Texts never meet the whole dictionary.  A term and a text are compared only if they share a block: for whole-word terms the
-longest run of letters and digits (it must occur as a whole token), for substring terms their rarest gram of three characters.
+longest run of letters and digits (it must occur as a whole token), for substring terms a token that holds their longest piece, found among the distinct tokens
+of all texts by the piece's rarest gram of three characters.
 There is one plan for every size: blocks of the texts, without the texts, are joined with the dictionary (Spark broadcasts it where it is
-small), candidates are gathered per text, and each text is joined once.
+small), and texts are joined only where a candidate must be verified.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import fold, let, lower_keeping_edges
 from corpuskit.operators.ordered import top_k
+from corpuskit.session import staged
 
 TOKEN_SPLIT = "[^a-z0-9]+"
 NO_SYMBOL = r"[a-z0-9\s]+"
@@ -142,29 +144,66 @@ def grams(text: Column, n: int = GRAM) -> Column:
     return F.when(F.length(text) >= n, overlapping).otherwise(F.filter(F.array(text), lambda t: t != ""))
 
 
-def _all_grams(text: Column) -> Column:
-    """Distinct grams of one to GRAM characters."""
-    return F.array_distinct(F.concat(*[grams(text, n) for n in range(1, GRAM + 1)]))
+def _anchor(term: Column) -> Column:
+    """The longest piece of a term between blanks (the first of equals), and whether the term ends there to the left and to the right."""
+    pieces = F.split(term, " ")
+
+    def longest(ps: Column) -> Column:
+        rated = F.transform(ps, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("before"), p.alias("piece")))
+        return F.array_max(rated)
+
+    best = let(pieces, longest)
+    return F.struct(best["piece"].alias("piece"), (best["before"] == 0).alias("first"), (F.size(pieces) - 1 == -best["before"]).alias("last"))
+
+
+def _holding(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(token, piece, first, last) where a token of a text can hold the piece: as a whole token inside a term, as its end where the term begins, as its
+    beginning where the term ends, anywhere if the term is one piece.
+
+    A piece is filed under its rarest gram: of its grams of three characters (a shorter piece is its own gram) the one that the fewest tokens hold.
+    """
+    named = pieces.where("piece != ''")
+    parts = named.select("piece").distinct().select("piece", F.explode(grams(F.col("piece"))).alias("__gram"))
+    lengths = [r["n"] for r in parts.select(F.length("__gram").alias("n")).distinct().collect()]  # GRAM values at most
+    cut = F.array_distinct(F.concat(*[F.when(F.length("token") >= n, grams(F.col("token"), n)).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)] or [F.array().cast("array<string>")]))
+    filed = vocabulary.select("token", F.explode(cut).alias("__gram"))
+    uses = filed.join(parts.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    rated = parts.join(uses, "__gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("gram"))).alias("__r"))
+    rarest = rated.where("__r.n > 0").select(F.col("__r.gram").alias("__gram"), "piece")  # a gram that no token holds rules the piece out
+    met = filed.join(rarest.join(named, "piece"), "__gram")
+    token, piece = F.col("token"), F.col("piece")
+    holds = (
+        F.when(F.col("first") & F.col("last"), F.contains(token, piece))
+        .when(F.col("first"), F.endswith(token, piece))
+        .when(F.col("last"), F.startswith(token, piece))
+        .otherwise(token == piece)
+    )
+    blank = pieces.where("piece = ''").select(F.lit("").alias("token"), "piece", "first", "last")
+    return met.where(holds).select("token", "piece", "first", "last").unionByName(blank)
 
 
 def mention_pairs(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term: str) -> DataFrame:
-    """(text id, term row) wherever the term is a substring of the text.  Both sides already normalised.
+    """(text id, term row) wherever the term is a substring of the text.  Both sides already normalised; blank terms are left out if empty.
 
-    A term is filed under its rarest gram: of its grams of three characters (a shorter term is its own gram) the one that the fewest texts hold.
-    A term with a gram that no text holds matches nothing.  Candidates are verified in the text itself.
+    Texts are cut at blanks into tokens, and terms are compared with the distinct tokens of all texts, never with the texts: what stands between
+    the blanks of a term must be a whole token, what stands before or after them the end or the beginning of one.  A term of one piece is found with its
+    token; a term of several is filed under its longest piece and verified in the texts that hold it.
     """
     needles = terms.where(F.col(term) != "")
-    words = needles.select(F.col(term).alias("__term")).distinct()
-    hay = texts.select(text_id, F.col(text).alias("__text"))
-    blocks = hay.select(text_id, F.explode(_all_grams(F.col("__text"))).alias("__gram"))
-    parts = words.select("__term", F.explode(grams(F.col("__term"))).alias("__gram"))
-    spread = blocks.join(parts.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
-    rated = parts.join(spread, "__gram", "left").groupBy("__term").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("gram"))).alias("__r"))
-    filed = rated.where("__r.n > 0").select(F.col("__r.gram").alias("__gram"), "__term")
-    listed = blocks.join(filed, "__gram").groupBy(text_id).agg(F.collect_list("__term").alias("__terms"))
-    held = let(F.col("__text"), lambda x: F.filter("__terms", lambda t: F.contains(x, t)))
-    found = listed.join(hay, text_id).select(text_id, F.explode(held).alias("__term")).distinct()
-    return found.join(needles, F.col("__term") == F.col(term)).drop("__term")
+    anchors = needles.select(F.col(term).alias("__term")).distinct().select("__term", _anchor(F.col("__term")).alias("a")).select("__term", "a.*")
+    hay = texts.select(text_id, F.col(text).alias("__text")).where("__text IS NOT NULL")
+    # an empty token stands for the blanks themselves, for terms of nothing else
+    cut = let(F.split("__text", " "), lambda ts: F.array_distinct(F.when(F.size(ts) > 1, F.concat(ts, F.array(F.lit("")))).otherwise(ts)))
+    tokens = hay.select(text_id, F.explode(cut).alias("token"))
+    held = _holding(tokens.select("token").distinct(), anchors.select("piece", "first", "last").distinct())
+    whole = F.col("first") & F.col("last")
+    postings = staged(held.join(anchors, ["piece", "first", "last"]).select("token", "__term", whole.alias("whole")), "mention-postings")
+    found = tokens.join(postings.where("whole"), "token").select(text_id, "__term")
+    several = postings.where("NOT whole")
+    if not several.isEmpty():
+        candidates = tokens.join(several, "token").select(text_id, "__term").distinct()
+        found = found.union(candidates.join(hay, text_id).where(F.contains("__text", "__term")).select(text_id, "__term"))
+    return found.distinct().join(needles, F.col("__term") == F.col(term)).drop("__term")
 
 
 def first_mentions(texts: DataFrame, terms: Sequence[str], text_id: str, text: str) -> DataFrame:

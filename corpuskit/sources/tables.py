@@ -30,8 +30,9 @@ METHOD_ENTRIES = (
     "facets map<string, array<string>>, taxonomy_version int, quality_status string, source_model string, hit_count bigint"
 )
 
-# Text tables: work per row is heavy.  Where such a table is one split, it is dealt to the cores; that moves one split at most.
+# Text tables: work per row is heavy, and a table of few row groups would keep most cores idle.
 TEXT_TABLES = ("documents", "pages", "conversations")
+FEW_FILES = 16
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,9 +40,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def row_groups(df: DataFrame) -> int | None:
+    """Number of row groups, from the footers of a Parquet table of at most ``FEW_FILES`` files; None where there are more."""
+    files = df.inputFiles()
+    if len(files) > FEW_FILES:
+        return None
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    total = 0
+    for name in files:
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        total += reader.getRowGroups().size()
+        reader.close()
+    return total
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table that is a single split to the cores.  Anything of two splits or more stays where it is."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    """Deal the rows of a Parquet table that has few files and fewer row groups than there are cores.  A row group is read by one task, however many
+    splits its file has; so this moves at most some ``FEW_FILES`` files, once, and leaves every other table where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    groups = row_groups(df)
+    return df if groups is None or groups >= cores else df.repartition(cores)
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Table at ``path`` with an explicit schema; a missing path is an empty table."""
@@ -52,6 +73,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
             return spark.createDataFrame([], schema)
         raise
 
+
 def write_state(state: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
     """Store a new table state in a new folder.  An existing folder is an error: states are never written over their input."""
     writer = state.write.mode("errorifexists").format(fmt)
