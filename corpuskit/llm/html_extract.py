@@ -31,8 +31,12 @@ _WORD = re.compile(r"[a-z]+")
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript iframe svg math object audio video canvas title textarea select".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+HIDDEN = frozenset("script style template iframe title textarea select".split())
+RAW = {tag: re.compile(f"</{tag}(?![a-z0-9:-])", re.I) for tag in ("script", "style", "iframe", "title", "textarea")}  # hold text only, up to their end tag
+FOREIGN = frozenset(("math", "svg"))  # all elements inside stand in the line
+INLINE = frozenset(
+    "a abbr audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math noscript object q s samp small span strike strong sub sup svg time tt u var video".split()
+)
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -86,24 +90,26 @@ def hint_of(attrs: str) -> str:
 
 def parse(page: str) -> Tree:
     tree = Tree()
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the tree element each belongs to
-    block = links = at = 0
-    low = None
+    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the tree element each belongs to, -1 in a hidden one
+    block = links = at = foreign = 0
 
     def text(raw: str) -> None:
+        node = stack[-1][1]
+        if node < 0:
+            return
         if raw and not raw.isspace():
-            node = stack[-1][1]
             raw = html.unescape(raw) if "&" in raw else raw
             tree.pieces.append((node, block, raw))
             tree.chars[node] += len(raw)
             if links:
                 tree.linked[node] += len(raw)
         elif raw:
-            tree.pieces.append((stack[-1][1], block, " "))
+            tree.pieces.append((node, block, " "))
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, foreign
         links -= sum(tag == "a" for tag, _ in stack[depth:])
+        foreign -= sum(tag in FOREIGN for tag, _ in stack[depth:])
         del stack[depth:]
 
     position = 0
@@ -119,21 +125,24 @@ def parse(page: str) -> Tree:
                 if stack[depth][0] == name:
                     close(depth)
                     break
-            block += name not in INLINE
+            block += not (foreign or name in INLINE)
             continue
         if name == "br":
             text(" ")
             continue
         attrs = found["attrs"]
-        if name in HIDDEN:
-            if not attrs.rstrip().endswith("/"):
-                low = page.lower() if low is None else low
-                stop = low.find(f"</{name}", at) if len(low) == len(page) else page.find(f"</{name}", at)
-                stop = len(page) if stop < 0 else stop
-                over = page.find(">", stop)
-                at = position = len(page) if over < 0 else over + 1
+        if attrs.rstrip().endswith("/") and (foreign or name in HIDDEN or name in FOREIGN):
             continue
-        block += name not in INLINE
+        if name in RAW and not (foreign and name == "title"):
+            stop = RAW[name].search(page, at)
+            if stop or name in ("script", "style", "iframe"):  # these last to the end of the page if nothing ends them, the others no longer than their parent
+                over = page.find(">", stop.end()) if stop else -1
+                at = position = len(page) if over < 0 else over + 1
+                continue
+        if foreign and name in CLOSES_P:  # a block ends a formula or drawing that is still open
+            close(next(depth for depth, (tag, _) in enumerate(stack) if tag in FOREIGN))
+        inline = foreign or name in INLINE
+        block += not inline
         if name in VOID:
             continue
         if name in CLOSES_P:
@@ -153,8 +162,8 @@ def parse(page: str) -> Tree:
                     if name not in ("tr",):
                         break
         hint = hint_of(attrs) if attrs else "none"
-        node = stack[-1][1]
-        if name not in INLINE or hint not in ("none", "main"):
+        node = -1 if name in HIDDEN and not foreign else stack[-1][1]
+        if node >= 0 and (not inline or hint not in ("none", "main")):
             mark = _LABEL.search(attrs) if "data-content" in attrs else None
             tree.parent.append(node)
             tree.tag.append(name if name in KNOWN else "other")
@@ -164,6 +173,7 @@ def parse(page: str) -> Tree:
             tree.linked.append(0)
             node = len(tree.tag) - 1
         links += name == "a"
+        foreign += name in FOREIGN
         stack.append((name, node))
     text(page[at:])
     return tree
