@@ -43,7 +43,7 @@ class WordIds(dict):
     """Packed ids of each white-space separated word, kept between texts of a Python worker and emptied when they grow too many.
 
     For tokenizers that lower-case, drop white space and split letters from punctuation (``_by_word``), the ids of a text are those of its words in turn.
-    Words are then filed in lower case, except near special tokens, whose case counts; punctuation behind letters or digits is filed apart; and
+    Words of ASCII are then filed in lower case, except near special tokens, whose case counts; punctuation behind letters or digits is filed apart; and
     words of plain Latin letters, which normalising and splitting leave as they are, go to the tokenizer's model directly.  Other tokenizers get whole texts.
     """
 
@@ -61,7 +61,8 @@ class WordIds(dict):
         if word.isalpha() and word.islower():  # ASCII letters, the most frequent case
             value = self._known(word.decode())
         else:
-            low = word if b"|" in word else word.lower()
+            # with other characters a capital may compose with a mark in lower case only, which normalising, before lower-casing, doesn't do
+            low = word.lower() if word.isascii() and b"|" not in word else word
             apart = None if b"|" in low else _TAIL.fullmatch(low)
             if apart:
                 value = self[apart[1]] + self[apart[2]]
