@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm.common import n_words, prefix
+from corpuskit.session import staged
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -67,20 +68,26 @@ def _draw(first: Column, k: int) -> Column:
     return (first + k / DRAWS) % 1.0
 
 
-def _placed(docs: DataFrame, p: str, text: str, source: str, tie: Column | None) -> DataFrame:
-    """``docs`` plus size, source, source_size, target, rate and place in the order of the source, under the prefix ``p``."""
+def _placed(docs: DataFrame, p: str, words: Column, source: str, tie: Column | None, drawn: DataFrame | None = None) -> DataFrame:
+    """``docs`` plus size, source, source_size, target, rate and place in the order of the source, under the prefix ``p``; and the offset, if ``drawn`` has them.
+
+    What belongs to a source reaches its rows by their bucket, so that no row is ever dealt by its source alone.
+    """
     size, group, part, hashed, origin, order = (f"{p}{c}" for c in ("size", "class", "part", "hash", "source", "tie"))
     id_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumns({size: n_words(F.col(text)).cast("bigint"), hashed: id_hash, origin: F.col(source), order: F.lit(0) if tie is None else tie})
+    rows = docs.withColumns({size: words.cast("bigint"), hashed: id_hash, origin: F.col(source), order: F.lit(0) if tie is None else tie})
     rows = rows.withColumns({group: size_class(F.col(size)), part: F.conv(F.substring(hashed, 1, 2), 16, 10).cast("int")})
     bucket = [origin, group, part]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum(size).alias("words"))
     totals = counts.groupBy(F.col(origin).alias("source")).agg(F.sum("words").alias("source_size"))
     before = Window.partitionBy(origin).orderBy(group, part).rowsBetween(Window.unboundedPreceding, -1)
     places = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    known = places.join(source_targets(totals), F.col(origin).eqNullSafe(F.col("source"))).select(
-        *[F.col(c).alias(f"{c}_b") for c in bucket], *[F.col(c).alias(f"{p}{c}") for c in ("before", "source_size", "target")]
-    )
+    known = places.join(source_targets(totals), F.col(origin).eqNullSafe(F.col("source")))
+    carried = ["before", "source_size", "target"]
+    if drawn is not None:
+        known = known.join(drawn, F.col(origin).eqNullSafe(F.col("drawn")))
+        carried.append("offset")
+    known = known.select(*[F.col(c).alias(f"{c}_b") for c in bucket], *[F.col(c).alias(f"{p}{c}") for c in carried])
     match = F.lit(True)
     for c in bucket:
         match = match & F.col(c).eqNullSafe(F.col(f"{c}_b"))
@@ -90,14 +97,22 @@ def _placed(docs: DataFrame, p: str, text: str, source: str, tie: Column | None)
 
 
 def _offsets(placed: DataFrame, p: str, seed: str) -> DataFrame:
-    """(source, offset): of each source's draws, the one whose words come nearest to the target, the first of equals."""
+    """(drawn, offset): of each source's draws, the one whose words come nearest to the target, the first of equals."""
     size, origin, target, place, rate = (F.col(f"{p}{c}") for c in ("size", "source", "target", "place", "rate"))
     first = F.col("first")
     rows = placed.select(origin.alias("source"), size.alias("size"), target.alias("target"), place.alias("place"), rate.alias("rate"), _first_offset(seed, origin).alias("first"))
     sums = [F.sum(_copies(F.col("place"), F.col("rate"), _draw(first, k)) * F.col("size")).alias(f"t{k}") for k in range(DRAWS)]
     taken = rows.groupBy("source", "first").agg(F.first("target").alias("target"), *sums)
     tried = [F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), _draw(first, k).alias("offset")) for k in range(DRAWS)]
-    return taken.select(F.col("source").alias(f"{p}drawn"), F.array_min(F.array(*tried))["offset"].alias(f"{p}offset"))
+    return taken.select(F.col("source").alias("drawn"), F.array_min(F.array(*tried))["offset"].alias("offset"))
+
+
+def _mixed(docs: DataFrame, p: str, words: Column, source: str, seed: str, tie: Column | None) -> DataFrame:
+    drawn = _offsets(_placed(docs, p, words, source, None), p, seed)
+    out = _placed(docs, p, words, source, tie, drawn)
+    crossed = _copies(F.col(f"{p}place"), F.col(f"{p}rate"), F.col(f"{p}offset")).cast("bigint")
+    out = out.withColumn(f"{p}copies", crossed).withColumn(f"{p}taken", F.col(f"{p}copies") * F.col(f"{p}size"))
+    return out.select(*docs.columns, *[f"{p}{c}" for c in ("size", "source_size", "target", "copies", "taken")])
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: str = "mix", tie: Column | None = None) -> tuple[DataFrame, str]:
@@ -107,16 +122,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: str =
     documents.  Reruns agree; rows equal in id, source and size may swap places unless ``tie`` orders them.
     """
     p = prefix(docs, "m")
-    drawn = _offsets(_placed(docs.select("doc_id", text, source), p, text, source, None), p, seed)
-    placed = _placed(docs, p, text, source, tie)
-    out = placed.join(drawn, F.col(f"{p}source").eqNullSafe(F.col(f"{p}drawn")))
-    crossed = _copies(F.col(f"{p}place"), F.col(f"{p}rate"), F.col(f"{p}offset")).cast("bigint")
-    out = out.withColumn(f"{p}copies", crossed).withColumn(f"{p}taken", F.col(f"{p}copies") * F.col(f"{p}size"))
-    return out.select(*docs.columns, *[f"{p}{c}" for c in ("size", "source_size", "target", "copies", "taken")]), p
+    return _mixed(docs, p, n_words(F.col(text)), source, seed, tie), p
 
 
 def emit(docs: DataFrame, text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    mixed, p = mix(docs, text, source, seed, tie=F.xxhash64(F.col(text)))
-    emitted = mixed.where(F.col(f"{p}copies") > 0)
-    return emitted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(f"{p}copies"))).alias(f"{p}copy")).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Numbers are drawn on narrow rows (id, source, size, key), and the copies of a key are brought to the texts in the only exchange of texts.  The key names
+    id, source and text; the copies of rows that agree in all three are shared out evenly among them.
+    """
+    p = prefix(docs, "m")
+    key, held, copies = f"{p}key", f"{p}held", f"{p}copies"
+    named = F.md5(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col(source).alias("s"), F.xxhash64(text).alias("t"))).cast("binary"))
+    narrow = staged(docs.select("doc_id", F.col(source).alias("source"), n_words(F.col(text)).cast("bigint").alias("words"), named.alias(key)), "mix-sizes")
+    mixed = _mixed(narrow, p, F.col("words"), "source", seed, F.col(key))
+    taken = mixed.groupBy(key).agg(F.count("*").alias(held), F.sum(copies).alias(copies)).where(F.col(copies) > 0)
+    met = docs.withColumn(key, named).join(taken, key)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    share = F.floor(F.col(copies) / F.col(held)) + F.when(place <= F.col(copies) % F.col(held), 1).otherwise(0)
+    shared = met.withColumn(copies, share).where(F.col(copies) > 0)
+    return shared.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(f"{p}copy")).select(*docs.columns)
