@@ -293,7 +293,20 @@ def stream_archive(spark, folder):
     """Concepts that a stream added to an archive: each once, stored ones never."""
     base = table(spark, folder, "part").where("p_type = 'PROMO' AND p_size = 1").select(F.lower("p_name").alias("normalized_name"))
     rows = _stream(spark, folder, "part").select(F.lower("p_name").alias("normalized_name"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("brand"))
-    schema = "normalized_name string, pos bigint, brand string"
-    state, check = shared_folder(spark, "archive-state"), shared_folder(spark, "archive-checkpoint")
-    ingest.start_ingest(rows, base, "normalized_name", ["pos"], state, check, schema).awaitTermination()
-    return ingest.read_added(spark, state, schema)
+    archive = ingest.open_archive(spark, shared_folder(spark, "archive-state"), "normalized_name string, pos bigint, brand string", "normalized_name", base)
+    ingest.start_ingest(rows, archive, ["pos"], shared_folder(spark, "archive-checkpoint")).awaitTermination()
+    return ingest.read_added(archive)
+
+
+@query(_LEDGER_SQL + """SELECT strftime(day, '%Y-%m-%d') AS day, * EXCLUDE (day) FROM g""")
+def stream_ledger_window(spark, folder):
+    """The ledger as event-time windows behind a watermark, upserted into a bucketed table; no call of the table is later than the delay."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    out = F.when(F.col("event_type") != "signup", F.floor("value").cast("bigint")).otherwise(0)
+    model = F.when(F.col("event_type") == "view", "Click-mini").otherwise(F.col("event_type"))
+    calls = _stream(spark, folder, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), model.alias("model"), k.alias("input_tokens"), out.alias("output_tokens"), (k + out).alias("total_tokens")
+    )
+    days = ledger.window_table(spark, shared_folder(spark, "window-ledger"), ["model"])
+    ledger.start_window_ledger(calls, ["model"], days, shared_folder(spark, "window-checkpoint"), "40 days").awaitTermination()
+    return days.read().withColumn("day", F.col("day").cast("string"))

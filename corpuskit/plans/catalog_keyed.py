@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators import archive, identity, keyed, linking
 from corpuskit.plans.registry import query
+from corpuskit.session import shared_folder
+from corpuskit.sources.buckets import BucketedTable
 from corpuskit.sources.tables import table
 
 AS_OF_YEAR = 2025
@@ -101,30 +103,49 @@ def key_lookup(spark, folder):
     return keyed.point_read(table(spark, folder, "customer"), "c_custkey", 77, ["c_custkey", "c_name", "c_acctbal"])
 
 
-@query(
-    """
+_UPSERT_SQL = """
     WITH last AS (SELECT o_custkey AS k, arg_max(o_totalprice, {'a': o_orderdate, 'b': o_orderkey}) AS bal FROM orders GROUP BY 1),
     u AS (SELECT k, bal, NULL AS name FROM last UNION ALL SELECT s_suppkey + 10000000, s_acctbal, s_name FROM supplier)
     SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(c_name, 'new') AS c_name, coalesce(c_nationkey, -1) AS c_nationkey,
       CASE WHEN k IS NOT NULL THEN bal ELSE c_acctbal END AS c_acctbal, CASE WHEN k IS NOT NULL THEN 'TOUCHED' ELSE c_mktsegment END AS c_mktsegment
     FROM customer FULL OUTER JOIN u ON c_custkey = k
-    """
-)
-def upsert_customers(spark, folder):
+"""
+
+
+def _latest_balances(spark, folder):
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey"
     )
-    latest = keyed.dedupe_last(orders, ["c_custkey"], ["o_orderdate", "o_orderkey"]).select("c_custkey", "c_acctbal")
-    suppliers = table(spark, folder, "supplier").select(
-        (F.col("s_suppkey") + 10_000_000).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal")
-    )
-    return keyed.upsert(
-        table(spark, folder, "customer"),
-        latest.unionByName(suppliers),
-        ["c_custkey"],
-        defaults={"c_name": F.lit("new"), "c_nationkey": F.lit(-1)},
-        touch={"c_mktsegment": F.lit("TOUCHED")},
-    )
+    return keyed.dedupe_last(orders, ["c_custkey"], ["o_orderdate", "o_orderkey"]).select("c_custkey", "c_acctbal")
+
+
+def _supplied(spark, folder):
+    return table(spark, folder, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+
+
+def _set():
+    """Defaults of new rows and what every written row gets."""
+    return {"c_name": F.lit("new"), "c_nationkey": F.lit(-1)}, {"c_mktsegment": F.lit("TOUCHED")}
+
+
+@query(_UPSERT_SQL)
+def upsert_customers(spark, folder):
+    updates = _latest_balances(spark, folder).unionByName(_supplied(spark, folder))
+    return keyed.upsert(table(spark, folder, "customer"), updates, ["c_custkey"], *_set())
+
+
+@query(_UPSERT_SQL)
+def upsert_buckets(spark, folder):
+    """The same upsert in three commits of a table that is stored in buckets of its key; each commit rewrites only the buckets it touches."""
+    customers = table(spark, folder, "customer")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in customers.schema)
+    stored = BucketedTable(spark, shared_folder(spark, "customers"), schema, ["c_custkey"])
+    stored.create(customers)
+    balances = _latest_balances(spark, folder)
+    rich = F.col("c_acctbal") > 100_000
+    for version, updates in enumerate((_supplied(spark, folder), balances.where(rich), balances.where(~rich)), 1):
+        stored.upsert(updates, version, version - 1, *_set())
+    return stored.read()
 
 
 @query(

@@ -1,7 +1,7 @@
 """Concept-archive ingest as a stream: insert-if-absent, exactly once.
 
-A batch sees the stored base table plus the folders of earlier batches, and writes the rows it adds to its own folder.  A replayed
-batch sees the same and writes the same.
+The archive is a table in buckets of its key (``sources.buckets``).  A batch reads only the buckets that its rows fall into and adds its new rows to them, so
+its cost does not depend on the number of batches before it.  Batch i makes version i + 1 from version i; replayed, it makes the same again.
 """
 
 from __future__ import annotations
@@ -10,33 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpuskit.operators.keyed import dedupe_first
-from corpuskit.sources.tables import read_or_empty
+from corpuskit.sources.buckets import BucketedTable
 
+BATCH = "batch"
 
-def read_added(spark: SparkSession, state_path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows added by the stream, optionally only by batches before ``before``."""
-    rows = read_or_empty(spark, state_path, f"{schema}, batch bigint")
-    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
+def open_archive(spark: SparkSession, path: str, schema: str, key: str, base: DataFrame, buckets: int = 64) -> BucketedTable:
+    """The archive at ``path``, made from ``base`` (what was stored before; columns it lacks are null) where there is none."""
+    archive = BucketedTable(spark, path, f"{schema}, {BATCH} bigint", [key], buckets)
+    if archive.latest() is None:
+        archive.create(base.dropDuplicates([key]))
+    return archive
 
-def add_batch(
-    batch: DataFrame, batch_id: int, base: DataFrame, key: str, order: list[str], state_path: str, schema: str
-) -> None:
+
+def add_batch(batch: DataFrame, batch_id: int, archive: BucketedTable, order: list[str]) -> None:
     """Store the rows of one batch whose key is new."""
-    spark = batch.sparkSession
-    first = dedupe_first(batch, [key], order)
-    known = base.select(key).unionByName(read_added(spark, state_path, schema, batch_id).select(key))
-    new = first.join(known, key, "left_anti")
-    new.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+    archive.insert(batch.withColumn(BATCH, F.lit(batch_id).cast("bigint")), order, batch_id + 1, batch_id)
+
+
+def read_added(archive: BucketedTable) -> DataFrame:
+    """Rows that the stream added."""
+    return archive.read().where(F.col(BATCH).isNotNull()).drop(BATCH)
 
 
-def start_ingest(
-    rows: DataFrame, base: DataFrame, key: str, order: list[str], state_path: str, checkpoint: str, schema: str
-) -> StreamingQuery:
-    """Stream ``rows`` (columns of ``schema``) into the archive; ``base`` holds what was stored before."""
+def start_ingest(rows: DataFrame, archive: BucketedTable, order: list[str], checkpoint: str) -> StreamingQuery:
+    """Stream ``rows`` (columns of the archive) into the archive."""
     return (
-        rows.writeStream.foreachBatch(lambda df, i: add_batch(df, i, base, key, order, state_path, schema))
+        rows.writeStream.foreachBatch(lambda df, i: add_batch(df, i, archive, order))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
