@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -55,40 +56,50 @@ PROTECTED = T.StructType(
 )
 
 
-def protect_terms_udf(terms: list[str]):
-    """UDF text -> (text with placeholders, placeholder table).
+_SYMBOL = re.compile(SYMBOL)
+
+
+def protect_text(text: str | None, terms: Iterable[str]) -> dict:
+    """The text with placeholders, and the placeholder table.
 
     Longest given terms first, then the symbols of the text itself.  Placeholders consist of private-use characters only, so
     no term can match inside one and restoring is exact.
     """
-    given = sorted({t for t in terms if t and len(t) >= 2}, key=lambda t: (-len(t), t))
-    symbol = re.compile(SYMBOL)
+    table: list[dict] = []
+    if not text or re.search(f"[{OPEN}{CLOSE}]", text):  # a text that uses our marks itself is left alone
+        return {"text": text or "", "terms": table}
 
-    def one(text: str | None):
-        table: list[dict] = []
-        if not text or re.search(f"[{OPEN}{CLOSE}]", text):  # a text that uses our marks itself is left alone
-            return {"text": text or "", "terms": table}
+    def put(match: re.Match) -> str:
+        token = OPEN + str(len(table)).translate(TO_MARK) + CLOSE
+        table.append({"token": token, "original": match.group(0)})
+        return token
 
-        def put(match: re.Match) -> str:
-            token = OPEN + str(len(table)).translate(TO_MARK) + CLOSE
-            table.append({"token": token, "original": match.group(0)})
-            return token
+    out = text
+    given = sorted({t for t in terms if t and len(t) >= 2}, key=lambda t: (-len(t), t))
+    for term in given + list(dict.fromkeys(_SYMBOL.findall(text))):
+        out = re.sub(re.escape(term), put, out, flags=re.IGNORECASE)
+    return {"text": out, "terms": table}
 
-        out = text
-        for term in given + list(dict.fromkeys(symbol.findall(text))):
-            out = re.sub(re.escape(term), put, out, flags=re.IGNORECASE)
-        return {"text": out, "terms": table}
+
+def protect_terms_udf(terms: list[str]):
+    """UDF text -> ``protect_text`` with the same terms for all texts."""
 
     @F.pandas_udf(PROTECTED)
     def protect(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(v) for v in s], columns=["text", "terms"])
+        return pd.DataFrame([protect_text(v, terms) for v in s], columns=["text", "terms"])
 
     return protect
 
 
+@F.pandas_udf(PROTECTED)
+def protect_listed(text: pd.Series, terms: pd.Series) -> pd.DataFrame:
+    """``protect_text`` with the terms listed for each text: those that it holds, from a dictionary of any size."""
+    return pd.DataFrame([protect_text(v, ts) for v, ts in zip(text, terms)], columns=["text", "terms"])
+
+
 @F.pandas_udf(T.StringType())
 def restore_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
-    """Put the originals back; blanks that a translator inserts inside a placeholder are tolerated."""
+    """Put the originals back; blanks inside a placeholder, which a translator inserts or a cut between chunks leaves, are tolerated."""
 
     def one(value, table):
         if value is None or table is None or len(table) == 0:
@@ -96,9 +107,9 @@ def restore_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
         originals = [row["original"] for row in table]
 
         def back(match: re.Match) -> str:
-            index = int(match.group(1).translate(FROM_MARK))
-            return originals[index] if index < len(originals) else match.group(0)
+            number = "".join(match.group(1).split()).translate(FROM_MARK)
+            return originals[int(number)] if number and int(number) < len(originals) else match.group(0)
 
-        return re.sub(f"{OPEN}\\s*([\ue010-\ue019]+)\\s*{CLOSE}", back, value)
+        return re.sub(f"{OPEN}([\\s\ue010-\ue019]+){CLOSE}", back, value)
 
     return pd.Series([one(v, t) for v, t in zip(text, terms)], dtype="object")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.labels import figure_order_keys
 from corpuskit.functions.text import fold, normalize_method_name
+from corpuskit.operators.dictionary import mention_pairs
 from corpuskit.operators.ordered import top_k
+from corpuskit.session import staged
 
 RESULTS_SHOWN = 20
 
@@ -51,6 +53,48 @@ def rank_matches(
     return top_k(scored, ["query"], [F.asc("tier"), fold(name).asc(), F.asc(name)], k, rank="rank")
 
 
+PREFIX = 3
+
+
+def _described(methods: DataFrame, name: str) -> DataFrame:
+    """(name, norm, norms of the aliases, blob) per method."""
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    blob = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.array_join(aliases, " "), F.coalesce("category", F.lit("")), F.coalesce("parent_method", F.lit("")))
+    return methods.select(
+        F.col(name).alias("__name"), normalize_method_name(name).alias("norm"), F.transform(aliases, lambda a: normalize_method_name(a)).alias("alias_norms"), fold(blob).alias("blob")
+    )
+
+
+def rank_matches_table(methods: DataFrame, queries: DataFrame, k: int = RESULTS_SHOWN, name: str = "name", query: str = "query") -> DataFrame:
+    """``rank_matches`` for a table of queries: (query, name, tier, rank), the k best methods of every distinct query.
+
+    The tiers are a cascade of joins.  Names and aliases that equal or begin with the query are found by their first ``PREFIX`` characters; only queries
+    that these leave short of k methods look for names and descriptions that contain them, by ``mention_pairs``.  Neither step compares all queries with all
+    methods; each task keeps its k best per query before ranks are dealt out.  Names are unique; a null query or name takes no part.
+    """
+    described = staged(_described(methods.where(F.col(name).isNotNull()), name), "search-methods")
+    asked = staged(queries.select(F.col(query).alias("query"), normalize_method_name(query).alias("__norm")).where("query IS NOT NULL AND __norm != ''").distinct(), "search-queries")
+    keys = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(PREFIX)), lambda n: F.left(s, n)))
+    strings = described.select("__name", F.col("norm").alias("string"), F.lit(0).alias("add")).union(
+        described.select("__name", F.explode("alias_norms").alias("string"), F.lit(1))
+    )
+    filed = strings.where("string != ''").select("*", F.explode(keys(F.col("string"))).alias("__key"))
+    begun = asked.withColumn("__key", F.left("__norm", F.lit(PREFIX))).join(filed, "__key").where(F.startswith("string", F.col("__norm")))
+    tier = F.when(F.col("string") == F.col("__norm"), 0).otherwise(2) + F.col("add")
+    first = begun.groupBy("query", "__name").agg(F.min(tier).alias("tier"))
+    first = staged(top_k(first, ["query"], [F.asc("tier"), fold("__name").asc(), F.asc("__name")], k), "search-first")
+
+    enough = first.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = asked.join(enough, "query", "left_anti")
+    norms = short.select("__norm").distinct()
+    inside = mention_pairs(described.select("__name", "norm"), norms, "__name", "norm", "__norm").select("__name", "__norm", F.lit(4).alias("tier"))
+    blobs = mention_pairs(described.select("__name", "blob"), norms, "__name", "blob", "__norm").select("__name", "__norm", F.lit(5).alias("tier"))
+    later = short.join(inside.union(blobs), "__norm").select("query", "__name", "tier")
+    best = first.unionByName(later).groupBy("query", "__name").agg(F.min("tier").alias("tier"))
+    ranked = top_k(best, ["query"], [F.asc("tier"), fold("__name").asc(), F.asc("__name")], k, rank="rank")
+    return ranked.select("query", F.col("__name").alias(name), "tier", "rank")
+
+
 def scoped_search(papers: DataFrame, keyword: str, scope: str = "both", figures_only: bool = False) -> DataFrame:
     """Papers whose title and / or figure captions hold the keyword; adds ``matching_figures``.
 

@@ -342,6 +342,31 @@ def rank_search(spark, folder):
     return search.rank_matches(_methods(spark, folder), _QUERIES)
 
 
+@query(
+    """
+    WITH m AS (SELECT upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2) AS name,
+        max(p_brand) AS b, min(p_type) AS category, max(p_type) AS parent FROM part GROUP BY p_name),
+    n AS (SELECT name, lower(name) AS nn, lower(split_part(name, ' ', 2)) || ' ' || lower(b) AS a1, lower(b) AS a2,
+            lower(name || ' ' || split_part(name, ' ', 2) || '-' || b || ' ' || b || ' ' || category || ' ' || parent) AS blob FROM m),
+    q AS (SELECT DISTINCT query, trim(regexp_replace(lower(query), '[\s_/-]+', ' ', 'g')) AS q FROM (
+        SELECT p_name AS query FROM part UNION SELECT upper(left(p_name, CAST(1 + p_size % 7 AS INT))) FROM part UNION SELECT substr(p_name, 2, CAST(1 + p_partkey % 5 AS INT)) FROM part
+        UNION SELECT p_brand FROM part UNION SELECT right(p_type, 3) || '_' FROM part)),
+    s AS (SELECT query, name, CAST(CASE WHEN nn = q THEN 0 WHEN a1 = q OR a2 = q THEN 1 WHEN starts_with(nn, q) THEN 2 WHEN starts_with(a1, q) OR starts_with(a2, q) THEN 3
+            WHEN contains(nn, q) THEN 4 WHEN contains(blob, q) THEN 5 END AS INT) AS tier FROM n, q WHERE q <> '')
+    SELECT query, name, tier, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, lower(name), name) AS INT) AS rank FROM s WHERE tier IS NOT NULL QUALIFY rank <= 20
+    """
+)
+def rank_search_table(spark, folder):
+    """The ranked search for a table of queries: names, beginnings and inner parts of names in other cases, brands, ends of types."""
+    part = table(spark, folder, "part")
+    asked = [
+        F.col("p_name"), F.upper(F.left("p_name", 1 + F.col("p_size") % 7)), F.substring("p_name", F.lit(2), (1 + F.col("p_partkey") % 5).cast("int")),
+        F.col("p_brand"), F.concat(F.right("p_type", F.lit(3)), F.lit("_")),
+    ]
+    queries = part.select(F.explode(F.array(*asked)).alias("query"))
+    return search.rank_matches_table(_methods(spark, folder), queries)
+
+
 @query("SELECT DISTINCT p_name AS name FROM part ORDER BY lower(p_name), p_name")
 def sorted_names(spark, folder):
     return search.by_name(table(spark, folder, "part").select(F.col("p_name").alias("name")).distinct(), "name")

@@ -13,6 +13,7 @@ from corpuskit.operators import keyed, records, search
 from corpuskit.operators.dictionary import seed_glossary
 from corpuskit.operators.ordered import bundle_by_length
 from corpuskit.operators.taxonomy import FACET_VALUES, facet_label
+from corpuskit.plans import rewriting
 from corpuskit.plans.registry import query
 from corpuskit.sources.tables import table
 
@@ -332,6 +333,36 @@ def protect_roundtrip(spark, folder):
     )
 
 
+_UPPER = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_MARKS = "".join(chr(0xE010 + d) for d in range(10))
+
+
+@query(
+    rf"""
+    WITH x AS (SELECT doc_id, lang, lower(text) AS text FROM documents),
+    g AS (SELECT doc_id, array_to_string(list_transform(string_split(text, 'the'), lambda p, i: CASE WHEN i = 1 THEN p
+            ELSE chr(57344) || translate(CAST(i - 2 AS VARCHAR), '0123456789', '{_MARKS}') || chr(57345) || p END), '') AS t FROM x WHERE lang = 'en' AND text <> ''),
+    """
+    + _chunk_sql(S.FALLBACK_CHUNK_CHARS).replace("WITH s AS", "s AS").replace("FROM documents", "FROM g").replace("regexp_replace(text,", "regexp_replace(t,").split("SELECT doc_id, CAST(len(chunks)")[0]
+    + rf""",
+    p AS (SELECT doc_id, unnest(range(len(chunks))) AS pos, unnest(chunks) AS chunk FROM c),
+    a AS (SELECT doc_id, pos, substr(sha256(chunk), 1, 1) IN ('0', '1') AS kept, CASE WHEN substr(sha256(chunk), 1, 1) IN ('0', '1') THEN chunk ELSE translate(chunk, {_UPPER}) END AS v FROM p),
+    j AS (SELECT doc_id, string_agg(v, ' ' ORDER BY pos) AS v, count(*) AS n_chunks, count(*) FILTER (kept) AS n_kept FROM a GROUP BY doc_id)
+    SELECT x.doc_id, sha256(coalesce(regexp_replace(v, chr(57344) || '[\s{_MARKS}]+' || chr(57345), 'the', 'g'), text)) AS rewritten_hash,
+      coalesce(n_chunks, 0) AS n_chunks, coalesce(n_kept, 0) AS n_kept FROM x LEFT JOIN j USING (doc_id)
+    """
+)
+def protect_docs(spark, folder):
+    """English texts through a rewriter that writes capitals, answers some chunks with an error page and loses others; ``the`` is protected, other languages stay."""
+    texts = table(spark, folder, "documents").select("doc_id", "lang", F.lower("text").alias("text"))
+    terms = spark.createDataFrame([("the",), ("no such term",)], "term string")
+    plan = rewriting.plan_rewriting(texts, terms, wanted=F.col("lang") == "en", max_chars=S.FALLBACK_CHUNK_CHARS)
+    capitals = F.translate("chunk", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    answer = F.when(F.col("chunk_id").startswith("0"), "<html>Error 500 (Server Error)</html>").otherwise(capitals)
+    answers = rewriting.chunk_requests(plan).where(~F.col("chunk_id").startswith("1")).select("chunk_id", answer.alias("answer"))
+    return rewriting.apply_answers(plan, answers).select("doc_id", F.sha2("rewritten", 256).alias("rewritten_hash"), "n_chunks", "n_kept")
+
+
 @query(
     """
     WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[À-ÿ]')) AS a, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) AS n FROM documents)
