@@ -1,14 +1,20 @@
 """Scores of texts under a class-based bigram model with classes from exchange clustering.
 
-Every word has a class.  The most frequent words (``CLUSTERED``) are units of their own; all others, words never seen among them, belong to the unit of their
-last letters (``SUFFIXES`` units).  Exchange clustering deals the units to classes: a pass over all training texts counts which classes stand before
-and after each unit, then one unit after the other is taken out of its class and put where the likelihood of the class bigrams gains most; a few
-rounds of this settle.  The probability of a text is the product of class transitions, smoothed towards class frequencies, and of word emissions
+Every word has a class, and every word seen at least ``LEAST`` times gets it by the likelihood of the class bigrams.  Clustering works at three scales, by how often a word
+occurs, with one criterion: what a word gains in a class, given which classes stand before and after it.
+
+* The ``SEQUENTIAL`` most frequent words are exchanged one after the other on the driver, from counts of a fixed size (units times classes), for a few rounds.
+  All other words take part there as ``SUFFIXES`` units of words with the same last letters.
+* The other words of the in-task list (``FREQUENT``) are exchanged in one batch: tasks send their contexts packed by word, reducers choose the class.
+* All remaining words, however many, are met by word in a shuffled table of their occurrences: the group of a word counts its contexts, chooses its
+  class and hands it to each occurrence.
+
+Words seen less often keep the class of their suffix unit, as do words never seen.  The number of classes grows with the fourth root of the vocabulary.  The
+probability of a text is the product of class transitions, smoothed towards class frequencies, and of word emissions
 (count + 1/2) / (words of the class + (distinct words of the class + 1) / 2), so that a class keeps room for unseen words.
 
-Word counts come from all training texts.  A bounded list of frequent words goes to every task, and texts are staged once as 16-bit ids; the
-remaining words are counted in a shuffled table and meet their texts in a join, without the texts.  The statistics of a round have a fixed size,
-units times classes, and only they reach the driver.
+Texts are staged once as 16-bit ids with the words that have none; a transition between listed words is counted where the text is, one that touches another
+word with that word's occurrence.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 from itertools import repeat
 
 import numpy as np
@@ -27,13 +34,18 @@ from pyspark.sql import functions as F
 from corpuskit.llm.common import id_fold
 from corpuskit.session import staged
 
-FREQUENT = 60_000
-CLUSTERED = 8_000
+FREQUENT = 60_000  # words that every task holds
+SEQUENTIAL = 8_000
 SUFFIXES = 2_000
-CLASSES = 48
+LEAST = 2
 ROUNDS = 4
 FLUSH = 400_000
 PULL = 5.0  # transitions count as much again as so many tokens of the class frequencies
+REST = 255  # stands for the class of a neighbour that isn't listed; there are fewer classes
+
+
+def number_of_classes(distinct: int) -> int:
+    return int(min(200, max(16, round(2 * distinct**0.25))))
 
 
 def suffix_unit(word: bytes) -> int:
@@ -86,7 +98,7 @@ class Model:
 
     def __init__(self, words: list[bytes], counts: list[int], classes: int) -> None:
         self.words, self.n_words = words, len(words)
-        self.clustered = min(CLUSTERED, len(words))
+        self.clustered = min(SEQUENTIAL, len(words))
         self.units = 1 + self.clustered + SUFFIXES
         self.log_counts = np.log10(np.array(counts, dtype=np.float64) + 0.5)
         own = np.arange(1, self.clustered + 1)
@@ -95,8 +107,12 @@ class Model:
         self.classes = classes
         self.of_unit = np.concatenate([[0], 1 + np.arange(self.units - 1) % (classes - 1)])
 
-    def ids(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words, 1)}
+    def of_ids(self) -> np.ndarray:
+        """The class of each id, by its unit."""
+        return self.of_unit[self.unit]
+
+    def of_suffix(self, word: bytes) -> int:
+        return int(self.of_unit[1 + self.clustered + suffix_unit(word)])
 
 
 def stage_ids(docs: DataFrame, model: Model, text: str) -> DataFrame:
@@ -141,9 +157,16 @@ def neighbours(ids: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(before[cell]), pa.array(after[cell])], names=["cell", "before", "after"])
 
     training = ids.where(~F.col("held_out")).select("ids")
-    table = training.mapInArrow(count, "cell bigint, before bigint, after bigint").groupBy("cell").agg(F.sum("before").alias("before"), F.sum("after").alias("after")).toPandas()
+    cells = training.mapInArrow(count, "cell bigint, before bigint, after bigint").groupBy("cell").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype("<i8").tobytes()], pa.binary()) for c in b.columns], names=b.schema.names)
+
     before, after = np.zeros(size * k), np.zeros(size * k)
-    before[table["cell"]], after[table["cell"]] = table["before"], table["after"]  # units times classes rows at most
+    for row in cells.mapInArrow(pack, "cell binary, before binary, after binary").collect():  # units times classes cells at most
+        cell, one, other = (np.frombuffer(c, dtype="<i8") for c in row)
+        before[cell], after[cell] = one, other
     return before.reshape(size, k), after.reshape(size, k)
 
 
@@ -179,59 +202,293 @@ def exchange(before: np.ndarray, after: np.ndarray, of_unit: np.ndarray, classes
     return of_unit
 
 
-def score_documents(docs: DataFrame, text: str = "text", classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), log10 probabilities, for every row of ``docs``.
+class Exchange:
+    """Class totals of a clustering, and the class in which a word of given contexts gains most."""
+
+    def __init__(self, before: np.ndarray, after: np.ndarray, of_unit: np.ndarray, classes: int) -> None:
+        self.into, self.out, self.size = np.zeros((classes, classes)), np.zeros((classes, classes)), np.zeros(classes)
+        np.add.at(self.into, of_unit, before)
+        np.add.at(self.out, of_unit, after)
+        np.add.at(self.size, of_unit, before.sum(axis=1))
+        self.f_into, self.f_out, self.f_size = _f(self.into), _f(self.out), _f(self.size)
+
+    def best(self, before: np.ndarray, after: np.ndarray, own: int) -> int:
+        """For counts of the classes before and after a word, which is taken out of its class ``own`` first; the first of equals."""
+        total, gain = before.sum(), 0.0
+        for counts, table, f_table in ((before, self.into, self.f_into), (after, self.out, self.f_out)):
+            at = np.flatnonzero(counts)
+            gains = _f(table[:, at] + counts[at]) - f_table[:, at]
+            gains[own] = f_table[own, at] - _f(table[own, at] - counts[at])
+            gain = gain + gains.sum(axis=1)
+        sizes = _f(self.size + total) - self.f_size
+        sizes[own] = self.f_size[own] - _f(self.size[own] - total)
+        gain = gain - 2 * sizes
+        gain[0] = -np.inf
+        return int(np.argmax(gain))
 
-    Texts with crc32(doc_id) mod 5 = 1 are held out of all counts.  Null and empty texts are the end alone.  A null id counts as the empty text.
-    Repeated rows are scored, and counted, each.  Without training texts every count is zero.  Extra columns are ignored.
+
+def cluster_listed(ids: DataFrame, model: Model, chosen: Exchange, of_ids: np.ndarray) -> np.ndarray:
+    """``of_ids`` with the best class for each listed word that has no unit of its own."""
+    first, last, classes = 1 + model.clustered, 1 + model.n_words, model.classes
+    if first >= last:
+        return of_ids
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[bytearray, bytearray]] = {}
+        for b in batches:
+            at = np.concatenate([[0], np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint16)]).astype(np.int64)
+            own = of_ids[at].astype(np.uint8)
+            places = np.flatnonzero((at >= first) & (at < last))  # every text ends with an end, so neighbours are of the same text
+            for word, left, right in zip(at[places].tolist(), own[places - 1].tolist(), own[places + 1].tolist(), strict=True):
+                pair = held.get(word)
+                if pair is None:
+                    pair = held[word] = (bytearray(), bytearray())
+                pair[0].append(left)
+                pair[1].append(right)
+        columns = ([pa.array(list(held), pa.int32())], *([pa.array([bytes(p[i]) for p in held.values()], pa.binary())] for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([c[0] for c in columns], names=["id", "before", "after"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        now, before, after = None, np.zeros(0), np.zeros(0)
+
+        def close() -> None:
+            if now is not None:
+                out.append((now, chosen.best(before, after, int(of_ids[now]))))
+
+        for b in batches:
+            for word, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if word != now:
+                    close()
+                    now, before, after = word, np.zeros(classes), np.zeros(classes)
+                before += np.bincount(np.frombuffer(left, dtype=np.uint8), minlength=classes)
+                after += np.bincount(np.frombuffer(right, dtype=np.uint8), minlength=classes)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32())], names=["id", "class"])
+
+    sent = ids.where(~F.col("held_out")).select("ids").mapInArrow(contexts, "id int, before binary, after binary")
+    found = sent.repartition("id").sortWithinPartitions("id").mapInArrow(choose, "id int, class int").collect()  # FREQUENT rows at most
+    of_ids = of_ids.copy()
+    for r in found:
+        of_ids[r["id"]] = r["class"]
+    return of_ids
+
+
+def cluster_others(ids: DataFrame, model: Model, chosen: Exchange, of_ids: np.ndarray) -> DataFrame:
+    """(row, held_out, links, logs, known, class, kinds): the occurrences of all words that are not listed, with their classes.
+
+    In contexts, a neighbour that isn't listed either (256 and more) counts with the class of its suffix.
+
+    Rows of texts hold, for each such word in order, its class and those of its neighbours (``REST`` for one that isn't listed), one byte each; the sum of log10(count + 1/2), and
+    how many are known.  Rows without a text say how many distinct training words (``kinds``) have a class.
     """
-    spark = docs.sparkSession
+    listed, classes = 1 + model.n_words, model.classes
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.where(np.arange(len(of_ids)) < listed, of_ids, of_ids + 256)
+        for b in batches:
+            lengths = [len(x) // 2 for x in b.column(2).to_pylist()]
+            at = np.concatenate([[0], np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint16)]).astype(np.int64)
+            places = np.flatnonzero(at >= listed)
+            around = own[at]
+            text = np.repeat(np.arange(b.num_rows), lengths)[places - 1]
+            words = b" ".join(x for x in b.column(3).to_pylist() if x).split(b" ") if len(places) else []
+            columns = [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(places, pa.int64())]
+            columns += [pa.array(around[places + d].astype(np.int32)) for d in (-1, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary())], names=["row", "held_out", "place", "left", "right", "word"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of a word, which may go on in the next batch: a word that isn't listed occurs less often than those that are."""
+        now: bytes | None = None
+        held: list[tuple] = []
+        out: list[tuple] = []
+        kinds: Counter = Counter()
+
+        def close() -> None:
+            training = [h for h in held if not h[1]]
+            n, own = len(training), model.of_suffix(now)
+            if n >= LEAST:
+                sides = [np.bincount([h[i] % 256 for h in training], minlength=classes).astype(float) for i in (3, 4)]
+                own = chosen.best(*sides, own)
+            kinds[own] += n > 0
+            out.extend((h[0], h[1], h[2], own, min(h[3], REST), min(h[4], REST), n) for h in held)
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "held_out", "place", "class", "left", "right", "n"])
+
+        for b in batches:
+            for *rest, word in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if word != now:
+                    if now is not None:
+                        close()
+                    now, held = word, []
+                    if len(out) > 100_000:
+                        yield table(out)
+                        out = []
+                held.append(tuple(rest))
+        if now is not None:
+            close()
+        yield table(out + [(None, None, None, c, None, None, n) for c, n in kinds.items()])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per text: occurrences in order."""
+        now, held, out = None, [], []
+
+        def close() -> None:
+            links = np.array([(c, left, right) for c, left, right, _ in held], dtype=np.uint8)
+            counts = np.array([n for *_, n in held], dtype=np.float64)
+            out.append((*now, links.tobytes(), float(np.log10(counts + 0.5).sum()), int((counts > 0).sum()), None, None))
+
+        def table() -> pa.RecordBatch:
+            types = (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64(), pa.int32(), pa.int64())
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "held_out", "links", "logs", "known", "class", "kinds"])
+
+        for b in batches:
+            for row, held_out, _, c, left, right, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if row is None:
+                    out.append((None, None, None, None, None, c, n))
+                    continue
+                if now is None or row != now[0]:
+                    if now is not None:
+                        close()
+                    now, held = (row, held_out), []
+                held.append((c, left, right, n))
+            if len(out) > 20_000:
+                yield table()
+                out.clear()
+        if now is not None:
+            close()
+        yield table()
+
+    spread = ids.select("row", "held_out", "ids", "rest").mapInArrow(occurrences, "row bigint, held_out boolean, place bigint, left int, right int, word binary")
+    named = spread.repartition("word").sortWithinPartitions("word").mapInArrow(name, "row bigint, held_out boolean, place bigint, class int, left int, right int, n bigint")
+    ordered = named.repartition("row").sortWithinPartitions("row", "place")
+    return staged(ordered.mapInArrow(gather, "row bigint, held_out boolean, links binary, logs double, known bigint, class int, kinds bigint"), "brown-others")
+
+
+def link_pairs(links: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, from, to): the classes of a text's unlisted words, and all transitions into or out of one of them."""
+    c, left, right = np.frombuffer(links, dtype=np.uint8).reshape(-1, 3).T.astype(np.int64)
+    enters = left != REST  # where the word before isn't listed, that word has the transition
+    after = np.where(right == REST, np.append(c[1:], 0), right)
+    return c, np.concatenate([left[enters], c]), np.concatenate([c[enters], after])
+
+
+def transitions(ids: DataFrame, others: DataFrame, model: Model, of_ids: np.ndarray) -> np.ndarray:
+    """How often each class follows each, over all training texts."""
+    k, listed = model.classes, 1 + model.n_words
+
+    def between_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            at = np.concatenate([[0], np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint16)]).astype(np.int64)
+            both = (at[:-1] < listed) & (at[1:] < listed)
+            moves += np.bincount(of_ids[at[:-1][both]] * k + of_ids[at[1:][both]], minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array([moves.tobytes()], pa.binary())], names=["moves"])
+
+    def with_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                _, one, other = link_pairs(raw)
+                moves += np.bincount(one * k + other, minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array([moves.tobytes()], pa.binary())], names=["moves"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                moves += np.frombuffer(raw, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([moves.tobytes()], pa.binary())], names=["moves"])
+
+    training = F.col("held_out").eqNullSafe(F.lit(False))
+    found = ids.where(training).select("ids").mapInArrow(between_listed, "moves binary")
+    found = found.union(others.where(training).select("links").mapInArrow(with_others, "moves binary"))
+    # tables of one task each are added up in a few tasks before the driver adds the rest
+    sums = found.repartition(8).mapInArrow(add, "moves binary").collect()
+    return sum((np.frombuffer(r["moves"], dtype=np.int64) for r in sums), np.zeros(k * k, dtype=np.int64)).reshape(k, k).astype(float)
+
+
+@dataclass
+class Fitted:
+    """Texts as ids, occurrences of unlisted words, classes, and counts of the training texts: texts, tokens and distinct tokens (ends included)."""
+
+    model: Model
+    ids: DataFrame
+    others: DataFrame
+    of_ids: np.ndarray
+    ends: int
+    total: int
+    distinct: int
+
+
+def fit(docs: DataFrame, text: str = "text", classes: int | None = None, rounds: int = ROUNDS) -> Fitted:
     training = docs.where(id_fold(F.col("doc_id"), 5) != 1)
     counts = staged(count_words(training.select(F.col(text).cast("binary").alias("raw"))), "brown-counts")
     ends = training.count()
     facts = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     total, distinct = facts["n"] + ends, facts["v"] + (ends > 0)
+    classes = number_of_classes(distinct) if classes is None else classes
     top = sorted(((bytes(r["word"]), r["n"]) for r in frequent_words(counts).collect()), key=lambda x: (-x[1], x[0]))
     model = Model([w for w, _ in top], [n for _, n in top], classes)
     ids = stage_ids(docs, model, text)
+    around = neighbours(ids, model)
     for _ in range(rounds):
-        model.of_unit = exchange(*neighbours(ids, model), model.of_unit, classes)
-    before, _after = neighbours(ids, model)
-    moves = np.zeros((classes, classes))
-    np.add.at(moves.T, model.of_unit, before)
+        model.of_unit = exchange(*around, model.of_unit, classes)
+        around = neighbours(ids, model)
+    chosen = Exchange(*around, model.of_unit, classes)
+    of_ids = cluster_listed(ids, model, chosen, model.of_ids())
+    others = cluster_others(ids, model, chosen, of_ids)
+    return Fitted(model, ids, others, of_ids, ends, total, distinct)
+
+
+def score_documents(docs: DataFrame, text: str = "text", classes: int | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), log10 probabilities, for every row of ``docs``.
+
+    Texts with crc32(doc_id) mod 5 = 1 are held out of all counts.  Null and empty texts are the end alone.  A null id counts as the empty text.
+    Repeated rows are scored, and counted, each.  Without training texts every count is zero.  Extra columns are ignored.
+    """
+    fitted = fit(docs, text, classes, rounds)
+    model, ids, others, of_ids, ends, total, distinct = (getattr(fitted, f.name) for f in fields(Fitted))
+    classes = model.classes
+    moves = transitions(ids, others, model, of_ids)
     class_size = moves.sum(axis=0)
     share = (class_size + 0.5) / (class_size.sum() + 0.5 * classes)
     log_move = np.log10((moves + PULL * share) / (moves.sum(axis=1, keepdims=True) + PULL))
-    per_suffix = {r["suffix"]: r["v"] for r in counts.groupBy("suffix").agg(F.count("*").alias("v")).collect()}  # SUFFIXES rows at most
-    kinds = np.zeros(model.units)
-    kinds[1 : 1 + model.clustered] = 1
-    for suffix, v in per_suffix.items():
-        kinds[1 + model.clustered + suffix] = v
-    np.subtract.at(kinds, [1 + model.clustered + suffix_unit(w) for w in model.words[: model.clustered]], 1)
-    class_kinds = np.bincount(model.of_unit, weights=kinds, minlength=classes)
+    class_kinds = np.bincount(of_ids[1 : 1 + model.n_words], minlength=classes).astype(float)
+    for r in others.where("row IS NULL").groupBy("class").agg(F.sum("kinds").alias("n")).collect():  # one row per class
+        class_kinds[r["class"]] += r["n"]
     log_room = np.log10(class_size + 0.5 * (class_kinds + 1))
-    log_count = np.concatenate([[0.0], model.log_counts, np.zeros(SUFFIXES)])
-    known = np.concatenate([[0], np.ones(model.n_words, dtype=np.int64), np.zeros(SUFFIXES, dtype=np.int64)])
-    unit, of_unit, log_end, all_room = model.unit, model.of_unit, float(np.log10(ends + 0.5)), float(np.log10(total + 0.5 * (distinct + 1)))
+    log_room[0] = 0.0  # the end is the one token of its class
+    log_count = np.concatenate([[0.0], model.log_counts])
+    listed, log_end, all_room = 1 + model.n_words, float(np.log10(ends + 0.5)), float(np.log10(total + 0.5 * (distinct + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = of_unit[unit]
-        room = log_room[own]
-        room[0] = 0.0
+        """What listed words give: tokens, known ones, log counts, and transitions among them with their emissions."""
         for b in batches:
             sums = []
             for packed in b.column(3).to_pylist():
-                i = np.frombuffer(packed, dtype=np.uint16)
-                c = own[i]
-                model_sum = float(log_move[np.concatenate([[0], c[:-1]]), c].sum() - room[i].sum())
-                sums.append((len(i), int(known[i].sum()), float(log_count[i].sum()), model_sum))
+                i = np.frombuffer(packed, dtype=np.uint16).astype(np.int64)
+                before = np.concatenate([[0], i[:-1]])
+                own, both = i[i < listed], (i < listed) & (before < listed)
+                model_sum = float(log_move[of_ids[before[both]], of_ids[i[both]]].sum() - log_room[of_ids[own]].sum())
+                sums.append((len(i), int(np.count_nonzero(own)), float(log_count[own].sum()), model_sum))
             n, k, s, m = (pa.array(x) for x in zip(*sums, strict=True)) if sums else (pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n, k, s, m], names=["row", "doc_id", "held_out", "n", "k", "s", "m"])
 
+    def score_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for raw in b.column(1).to_pylist():
+                c, one, other = link_pairs(raw)
+                sums.append(float(log_move[one, other].sum() - log_room[c].sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sums, pa.float64())], names=["row", "s_rest", "k_rest", "m_rest"])
+
     scored = ids.select("row", "doc_id", "held_out", "ids").mapInArrow(score, "row bigint, doc_id bigint, held_out boolean, n bigint, k bigint, s double, m double")
-    rest = ids.where(F.octet_length("rest") > 0).select("row", F.explode(F.split(F.col("rest").cast("string"), " ")).alias("word"))
-    listed = counts.select(F.col("word").cast("string").alias("word"), F.col("n").alias("c"))
-    found = rest.join(listed, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("s_rest"), F.count("c").alias("k_rest"))
+    found = others.where("row IS NOT NULL").select("row", "links", "logs", "known").mapInArrow(score_others, "row bigint, s_rest double, k_rest bigint, m_rest double")
     joined = scored.join(found, "row", "left")
     emitted = F.col("s") + F.coalesce("s_rest", F.lit(0.0))
     return joined.select(
@@ -239,5 +496,5 @@ def score_documents(docs: DataFrame, text: str = "text", classes: int = CLASSES,
         (F.col("k") + F.coalesce("k_rest", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (emitted + log_end - F.col("n") * all_room).alias("base_score"),
-        (emitted + F.col("m")).alias("score"),
+        (emitted + F.col("m") + F.coalesce("m_rest", F.lit(0.0))).alias("score"),
     )

@@ -5,6 +5,9 @@ Only edges and what ends a piece (its last two words, its last word) are counted
 is left by one of its edges or ends a piece, so the count of two words is the sum of their outgoing edges plus the pieces that they end, and the count of a
 word is the sum of the nodes it begins plus the pieces that it ends.
 
+Tasks send a node with all its edges as one row.  Rows meet by node, sorted, and are merged as they come, so that edges, nodes and shares of words leave in one pass.  Nodes that hold
+more than ``HEAVY`` of all occurrences in a sample of the texts are dealt by the edge as well; which ones these are changes no result.
+
 Edges and nodes below the least count only feed these sums.  In the graph of the others, unary paths (chains of nodes with one edge in and one out) are
 compacted by pointer doubling: each edge learns the first edge of its path and its place.  One node in ``CUT`` (by hash) ends a path whatever its degree, so
 paths stay short and circles are cut; an edge that still has no end after ``ROUNDS`` doublings is a path of its own.  How paths are cut changes no
@@ -14,6 +17,7 @@ result.  Nodes inside a path are compared with their two edges in place; only pa
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,20 +32,69 @@ SHARE = 50  # per cent of a phrase's occurrences that a longer candidate must ho
 SHOWN = 2000
 SCALE = 1_000_000
 FLUSH = 500_000
+HEAVY = 0.002
+SAMPLE = 1 / 32
+SLICES = 64
 CUT = 8
 ROUNDS = 7
 
 _PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 
 
-def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n): phrases of three words, the last two words of pieces that have two, and the last word of every piece, words joined by a blank."""
+def _pieces(raw: bytes | None) -> Iterator[list[bytes]]:
+    for piece in _PIECE_END.split((raw or b"").lower()):
+        words = piece.split()
+        if words:
+            yield words
+
+
+def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("raw"))
+
+
+def heavy_nodes(docs: DataFrame, text: str, lang: str) -> dict[str, set[bytes]]:
+    """Nodes with more than ``HEAVY`` of all word pairs in the sample, by language: 1 / ``HEAVY`` at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: dict[tuple[str, bytes], int] = defaultdict(int)
+        total = 0
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for words in _pieces(raw):
+                    total += len(words) - 1
+                    for pair in map(b" ".join, zip(words, words[1:], strict=False)):
+                        pairs[name, pair] += 1
+        often = [(*k, n) for k, n in pairs.items() if n > HEAVY / 4 * total]  # a node that is heavy in all is so in some task
+        rows = [*often, (None, None, total)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "head", "n"])
+
+    found = _texts(docs.sample(SAMPLE, 7), text, lang).mapInArrow(count, "lang string, head binary, n bigint").groupBy("lang", "head").agg(F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in found if r["head"] is None)
+    heavy: dict[str, set[bytes]] = {}
+    for r in found:
+        if r["head"] is not None and r["n"] > HEAVY * total:
+            heavy.setdefault(r["lang"], set()).add(bytes(r["head"]))
+    return heavy
+
+
+def packed_edges(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, head, slice, tails): a node of two words with the words that follow it in a task's texts, each with its count if that isn't one, parted by blanks.
+
+    An empty tail is the end of a piece; a head of one word is the last word of a piece.
+    """
+    heavy = heavy_nodes(docs, text, lang)
 
     def rows(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
         for name, counts in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"]
-            )
+            tails: dict[tuple[bytes, int], list[bytes]] = defaultdict(list)
+            hot = heavy.get(name, ())
+            for gram, n in counts.items():
+                head, _, tail = gram.rpartition(b" ")
+                part = 1 + zlib.crc32(tail) % SLICES if head in hot else 0
+                tails[head, part].append(tail if n == 1 else b"%b\t%d" % (tail, n))
+            heads, parts = zip(*tails, strict=True) if tails else ((), ())
+            packed = pa.array(map(b" ".join, tails.values()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(heads), pa.string()), pa.array(heads, pa.binary()), pa.array(parts, pa.int32()), packed], names=["lang", "head", "slice", "tails"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[bytes, int]] = {}
@@ -50,49 +103,96 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts = held.setdefault(name, defaultdict(int))
                 before = len(counts)
-                for piece in _PIECE_END.split((raw or b"").lower()):
-                    words = piece.split()
-                    if not words:
-                        continue
+                for words in _pieces(raw):
                     for gram in map(b" ".join, zip(words, words[1:], words[2:], strict=False)):
                         counts[gram] += 1
                     if len(words) > 1:
-                        counts[words[-2] + b" " + words[-1]] += 1
-                    counts[words[-1]] += 1
+                        counts[b"%b %b " % (words[-2], words[-1])] += 1
+                    counts[words[-1] + b" "] += 1
                 size += len(counts) - before
                 if size >= FLUSH:
                     yield from rows(held)
                     held, size = {}, 0
         yield from rows(held)
 
-    named = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("raw"))
-    grams = named.mapInArrow(count, "lang string, gram binary, n bigint")
-    return grams.groupBy("lang", F.col("gram").cast("string").alias("gram")).agg(F.sum("n").alias("n"))
+    return _texts(docs, text, lang).mapInArrow(count, "lang string, head binary, slice int, tails binary")
+
+
+def merge_edges(packed: DataFrame, least: int) -> DataFrame:
+    """(size, lang, gram, n): edges (size 3) of the least count or more, nodes (2) of it or of heavy ones a share, and shares of all words (1)."""
+    types = (pa.int32(), pa.string(), pa.binary(), pa.int64())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        now, held, word, share = None, [], None, 0
+
+        def table() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["size", "lang", "gram", "n"])
+
+        def close() -> None:
+            nonlocal word, share
+            name, head, part = now
+            if len(held) == 1 and b"\t" not in held[0]:
+                flow, counts = held[0].count(b" ") + 1, {}
+            else:
+                counts = defaultdict(int)
+                for packed_ in held:
+                    for entry in packed_.split(b" "):
+                        tail, _, n = entry.partition(b"\t")
+                        counts[tail] += int(n) if n else 1
+                flow = sum(counts.values())
+            if flow >= least:
+                if not counts and least == 1:
+                    counts = dict.fromkeys(held[0].split(b" "), 1)
+                out.extend((3, name, b"%b %b" % (head, tail), n) for tail, n in counts.items() if n >= least and tail)
+            first, blank, _ = head.partition(b" ")
+            if blank and (flow >= least or part):
+                out.append((2, name, head, flow))
+            if word != (name, first):
+                if word is not None:
+                    out.append((1, *word, share))
+                word, share = (name, first), 0
+            share += flow
+
+        for b in batches:
+            for *key, tails in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
+                    if now is not None:
+                        close()
+                    now, held = key, []
+                held.append(tails)
+            if len(out) > 50_000:
+                yield table()
+                out.clear()
+        if now is not None:
+            close()
+            out.append((1, *word, share))
+        yield table()
+
+    place = ["lang", "head", "slice"]
+    dealt = packed.repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(merge, "size int, lang string, gram binary, n bigint").select("size", "lang", F.col("gram").cast("string").alias("gram"), "n")
 
 
 def _first(gram: str, words: int) -> Column:
-    """The first words of a gram, all of it if it has fewer."""
+    """The first words of a gram."""
     return F.substring_index(gram, " ", words)
 
 
-def _spaces(gram: str) -> Column:
-    return F.length(gram) - F.length(F.replace(F.col(gram), F.lit(" "), F.lit("")))
+class Graph:
+    """``edges`` (lang, gram, n) and ``nodes`` (lang, node, n) of the least count or more, ``words`` (lang, word, n) and ``totals`` (lang, total) of all."""
 
+    def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> None:
+        counted = staged(merge_edges(packed_edges(docs, text, lang), least), "phrase-graph")
 
-class Graph:
-    """``edges`` (lang, gram, n), ``nodes`` (lang, node, n) of the least count or more, ``words`` (lang, word, n) and ``totals`` (lang, total) of all."""
-
-    def __init__(self, grams: DataFrame, least: int = LEAST) -> None:
-        # one exchange serves both halves: no filter that Spark could push below the counts of one of them
-        flow = grams.groupBy("lang", _first("gram", 2).alias("gram")).agg(F.sum("n").alias("n"))
-        both = grams.where(F.col("n") >= least).select(F.lit(3).alias("size"), "lang", "gram", "n").union(flow.select(F.lit(2), "lang", "gram", "n"))
-        counted = staged(both, "phrase-graph")
-        nodes = counted.where("size = 2")
-        words = nodes.groupBy("lang", _first("gram", 1).alias("word")).agg(F.sum("n").alias("n"))
-        self.words = staged(words, "phrase-words")
+        def summed(size: int, name: str) -> DataFrame:
+            return counted.where(F.col("size") == size).groupBy("lang", F.col("gram").alias(name)).agg(F.sum("n").alias("n"))
+
+        self.words = staged(summed(1, "word"), "phrase-words")
         self.totals = self.words.groupBy("lang").agg(F.sum("n").alias("total"))
-        self.edges = counted.where("size = 3").where(_spaces("gram") == 2).select("lang", "gram", "n")
-        self.nodes = nodes.where((F.col("n") >= least) & (_spaces("gram") == 1)).select("lang", F.col("gram").alias("node"), "n")
+        self.edges = counted.where("size = 3").select("lang", "gram", "n")
+        self.nodes = staged(summed(2, "node").where(F.col("n") >= least), "phrase-nodes")
 
 
 def _last_two(gram: str) -> Column:
@@ -150,7 +250,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     Phrases that a longer candidate holds with at least half their occurrences are left out.  Ties go by count, then by the bytes of the phrase.  Null texts
     are empty, a null language is ``und``.  Repeated rows and null ids count each.  Other columns are ignored; an empty table gives no rows.
     """
-    graph = Graph(count_grams(docs, text, lang), least)
+    graph = Graph(docs, text, lang, least)
     head = graph.nodes.select("lang", F.col("node").alias("head"), F.col("n").alias("head_n"))
     tail = graph.nodes.select("lang", F.col("node").alias("tail"), F.col("n").alias("tail_n"))
     edges = graph.edges.withColumns({"head": _first("gram", 2), "tail": _last_two("gram")}).join(head, ["lang", "head"]).join(tail, ["lang", "tail"])

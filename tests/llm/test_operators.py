@@ -393,12 +393,54 @@ def test_base_scores_match_brute_force_and_classes_help(spark):
     assert held["score"].sum() > held["base_score"].sum()
 
 
-def test_language_model_is_a_distribution(spark, documents, nothing):
+def test_language_model_edges(spark, documents, nothing):
     rows = brown_lm.score_documents(documents, classes=4, rounds=2).collect()
     assert len(rows) == 10 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
     assert brown_lm.score_documents(nothing).count() == 0
 
 
+def test_language_model_scores_by_brute_force(spark, monkeypatch):
+    """Classes of all words, then every count and probability anew in Python; the words that follow a class sum up to one."""
+    monkeypatch.setattr(brown_lm, "FREQUENT", 24)
+    monkeypatch.setattr(brown_lm, "SEQUENTIAL", 9)
+    rng = np.random.default_rng(2)
+    words = [f"w{i}x{i % 7}" for i in range(90)]
+    texts = {i: [words[min(89, int(rng.exponential(12)))] for _ in range(int(rng.integers(0, 40)))] + [f"once{i}"] * (i % 3 == 0) for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    fitted = brown_lm.fit(docs, classes=5, rounds=3)
+    listed = {w.decode(): i for i, w in enumerate(fitted.model.words, 1)}
+    assert len(listed) <= 24 and fitted.model.clustered == 9
+    links = {r["row"]: r["links"] for r in fitted.others.where("row IS NOT NULL").collect()}
+    rows = {r["doc_id"]: r["row"] for r in fitted.ids.collect()}
+    of_word = {w: int(fitted.of_ids[i]) for w, i in listed.items()}
+    for i, tokens in texts.items():
+        rest = [t for t in tokens if t not in listed]
+        classes = brown_lm.link_pairs(links[rows[i]])[0].tolist() if rest else []
+        assert len(classes) == len(rest)
+        for t, c in zip(rest, classes, strict=True):
+            assert of_word.setdefault(t, c) == c and c != 0
+    training = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1}
+    counts = Counter(t for tokens in training.values() for t in tokens)
+    moves, size = np.zeros((5, 5)), np.zeros(5)
+    for tokens in training.values():
+        path = [0, *[of_word[t] for t in tokens], 0]
+        np.add.at(moves, (path[:-1], path[1:]), 1)
+    size = moves.sum(axis=0)
+    kinds = Counter(of_word[t] for t in counts)
+    share = (size + 0.5) / (size.sum() + 2.5)
+    after = (moves + brown_lm.PULL * share) / (moves.sum(axis=1, keepdims=True) + brown_lm.PULL)
+    emit = lambda t: (counts[t] + 0.5) / (size[of_word[t]] + 0.5 * (kinds[of_word[t]] + 1))
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score_documents(docs, classes=5, rounds=3).collect()}
+    for i, tokens in texts.items():
+        path = [0, *[of_word[t] for t in tokens], 0]
+        want = sum(np.log10(after[a, b]) for a, b in zip(path, path[1:], strict=False)) + sum(np.log10(emit(t)) for t in tokens)
+        assert got[i] == pytest.approx(want)
+    unseen = {c: 0.5 / (size[c] + 0.5 * (kinds[c] + 1)) for c in range(1, 5)}
+    for a in range(5):
+        whole = after[a, 0] + sum(after[a, c] * (sum(emit(t) for t in counts if of_word[t] == c) + unseen[c]) for c in range(1, 5))
+        assert whole == pytest.approx(1)
+
+
 def test_exchange_separates_two_languages():
     rng = np.random.default_rng(1)
     words = [np.arange(1, 21), np.arange(21, 41)]
