@@ -343,7 +343,7 @@ def rank_search(spark, folder):
 
 
 @query(
-    """
+    r"""
     WITH m AS (SELECT upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2) AS name,
         max(p_brand) AS b, min(p_type) AS category, max(p_type) AS parent FROM part GROUP BY p_name),
     n AS (SELECT name, lower(name) AS nn, lower(split_part(name, ' ', 2)) || ' ' || lower(b) AS a1, lower(b) AS a2,
