@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,35 @@ def id_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+FILTER_BITS = 1 << 22  # 512 KB, whatever the number of ids; 32,768 bits are one row of ``bitmap_construct_agg``
+
+
+def _bit(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for every id of the one column of ``ids``, and seldom for others as long as they are few against ``FILTER_BITS``.
+
+    The bits are set by a partial aggregation and only they are collected: a table of fixed size.  Rows that fail the test need no join with ``ids``.
+    """
+    at = _bit(F.col(ids.columns[0])) + 1
+    sets = ids.select(F.call_function("bitmap_bucket_number", at).alias("bucket"), F.call_function("bitmap_bit_position", at).alias("at"))
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for r in sets.groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("at")).alias("bits")).collect():
+        held = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little")
+        bits[(r["bucket"] - 1) * len(held) : r["bucket"] * len(held)] = held
+    packed = np.packbits(bits)
+
+    def held_in(at: pd.Series) -> pd.Series:
+        a = at.to_numpy()
+        return pd.Series((packed[a >> 3] >> (7 - (a & 7)).astype(np.uint8) & 1).astype(bool))
+
+    held_in.__annotations__ = {"at": pd.Series, "return": pd.Series}
+    test = F.pandas_udf(held_in, "boolean")
+    return lambda column: test(_bit(column))
+
+
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import arrow_map, fresh
+from corpuskit.llm.common import arrow_map, fresh, id_filter
 from corpuskit.llm.components import components
 from corpuskit.session import staged
 
@@ -308,8 +308,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, text: str, width: int, rad
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "members"])
 
     wanted = members.select("key").distinct()
-    ids = distinct.join(wanted, "key", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("raw")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    ids = staged(distinct.join(wanted, "key", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("raw"))
+    texts = texts.where(id_filter(ids)(F.col("doc_id"))).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = arrow_map(texts.select("raw"), make, "key bigint, members binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
 
     def confirm(table: pa.Table) -> pa.Table:
@@ -351,7 +352,8 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with exactly one row of each component of ``group_documents``: the one with the least doc_id, null last, then the least key.
 
-    Only ids that repeat or are null leave open which row is meant; keys are made again from the texts of just those rows.
+    Only ids that repeat or are null leave open which row is meant; keys are made again from the texts of just those rows.  Rows whose id belongs to no loser
+    and to no open case, by ``id_filter``, stay where they are; texts are exchanged only for the rest.
     """
     grouped = staged(_grouped(docs, text, width, radius, bands, tile, similar), "grouped")
     known, held, won = fresh(docs, "s_keep"), fresh(docs, "s_key"), fresh(docs, "s_won")
@@ -359,6 +361,10 @@ def keep_one(
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("w"))
     winners = least.select(F.col("w.doc_id").alias(known), F.col("w.key").alias(won)).join(uses, F.col(known).eqNullSafe(F.col("id")))
     winners = staged(winners.select(known, won, "open"), "winners")
+    won_here = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("key") == F.col("w.key"))
+    losers = grouped.join(least, "root").where(~won_here).select("doc_id")
+    suspect = id_filter(losers.union(winners.where("open").select(known)))(F.col("doc_id").cast("bigint"))
+    sure, docs = docs.where(~suspect), docs.where(suspect)
     plain = docs.join(winners.where("not open").select(known), F.col("doc_id") == F.col(known), "left_semi")
 
     def key(raw: bytes | None) -> int:
@@ -372,4 +378,4 @@ def keep_one(
     rows = docs.join(unclear.select(known).distinct(), F.col("doc_id").eqNullSafe(F.col(known)), "left_semi")
     rows = rows.withColumn(held, F.pandas_udf(keys, "bigint").asNondeterministic()(F.col(text).cast("binary")))
     rows = rows.join(unclear, F.col("doc_id").eqNullSafe(F.col(known)) & (F.col(held) == F.col(won)), "left_semi")
-    return plain.unionByName(rows.dropDuplicates(["doc_id", held]).drop(held))
+    return sure.unionByName(plain).unionByName(rows.dropDuplicates(["doc_id", held]).drop(held))
