@@ -20,6 +20,7 @@ from corpuskit.functions.text import (
     strip,
     word_count,
 )
+from corpuskit.operators.linking import prefer_source
 from corpuskit.operators.ordered import best_per_key, pair_in_order
 from corpuskit.session import staged
 
@@ -373,7 +374,11 @@ def visual_evidence(regions: DataFrame, blocks: DataFrame) -> DataFrame:
         F.col("raster_area"), F.col("raster_count"), F.col("drawing_count"), F.col("short_label_count"),
         F.col("prose_count"), F.col("prose_chars"), width * height, height, F.col("page_h"),
     )
-    return counted.withColumn("score", score)
+    shares = {
+        "raster_fraction": F.round(F.least(F.lit(1.0), F.col("raster_area") / F.greatest(F.lit(1.0), width * height)), 4),
+        "height_fraction": F.round(F.least(F.lit(1.0), height / F.greatest(F.lit(1.0), F.col("page_h"))), 4),
+    }
+    return counted.withColumns({"score": score, **shares})
 
 
 # --- detached pages ------------------------------------------------------------------------------------------------
@@ -535,6 +540,31 @@ def figure_table(blocks: DataFrame) -> DataFrame:
     )
 
 
+def image_guided_figures(blocks: DataFrame) -> DataFrame:
+    """Figures as ``figure_table`` lists them, from the image-guided regions: always on the caption's page, without a score."""
+    captions = staged(best_captions_heuristic(blocks), "guided-captions")
+    regions = image_guided_regions(captions, blocks)
+    named = captions.select("doc_id", "figure_key", "figure_label", "caption").join(regions, ["doc_id", "figure_key"])
+    page = F.col("page_idx") + 1
+    return named.select(
+        "doc_id", "figure_label", "figure_key",
+        F.regexp_extract("figure_key", r"(\d+)", 1).try_cast("int").alias("figure_no"),
+        "caption", page.alias("figure_page_number"), page.alias("caption_page_number"),
+        *[F.round(c, 2).alias(f"crop_{c}") for c in BOX],
+        F.col("mode").alias("selection_mode"),
+        F.lit(None).cast("double").alias("selection_score"),
+        F.lit("pdf_image_guided_crop").alias("asset_mode"),
+        F.lit(False).alias("cross_page"), F.lit(False).alias("detached_endmatter"),
+        F.lit("local").alias("match_confidence"),
+    )
+
+
+def preferred_figures(blocks: DataFrame, other_blocks: DataFrame) -> DataFrame:
+    """One figure table over two engines: ``figure_table`` of ``blocks`` for documents where it finds any figure, else the image-guided figures of
+    ``other_blocks``, else none; with the ``engine`` that found them."""
+    return prefer_source(staged(figure_table(blocks), "figures"), image_guided_figures(other_blocks), "doc_id")
+
+
 def with_panel_suspicion(figures: DataFrame) -> DataFrame:
     """Flags figures whose body looks like one panel of several: three or more panels, body under 72 % of the caption width.
 

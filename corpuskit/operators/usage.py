@@ -82,6 +82,7 @@ def usage_rollup(
             "incentive_tier_visible": visible,
             "complimentary_used_tokens": used,
             "complimentary_remaining_tokens": left,
+            "complimentary_exact": visible,
             "complimentary_source": F.when(visible, EXACT_SOURCE).otherwise(FALLBACK_SOURCE),
         }
     ).drop("__incentive_tokens")

@@ -51,7 +51,7 @@ _RESULTS_SQL = """
         CAST(sum(CASE WHEN eligible AND incentive THEN i + o ELSE 0 END) AS BIGINT) AS inc, bool_or(incentive) AS incentive_tier_visible,
         coalesce(string_agg(DISTINCT nullif(tier, ''), ',' ORDER BY nullif(tier, '')), '') AS service_tiers, string_agg(DISTINCT model, ',' ORDER BY model) AS models, count(*) AS n_rows
       FROM r GROUP BY 1)
-    SELECT * EXCLUDE (inc), CASE WHEN incentive_tier_visible THEN inc ELSE eligible_group_tokens END AS complimentary_used_tokens,
+    SELECT * EXCLUDE (inc), incentive_tier_visible AS complimentary_exact, CASE WHEN incentive_tier_visible THEN inc ELSE eligible_group_tokens END AS complimentary_used_tokens,
       greatest(3000 - CASE WHEN incentive_tier_visible THEN inc ELSE eligible_group_tokens END, 0) AS complimentary_remaining_tokens,
       CASE WHEN incentive_tier_visible THEN 'official incentive service tier' ELSE 'official eligible-model usage fallback' END AS complimentary_source
     FROM a

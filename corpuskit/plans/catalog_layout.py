@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators import layout
 from corpuskit.operators.ordered import last_known, pair_in_order
-from corpuskit.plans.registry import query
+from corpuskit.plans.registry import ORACLES, query
 from corpuskit.session import staged
 from corpuskit.sources import layout as layout_source
 from corpuskit.sources.tables import table
@@ -250,6 +250,7 @@ def caption_regions(spark, folder):
         coalesce(sum(n) FILTER (kind = 'text' AND prose), 0) AS prose_chars, count(*) FILTER (kind = 'text' AND n > 0 AND NOT prose AND n <= 160) AS short_label_count FROM o GROUP BY ALL)
     SELECT r.doc_id, r.figure_key, r.mode, coalesce(raster_count, 0) AS raster_count, coalesce(drawing_count, 0) AS drawing_count, coalesce(prose_count, 0) AS prose_count,
       coalesce(short_label_count, 0) AS short_label_count,
+      round(least(1.0, CAST(coalesce(raster_area, 0) AS DOUBLE) / CAST((r.x1 - r.x0) * (r.y1 - r.y0) AS DOUBLE)), 4) AS raster_fraction, round(CAST(r.y1 - r.y0 AS DOUBLE) / 800, 4) AS height_fraction,
       round(least(1.0, CAST(coalesce(raster_area, 0) AS DOUBLE) / CAST((r.x1 - r.x0) * (r.y1 - r.y0) AS DOUBLE)) * 8 + least(3.5, coalesce(raster_count, 0) * 0.75) + least(4.0, coalesce(drawing_count, 0) * 0.12)
         + least(2.0, coalesce(short_label_count, 0) * 0.12) + least(1.2, CAST(r.y1 - r.y0 AS DOUBLE) / 800 * 1.6) - least(4.5, coalesce(prose_count, 0) * 1.15) - least(2.0, coalesce(prose_chars, 0) / CAST(900.0 AS DOUBLE)), 4) AS score
     FROM r LEFT JOIN e USING (doc_id, figure_key, mode)
@@ -262,22 +263,145 @@ def region_evidence(spark, folder):
     both = layout.crop_regions(captions, blocks)
     scored = layout.visual_evidence(both, blocks)
     counts = ["raster_count", "drawing_count", "prose_count", "short_label_count"]
-    return scored.select("doc_id", "figure_key", "mode", *counts, "score")
+    return scored.select("doc_id", "figure_key", "mode", *counts, "raster_fraction", "height_fraction", "score")
 
 
-@query()
+# All blocks of the derived layouts with their features.
+_BLOCKS_SQL = (
+    _LAYOUT_SQL
+    + _DOC_PAGES_SQL
+    + r"""
+    , boxes AS (SELECT doc_id, page_idx, block_id, 'text' AS kind, x0, y0, x1, y1, t, words, prose, CASE WHEN is_caption THEN CAST(regexp_extract(t, '^Figure ([0-9]+)', 1) AS INT) END AS fno FROM pr
+      UNION ALL SELECT doc_id, CAST(g AS INT), 2000000, 'image', 60.0, 320.0, 60.0 + n_chars % 400, 420.0, '', 0, FALSE, NULL FROM np, range(0, n_pages) t(g)
+      UNION ALL SELECT doc_id, CAST(g AS INT), 2000001, 'drawing', 50.0, 300.0, 100.0 + n_chars % 400, 430.0, '', 0, FALSE, NULL FROM np, range(0, n_pages) t(g)
+      UNION ALL SELECT doc_id, n_pages, 2000002, 'image', 100.0, 100.0, 300.0 + (n_chars % 400) / 2, 500.0, '', 0, FALSE, NULL FROM np WHERE lang = 'en'
+      UNION ALL SELECT doc_id, n_pages, 2000003, 'text', 100.0, 510.0, 180.0, 525.0, 'Figure 1', 2, FALSE, 1 FROM np WHERE lang = 'en'),
+    ab AS (SELECT doc_id, page_idx, block_id, kind, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, t, length(t) AS n, words, prose, fno FROM boxes)
+    """
+)
+
+
+def _best_captions_sql(bonus: int) -> str:
+    return f"""SELECT *, 'fig' || fno AS figure_key FROM ab WHERE fno IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY doc_id, fno ORDER BY n + CASE WHEN contains(t, '(A)') THEN {bonus} ELSE 0 END DESC, page_idx, block_id) = 1"""
+
+
+@query(
+    _BLOCKS_SQL
+    + f", c AS ({_best_captions_sql(300)})"
+    + r"""
+    , k AS (SELECT *, CASE WHEN (x1 - x0) / 600 >= 0.68 THEN 12.0 ELSE greatest(12.0, x0 - greatest(8.0, (x1 - x0) * 0.04)) END AS cx0,
+        CASE WHEN (x1 - x0) / 600 >= 0.68 THEN 588.0 ELSE least(588.0, x1 + greatest(8.0, (x1 - x0) * 0.04)) END AS cx1 FROM c),
+    above AS (SELECT k.doc_id, k.figure_key, max(p.y1) AS bottom FROM k JOIN ab p ON p.doc_id = k.doc_id AND p.page_idx = k.page_idx AND p.prose AND p.y1 < k.y0 - 13
+        AND greatest(0, least(p.x1, cx1) - greatest(p.x0, cx0)) / greatest(1, least(p.x1 - p.x0, cx1 - cx0)) >= 0.5 GROUP BY ALL),
+    before AS (SELECT k.doc_id, k.figure_key, max(p.y1) AS bottom FROM k JOIN ab p ON p.doc_id = k.doc_id AND p.page_idx = k.page_idx - 1 AND p.prose
+        AND greatest(0, least(p.x1, cx1) - greatest(p.x0, cx0)) / greatest(1, least(p.x1 - p.x0, cx1 - cx0)) >= 0.45 GROUP BY ALL),
+    same AS (SELECT k.doc_id, k.figure_key, 'same_page' AS mode, page_idx, cx0 AS x0, CASE WHEN bottom IS NULL OR y0 - 5 - (bottom + 6) < 70 THEN 12.0 ELSE bottom + 6 END AS y0, cx1 AS x1, y0 - 5 AS y1
+        FROM k LEFT JOIN above USING (doc_id, figure_key)),
+    prev AS (SELECT k.doc_id, k.figure_key, 'previous_page' AS mode, page_idx - 1 AS page_idx, cx0 AS x0, coalesce(bottom + 8, 12.0) AS y0, cx1 AS x1, 788.0 AS y1
+        FROM k LEFT JOIN before USING (doc_id, figure_key) WHERE page_idx > 0 AND (bottom IS NULL OR 788 - (bottom + 8) >= 90)),
+    tail AS (SELECT ab.*, CASE WHEN n <= 90 AND words <= 16 THEN fno END AS label_no,
+        (kind = 'image' AND (x1 - x0) * (y1 - y0) >= 900) OR (kind = 'drawing' AND (x1 - x0) * (y1 - y0) >= 80) AS visual,
+        n <= 100 AND regexp_matches(t, '(?i)^\s*table\s+\d+') AS is_table
+        FROM ab JOIN (SELECT doc_id, max(page_idx) AS l FROM c GROUP BY 1) USING (doc_id) WHERE page_idx > l),
+    ends AS (SELECT doc_id, page_idx, arg_min(label_no, block_id) FILTER (label_no IS NOT NULL) AS num, bool_or(is_table) AS is_table, min(x0) FILTER (visual) AS x0, min(y0) FILTER (visual) AS y0,
+        max(x1) FILTER (visual) AS x1, max(y1) FILTER (visual) AS y1 FROM tail GROUP BY ALL),
+    bounds AS (SELECT * FROM ends WHERE x0 IS NOT NULL AND (num IS NOT NULL OR NOT is_table)),
+    near AS (SELECT e.doc_id, e.page_idx, min(b.x0) AS tx0, min(b.y0) AS ty0, max(b.x1) AS tx1, max(b.y1) AS ty1
+        FROM bounds e JOIN tail b ON b.doc_id = e.doc_id AND b.page_idx = e.page_idx AND b.kind = 'text' AND b.n > 0 AND NOT b.prose AND b.n <= 180
+        AND least(b.x1, least(e.x1 + 28, 600)) > greatest(b.x0, greatest(e.x0 - 28, 0)) AND least(b.y1, least(e.y1 + 59, 800)) > greatest(b.y0, greatest(e.y0 - 59, 0)) GROUP BY ALL),
+    away AS (SELECT doc_id, '' AS figure_key, 'detached' AS mode, page_idx, greatest(least(x0, coalesce(tx0, x0)) - 14, 0) AS x0, greatest(least(y0, coalesce(ty0, y0)) - 14, 0) AS y0,
+        least(greatest(x1, coalesce(tx1, x1)) + 14, 600) AS x1, least(greatest(y1, coalesce(ty1, y1)) + 14, 800) AS y1, num FROM bounds LEFT JOIN near USING (doc_id, page_idx)),
+    r AS (SELECT *, NULL AS num FROM same WHERE y1 - y0 >= 70 AND x1 - x0 >= 60 UNION ALL SELECT *, NULL FROM prev WHERE y1 - y0 >= 90 AND x1 - x0 >= 60
+        UNION ALL SELECT * FROM away WHERE x1 - x0 >= 80 AND y1 - y0 >= 80),
+    o AS (SELECT r.doc_id, r.figure_key, r.mode, r.page_idx, b.kind, b.n, b.prose, (least(r.x1, b.x1) - greatest(r.x0, b.x0)) * (least(r.y1, b.y1) - greatest(r.y0, b.y0)) AS area
+        FROM r JOIN ab b ON r.doc_id = b.doc_id AND r.page_idx = b.page_idx AND least(r.x1, b.x1) > greatest(r.x0, b.x0) AND least(r.y1, b.y1) > greatest(r.y0, b.y0)),
+    e AS (SELECT doc_id, figure_key, mode, page_idx, count(*) FILTER (kind = 'image') AS rasters, coalesce(sum(area) FILTER (kind = 'image'), 0) AS raster_area, count(*) FILTER (kind = 'drawing') AS drawings,
+        count(*) FILTER (kind = 'text' AND n > 0 AND prose) AS proses, coalesce(sum(n) FILTER (kind = 'text' AND prose), 0) AS prose_chars,
+        count(*) FILTER (kind = 'text' AND n > 0 AND NOT prose AND n <= 160) AS shorts FROM o GROUP BY ALL),
+    g AS (SELECT r.*, coalesce(rasters, 0) AS rasters, coalesce(drawings, 0) AS drawings, (x1 - x0) * (y1 - y0) / 480000 AS share,
+        round(least(1.0, coalesce(raster_area, 0) / ((x1 - x0) * (y1 - y0))) * 8 + least(3.5, coalesce(rasters, 0) * 0.75) + least(4.0, coalesce(drawings, 0) * 0.12) + least(2.0, coalesce(shorts, 0) * 0.12)
+          + least(1.2, (y1 - y0) / 800 * 1.6) - least(4.5, coalesce(proses, 0) * 1.15) - least(2.0, coalesce(prose_chars, 0) / CAST(900.0 AS DOUBLE)), 4) AS score
+        FROM r LEFT JOIN e USING (doc_id, figure_key, mode, page_idx)),
+    ok AS (SELECT * FROM g WHERE mode = 'detached' AND (rasters >= 1 OR (drawings >= 1 AND share >= 0.16)) AND score >= CASE WHEN num IS NOT NULL THEN 0.20 ELSE 0.95 END AND share >= 0.10),
+    named AS (SELECT ok.* EXCLUDE (figure_key), c.figure_key, 'explicit_label' AS conf FROM ok JOIN c ON c.doc_id = ok.doc_id AND c.fno = ok.num
+        QUALIFY row_number() OVER (PARTITION BY ok.doc_id, c.figure_key ORDER BY ok.score DESC, ok.page_idx) = 1),
+    oc AS (SELECT doc_id, figure_key, row_number() OVER (PARTITION BY doc_id ORDER BY fno) AS i, count(*) OVER (PARTITION BY doc_id) AS m FROM c WHERE NOT EXISTS (SELECT 1 FROM named x WHERE x.doc_id = c.doc_id AND x.figure_key = c.figure_key)),
+    op AS (SELECT * EXCLUDE (figure_key), row_number() OVER (PARTITION BY doc_id ORDER BY page_idx) AS i, count(*) OVER (PARTITION BY doc_id) AS m FROM ok WHERE num IS NULL),
+    d AS (SELECT doc_id, figure_key, page_idx, x0, y0, x1, y1, score, conf FROM named
+        UNION ALL SELECT oc.doc_id, oc.figure_key, op.page_idx, x0, y0, x1, y1, score, 'sequential_exact' FROM oc JOIN op ON oc.doc_id = op.doc_id AND oc.i = op.i AND oc.m = op.m),
+    w AS (SELECT c.doc_id, c.figure_key, c.fno, c.t, c.page_idx AS cp, c.y0 / 800 AS h, s AS s, p AS p, d AS d,
+        CASE WHEN s IS NULL THEN p WHEN p IS NULL THEN s WHEN (c.y0 / 800 <= 0.22 AND p.score >= 0.75 AND p.score >= s.score - 0.75) OR (c.y0 / 800 <= 0.36 AND p.score >= s.score + 0.60) OR (s.score < 0.80 AND p.score >= 1.75) THEN p ELSE s END AS near
+        FROM c LEFT JOIN (SELECT * FROM g WHERE mode = 'same_page') s ON s.doc_id = c.doc_id AND s.figure_key = c.figure_key
+        LEFT JOIN (SELECT * FROM g WHERE mode = 'previous_page') p ON p.doc_id = c.doc_id AND p.figure_key = c.figure_key LEFT JOIN d ON d.doc_id = c.doc_id AND d.figure_key = c.figure_key),
+    z AS (SELECT *, d IS NOT NULL AND (near IS NULL OR coalesce(d.page_idx > cp AND ((d.conf = 'explicit_label' AND d.score >= 0.20) OR (d.conf = 'sequential_exact' AND d.score >= 0.95 AND (near.score < 2.40 OR d.score >= near.score - 0.35))), FALSE)) AS use
+        FROM w WHERE near IS NOT NULL OR d IS NOT NULL)
+    SELECT doc_id, 'Fig. ' || fno AS figure_label, figure_key, fno AS figure_no, t AS caption, CASE WHEN use THEN d.page_idx ELSE near.page_idx END + 1 AS figure_page_number, cp + 1 AS caption_page_number,
+      round(CASE WHEN use THEN d.x0 ELSE near.x0 END, 2) AS crop_x0, round(CASE WHEN use THEN d.y0 ELSE near.y0 END, 2) AS crop_y0, round(CASE WHEN use THEN d.x1 ELSE near.x1 END, 2) AS crop_x1,
+      round(CASE WHEN use THEN d.y1 ELSE near.y1 END, 2) AS crop_y1, CASE WHEN use THEN 'detached_endmatter' ELSE near.mode END AS selection_mode, CASE WHEN use THEN d.score ELSE near.score END AS selection_score,
+      CASE WHEN use THEN 'original_pdf_detached_endmatter' WHEN near.mode = 'same_page' THEN 'original_pdf_caption_anchor_direct' ELSE 'original_pdf_caption_anchor_cross_page' END AS asset_mode,
+      CASE WHEN use THEN d.page_idx ELSE near.page_idx END <> cp AS cross_page, use AS detached_endmatter, CASE WHEN use THEN d.conf ELSE 'local' END AS match_confidence FROM z
+    """
+)
 def figure_table(spark, folder):
-    """Figures of all derived layouts; checked against a brute-force selection on a fixture in the tests."""
+    """Figures of all derived layouts."""
     return layout.figure_table(_layout(spark, folder))
 
 
-@query()
+@query(
+    _BLOCKS_SQL
+    + r"""
+    , c AS (SELECT *, 'fig' || fno AS figure_key FROM ab WHERE regexp_matches(t, '^Figure \d+[A-Za-z]?\s*[.:]?\s+') QUALIFY row_number() OVER (PARTITION BY doc_id, fno ORDER BY
+        10.0 + CASE WHEN n BETWEEN 60 AND 2500 THEN 3.0 ELSE 0 END + 2.0 + CASE WHEN regexp_matches(t, '(?i)[A-H]\s+(and|–|-)\s+[A-H]') THEN 1.0 ELSE 0 END + CASE WHEN y0 > 200 THEN 0.5 ELSE 0 END DESC, n DESC, page_idx, block_id) = 1),
+    k AS (SELECT *, CASE WHEN (x1 - x0) / 600 >= 0.70 THEN 14.0 ELSE greatest(14.0, x0 - greatest(8.0, (x1 - x0) * 0.05)) END AS cx0,
+        CASE WHEN (x1 - x0) / 600 >= 0.70 THEN 586.0 ELSE least(586.0, x1 + greatest(8.0, (x1 - x0) * 0.05)) END AS cx1 FROM c),
+    body AS (SELECT doc_id, page_idx, x0, y0, x1, y1 FROM (SELECT *, len(regexp_extract_all(t, '[.,;:]')) AS punct FROM ab)
+        WHERE kind = 'text' AND n >= 120 AND punct >= 2 AND words >= 22 AND NOT regexp_matches(t, '^Figure \d+[A-Za-z]?\s*[.:]?\s+')),
+    low AS (SELECT k.doc_id, k.figure_key, max(p.y1) AS bottom FROM k JOIN body p ON p.doc_id = k.doc_id AND p.page_idx = k.page_idx AND p.y1 < k.y0 - 8
+        AND greatest(0, least(p.x1, cx1) - greatest(p.x0, cx0)) / greatest(1, least(p.x1 - p.x0, cx1 - cx0)) >= 0.45 GROUP BY ALL),
+    im AS (SELECT k.doc_id, k.figure_key, min(b.y0) AS iy, min(b.x0) AS ix0, max(b.x1) AS ix1 FROM k JOIN ab b ON b.doc_id = k.doc_id AND b.page_idx = k.page_idx AND b.kind = 'image' AND b.y0 < k.y0
+        AND greatest(0, least(b.x1, cx1) - greatest(b.x0, cx0)) / greatest(1, least(b.x1 - b.x0, cx1 - cx0)) >= 0.25 GROUP BY ALL),
+    q AS (SELECT doc_id, figure_key, page_idx, k.y0 - 6 AS ry1, cx0, cx1, ix0, ix1, coalesce(ix1 - ix0 < 432, FALSE) AS widen,
+        greatest(CASE WHEN bottom IS NULL THEN 14.0 ELSE least(k.y0 - 45, bottom + 8) END, coalesce(iy - 18, -1e9)) AS ry0 FROM k LEFT JOIN low USING (doc_id, figure_key) LEFT JOIN im USING (doc_id, figure_key))
+    SELECT doc_id, figure_key, 'image_guided' AS mode, page_idx, CAST(CASE WHEN widen THEN greatest(12.0, least(cx0, ix0 - 10)) ELSE cx0 END AS DOUBLE) AS x0, CAST(ry0 AS DOUBLE) AS y0,
+      CAST(CASE WHEN widen THEN least(588.0, greatest(cx1, ix1 + 10)) ELSE cx1 END AS DOUBLE) AS x1, CAST(ry1 AS DOUBLE) AS y1, CAST(600.0 AS DOUBLE) AS page_w, CAST(800.0 AS DOUBLE) AS page_h
+    FROM q WHERE ry1 - ry0 >= 45
+    """
+)
 def image_guided_regions(spark, folder):
     """Variant regions that start at the images above a caption."""
     blocks = staged(_layout(spark, folder), "layout-blocks")
     return layout.image_guided_regions(layout.best_captions_heuristic(blocks), blocks)
 
 
+_FOUND = "doc_id, figure_key, figure_page_number, crop_x0, crop_y0, crop_x1, crop_y1, selection_mode"
+
+
+@query(
+    f"""
+    WITH lang_of AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang FROM documents),
+    first AS (SELECT f.* FROM ({ORACLES["figure_table"]}) f JOIN lang_of USING (doc_id) WHERE lang <> 'fr'),
+    second AS (SELECT doc_id, figure_key, page_idx + 1 AS figure_page_number, round(x0, 2) AS crop_x0, round(y0, 2) AS crop_y0, round(x1, 2) AS crop_x1, round(y1, 2) AS crop_y1, mode AS selection_mode
+      FROM ({ORACLES["image_guided_regions"]}))
+    SELECT {_FOUND}, 'primary' AS engine FROM first UNION ALL SELECT {_FOUND}, 'fallback' FROM second WHERE doc_id NOT IN (SELECT doc_id FROM first)
+    """
+)
+def preferred_figures(spark, folder):
+    """Figures of both engines by preference; the first engine has no layout of the French documents."""
+    blocks = staged(_layout(spark, folder), "layout-blocks")
+    french = table(spark, folder, "documents").where("lang = 'fr'").select(F.col("doc_id").cast("string").alias("doc_id"))
+    found = layout.preferred_figures(blocks.join(french, "doc_id", "left_anti"), blocks)
+    return found.select(*_FOUND.split(", "), "engine")
+
+
+@query(_BLOCKS_SQL + f", c AS ({_best_captions_sql(250)}) SELECT doc_id, fno AS figure_no, page_idx, sha256(t) AS caption_hash FROM c WHERE fno = 1 + CAST(doc_id AS BIGINT) % 3")
+def caption_anchor(spark, folder):
+    """The caption of one figure number of every document, looked for in the whole document."""
+    asked = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (1 + F.col("doc_id") % 3).cast("int").alias("figure_no"))
+    found = layout.caption_anchor(_layout(spark, folder), asked)
+    return found.select("doc_id", "figure_no", "page_idx", F.sha2("caption", 256).alias("caption_hash"))
+
+
 @query(
     _LAYOUT_SQL
     + _DOC_PAGES_SQL

@@ -1,5 +1,6 @@
 """Dictionary operators against plain Python."""
 
+import random
 import re
 
 import pytest
@@ -39,6 +40,17 @@ def test_term_counts(spark, broadcast):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_mention_pairs_by_brute_force(spark):
+    """Terms with blanks at their ends, inside, or nothing else; texts with runs of blanks."""
+    rnd = random.Random(5)
+    some = lambda n: "".join(rnd.choice("ab  c") for _ in range(n))
+    texts = [(i, some(rnd.randint(0, 14))) for i in range(300)] + [(900, None), (901, ""), (902, "abcabc"), (903, "x" * 50_000 + " y")]
+    terms = list({some(rnd.randint(0, 5)) for _ in range(150)}) + [" ", "  ", "x" * 300, "xx y", None]
+    pairs = dictionary.mention_pairs(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(t,) for t in terms], "term string"), "id", "t", "term")
+    want = {(i, s) for i, t in texts if t is not None for s in terms if s and s in t}
+    assert len(want) > 1000 and sorted((r["id"], r["term"]) for r in pairs.distinct().collect()) == sorted(want)
+
+
 def test_mention_pairs(spark):
     texts, terms = ["flow cytometry of cells", "if", "stiff", "x", "", "가나다 x\nif"], ["if", "flow", "x", "가나", "cells", "flow cytometry of cells", "q"]
     pairs = dictionary.mention_pairs(
