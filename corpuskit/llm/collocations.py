@@ -5,7 +5,8 @@ Only edges and what ends a piece (its last two words, its last word) are counted
 is left by one of its edges or ends a piece, so the count of two words is the sum of their outgoing edges plus the pieces that they end, and the count of a
 word is the sum of the nodes it begins plus the pieces that it ends.
 
-Tasks send a node with all its edges as one row.  Rows meet by node, sorted, and are merged as they come, so that edges, nodes and shares of words leave in one pass.  Nodes that hold
+Tasks send a node with all its edges and its count as one row.  Rows meet by node, sorted, and are merged as they come, so that edges, nodes and shares of words leave in one pass;
+counts are summed up in numpy, and edges are only looked into where a node reaches the least count.  Nodes that hold
 more than ``HEAVY`` of all occurrences in a sample of the texts are dealt by the edge as well; which ones these are changes no result.
 
 Edges and nodes below the least count only feed these sums.  In the graph of the others, unary paths (chains of nodes with one edge in and one out) are
@@ -18,10 +19,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +34,8 @@ LEAST = 10
 SHARE = 50  # per cent of a phrase's occurrences that a longer candidate must hold to replace it
 SHOWN = 2000
 SCALE = 1_000_000
-FLUSH = 500_000
+FLUSH = 1_200_000
+LISTED = 8  # longer lists of a task's edges are counted before they are sent
 HEAVY = 0.002
 SAMPLE = 1 / 32
 SLICES = 64
@@ -78,101 +82,125 @@ def heavy_nodes(docs: DataFrame, text: str, lang: str) -> dict[str, set[bytes]]:
 
 
 def packed_edges(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, head, slice, tails): a node of two words with the words that follow it in a task's texts, each with its count if that isn't one, parted by blanks.
+    """(lang, head, slice, n, tails): a node of two words, its count and the words that follow it in a task's texts, parted by blanks, some with their counts.
 
     An empty tail is the end of a piece; a head of one word is the last word of a piece.
     """
     heavy = heavy_nodes(docs, text, lang)
-
-    def rows(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        for name, counts in held.items():
-            tails: dict[tuple[bytes, int], list[bytes]] = defaultdict(list)
-            hot = heavy.get(name, ())
-            for gram, n in counts.items():
-                head, _, tail = gram.rpartition(b" ")
-                part = 1 + zlib.crc32(tail) % SLICES if head in hot else 0
-                tails[head, part].append(tail if n == 1 else b"%b\t%d" % (tail, n))
-            heads, parts = zip(*tails, strict=True) if tails else ((), ())
-            packed = pa.array(map(b" ".join, tails.values()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(heads), pa.string()), pa.array(heads, pa.binary()), pa.array(parts, pa.int32()), packed], names=["lang", "head", "slice", "tails"])
+    schema = "lang string, head binary, slice int, n bigint, tails binary"
+    types = (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
+
+    def packed(tails: list[bytes]) -> bytes:
+        if len(tails) > LISTED:
+            tails = [t if n == 1 else b"%b\t%d" % (t, n) for t, n in Counter(tails).items()]
+        return b" ".join(tails)
+
+    def rows(held: dict[str, dict[bytes, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        for name, nodes in held.items():
+            sliced: list[tuple[bytes, int, list[bytes]]] = []
+            for head in heavy.get(name, set()) & nodes.keys():
+                parts = defaultdict(list)
+                for tail in nodes.pop(head):
+                    parts[1 + zlib.crc32(tail) % SLICES].append(tail)
+                sliced += [(head, part, tails) for part, tails in parts.items()]
+            heads, lists = [*nodes, *(x[0] for x in sliced)], [*nodes.values(), *(x[2] for x in sliced)]
+            slices = np.concatenate([np.zeros(len(nodes)), [x[1] for x in sliced]]).astype(np.int32)
+            columns = ([name] * len(heads), heads, slices, list(map(len, lists)), list(map(packed, lists)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "head", "slice", "n", "tails"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, int]] = {}
+        held: dict[str, dict[bytes, list[bytes]]] = {}
         size = 0
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts = held.setdefault(name, defaultdict(int))
-                before = len(counts)
+                nodes = held.get(name)
+                if nodes is None:
+                    nodes = held[name] = defaultdict(list)
                 for words in _pieces(raw):
-                    for gram in map(b" ".join, zip(words, words[1:], words[2:], strict=False)):
-                        counts[gram] += 1
-                    if len(words) > 1:
-                        counts[b"%b %b " % (words[-2], words[-1])] += 1
-                    counts[words[-1] + b" "] += 1
-                size += len(counts) - before
+                    after = words[2:]
+                    after.append(b"")
+                    for head, tail in zip(map(b" ".join, zip(words, words[1:], strict=False)), after, strict=False):
+                        nodes[head].append(tail)
+                    nodes[words[-1]].append(b"")
+                    size += len(words)
                 if size >= FLUSH:
                     yield from rows(held)
                     held, size = {}, 0
         yield from rows(held)
 
-    return _texts(docs, text, lang).mapInArrow(count, "lang string, head binary, slice int, tails binary")
+    return _texts(docs, text, lang).mapInArrow(count, schema)
 
 
 def merge_edges(packed: DataFrame, least: int) -> DataFrame:
     """(size, lang, gram, n): edges (size 3) of the least count or more, nodes (2) of it or of heavy ones a share, and shares of all words (1)."""
-    types = (pa.int32(), pa.string(), pa.binary(), pa.int64())
+    names = ["size", "lang", "gram", "n"]
+
+    def strong(tails: list[bytes]) -> list[tuple[bytes, int]]:
+        counts: dict[bytes, int] = defaultdict(int)
+        for listed in tails:
+            for entry in listed.split(b" "):
+                tail, counted, n = entry.partition(b"\t")
+                counts[tail] += int(n) if counted else 1
+        return [(tail, n) for tail, n in counts.items() if n >= least and tail]
+
+    def runs(*columns: pa.Array) -> np.ndarray:
+        """Where a new combination of values begins."""
+        n = len(columns[0])
+        new = np.zeros(n, dtype=bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) if n > 1 else False
+        return np.flatnonzero(new)
+
+    def merged(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Whole nodes only."""
+        lang, head, part, n, tails = b.columns
+        head = head.cast(pa.string())
+        flows = n.to_numpy()
+        starts = runs(lang, head, part)
+        sums = np.add.reduceat(flows, starts) if len(starts) else flows[:0]
+        ends = np.append(starts[1:], b.num_rows)
+        word = pc.list_element(pc.split_pattern(head, " ", max_splits=1), 0)
+        words = runs(lang, word)
+        if len(words):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), 1, np.int32)), lang.take(pa.array(words)), word.take(pa.array(words)), pa.array(np.add.reduceat(flows, words))], names=names)
+        two = pc.match_substring(head, " ").to_numpy(zero_copy_only=False)[starts]
+        sliced = part.to_numpy()[starts] > 0
+        at = np.flatnonzero(two & ((sums >= least) | sliced))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2, np.int32)), lang.take(pa.array(starts[at])), head.take(pa.array(starts[at])), pa.array(sums[at])], names=names)
+        out = []
+        for i in at[sums[at] >= least].tolist():
+            first = head[int(starts[i])].as_py()
+            found = strong(tails.slice(starts[i], ends[i] - starts[i]).to_pylist())
+            out += [(3, lang[int(starts[i])].as_py(), f"{first} {tail.decode()}", k) for tail, k in found]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        now, held, word, share = None, [], None, 0
-
-        def table() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["size", "lang", "gram", "n"])
-
-        def close() -> None:
-            nonlocal word, share
-            name, head, part = now
-            if len(held) == 1 and b"\t" not in held[0]:
-                flow, counts = held[0].count(b" ") + 1, {}
-            else:
-                counts = defaultdict(int)
-                for packed_ in held:
-                    for entry in packed_.split(b" "):
-                        tail, _, n = entry.partition(b"\t")
-                        counts[tail] += int(n) if n else 1
-                flow = sum(counts.values())
-            if flow >= least:
-                if not counts and least == 1:
-                    counts = dict.fromkeys(held[0].split(b" "), 1)
-                out.extend((3, name, b"%b %b" % (head, tail), n) for tail, n in counts.items() if n >= least and tail)
-            first, blank, _ = head.partition(b" ")
-            if blank and (flow >= least or part):
-                out.append((2, name, head, flow))
-            if word != (name, first):
-                if word is not None:
-                    out.append((1, *word, share))
-                word, share = (name, first), 0
-            share += flow
-
+        """The last node of a batch may go on in the next: it is carried over."""
+        carried: list[pa.RecordBatch] = []
         for b in batches:
-            for *key, tails in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != now:
-                    if now is not None:
-                        close()
-                    now, held = key, []
-                held.append(tails)
-            if len(out) > 50_000:
-                yield table()
-                out.clear()
-        if now is not None:
-            close()
-            out.append((1, *word, share))
-        yield table()
+            if not b.num_rows:
+                continue
+            begun = int(runs(*b.columns[:3])[-1])
+            goes_on = bool(carried) and all(carried[-1].column(i)[0].equals(b.column(i)[0]) for i in range(3))
+            if carried and (begun > 0 or not goes_on):
+                upto = begun if goes_on else 0
+                whole = pa.Table.from_batches([*carried, b.slice(0, upto)]).combine_chunks().to_batches()
+                for w in whole:
+                    yield from merged(w)
+                carried, b, begun = [], b.slice(upto), begun - upto
+            if begun > 0:
+                yield from merged(b.slice(0, begun))
+                b = b.slice(begun)
+            carried.append(b)
+        if carried:
+            for w in pa.Table.from_batches(carried).combine_chunks().to_batches():
+                yield from merged(w)
 
     place = ["lang", "head", "slice"]
     dealt = packed.repartition(*place).sortWithinPartitions(*place)
-    return dealt.mapInArrow(merge, "size int, lang string, gram binary, n bigint").select("size", "lang", F.col("gram").cast("string").alias("gram"), "n")
+    return dealt.mapInArrow(merge, "size int, lang string, gram string, n bigint")
 
 
 def _first(gram: str, words: int) -> Column:
