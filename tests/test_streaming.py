@@ -95,7 +95,7 @@ def test_ingest_of_many_batches_equals_batch(spark, tmp_path):
 
 def test_window_ledger_drops_state_and_counts_late_calls(spark, tmp_path):
     source, check = str(tmp_path / "calls"), str(tmp_path / "check")
-    for i, days in enumerate(([0, 1], [10], [11, 0], [12])):  # day 0 comes back after the watermark has passed it
+    for i, days in enumerate(([0, 1], [10], [11], [12, 0])):  # day 0 comes back two batches after day 10, whose watermark has passed it
         _calls(spark, days).coalesce(1).write.parquet(f"{source}/part{i}")
     days = ledger.window_table(spark, str(tmp_path / "days"), ["model"], buckets=2)
     stream = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{source}/*")
