@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,21 +154,40 @@ def neighbours(ids: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
             after += np.bincount(units[:-1] * k + own[1:], minlength=size * k)
             after[own[1]] -= 1  # the end that stands before the batch is no token of it
             after[of_unit[0]] += 1
-        cell = np.flatnonzero((before != 0) | (after != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(before[cell]), pa.array(after[cell])], names=["cell", "before", "after"])
+        yield packed(before.reshape(size, k), after.reshape(size, k))
+
+    def packed(before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        """One row per unit that occurs: its cells that aren't zero, as (class, before, after)."""
+        held, rows = [], []
+        cell = np.dtype([("c", "u1"), ("b", "<u4"), ("a", "<u4")])
+        for u in np.flatnonzero((before != 0).any(axis=1) | (after != 0).any(axis=1)).tolist():
+            at = np.flatnonzero((before[u] != 0) | (after[u] != 0))
+            cells = np.empty(len(at), dtype=cell)
+            cells["c"], cells["b"], cells["a"] = at, before[u, at], after[u, at]
+            held.append(u)
+            rows.append(cells.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(rows, pa.binary())], names=["unit", "cells"])
 
-    training = ids.where(~F.col("held_out")).select("ids")
-    cells = training.mapInArrow(count, "cell bigint, before bigint, after bigint").groupBy("cell").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = np.dtype([("c", "u1"), ("b", "<u4"), ("a", "<u4")])
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype("<i8").tobytes()], pa.binary()) for c in b.columns], names=b.schema.names)
-
-    before, after = np.zeros(size * k), np.zeros(size * k)
-    for row in cells.mapInArrow(pack, "cell binary, before binary, after binary").collect():  # units times classes cells at most
-        cell, one, other = (np.frombuffer(c, dtype="<i8") for c in row)
-        before[cell], after[cell] = one, other
-    return before.reshape(size, k), after.reshape(size, k)
+            for u, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cells = np.frombuffer(raw, dtype=cell)
+                mine = sums.setdefault(u, np.zeros((2, k), dtype=np.int64))
+                mine[0, cells["c"]] += cells["b"]
+                mine[1, cells["c"]] += cells["a"]
+        units = sorted(sums)
+        raw = np.stack([sums[u] for u in units]).tobytes() if units else b""
+        yield pa.RecordBatch.from_arrays([pa.array([np.array(units, dtype="<i4").tobytes()], pa.binary()), pa.array([raw], pa.binary())], names=["units", "sums"])
+
+    sent = ids.where(~F.col("held_out")).select("ids").mapInArrow(count, "unit int, cells binary")
+    before, after = np.zeros((size, k)), np.zeros((size, k))
+    for row in sent.repartition("unit").mapInArrow(add, "units binary, sums binary").collect():  # units times classes cells at most
+        units = np.frombuffer(row["units"], dtype="<i4")
+        if len(units):
+            before[units], after[units] = np.frombuffer(row["sums"], dtype="<i8").reshape(-1, 2, k).swapaxes(0, 1)
+    return before, after
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -227,6 +247,27 @@ class Exchange:
         return int(np.argmax(gain))
 
 
+    def best_many(self, word: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """``best`` for many words: ``word``, ``before`` and ``after`` have one entry per occurrence, ``own`` one per word."""
+        k = len(self.size)
+        gain = np.zeros((len(own), k))
+        total = np.bincount(word, minlength=len(own)).astype(float)
+        for side, table, f_table in ((before, self.into, self.f_into), (after, self.out, self.f_out)):
+            cells, x = np.unique(word * k + side, return_counts=True)
+            w, c, x = cells // k, cells % k, x.astype(float)
+            gains = _f(table[:, c].T + x[:, None]) - f_table[:, c].T
+            mine = own[w]
+            gains[np.arange(len(w)), mine] = f_table[mine, c] - _f(table[mine, c] - x)
+            starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[starts]] += np.add.reduceat(gains, starts)
+        sizes = _f(self.size + total[:, None]) - self.f_size
+        at = np.arange(len(own))
+        sizes[at, own] = self.f_size[own] - _f(self.size[own] - total)
+        gain -= 2 * sizes
+        gain[:, 0] = -np.inf
+        return np.argmax(gain, axis=1)
+
+
 def cluster_listed(ids: DataFrame, model: Model, chosen: Exchange, of_ids: np.ndarray) -> np.ndarray:
     """``of_ids`` with the best class for each listed word that has no unit of its own."""
     first, last, classes = 1 + model.clustered, 1 + model.n_words, model.classes
@@ -282,9 +323,10 @@ def cluster_others(ids: DataFrame, model: Model, chosen: Exchange, of_ids: np.nd
     Rows of texts hold, for each such word in order, its class and those of its neighbours (``REST`` for one that isn't listed), one byte each; the sum of log10(count + 1/2), and
     how many are known.  Rows without a text say how many distinct training words (``kinds``) have a class.
     """
-    listed, classes = 1 + model.n_words, model.classes
+    listed = 1 + model.n_words
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, tag, word); a tag holds the place in the batch, the classes before and after, with a ninth bit for unlisted words, and whether the text is held out."""
         own = np.where(np.arange(len(of_ids)) < listed, of_ids, of_ids + 256)
         for b in batches:
             lengths = [len(x) // 2 for x in b.column(2).to_pylist()]
@@ -293,79 +335,87 @@ def cluster_others(ids: DataFrame, model: Model, chosen: Exchange, of_ids: np.nd
             around = own[at]
             text = np.repeat(np.arange(b.num_rows), lengths)[places - 1]
             words = b" ".join(x for x in b.column(3).to_pylist() if x).split(b" ") if len(places) else []
-            columns = [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(places, pa.int64())]
-            columns += [pa.array(around[places + d].astype(np.int32)) for d in (-1, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary())], names=["row", "held_out", "place", "left", "right", "word"])
+            held_out = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
+            tag = places << 32 | around[places - 1] << 16 | around[places + 1] << 4 | held_out
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(tag), pa.array(words, pa.binary())], names=["row", "tag", "word"])
+
+    def named(b: pa.RecordBatch, kinds: np.ndarray) -> pa.RecordBatch:
+        """(row, tag, n) for whole groups of words; now a tag holds the place, the class and those of the neighbours."""
+        tag, word = b.column(1).to_numpy(), b.column(2)
+        new = np.ones(b.num_rows, dtype=bool)
+        if b.num_rows > 1:
+            new[1:] = pc.not_equal(word.slice(1), word.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        left, right, training = tag >> 16 & 0x1FF, tag >> 4 & 0x1FF, tag & 1 == 0
+        n = np.bincount(group[training], minlength=len(starts))
+        own = np.array([model.of_suffix(w) for w in word.take(pa.array(starts)).to_pylist()], dtype=np.int64)
+        often = np.flatnonzero(n >= LEAST)
+        if len(often):
+            number = np.full(len(starts), -1)
+            number[often] = np.arange(len(often))
+            used = training & (number[group] >= 0)
+            own[often] = chosen.best_many(number[group[used]], left[used] % 256, right[used] % 256, own[often])
+        kinds += np.bincount(own[n > 0], minlength=len(kinds))
+        out = tag >> 32 << 32 | own[group] << 24 | np.minimum(left, REST) << 16 | np.minimum(right, REST) << 8 | tag & 1
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array(n[group])], names=["row", "tag", "n"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of a word, which may go on in the next batch: a word that isn't listed occurs less often than those that are."""
-        now: bytes | None = None
-        held: list[tuple] = []
-        out: list[tuple] = []
-        kinds: Counter = Counter()
-
-        def close() -> None:
-            training = [h for h in held if not h[1]]
-            n, own = len(training), model.of_suffix(now)
-            if n >= LEAST:
-                sides = [np.bincount([h[i] % 256 for h in training], minlength=classes).astype(float) for i in (3, 4)]
-                own = chosen.best(*sides, own)
-            kinds[own] += n > 0
-            out.extend((h[0], h[1], h[2], own, min(h[3], REST), min(h[4], REST), n) for h in held)
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "held_out", "place", "class", "left", "right", "n"])
-
+        """The last word of a batch may go on in the next and is carried over; it occurs less often than any listed word."""
+        kinds = np.zeros(model.classes, dtype=np.int64)
+        carried: list[pa.RecordBatch] = []
         for b in batches:
-            for *rest, word in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if word != now:
-                    if now is not None:
-                        close()
-                    now, held = word, []
-                    if len(out) > 100_000:
-                        yield table(out)
-                        out = []
-                held.append(tuple(rest))
-        if now is not None:
-            close()
-        yield table(out + [(None, None, None, c, None, None, n) for c, n in kinds.items()])
+            if not b.num_rows:
+                continue
+            words = pa.Table.from_batches([*carried, b]).combine_chunks()
+            last = pc.equal(words["word"], words["word"][-1]).to_numpy(zero_copy_only=False)
+            first = int(np.argmax(last))  # rows are sorted by word
+            for part in words.slice(0, first).combine_chunks().to_batches():
+                yield named(part, kinds)
+            carried = words.slice(first).combine_chunks().to_batches()
+        for part in carried:
+            yield named(part, kinds)
+        at = np.flatnonzero(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(at), pa.int64()), pa.array(at), pa.array(kinds[at])], names=["row", "tag", "n"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per text: occurrences in order."""
-        now, held, out = None, [], []
-
-        def close() -> None:
-            links = np.array([(c, left, right) for c, left, right, _ in held], dtype=np.uint8)
-            counts = np.array([n for *_, n in held], dtype=np.float64)
-            out.append((*now, links.tobytes(), float(np.log10(counts + 0.5).sum()), int((counts > 0).sum()), None, None))
-
-        def table() -> pa.RecordBatch:
-            types = (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64(), pa.int32(), pa.int64())
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "held_out", "links", "logs", "known", "class", "kinds"])
-
+        names = ["row", "held_out", "links", "logs", "known", "class", "kinds"]
+        types = (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64(), pa.int32(), pa.int64())
+
+        def texts(t: pa.Table) -> pa.RecordBatch:
+            row, tag, n = (t[c].to_numpy() for c in ("row", "tag", "n"))
+            links = np.stack([tag >> s & 0xFF for s in (24, 16, 8)], axis=1).astype(np.uint8)
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            ends = np.append(starts[1:], len(row))
+            logs, known = np.add.reduceat(np.log10(n + 0.5), starts), np.add.reduceat((n > 0).astype(np.int64), starts)
+            packed = [links[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            none = [None] * len(starts)
+            columns = (row[starts], tag[starts] & 1 == 1, packed, logs, known, none, none)
+            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types, strict=True)], names=names)
+
+        carried: list[pa.RecordBatch] = []
         for b in batches:
-            for row, held_out, _, c, left, right, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if row is None:
-                    out.append((None, None, None, None, None, c, n))
-                    continue
-                if now is None or row != now[0]:
-                    if now is not None:
-                        close()
-                    now, held = (row, held_out), []
-                held.append((c, left, right, n))
-            if len(out) > 20_000:
-                yield table()
-                out.clear()
-        if now is not None:
-            close()
-        yield table()
-
-    spread = ids.select("row", "held_out", "ids", "rest").mapInArrow(occurrences, "row bigint, held_out boolean, place bigint, left int, right int, word binary")
-    named = spread.repartition("word").sortWithinPartitions("word").mapInArrow(name, "row bigint, held_out boolean, place bigint, class int, left int, right int, n bigint")
-    ordered = named.repartition("row").sortWithinPartitions("row", "place")
+            counts = b.filter(pc.is_null(b.column(0)))
+            if counts.num_rows:
+                none = [None] * counts.num_rows
+                columns = (none, none, none, none, none, counts.column(1).to_pylist(), counts.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types, strict=True)], names=names)
+            b = b.filter(pc.is_valid(b.column(0)))
+            if not b.num_rows:
+                continue
+            whole = pa.Table.from_batches([*carried, b]).combine_chunks()
+            row = whole["row"].to_numpy()
+            first = int(np.searchsorted(row, row[-1]))
+            if first:
+                yield texts(whole.slice(0, first))
+            carried = whole.slice(first).combine_chunks().to_batches()
+        if carried:
+            yield texts(pa.Table.from_batches(carried))
+
+    spread = ids.select("row", "held_out", "ids", "rest").mapInArrow(occurrences, "row bigint, tag bigint, word binary")
+    met = spread.repartition("word").sortWithinPartitions("word").mapInArrow(name, "row bigint, tag bigint, n bigint")
+    ordered = met.repartition("row").sortWithinPartitions("row", "tag")
     return staged(ordered.mapInArrow(gather, "row bigint, held_out boolean, links binary, logs double, known bigint, class int, kinds bigint"), "brown-others")
 
 

@@ -455,3 +455,18 @@ def test_exchange_separates_two_languages():
         np.add.at(after, (tokens[:-1], of_unit[tokens[1:]]), 1)
         of_unit = brown_lm.exchange(before, after, of_unit, 3)
     assert len(set(of_unit[1:21])) == 1 and len(set(of_unit[21:])) == 1 and of_unit[1] != of_unit[21]
+
+
+def test_many_words_are_exchanged_as_one_is():
+    rng = np.random.default_rng(7)
+    before, after = rng.integers(0, 9, (30, 6)).astype(float), rng.integers(0, 9, (30, 6)).astype(float)
+    of_unit = np.concatenate([[0], 1 + np.arange(29) % 5])
+    # totals are large enough to take a word out of its class
+    words = np.sort(rng.integers(0, 12, 80))
+    words = np.unique(words, return_inverse=True)[1]
+    left, right, own = rng.integers(0, 6, 80), rng.integers(0, 6, 80), rng.integers(1, 6, words.max() + 1)
+    chosen = brown_lm.Exchange(before * 9, after * 9, of_unit, 6)
+    got = chosen.best_many(words, left, right, own)
+    for w in range(words.max() + 1):
+        sides = (np.bincount(x[words == w], minlength=6).astype(float) for x in (left, right))
+        assert got[w] == chosen.best(*sides, int(own[w]))
