@@ -94,3 +94,34 @@ def test_given_pages(spark, model):
     want = {r["page_id"]: r["text"] for r in html_extract.extract_pages(outside, model).collect()}
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages, model).collect()}
     assert got == want and all(got.values())
+
+
+def test_word_ids_equal_the_tokenizer_on_odd_strings():
+    """Combining marks behind capitals and punctuation, special tokens, letters whose case changes their length, other scripts, blanks of all kinds."""
+    words = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"), 1)
+    rnd = random.Random(7)
+    marks = [chr(c) for c in range(0x300, 0x345)]
+    plain = [*"abcXYZWTHJKIéÉßÀÿÑñİıſΣσςΩÅK019!.,'\"-|<>&#", " ", "\t", "\n", " ", " ", "<|endoftext|>", "<|startoftext|>", "한", "漢", "☃"]
+    for text in ["Y̊", "W̊ T̈ H̱ J̌"]:
+        assert np.frombuffer(words.encode(text.encode()), dtype=words.dtype).tolist() == words.whole(text)
+    for _ in range(100_000):
+        text = "".join(rnd.choice(marks) if rnd.random() < 0.25 else rnd.choice(plain) for _ in range(rnd.randint(1, 14)))
+        assert np.frombuffer(words.encode(text.encode()), dtype=words.dtype).tolist() == words.whole(text), ascii(text)
+
+
+def pieces(page):
+    blocks = {}
+    for _, block, piece in html_extract.parse(page).pieces:
+        blocks[block] = blocks.get(block, "") + piece
+    return [" ".join(b.split()) for b in blocks.values() if b.strip()]
+
+
+def test_parser_loses_no_text():
+    assert pieces("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be a number.</p><p>B") == ["Let x=1 be a number.", "B"]
+    assert pieces("<article><p>a</p><svg><path d=1><p>tail</p></article><p>more") == ["a", "tail", "more"]  # a drawing that is never closed
+    assert pieces("<p>İ</p><SCRIPT>var x='<p>no</p>'</SCRIPT ><p>yes") == ["İ", "yes"]  # one letter grows in lower case
+    assert pieces("<p>a <object>fall</object> <noscript>back</noscript> <canvas>c</canvas>") == ["a fall back c"]
+    assert pieces("<head><title>open<body></head><p>kept") == ["kept"]
+    assert pieces("<select><option>a<option>b</select><p>z<template><p>q</p></template>r") == ["z", "r"]
+    assert pieces("<svg><title>t</title><style>.a{}</style><text>hi</text></svg>x") == ["thix"]
+    assert pieces("<p>a</p><style>p{}</STYLE><textarea>typed</textarea><p>b<script>endless <p>c") == ["a", "b"]

@@ -470,3 +470,38 @@ def test_many_words_are_exchanged_as_one_is():
     for w in range(words.max() + 1):
         sides = (np.bincount(x[words == w], minlength=6).astype(float) for x in (left, right))
         assert got[w] == chosen.best(*sides, int(own[w]))
+
+
+def test_ftrl_by_brute_force():
+    """Weights by the update rule one coordinate at a time, in plain Python."""
+    rnd = random.Random(11)
+    size, alpha, beta, l1, l2, epochs = 12, 0.7, 1.3, 1.5, 0.2, 3
+    rows = [sorted(rnd.sample(range(size), rnd.randint(0, 6))) for _ in range(50)]
+    labels = [int(3 in r or (5 in r and rnd.random() < 0.6)) for r in rows]
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        limit = 0.0 if i == size else l1
+        return 0.0 if abs(z[i]) <= limit else (np.sign(z[i]) * limit - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for r, y in zip(rows, labels, strict=True):
+            own = {i: weight(i) for i in [*r, size]}
+            g = 1 / (1 + np.exp(-sum(own.values()))) - y
+            for i, w in own.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w
+                n[i] += g * g
+    w, bias = toxicity.ftrl([np.array(r, dtype=np.int32) for r in rows], np.array(labels), size, alpha, beta, l1, l2, epochs)
+    assert w == pytest.approx([weight(i) for i in range(size)]) and bias == pytest.approx(weight(size))
+    assert 0 < np.count_nonzero(w) < size
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Scores of texts from the weights of a fit, feature by feature."""
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 3 == 0 else 'nice'} Word{i % 7}, and more words here!") for i in range(90)] + [(200, None), (201, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    table = {r["feature"]: r["weight"] for r in toxicity.fit(docs, toxicity.train_rows(labels)).collect()}
+    for r in toxicity.score_documents(docs, labels).join(docs, "doc_id").collect():
+        total = table[-1] + sum(table.get(int(f), 0.0) for f in toxicity.features((r["text"] or "").encode()))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-total))) and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
