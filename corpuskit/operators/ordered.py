@@ -97,18 +97,30 @@ def pair_in_order(
 ) -> DataFrame:
     """Pair the n-th left row with the n-th right row of a key, only where both sides have the same number of rows.
 
-    Each order is (columns, bucket expression).  The columns of both sides other than the keys must differ in name.
+    Each order is (columns, bucket expression).  The columns of both sides other than the keys must differ in name.  Both sides run through the plan as one frame: rows
+    are numbered in their bucket, the small bucket table carries the rows before a bucket and the totals of both sides along the key, and a pair
+    meets in one aggregation by key and number.  Null keys take no part.
     """
-    counts = (
-        left.groupBy(*keys)
-        .agg(F.count("*").alias("__nl"))
-        .join(right.groupBy(*keys).agg(F.count("*").alias("__nr")), list(keys))
-        .where("__nl = __nr")
-        .select(*keys)
-    )
-    a = number_rows(left, keys, *left_order, "__pos").join(counts, list(keys), "left_semi")
-    b = number_rows(right, keys, *right_order, "__pos").join(counts, list(keys), "left_semi")
-    return a.join(b, [*keys, "__pos"]).withColumnRenamed("__pos", "pair_no")
+    rest = {side: [c for c in df.columns if c not in keys] for side, df in enumerate((left, right))}
+
+    def tagged(df: DataFrame, side: int, bucket: Column) -> DataFrame:
+        known = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+        return known.select("*", F.lit(side).alias("__side"), bucket.cast("bigint").alias(_BUCKET))
+
+    rows = tagged(left, 0, left_order[1]).unionByName(tagged(right, 1, right_order[1]), allowMissingColumns=True)
+    totals = rows.groupBy(*keys, "__side", _BUCKET).agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__side", _BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    n_left, n_right = (F.sum(F.when(F.col("__side") == side, F.col("__n")).otherwise(0)).over(whole) for side in (0, 1))
+    carried = totals.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__nl": n_left, "__nr": n_right}).where("__nl = __nr")
+    # the left side comes first along the key, so the right one starts after all of it
+    offsets = carried.select(*keys, "__side", _BUCKET, (F.col("__before") - F.when(F.col("__side") == 1, F.col("__nl")).otherwise(0)).alias("__before"))
+    in_bucket = Window.partitionBy(*keys, "__side", _BUCKET).orderBy(*left_order[0], *right_order[0])
+    numbered = rows.withColumn("__in_bucket", F.row_number().over(in_bucket)).join(offsets, [*keys, "__side", _BUCKET])
+    placed = numbered.withColumn("pair_no", F.col("__before") + F.col("__in_bucket"))
+    sides = [F.first(F.when(F.col("__side") == side, F.struct(*rest[side])), ignorenulls=True).alias(f"__{side}") for side in (0, 1)]
+    paired = placed.groupBy(*keys, "pair_no").agg(*sides)
+    return paired.select(*keys, "pair_no", *[F.col(f"__{side}.{c}").alias(c) for side in (0, 1) for c in rest[side]])
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
