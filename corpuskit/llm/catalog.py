@@ -168,6 +168,38 @@ def op11_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_groups.group_spellings(table(spark, folder, "documents"))
 
 
+# crc32 by its table of 256 entries, which the SQL derives from the polynomial
+ORACLES["op11_spelling_groups"] = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), found AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM found, t
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS MATERIALIZED (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word)))::INT AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest
+), best AS MATERIALIZED (
+  SELECT word, other, m, k FROM (SELECT near.word, other, o.n AS m, count(*) OVER (PARTITION BY near.word) AS k, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+    FROM near JOIN words o ON o.word = near.other) WHERE place = 1
+), formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(k, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain(word, root, d) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, c.root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(root, d) AS root FROM chain GROUP BY word) c USING (word)
+"""
+
+
 @query
 def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return block_search.top_scores(table(spark, folder, "embeddings"))
