@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import _invalid_charrefs, _invalid_codepoints
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from corpuskit.functions import labels as L
@@ -92,12 +95,27 @@ def norm_title(spark, folder):
     )
 
 
+# The decoding rule of HTML stated over Python's own table of names: numbers, names, and the longest of the old names that need no semicolon.
+_ENTITY_NAMES = ", ".join("('" + name + "', '" + "'||'".join(f"'||chr({ord(c)})||'" for c in value) + "')" for name, value in html5.items()).replace("''||", "").replace("||''", "")
+_NUMBER_NAMES = ", ".join(f"({code}, chr({ord(value)}))" for code, value in _invalid_charrefs.items() if value)
+_NO_CHARACTERS = ", ".join(str(code) for code in sorted(_invalid_codepoints))
+_WS_RE2 = r"[\s\x0B\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 @query(
-    r"""
-    SELECT page_id, sha256(trim(regexp_replace(regexp_replace(
-      replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
-      '-\s*\n\s*', '', 'g'), '\s+', ' ', 'g'))) AS clean_hash
-    FROM pages
+    rf"""
+    WITH names AS (SELECT map_from_entries(list((n, v))) AS m FROM (VALUES {_ENTITY_NAMES}) AS e(n, v)),
+    numbers AS (SELECT map_from_entries(list((n, v))) AS k FROM (VALUES {_NUMBER_NAMES}) AS e(n, v)),
+    pieces AS (SELECT page_id, unnest(string_split(coalesce(html, ''), '&')) AS piece, generate_subscripts(string_split(coalesce(html, ''), '&'), 1) AS i FROM pages),
+    refs AS (SELECT *, regexp_extract(piece, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <#;]{{1,32}};?)') AS ref FROM pieces),
+    digits AS (SELECT *, CASE WHEN regexp_matches(ref, '^#[0-9]') THEN ltrim(rtrim(substr(ref, 2), ';'), '0') END AS dec, CASE WHEN regexp_matches(ref, '^#[xX]') THEN ltrim(rtrim(substr(ref, 3), ';'), '0') END AS hex FROM refs),
+    codes AS (SELECT *, CASE WHEN coalesce(dec, hex) IS NULL THEN NULL WHEN length(coalesce(dec, hex)) > 8 THEN 1114112 WHEN coalesce(dec, hex) = '' THEN 0 ELSE least(coalesce(TRY_CAST(dec AS BIGINT), TRY_CAST('0x' || hex AS BIGINT)), 1114112) END::INT AS code FROM digits),
+    decoded AS (SELECT page_id, i, CASE WHEN i = 1 THEN piece WHEN ref = '' THEN '&' || piece
+        WHEN code IS NOT NULL THEN CASE WHEN k[code] IS NOT NULL THEN k[code] WHEN code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533) WHEN code IN ({_NO_CHARACTERS}) THEN '' ELSE chr(code) END
+        ELSE coalesce(m[ref], m[left(ref, 6)] || substr(ref, 7), m[left(ref, 5)] || substr(ref, 6), m[left(ref, 4)] || substr(ref, 5), m[left(ref, 3)] || substr(ref, 4), m[left(ref, 2)] || substr(ref, 3), '&' || ref)
+        END || CASE WHEN i = 1 OR ref = '' THEN '' ELSE substr(piece, length(ref) + 1) END AS part FROM codes, names, numbers),
+    whole AS (SELECT page_id, string_agg(part, '' ORDER BY i) AS html FROM decoded GROUP BY 1)
+    SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(html, chr(0), ' '), '-{_WS_RE2}*\n{_WS_RE2}*', '', 'g'), '{_WS_RE2}+', ' ', 'g'))) AS clean_hash FROM whole
     """
 )
 def clean_pages(spark, folder):
