@@ -131,7 +131,7 @@ def seed_glossary(spark, folder):
 
 @query(
     """
-    WITH t AS (SELECT DISTINCT split_part(trim(regexp_replace(lower(text), '[^a-z0-9가-힣]+', ' ', 'g')), ' ', 1) AS term FROM benchmark),
+    WITH t AS (SELECT DISTINCT split_part(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9가-힣]+', ' ', 'g')), ' ', 1) AS term FROM benchmark),
     d AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9가-힣]+', ' ', 'g')) AS norm FROM documents)
     SELECT doc_id, term FROM d JOIN t ON contains(norm, term) WHERE term <> ''
     """

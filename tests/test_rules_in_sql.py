@@ -34,3 +34,8 @@ def test_clean_pages_decodes_every_reference(agrees):
         "&lt-\n &shy;&zwj;", " ".join(f"&{n}|" for n in html5),
     ]
     assert agrees("clean_pages", "pages", [(i, "u", h) for i, h in enumerate(odd)], "page_id long, url string, html string") is None
+
+
+def test_mention_join_folds_terms_as_texts(agrees):
+    rows = [(0, "Große Straße"), (1, "STRAẞE eins"), (2, "plain")]
+    assert agrees("mention_join", "benchmark", rows, "item_id long, text string") is None
