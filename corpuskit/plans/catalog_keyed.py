@@ -25,18 +25,22 @@ AS_OF_YEAR = 2025
           WHEN 3 THEN 'published 2150, 2019' WHEN 4 THEN 'see Supplementary Information for details' ELSE 'doi 10.99999/x.' || doc_id || '. The Supplementary material 2026' END AS body
       FROM documents),
     x AS (
-      SELECT *, doc_id % 6 AS k, CASE CAST(doc_id % 6 AS INT) WHEN 2 THEN 1998 WHEN 3 THEN 2019 WHEN 5 THEN 2026 END AS y,
+      SELECT *, list_filter(list_transform(regexp_extract_all(concat_ws(chr(10), body, title, filename), '\b(19\d{2}|20\d{2})\b'), lambda y: CAST(y AS INT)), lambda y: y <= 2026)[1] AS y,
         CASE WHEN doc_id % 6 = 0 THEN 'supplement' ELSE 'main' END AS kind,
+        rtrim(regexp_extract(body, '(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+'), '.,;:') AS found,
+        upper(regexp_extract(body, '(?i)\bPMC\d{5,10}\b')) AS pmc, regexp_extract(body, '(?i)\bPMID\s*[:#]?\s*(\d{5,10})\b', 1) AS pm,
         trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS nt
       FROM f),
+    w AS (
+      SELECT *, lower(left(found, length(found) - least(greatest(length(replace(found, '(', '')) - length(replace(found, ')', '')), 0), length(regexp_extract(found, '\)+$'))))) AS di FROM x),
+    u AS (
+      SELECT *, CASE WHEN di <> '' THEN 'doi' WHEN pmc <> '' THEN 'pmcid' WHEN pm <> '' THEN 'pmid' WHEN y IS NOT NULL AND length(nt) >= 35 AND len(string_split(nt, ' ')) >= 5 THEN 'title_year' ELSE 'sha256' END AS typ
+      FROM w),
     v AS (
-      SELECT *, CASE k WHEN 0 THEN '10.1234/' || lower(regexp_extract(body, 'doi:10\.1234/([A-Z0-9]+)', 1)) || '(' || doc_id || ')'
-          WHEN 1 THEN 'PMC' || (1000000 + doc_id) WHEN 2 THEN CAST(2000000 + doc_id AS VARCHAR) WHEN 3 THEN title || ' (2019)'
-          WHEN 4 THEN file_hash ELSE '10.99999/x.' || doc_id END AS value,
-        CASE k WHEN 0 THEN 'doi' WHEN 1 THEN 'pmcid' WHEN 2 THEN 'pmid' WHEN 3 THEN 'title_year' WHEN 4 THEN 'sha256' ELSE 'doi' END AS typ
-      FROM x)
+      SELECT *, CASE typ WHEN 'doi' THEN di WHEN 'pmcid' THEN pmc WHEN 'pmid' THEN pm WHEN 'title_year' THEN title || ' (' || y || ')' ELSE file_hash END AS value
+      FROM u)
     SELECT doc_id, filename, file_hash,
-      CASE WHEN typ = 'title_year' THEN 'titleyear:2019:' || left(sha256(nt), 24) ELSE typ || ':' || value END
+      CASE WHEN typ = 'title_year' THEN 'titleyear:' || y || ':' || left(sha256(nt), 24) ELSE typ || ':' || value END
         || CASE WHEN kind <> 'main' AND typ <> 'sha256' THEN ':' || kind ELSE '' END AS canonical_key,
       typ AS identity_type, value AS identity_value,
       CASE WHEN typ IN ('doi', 'pmcid', 'pmid') THEN 'high' WHEN typ = 'title_year' THEN 'medium' ELSE 'exact_file_only' END AS confidence,

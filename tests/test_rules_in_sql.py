@@ -39,3 +39,9 @@ def test_clean_pages_decodes_every_reference(agrees):
 def test_mention_join_folds_terms_as_texts(agrees):
     rows = [(0, "Große Straße"), (1, "STRAẞE eins"), (2, "plain")]
     assert agrees("mention_join", "benchmark", rows, "item_id long, text string") is None
+
+
+def test_resolve_identity_takes_years_from_everywhere(agrees):
+    texts = ["In 1987 it was", "", "x 2150 y2001 2026.", "doi:10.5555/AB(1)).", "PMC1234567 and pmid 7654321", "Text 1950"]
+    rows = [(6 * b + k, t, "en", "src1", len(t)) for b in (0, 317, 331, 340) for k, t in enumerate(texts)]
+    assert agrees("resolve_identity", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long") is None
