@@ -6,26 +6,37 @@ import difflib
 import html
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A batch holds up to 10,000 whole texts.  It stays in Arrow's buffers; so many rows of it at a time become Python objects.
+ROWS_AT_ONCE = 64
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
+def _each(values: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """``one`` over the strings of a batch."""
+    parts = (values.slice(i, ROWS_AT_ONCE) for i in range(0, len(values), ROWS_AT_ONCE))
+    done = [pa.array([None if v is None else one(v) for v in part.to_pylist()], values.type) for part in parts]
+    return pa.concat_arrays(done) if done else values
 
-@F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else v.casefold())
 
+@F.arrow_udf(T.StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    return _each(s, lambda v: v if v.isascii() else unicodedata.normalize("NFKC", v))
 
-@F.pandas_udf(T.StringType())
-def unescape_html(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or "&" not in v else html.unescape(v))
+
+@F.arrow_udf(T.StringType())
+def casefold(s: pa.Array) -> pa.Array:
+    return _each(s, str.casefold)
+
+
+@F.arrow_udf(T.StringType())
+def unescape_html(s: pa.Array) -> pa.Array:
+    return _each(s, lambda v: v if "&" not in v else html.unescape(v))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -59,57 +70,82 @@ PROTECTED = T.StructType(
 _SYMBOL = re.compile(SYMBOL)
 
 
-def protect_text(text: str | None, terms: Iterable[str]) -> dict:
-    """The text with placeholders, and the placeholder table.
+def protect_text(text: str | None, terms: Iterable[str]) -> tuple[str, list[str]]:
+    """The text with placeholders, and the originals by the placeholders' numbers.
 
     Longest given terms first, then the symbols of the text itself.  Placeholders consist of private-use characters only, so
     no term can match inside one and restoring is exact.
     """
-    table: list[dict] = []
+    originals: list[str] = []
     if not text or re.search(f"[{OPEN}{CLOSE}]", text):  # a text that uses our marks itself is left alone
-        return {"text": text or "", "terms": table}
+        return text or "", originals
 
     def put(match: re.Match) -> str:
-        token = OPEN + str(len(table)).translate(TO_MARK) + CLOSE
-        table.append({"token": token, "original": match.group(0)})
-        return token
+        originals.append(match.group(0))
+        return _token(len(originals) - 1)
 
     out = text
     given = sorted({t for t in terms if t and len(t) >= 2}, key=lambda t: (-len(t), t))
     for term in given + list(dict.fromkeys(_SYMBOL.findall(text))):
         out = re.sub(re.escape(term), put, out, flags=re.IGNORECASE)
-    return {"text": out, "terms": table}
+    return out, originals
+
+
+def _token(number: int) -> str:
+    return OPEN + str(number).translate(TO_MARK) + CLOSE
+
+
+def _protected(texts: pa.Array, terms: Callable[[int], Iterable[str]]) -> pa.Array:
+    """``protect_text`` over a batch, ``terms`` by row; the placeholder tables are built as columns, never as one object per placeholder of the batch."""
+    entry = pa.struct([("token", pa.string()), ("original", pa.string())])
+    done = []
+    for i in range(0, len(texts), ROWS_AT_ONCE):
+        rows = [protect_text(v, terms(i + k)) for k, v in enumerate(texts.slice(i, ROWS_AT_ONCE).to_pylist())]
+        ends = [0]
+        for _, originals in rows:
+            ends.append(ends[-1] + len(originals))
+        tokens = pa.array((_token(n) for _, originals in rows for n in range(len(originals))), pa.string())
+        entries = pa.StructArray.from_arrays([tokens, pa.array((o for _, originals in rows for o in originals), pa.string())], fields=list(entry))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+        done.append(pa.StructArray.from_arrays([pa.array([text for text, _ in rows], pa.string()), listed], ["text", "terms"]))
+    empty = pa.array([], pa.struct([("text", pa.string()), ("terms", pa.list_(entry))]))
+    return pa.concat_arrays(done) if done else empty
 
 
 def protect_terms_udf(terms: list[str]):
     """UDF text -> ``protect_text`` with the same terms for all texts."""
 
-    @F.pandas_udf(PROTECTED)
-    def protect(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([protect_text(v, terms) for v in s], columns=["text", "terms"])
+    @F.arrow_udf(PROTECTED)
+    def protect(s: pa.Array) -> pa.Array:
+        return _protected(s, lambda row: terms)
 
     return protect
 
 
-@F.pandas_udf(PROTECTED)
-def protect_listed(text: pd.Series, terms: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(PROTECTED)
+def protect_listed(text: pa.Array, terms: pa.Array) -> pa.Array:
     """``protect_text`` with the terms listed for each text: those that it holds, from a dictionary of any size."""
-    return pd.DataFrame([protect_text(v, ts) for v, ts in zip(text, terms)], columns=["text", "terms"])
+    return _protected(text, lambda row: terms[row].as_py() or ())
 
 
-@F.pandas_udf(T.StringType())
-def restore_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def restore_terms(text: pa.Array, terms: pa.Array) -> pa.Array:
     """Put the originals back; blanks inside a placeholder, which a translator inserts or a cut between chunks leaves, are tolerated."""
+    marked = re.compile(f"{OPEN}([\\s\ue010-\ue019]+){CLOSE}")
 
     def one(value, table):
-        if value is None or table is None or len(table) == 0:
+        if value is None or not table.is_valid or len(table.values) == 0:
             return value
-        originals = [row["original"] for row in table]
+        originals = table.values.field("original").to_pylist()
 
         def back(match: re.Match) -> str:
             number = "".join(match.group(1).split()).translate(FROM_MARK)
             return originals[int(number)] if number and int(number) < len(originals) else match.group(0)
 
-        return re.sub(f"{OPEN}([\\s\ue010-\ue019]+){CLOSE}", back, value)
+        return marked.sub(back, value)
 
-    return pd.Series([one(v, t) for v, t in zip(text, terms)], dtype="object")
+    done = [
+        pa.array([one(v, terms[i + k]) for k, v in enumerate(text.slice(i, ROWS_AT_ONCE).to_pylist())], pa.string())
+        for i in range(0, len(text), ROWS_AT_ONCE)
+    ]
+    return pa.concat_arrays(done) if done else text
