@@ -11,7 +11,7 @@ from corpuskit.functions import labels as L
 from corpuskit.functions import sentences as S
 from corpuskit.functions import text as X
 from corpuskit.functions.notes import annotate_texts
-from corpuskit.functions.python_udfs import casefold, protect_terms_udf, restore_terms
+from corpuskit.functions.python_udfs import casefold, nfkc, protect_terms_udf, restore_terms
 from corpuskit.operators import keyed, records, search
 from corpuskit.operators.dictionary import seed_glossary
 from corpuskit.operators.ordered import bundle_by_length
@@ -86,7 +86,7 @@ def norm_title(spark, folder):
     from corpuskit.operators.identity import is_credible_title
 
     lines = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("Identi\ufb01cation of \uff24\uff2e\uff21 "), t))
-    titles = F.transform(X.mapped(X.compatible(lines), casefold), lambda t: X.normalize_title(t, unicode=False))
+    titles = F.transform(X.mapped(lines, lambda joined: casefold(nfkc(joined))), lambda t: X.normalize_title(t, unicode=False))
     docs = table(spark, folder, "documents").select("doc_id", titles.alias("titles"))
     return docs.select(
         "doc_id",
