@@ -96,7 +96,9 @@ def ingest_explanations(
     )
     offered = offered.where("alias_normalized != '' AND alias_normalized != normalized_name")
     owner = new_concepts.select("normalized_name", F.col("id").alias("concept_id"))
-    first = dedupe_first(offered.join(owner, "normalized_name"), ["alias_normalized"], [*order, "concept_id"])
+    # one row per alias and concept before the join; the hint keeps Spark from broadcasting them, whose number it underrates after the explode
+    distinct = dedupe_first(offered, ["alias_normalized", "normalized_name"], order)
+    first = dedupe_first(distinct.hint("merge").join(owner, "normalized_name"), ["alias_normalized"], [*order, "concept_id"])
     return new_concepts, append_new(aliases, first, ["alias_normalized"])
 
 
