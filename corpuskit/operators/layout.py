@@ -562,7 +562,10 @@ def image_guided_figures(blocks: DataFrame) -> DataFrame:
 def preferred_figures(blocks: DataFrame, other_blocks: DataFrame) -> DataFrame:
     """One figure table over two engines: ``figure_table`` of ``blocks`` for documents where it finds any figure, else the image-guided figures of
     ``other_blocks``, else none; with the ``engine`` that found them."""
-    return prefer_source(staged(figure_table(blocks), "figures"), image_guided_figures(other_blocks), "doc_id")
+    first = staged(figure_table(blocks), "figures")
+    # the second engine works on what the first left, not on every document
+    rest = staged(other_blocks.join(first.select("doc_id"), "doc_id", "left_anti"), "other-blocks")
+    return prefer_source(first, image_guided_figures(rest), "doc_id")
 
 
 def with_panel_suspicion(figures: DataFrame) -> DataFrame:
