@@ -36,6 +36,7 @@ SHARE = 50  # per cent of a phrase's occurrences that a longer candidate must ho
 SHOWN = 2000
 SCALE = 1_000_000
 FLUSH = 1_800_000
+SENT = 20_000
 LISTED = 8  # longer lists of a task's edges are counted before they are sent
 HEAVY = 0.002
 SAMPLE = 1 / 32
@@ -103,10 +104,12 @@ def packed_edges(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             for head in heavy.get(name, set()) & nodes.keys():
                 for tail in nodes.pop(head):
                     sliced[b"%b\t%d\t%b" % (head, 1 + zlib.crc32(tail) % SLICES, own)].append(tail)
-            end = b"\t0\t" + own
-            keys, lists = [*(head + end for head in nodes), *sliced], [*nodes.values(), *sliced.values()]
-            tails = [x[0] if len(x) == 1 else packed(x) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, list(map(len, lists)), tails), types, strict=True)], names=["node", "n", "tails"])
+            # taken out a part at a time, so that what is sent is not held twice
+            for left, end in ((sliced, b""), (nodes, b"\t0\t" + own)):
+                while left:
+                    taken = [left.popitem() for _ in range(min(SENT, len(left)))]
+                    columns = [head + end for head, _ in taken], [len(x) for _, x in taken], [x[0] if len(x) == 1 else packed(x) for _, x in taken]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["node", "n", "tails"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[bytes, list[bytes]]] = {}
