@@ -26,7 +26,8 @@ AS_OF_YEAR = 2025
       FROM documents),
     x AS (
       SELECT *, list_filter(list_transform(regexp_extract_all(concat_ws(chr(10), body, title, filename), '\b(19\d{2}|20\d{2})\b'), lambda y: CAST(y AS INT)), lambda y: y <= 2026)[1] AS y,
-        CASE WHEN doc_id % 6 = 0 THEN 'supplement' ELSE 'main' END AS kind,
+        CASE WHEN regexp_matches(translate(lower(concat_ws(' ', title, filename)), '_-', '  '), 'supplementary information|supporting information|supplementary material|supplemental material|supplemental information|supporting materials')
+          OR regexp_matches(body, '(?i)\A\s*(?:supplementary information|supporting information|supplementary material|supplemental material|supplemental information|supporting materials)\b|(?m)^[^\S\n]*(?:s?\d+[.:]?[^\S\n]+)?(?:supplementary information|supporting information|supplementary material|supplemental material|supplemental information|supporting materials)[^\S\n]*[.:]?[^\S\n]*$') THEN 'supplement' ELSE 'main' END AS kind,
         rtrim(regexp_extract(body, '(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+'), '.,;:') AS found,
         upper(regexp_extract(body, '(?i)\bPMC\d{5,10}\b')) AS pmc, regexp_extract(body, '(?i)\bPMID\s*[:#]?\s*(\d{5,10})\b', 1) AS pm,
         trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS nt

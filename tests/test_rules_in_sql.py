@@ -45,3 +45,9 @@ def test_resolve_identity_takes_years_from_everywhere(agrees):
     texts = ["In 1987 it was", "", "x 2150 y2001 2026.", "doi:10.5555/AB(1)).", "PMC1234567 and pmid 7654321", "Text 1950"]
     rows = [(6 * b + k, t, "en", "src1", len(t)) for b in (0, 317, 331, 340) for k, t in enumerate(texts)]
     assert agrees("resolve_identity", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long") is None
+
+
+def test_resolve_identity_finds_supplements_anywhere(agrees):
+    texts = ["x", " Supporting Information for all", "a\n S3: Supplemental material. \nb", "the supporting information", "Supplementary Materials", "SUPPORTING MATERIALS"]
+    rows = [(6 * b + k, t, "en", "src1", len(t)) for b in (1, 2) for k, t in enumerate(texts[b:] + texts[:b])]
+    assert agrees("resolve_identity", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long") is None
