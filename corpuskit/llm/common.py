@@ -80,6 +80,16 @@ def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
     return lambda column: test(_bit(column))
 
 
+def text_udf(one: Callable[[bytes | None], object], returns: str) -> Callable[[Column], Column]:
+    """Column function for ``one`` over whole texts as UTF-8.
+
+    A plain UDF: Spark hands over a hundred rows at a time, where an Arrow batch holds 10,000 texts at once, in the executor's JVM and in Python.  Marked as
+    nondeterministic, so that a filter on the result doesn't make Spark compute it a second time.
+    """
+    udf = F.udf(one, returns, useArrow=False).asNondeterministic()
+    return lambda text: udf(text.cast("binary"))
+
+
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 

@@ -16,14 +16,13 @@ Counts come from all rows: measures are aggregated to histograms, then labelled
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import fresh
+from corpuskit.llm.common import fresh, text_udf
 from corpuskit.session import staged
 
 MEASURES = ("symbols", "repeats", "dup_lines", "capitals", "bangs", "pipes")
@@ -89,21 +88,9 @@ def measure_text(raw: bytes | None) -> tuple[int, ...]:
     )
 
 
-def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = [f.split()[0] for f in _FIELDS.split(", ")]
-    for part in texts:
-        yield pd.DataFrame([measure_text(t) for t in part], columns=names)
-
-
-_measured.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-
-
 def measures(text: Column) -> Column:
-    """Struct of the base counts and the measures of a whole text; null counts as empty.
-
-    Marked as nondeterministic, so that a filter on the result doesn't make Spark compute it a second time.
-    """
-    return F.pandas_udf(_measured, _FIELDS).asNondeterministic()(text.cast("binary"))
+    """Struct of the base counts and the measures of a whole text; null counts as empty."""
+    return text_udf(measure_text, _FIELDS)(text)
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:

@@ -18,13 +18,12 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import arrow_map, fresh, id_filter
+from corpuskit.llm.common import arrow_map, fresh, id_filter, text_udf
 from corpuskit.llm.components import components
 from corpuskit.session import staged
 
@@ -206,6 +205,11 @@ def _remixed(hashes: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _signed(value: int) -> int:
+    """An unsigned 64-bit number as the bigint of the same bits."""
+    return value - (1 << 64) if value >> 63 else value
+
+
 def set_key(hashes: np.ndarray) -> int:
     """Names a set of shingles; 0 is the empty set."""
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
@@ -214,12 +218,12 @@ def set_key(hashes: np.ndarray) -> int:
 def set_prints(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
     """(doc_id, key, fp, fp2, n): name of the text's shingle set, two independent SimHash fingerprints of it and its size."""
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(set_key(h), _majority(h), _majority(_remixed(h)), len(h)) for h in (shingles(t, width) for t in batch.column(1).to_pylist())]
-        columns = np.array(rows, dtype=np.uint64).reshape(-1, 4).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[:, i].copy()) for i in range(4)]], names=["doc_id", "key", "fp", "fp2", "n"])
+    def make(raw: bytes | None) -> tuple[int, int, int, int]:
+        h = shingles(raw, width)
+        return _signed(set_key(h)), _signed(_majority(h)), _signed(_majority(_remixed(h))), len(h)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("binary")), make, "doc_id bigint, key bigint, fp bigint, fp2 bigint, n bigint")
+    made = text_udf(make, "key bigint, fp bigint, fp2 bigint, n bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), made(F.col(text)).alias("made")).select("doc_id", "made.*")
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -302,16 +306,16 @@ def similar_links(docs: DataFrame, prints: DataFrame, text: str, width: int, rad
     schema = "anchor int, i int, j int, root bigint, key bigint, fp bigint, fp2 bigint"
     members = staged(tiles.groupBy("anchor", "i", "j").applyInArrow(compare, schema), "candidates")
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
-        keys = np.array([set_key(h) for h in sets], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "members"])
+    def make(raw: bytes | None) -> tuple[int, bytes]:
+        h = shingles(raw, width)
+        return _signed(set_key(h)), h.tobytes()
 
     wanted = members.select("key").distinct()
     ids = staged(distinct.join(wanted, "key", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("raw"))
     texts = texts.where(id_filter(ids)(F.col("doc_id"))).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = arrow_map(texts.select("raw"), make, "key bigint, members binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
+    made = texts.select(text_udf(make, "key bigint, members binary")(F.col("raw")).alias("made")).select("made.*")
+    sets = made.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
 
     def confirm(table: pa.Table) -> pa.Table:
         names = table["key"].to_numpy()
@@ -368,14 +372,10 @@ def keep_one(
     plain = docs.join(winners.where("not open").select(known), F.col("doc_id") == F.col(known), "left_semi")
 
     def key(raw: bytes | None) -> int:
-        return fingerprint(raw, width) if similar is None else set_key(shingles(raw, width))
-
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([key(t) for t in texts], dtype=np.uint64).view(np.int64))
+        return _signed(fingerprint(raw, width) if similar is None else set_key(shingles(raw, width)))
 
-    keys.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     unclear = winners.where("open").select(known, won)
     rows = docs.join(unclear.select(known).distinct(), F.col("doc_id").eqNullSafe(F.col(known)), "left_semi")
-    rows = rows.withColumn(held, F.pandas_udf(keys, "bigint").asNondeterministic()(F.col(text).cast("binary")))
+    rows = rows.withColumn(held, text_udf(key, "bigint")(F.col(text)))
     rows = rows.join(unclear, F.col("doc_id").eqNullSafe(F.col(known)) & (F.col(held) == F.col(won)), "left_semi")
     return sure.unionByName(plain).unionByName(rows.dropDuplicates(["doc_id", held]).drop(held))

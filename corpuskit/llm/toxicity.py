@@ -12,16 +12,14 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import fresh, id_fold
+from corpuskit.llm.common import fresh, id_fold, text_udf
 
 BITS = 20
 SAMPLE = 8_000
@@ -80,14 +78,14 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, alpha: float, be
     thresholds = np.full(size + 1, l1)
     thresholds[size] = 0.0
     bias = np.array([size])
-    rows = [np.concatenate([r, bias]) for r in rows]
 
     def weights(index: np.ndarray) -> np.ndarray:
         own, sums = z[index], n[index]
         return np.where(np.abs(own) <= thresholds[index], 0.0, (np.sign(own) * thresholds[index] - own) / ((beta + np.sqrt(sums)) / alpha + l2))
 
     for _ in range(epochs):
-        for index, y in zip(rows, labels, strict=True):
+        for row, y in zip(rows, labels, strict=True):
+            index = np.concatenate([row, bias])
             w = weights(index)
             p = 1 / (1 + math.exp(-min(35.0, max(-35.0, w.sum()))))
             g = p - y
@@ -98,6 +96,10 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, alpha: float, be
     return every[:size], float(every[size])
 
 
+def _weights(features: list[int], weights: list[float]) -> pa.Table:
+    return pa.table({"feature": pa.array(features, pa.int32()), "weight": pa.array(weights, pa.float64())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", bits: int = BITS, sample: int = SAMPLE, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 4) -> DataFrame:
     """(feature, weight) with feature -1 for the intercept.
 
@@ -112,23 +114,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", bits: int = BITS
     learn = docs.select(F.col("doc_id").alias(key), F.col(text).cast("binary").alias("raw")).join(F.broadcast(chosen), F.col(key) == F.col("doc_id"))
     shift = math.log((sizes.get(1, 1) / min(sample, sizes.get(1, 1))) / (sizes.get(0, 1) / min(sample, sizes.get(0, 1))))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = [features(t, bits).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "y", "f"])
+    packed = text_udf(lambda raw: features(raw, bits).tobytes(), "binary")
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["y"].to_numpy()
+    def train(table: pa.Table) -> pa.Table:
+        y = table["y"].to_numpy()
         if len(set(y.tolist())) < 2:
-            return pd.DataFrame({"feature": [-1], "weight": [-20.0]})
-        order = np.random.default_rng(5).permutation(np.lexsort((pdf["f"].map(len).to_numpy(), pdf["doc_id"].to_numpy())))
-        rows = [np.frombuffer(pdf["f"].iloc[i], dtype=np.int32) for i in order]
-        w, bias = ftrl(rows, y[order], 1 << bits, alpha, beta, l1, l2, epochs)
+            return _weights([-1], [-20.0])
+        # views of Arrow's buffers: the features of the sample are held once
+        rows = [np.frombuffer(f.as_buffer(), dtype=np.int32) for part in table["f"].chunks for f in part]
+        order = np.random.default_rng(5).permutation(np.lexsort((np.array([r.nbytes for r in rows]), table["doc_id"].to_numpy())))
+        w, bias = ftrl([rows[i] for i in order], y[order], 1 << bits, alpha, beta, l1, l2, epochs)
         used = np.flatnonzero(w)
-        return pd.DataFrame({"feature": [-1, *used.tolist()], "weight": [bias + shift, *w[used].tolist()]})
+        return _weights([-1, *used.tolist()], [bias + shift, *w[used].tolist()])
 
-    rows = learn.select(key, "raw", "y").mapInArrow(hashed, "doc_id bigint, y int, f binary")
-    return rows.groupBy().applyInPandas(train, SCHEMA)
+    rows = learn.select(F.col(key).cast("bigint").alias("doc_id"), "y", packed(F.col("raw")).alias("f"))
+    return rows.groupBy().applyInArrow(train, SCHEMA)
 
 
 def scorer(weights: DataFrame, bits: int = BITS):
@@ -138,23 +138,19 @@ def scorer(weights: DataFrame, bits: int = BITS):
     table = table[table["feature"] >= 0].sort_values("feature")
     index, weight = table["feature"].to_numpy(np.int32), table["weight"].to_numpy()
 
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        dense = np.zeros(1 << bits)
-        dense[index] = weight
-        used = np.zeros(1 << bits, dtype=bool)
-        used[index] = True
-
-        def present(t: bytes | None) -> float:
-            found = occurrences(t, bits)
-            return dense[np.unique(found[used[found]])].sum()
+    held: list[np.ndarray] = []  # by feature: weight and whether it has one; made once per task, as only the table travels
 
-        for part in texts:
-            sums = np.array([present(t) for t in part]) + bias
-            yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
+    def score(raw: bytes | None) -> float:
+        if not held:
+            dense, used = np.zeros(1 << bits), np.zeros(1 << bits, dtype=bool)
+            dense[index], used[index] = weight, True
+            held.extend((dense, used))
+        dense, used = held
+        found = occurrences(raw, bits)
+        total = dense[np.unique(found[used[found]])].sum() + bias
+        return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
-    score.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(score, "double").asNondeterministic()
-    return lambda text: udf(text.cast("binary"))
+    return text_udf(score, "double")
 
 
 def train_rows(labels: DataFrame) -> DataFrame:
