@@ -1,4 +1,8 @@
-"""The few Arrow UDFs: what Spark's function library lacks."""
+"""The few Python UDFs: what Spark's function library lacks.
+
+Those named after texts are plain UDFs: Spark hands them a hundred rows at a time, so that a Python worker's memory follows these, whatever the table's size.  An Arrow
+batch holds up to 10,000 rows; the Arrow UDFs are for short strings.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,11 @@ from collections.abc import Callable, Iterable
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A batch holds up to 10,000 whole texts.  It stays in Arrow's buffers; so many rows of it at a time become Python objects.
+# An Arrow batch stays in its buffers; so many rows of it at a time become Python objects.
 ROWS_AT_ONCE = 64
 
 
@@ -24,9 +29,25 @@ def _each(values: pa.Array, one: Callable[[str], str]) -> pa.Array:
     return pa.concat_arrays(done) if done else values
 
 
+def _of_text(one: Callable[[str], str]):
+    """Plain UDF of ``one``; null stays null."""
+    return F.udf(lambda v: None if v is None else one(v), T.StringType(), useArrow=False)
+
+
+def _nfkc(v: str) -> str:
+    return v if v.isascii() else unicodedata.normalize("NFKC", v)
+
+
+def _unescaped(v: str) -> str:
+    return v if "&" not in v else html.unescape(v)
+
+
+nfkc_text, casefold_text, unescape_text = _of_text(_nfkc), _of_text(str.casefold), _of_text(_unescaped)
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(s: pa.Array) -> pa.Array:
-    return _each(s, lambda v: v if v.isascii() else unicodedata.normalize("NFKC", v))
+    return _each(s, _nfkc)
 
 
 @F.arrow_udf(T.StringType())
@@ -36,7 +57,7 @@ def casefold(s: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def unescape_html(s: pa.Array) -> pa.Array:
-    return _each(s, lambda v: v if "&" not in v else html.unescape(v))
+    return _each(s, _unescaped)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -95,6 +116,43 @@ def _token(number: int) -> str:
     return OPEN + str(number).translate(TO_MARK) + CLOSE
 
 
+def _protected_text(text: str | None, terms: Iterable[str]) -> tuple[str, list[tuple[str, str]]]:
+    out, originals = protect_text(text, terms)
+    return out, [(_token(n), original) for n, original in enumerate(originals)]
+
+
+def protect_terms_text(terms: list[str]):
+    """Plain UDF text -> ``protect_text`` with the same terms for all texts."""
+    return F.udf(lambda text: _protected_text(text, terms), PROTECTED, useArrow=False)
+
+
+# ``protect_text`` with the terms listed for each text: those that it holds, from a dictionary of any size.
+protect_listed_text = F.udf(lambda text, terms: _protected_text(text, terms or ()), PROTECTED, useArrow=False)
+
+
+_MARKED = re.compile(f"{OPEN}([\\s\ue010-\ue019]+){CLOSE}")
+
+
+def _restored(text: str | None, originals: list[str] | None) -> str | None:
+    if text is None or not originals:
+        return text
+
+    def back(match: re.Match) -> str:
+        number = "".join(match.group(1).split()).translate(FROM_MARK)
+        return originals[int(number)] if number and int(number) < len(originals) else match.group(0)
+
+    return _MARKED.sub(back, text)
+
+
+_restore = F.udf(_restored, T.StringType(), useArrow=False)
+
+
+def restore_text(text: Column | str, terms: Column | str) -> Column:
+    """``restore_terms`` as a plain UDF."""
+    table = F.col(terms) if isinstance(terms, str) else terms
+    return _restore(text, table.getField("original"))
+
+
 def _protected(texts: pa.Array, terms: Callable[[int], Iterable[str]]) -> pa.Array:
     """``protect_text`` over a batch, ``terms`` by row; the placeholder tables are built as columns, never as one object per placeholder of the batch."""
     entry = pa.struct([("token", pa.string()), ("original", pa.string())])
@@ -131,18 +189,11 @@ def protect_listed(text: pa.Array, terms: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StringType())
 def restore_terms(text: pa.Array, terms: pa.Array) -> pa.Array:
     """Put the originals back; blanks inside a placeholder, which a translator inserts or a cut between chunks leaves, are tolerated."""
-    marked = re.compile(f"{OPEN}([\\s\ue010-\ue019]+){CLOSE}")
 
     def one(value, table):
         if value is None or not table.is_valid or len(table.values) == 0:
             return value
-        originals = table.values.field("original").to_pylist()
-
-        def back(match: re.Match) -> str:
-            number = "".join(match.group(1).split()).translate(FROM_MARK)
-            return originals[int(number)] if number and int(number) < len(originals) else match.group(0)
-
-        return marked.sub(back, value)
+        return _restored(value, table.values.field("original").to_pylist())
 
     done = [
         pa.array([one(v, terms[i + k]) for k, v in enumerate(text.slice(i, ROWS_AT_ONCE).to_pylist())], pa.string())

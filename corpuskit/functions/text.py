@@ -114,7 +114,7 @@ SEPARATOR = "\x01"
 
 
 def mapped(strings: Column, udf: Callable[[Column], Column]) -> Column:
-    """An Arrow UDF over each string of an array: UDFs can't run in a lambda, so the strings go through it joined.  Nulls vanish."""
+    """A UDF over each string of an array: UDFs can't run in a lambda, so the strings go through it joined.  Nulls vanish."""
     joined = udf(F.array_join(F.transform(strings, lambda s: F.translate(s, SEPARATOR, " ")), SEPARATOR))
     return F.when(F.size(F.array_compact(strings)) == 0, F.array().cast("array<string>")).otherwise(F.split(joined, SEPARATOR))
 
@@ -178,7 +178,11 @@ def normalize_match_text(c: Column | str) -> Column:
 
 
 def normalize_title(c: Column | str, unicode: bool = True) -> Column:
-    return F.trim(F.regexp_replace(_folded(_compat(c, unicode), unicode), "[^a-z0-9]+", " "))
+    """Letters a-z and digits under NFKC and full case folding (plain UDFs: whole texts are titled, too); everything else is one blank."""
+    from corpuskit.functions.python_udfs import casefold_text, nfkc_text
+
+    folded = casefold_text(nfkc_text(text_or_empty(c))) if unicode else _folded(_compat(c, unicode), unicode)
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
 def join_hyphenated(c: Column | str) -> Column:
@@ -188,10 +192,10 @@ def join_hyphenated(c: Column | str) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    """``join_hyphenated`` after entity decoding (Arrow UDF: Spark has no HTML decoder)."""
-    from corpuskit.functions.python_udfs import unescape_html
+    """``join_hyphenated`` after entity decoding (plain UDF: Spark has no HTML decoder)."""
+    from corpuskit.functions.python_udfs import unescape_text
 
-    return join_hyphenated(unescape_html(text_or_empty(c)))
+    return join_hyphenated(unescape_text(text_or_empty(c)))
 
 
 def _drop_unmatched(c: Column, opener: str, closer: str) -> Column:

@@ -11,7 +11,7 @@ from corpuskit.functions import labels as L
 from corpuskit.functions import sentences as S
 from corpuskit.functions import text as X
 from corpuskit.functions.notes import annotate_texts
-from corpuskit.functions.python_udfs import casefold, nfkc, protect_terms_udf, restore_terms
+from corpuskit.functions.python_udfs import casefold_text, nfkc_text, protect_terms_text, restore_text
 from corpuskit.operators import keyed, records, search
 from corpuskit.operators.dictionary import seed_glossary
 from corpuskit.operators.ordered import bundle_by_length
@@ -86,7 +86,7 @@ def norm_title(spark, folder):
     from corpuskit.operators.identity import is_credible_title
 
     lines = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("Identi\ufb01cation of \uff24\uff2e\uff21 "), t))
-    titles = F.transform(X.mapped(lines, lambda joined: casefold(nfkc(joined))), lambda t: X.normalize_title(t, unicode=False))
+    titles = F.transform(X.mapped(lines, lambda joined: casefold_text(nfkc_text(joined))), lambda t: X.normalize_title(t, unicode=False))
     docs = table(spark, folder, "documents").select("doc_id", titles.alias("titles"))
     return docs.select(
         "doc_id",
@@ -341,11 +341,11 @@ def chunk_docs_fallback(spark, folder):
 )
 def protect_roundtrip(spark, folder):
     """Protected and restored text equals the original; the protected lower-case text, which holds no symbols of its own, as SQL states it."""
-    protect = protect_terms_udf(["the", "MIT License", "tion", "de la"])
+    protect = protect_terms_text(["the", "MIT License", "tion", "de la"])
     docs = table(spark, folder, "documents").select("doc_id", "text", protect("text").alias("p"), protect(F.lower("text")).alias("q"))
     return docs.select(
         "doc_id",
-        (restore_terms("p.text", "p.terms") == F.col("text")).alias("same_text"),
+        (restore_text("p.text", "p.terms") == F.col("text")).alias("same_text"),
         F.sha2(F.regexp_replace("q.text", "\ue000[\ue010-\ue019]+\ue001", "\x01"), 256).alias("protected_hash"),
         F.size("q.terms").cast("bigint").alias("n_terms"),
     )
