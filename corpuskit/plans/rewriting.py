@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.python_udfs import protect_listed, restore_terms
+from corpuskit.functions.python_udfs import protect_listed_text, restore_text
 from corpuskit.functions.sentences import CHUNK_CHARS, chunk_text
 from corpuskit.functions.text import is_error_page, mostly_korean, text_or_empty
 from corpuskit.operators.dictionary import mention_pairs
@@ -40,7 +40,7 @@ def plan_rewriting(
     going = rows.where("__goes").select("row_id", F.col(text).alias("__text"))
     held = going.join(listed_terms(going, terms, "row_id", "__text"), "row_id", "left")
     none = F.array().cast("array<string>")
-    protected = held.select("row_id", protect_listed(F.col("__text"), F.coalesce("terms", none)).alias("protected"))
+    protected = held.select("row_id", protect_listed_text(F.col("__text"), F.coalesce("terms", none)).alias("protected"))
     chunked = protected.withColumn("chunks", chunk_text(F.col("protected.text"), max_chars))
     planned = rows.join(chunked, "row_id", "left").withColumn("chunks", F.coalesce("chunks", none))
     return staged(planned.drop("__goes"), "rewriting-plan")
@@ -65,7 +65,7 @@ def apply_answers(plan: DataFrame, answers: DataFrame, text: str = "text") -> Da
         F.array_sort(F.collect_list(F.struct("pos", value.alias("value")))).alias("parts"), F.count("*").alias("n_chunks"), F.count_if(bad).alias("n_kept")
     )
     joined = plan.join(gathered, "row_id", "left")
-    whole = restore_terms(F.array_join("parts.value", " "), F.col("protected.terms"))
+    whole = restore_text(F.array_join("parts.value", " "), F.col("protected.terms"))
     zero = F.lit(0).cast("bigint")
     return joined.select(
         *[c for c in plan.columns if c not in ("row_id", "protected", "chunks")],

@@ -27,7 +27,7 @@ def test_no_arrow_batches_of_whole_texts(spark, capsys):
 
     docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     frames = [docs.select(X.title_digest("text"), X.clean_text("text"))]
-    frames += [QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("content_hash", "protect_roundtrip", "clean_pages", "norm_title")]
+    frames += [QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("content_hash", "protect_docs", "protect_roundtrip", "clean_pages", "norm_title")]
     for df in frames:
         df.explain()
         plan = capsys.readouterr().out
