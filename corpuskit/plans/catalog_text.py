@@ -237,11 +237,20 @@ def keyword_snippet(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.sha2(snippet, 256).alias("snippet_hash"))
 
 
+# The cut of the reference list: the first line with nothing but such a word, from the first blank line in front of it, if that lies beyond 55 % of the stripped text.
+_WS_SQL = "||".join(f"chr({ord(c)})" for c in X.WS_CHARS)
+_HEADING_RE2 = f"^{_WS_RE2}*({'|'.join(''.join(f'[{c.upper()}{c}]' for c in word) for word in ('references', 'bibliography'))}){_WS_RE2}*$"
+
+
 @query(
     rf"""
-    WITH d AS (SELECT doc_id, {DOC_STRIPPED} AS body, source FROM documents),
-    t AS (SELECT doc_id, body, body || chr(10) || chr(10) || ' References ' || chr(10) || source AS full_text FROM d),
-    c AS (SELECT doc_id, CASE WHEN length(body) + 1 > length(full_text) * 0.55 THEN left(full_text, length(body) + 1) ELSE full_text END AS cut FROM t)
+    WITH d AS (SELECT doc_id, coalesce(trim(trim(text, {_WS_SQL}) || chr(10) || chr(10) || ' References ' || chr(10) || source, {_WS_SQL}), '') AS t FROM (SELECT doc_id, coalesce(text, '') AS text, source FROM documents)),
+    l AS (SELECT doc_id, t, string_split(t, chr(10)) AS lines FROM d),
+    h AS (SELECT doc_id, t, lines, list_filter(list_transform(lines, lambda x, i: CASE WHEN regexp_matches(x, '{_HEADING_RE2}') THEN i END), lambda i: i IS NOT NULL) AS heads,
+      list_filter(list_transform(lines, lambda x, i: CASE WHEN trim(x, {_WS_SQL}) <> '' THEN i END), lambda i: i IS NOT NULL) AS filled FROM l),
+    s AS (SELECT doc_id, t, lines, list_transform(heads, lambda i: coalesce(list_max(list_filter(filled, lambda j: j < i)), 0)) AS before FROM h),
+    p AS (SELECT doc_id, t, list_transform(before, lambda k: CASE WHEN k = 0 THEN 0 ELSE length(array_to_string(lines[1:k], chr(10))) + 1 END) AS starts FROM s),
+    c AS (SELECT doc_id, coalesce(left(t, list_filter(starts, lambda n: n > length(t) * 0.55)[1]), t) AS cut FROM p)
     SELECT doc_id, sha256(cut) AS whole_hash, greatest(length(cut) - 2000, 0) AS omitted, CASE WHEN length(cut) <= 2000 THEN sha256(cut)
       ELSE sha256(left(cut, 1360) || chr(10) || chr(10) || '[... middle of paper omitted for request size ...]' || chr(10) || chr(10) || right(cut, 640)) END AS compact_hash
     FROM c

@@ -51,3 +51,12 @@ def test_resolve_identity_finds_supplements_anywhere(agrees):
     texts = ["x", " Supporting Information for all", "a\n S3: Supplemental material. \nb", "the supporting information", "Supplementary Materials", "SUPPORTING MATERIALS"]
     rows = [(6 * b + k, t, "en", "src1", len(t)) for b in (1, 2) for k, t in enumerate(texts[b:] + texts[:b])]
     assert agrees("resolve_identity", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long") is None
+
+
+def test_compact_docs_cuts_and_strips_every_text(agrees):
+    odd = [
+        "", None, " \n\t ", "a", "　\x0b\n", "\xa0edges  and \x1c\x85", "one\n\n\n", "\n\nReferences", "x " * 700 + "\nBIBLIOGRAPHY\n1. y\nReferences\n2. z", "short\nreferences\n" + "late " * 400,
+        "body " * 30 + "\n \x0b\n \n\xa0References　\n1. First", "references\n" * 40, "\n" * 30 + "Referenceſ\nreferences x\nreferences", "ß가 \U0001f600" * 500 + "\r\nreferences\r\n1", "﻿​", "a" * 1999 + "\n\n\nend",
+    ]
+    rows = [(i, t, "en", s, 0) for i, t in enumerate(odd * 3) for s in (["src1", None, "s \n"][i // len(odd)],)]
+    assert agrees("compact_docs", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long") is None
