@@ -459,15 +459,16 @@ def flatten_pages(spark, folder):
 
 @query(
     r"""
-    WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
-    SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256('Figure 1. (A) (B) (C) ' || t) AS caption_hash, CAST(10.0 AS DOUBLE) AS body_x0, CAST(10.0 + greatest(3, least(n, 80)) AS DOUBLE) AS body_x1,
+    WITH d AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n, trim(regexp_replace(coalesce(text, ''), '[\s\x0B]+', ' ', 'g'), ' ') AS t FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(trim('Figure 1. (A) (B) (C) ' || t, ' ')) AS caption_hash, CAST(10.0 AS DOUBLE) AS body_x0, CAST(10.0 + greatest(3, least(n, 80)) AS DOUBLE) AS body_x1,
       greatest(3, least(n, 80)) < 100 * 0.72 AS suspicious FROM d
     """
 )
 def flatten_middle(spark, folder):
     """Nested layout trees with captions and bodies; a body much narrower than a multi-panel caption is suspicious."""
-    n = F.least(F.size(F.split("text", "\n")), F.lit(80)).cast("double")
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    text = F.coalesce("text", F.lit(""))
+    n = F.least(F.size(F.split(text, "\n")), F.lit(80)).cast("double")
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     none = F.lit(None).cast("array<double>")
 
     def span(text, box=none):

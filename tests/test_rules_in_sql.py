@@ -60,3 +60,9 @@ def test_compact_docs_cuts_and_strips_every_text(agrees):
     ]
     rows = [(i, t, "en", s, 0) for i, t in enumerate(odd * 3) for s in (["src1", None, "s \n"][i // len(odd)],)]
     assert agrees("compact_docs", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long") is None
+
+
+def test_flatten_middle_takes_empty_captions(agrees):
+    odd = ["", None, " \n\t ", "a", "\x0b", "v\x0btab\x0b\x0b x\x0c", "\xa0 edges　\n", "line\n" * 100, "\n" * 75, "(A-H), (D) and E, f) g"]
+    rows = [(i, t, "en", "src1", 0) for i, t in enumerate(odd)]
+    assert agrees("flatten_middle", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long") is None
